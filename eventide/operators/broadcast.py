@@ -1,0 +1,26 @@
+"""Broadcast only behind a checked size bound."""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Largest number of rows a dimension table may have and still be broadcast.
+DEFAULT_MAX_ROWS = 2_000_000
+
+# name -> row count seen by the last check (for logs and tests)
+SEEN: dict[str, int] = {}
+
+
+def bounded_broadcast(df: DataFrame, name: str, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """Persist a small derived table, count it, and mark it for broadcast
+    only when the count is under ``max_rows``.
+
+    Above the bound the table is returned as is and the planner uses a
+    shuffle join (with AQE skew splitting) instead.
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = kept.count()
+    SEEN[name] = n
+    return F.broadcast(kept) if n <= max_rows else kept
