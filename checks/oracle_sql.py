@@ -7,6 +7,8 @@ other.  The tables ``events``, ``orders``, ``lineitem`` ... are views.
 
 from __future__ import annotations
 
+from eventide.functions.hashing import uniform_sql
+
 # fixed values shared with the Spark side (see eventide.operators.tokens)
 BLOCK = 256
 H_CUT = 240
@@ -60,8 +62,109 @@ stream AS (SELECT s.*, v.token_id FROM stream0 s LEFT JOIN vocab v USING (token)
 """
 
 
-def with_base(body: str, extra: str = "") -> str:
-    return "WITH " + RAW + ("," + extra if extra else "") + "\n" + body
+def with_base(body: str, *extra: str) -> str:
+    parts = [RAW] + [e for e in extra if e]
+    return "WITH " + ",\n".join(parts) + "\n" + body
+
+
+def model_ctes(pre: str, train_filter: str) -> str:
+    """Counts of the order 0-2 model over ``ctx`` rows passing the filter."""
+    return f"""
+{pre}tr AS (SELECT token_id, c1, c2 FROM ctx WHERE {train_filter}),
+{pre}m0 AS (SELECT token_id, count(*) AS n0 FROM {pre}tr GROUP BY token_id),
+{pre}m1 AS (SELECT c1, token_id, count(*) AS n1 FROM {pre}tr WHERE c1 IS NOT NULL GROUP BY c1, token_id),
+{pre}m2 AS (SELECT c2, c1, token_id, count(*) AS n2 FROM {pre}tr
+            WHERE c1 IS NOT NULL AND c2 IS NOT NULL GROUP BY c2, c1, token_id),
+{pre}t1 AS (SELECT c1, sum(n1) AS n1c FROM {pre}m1 GROUP BY c1),
+{pre}t2 AS (SELECT c2, c1, sum(n2) AS n2c FROM {pre}m2 GROUP BY c2, c1),
+{pre}kn AS (SELECT (SELECT count(*) FROM {pre}tr) AS N,
+                   (SELECT count(*) FROM vocab WHERE token_id > 0) AS V)"""
+
+
+CTX = """
+ctx AS (
+  SELECT stay_id, pos, testset, coalesce(token_id, -1) AS token_id,
+         lag(coalesce(token_id, -1), 1) OVER (PARTITION BY stay_id ORDER BY pos) AS c1,
+         lag(coalesce(token_id, -1), 2) OVER (PARTITION BY stay_id ORDER BY pos) AS c2
+  FROM stream)"""
+
+MODEL = CTX + "," + model_ctes("", "NOT testset")
+
+
+def p_expr(pre: str = "", l0=0.1, l1=0.3, l2=0.6, alpha=1.0) -> str:
+    p0 = f"((coalesce({pre}m0.n0, 0) + {alpha}) / ({pre}kn.N + {alpha} * {pre}kn.V))"
+    return (f"({l2} * CASE WHEN {pre}t2.n2c > 0 THEN coalesce({pre}m2.n2, 0) / {pre}t2.n2c ELSE {p0} END"
+            f" + {l1} * CASE WHEN {pre}t1.n1c > 0 THEN coalesce({pre}m1.n1, 0) / {pre}t1.n1c ELSE {p0} END"
+            f" + {l0} * {p0})")
+
+
+def score_from(rel: str, pre: str = "") -> str:
+    """FROM clause joining a request relation R(c2, c1, target_id) to the model."""
+    return f"""FROM {rel} R CROSS JOIN {pre}kn
+  LEFT JOIN {pre}m0 ON {pre}m0.token_id = R.target_id
+  LEFT JOIN {pre}t1 ON {pre}t1.c1 = R.c1
+  LEFT JOIN {pre}m1 ON {pre}m1.c1 = R.c1 AND {pre}m1.token_id = R.target_id
+  LEFT JOIN {pre}t2 ON {pre}t2.c2 = R.c2 AND {pre}t2.c1 = R.c1
+  LEFT JOIN {pre}m2 ON {pre}m2.c2 = R.c2 AND {pre}m2.c1 = R.c1 AND {pre}m2.token_id = R.target_id"""
+
+
+def metric_ctes(rel: str, grp: list[str], pre: str) -> str:
+    """AUROC by average ranks (Mann-Whitney) and AP by a descending threshold
+    sweep, over a relation ``rel(grp..., s, y)``."""
+    g = ", ".join(grp)
+    return f"""
+{pre}rk AS (SELECT *, rank() OVER (PARTITION BY {g} ORDER BY s)
+              + (count(*) OVER (PARTITION BY {g}, s) - 1) / 2.0 AS r FROM {rel}),
+{pre}auc AS (
+  SELECT {g}, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_pos,
+         CASE WHEN sum(y) > 0 AND sum(y) < count(*)
+              THEN (sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0)
+                   / (sum(y) * (count(*) - sum(y))) END AS auroc
+  FROM {pre}rk GROUP BY {g}),
+{pre}dist AS (SELECT {g}, s, sum(y) AS pos, count(*) AS cnt FROM {rel} GROUP BY {g}, s),
+{pre}sw AS (
+  SELECT *, sum(pos) OVER (PARTITION BY {g} ORDER BY s DESC) AS tp,
+         sum(cnt) OVER (PARTITION BY {g} ORDER BY s DESC) AS c,
+         sum(pos) OVER (PARTITION BY {g}) AS P
+  FROM {pre}dist),
+{pre}ap AS (
+  SELECT {g}, CASE WHEN max(P) > 0 THEN sum(pos / P * tp / c) ELSE 0.0 END AS ap
+  FROM {pre}sw GROUP BY {g}),
+{pre}met AS (SELECT a.*, b.ap FROM {pre}auc a JOIN {pre}ap b USING ({g}))"""
+
+
+def targets_cte(name: str, targets: list[str]) -> str:
+    lst = ", ".join(f"'{t}'" for t in targets)
+    return f"""
+{name} AS (
+  SELECT token AS target, stay_id, pos, token_id,
+         row_number() OVER (PARTITION BY stay_id, token ORDER BY pos) - 1 AS occ
+  FROM stream WHERE testset AND token IN ({lst}))"""
+
+
+def examples_cte(name: str, tgt: str) -> str:
+    return f"""
+{name} AS (
+  SELECT t.target, t.stay_id, CAST(t.occ AS BIGINT) AS occ, t.pos, t.pos + 1 AS cut,
+         n.token AS val_token, coalesce(t.token_id, -1) AS c1,
+         CASE WHEN pv.pos IS NOT NULL THEN coalesce(pv.token_id, -1) END AS c2
+  FROM {tgt} t JOIN stream n ON n.stay_id = t.stay_id AND n.pos = t.pos + 1
+  LEFT JOIN stream pv ON pv.stay_id = t.stay_id AND pv.pos = t.pos - 1
+  WHERE t.occ > 0)"""
+
+
+LABS = ["lab.view", "lab.click"]
+EVENT_TYPES = ["view", "click", "purchase", "error", "signup"]
+MAGS = ", ".join(f"'magnitude.{i}'" for i in range(10))
+GRID = [("s0", 0.1, 0.3, 0.6, 1.0), ("s1", 0.2, 0.3, 0.5, 1.0), ("s2", 0.1, 0.3, 0.6, 0.1),
+        ("s3", 0.05, 0.15, 0.8, 0.5), ("s4", 0.3, 0.4, 0.3, 2.0)]
+
+
+def _event_scores() -> str:
+    types = ", ".join(f"('{t}')" for t in EVENT_TYPES)
+    return f"""
+evs AS (SELECT t.target, e.value AS s, CAST(e.event_type = t.target AS INTEGER) AS y
+        FROM events e CROSS JOIN (VALUES {types}) t(target))"""
 
 
 def queries() -> dict[str, str]:
@@ -69,7 +172,95 @@ def queries() -> dict[str, str]:
     q["decile_edges"] = with_base("""
 SELECT item, CAST(i - 1 AS INTEGER) AS qi, round(e[i], 6) AS edge
 FROM edges, range(1, 10) t(i)""")
+    q["magnitudes"] = with_base("SELECT stay_id, row_id, item, CAST(mag AS INTEGER) AS mag FROM mag")
+    q["hour_spine"] = with_base("""
+SELECT stay_id, CAST(hour_no AS BIGINT) AS hour_no, charttime, token FROM stream WHERE kind = 0""")
+    q["vocab"] = with_base("SELECT token, CAST(token_id AS INTEGER) AS token_id FROM vocab")
+    q["token_parse"] = with_base("""
+SELECT token, split_part(token, '.', 1) AS family,
+       TRY_CAST(string_split(token, '.')[-1] AS INTEGER) AS suffix FROM vocab""")
+    q["unknown_tokens"] = with_base("""
+SELECT token, count(*) AS n FROM stream
+WHERE testset AND token NOT IN (SELECT token FROM vocab) GROUP BY token""")
     q["token_stream"] = with_base("""
 SELECT stay_id, CAST(pos AS BIGINT) AS pos, charttime, token, token_id, CAST(hour_no AS BIGINT) AS hour_no
 FROM stream""")
+
+    q["occurrences_per_stay"] = with_base("""
+SELECT token AS target, stay_id, count(*) AS n FROM stream
+WHERE testset AND token IN ('lab.view', 'lab.click', 'culture.error') GROUP BY token, stay_id""")
+    tl = targets_cte("tgt", LABS)
+    ex = examples_cte("ex", "tgt")
+    q["lab_examples"] = with_base("""
+SELECT target, stay_id, CAST(occ AS BIGINT) AS occ, pos, pos + 1 AS cut FROM tgt WHERE occ > 0""", tl)
+    q["value_at_next"] = with_base("SELECT target, stay_id, occ, val_token FROM ex", tl, ex)
+    q["one_hot_labels"] = with_base("""
+SELECT target, stay_id, occ, CAST(c AS INTEGER) AS cls,
+       CAST(val_token = 'magnitude.' || c AS INTEGER) AS y
+FROM ex, range(0, 10) t(c)""", tl, ex)
+    q["unexpected_labels"] = with_base(f"""
+SELECT target, count(*) AS n_examples, count_if(val_token NOT IN ({MAGS})) AS n_unexpected
+FROM ex GROUP BY target""", tl, ex)
+    tc = targets_cte("tgtc", ["culture.error"])
+    exc = examples_cte("exc", "tgtc")
+    q["culture_examples"] = with_base("""
+SELECT stay_id, occ, cut, val_token, CAST(val_token = 'Growth' AS INTEGER) AS y FROM exc""", tc, exc)
+
+    ev = _event_scores()
+    q["auroc_binary"] = with_base("SELECT target, n, n_pos, round(auroc, 6) AS auroc FROM emet",
+                                  ev, metric_ctes("evs", ["target"], "e"))
+    q["avg_precision"] = with_base("SELECT target, round(ap, 6) AS ap FROM emet",
+                                   ev, metric_ctes("evs", ["target"], "e"))
+    q["macro_metrics"] = with_base(f"""
+SELECT round(CASE WHEN count(auroc) = {len(EVENT_TYPES)} THEN avg(auroc) END, 6) AS macro_auroc,
+       round(sum(coalesce(ap, 0)) / {len(EVENT_TYPES)}, 6) AS macro_ap FROM emet""",
+                                   ev, metric_ctes("evs", ["target"], "e"))
+
+    req = f"""
+req AS (SELECT ex.*, c.which, c.cls_token, coalesce(v.token_id, -1) AS target_id
+        FROM ex CROSS JOIN (VALUES ('low', 'magnitude.0'), ('high', 'magnitude.9')) c(which, cls_token)
+        LEFT JOIN vocab v ON v.token = c.cls_token),
+sc AS (SELECT R.target, R.which, {p_expr()} AS s, CAST(R.val_token = R.cls_token AS INTEGER) AS y
+       {score_from('req')})"""
+    q["metric_panel"] = with_base("""
+SELECT target, which || '_auroc' AS metric, round(auroc, 6) AS value FROM lmet
+UNION ALL
+SELECT target, which || '_ap' AS metric, round(ap, 6) AS value FROM lmet""",
+                                  tl, ex, MODEL, req, metric_ctes("sc", ["target", "which"], "l"))
+    reqc = f"""
+reqc AS (SELECT exc.*, coalesce(v.token_id, -1) AS target_id
+         FROM exc LEFT JOIN vocab v ON v.token = 'Growth'),
+scc AS (SELECT R.target, {p_expr()} AS s, CAST(R.val_token = 'Growth' AS INTEGER) AS y
+        {score_from('reqc')})"""
+    q["culture_eval"] = with_base("""
+SELECT target, n, n_pos, round(auroc, 6) AS auroc, round(ap, 6) AS ap FROM cmet""",
+                                  tc, exc, MODEL, reqc, metric_ctes("scc", ["target"], "c"))
+
+    q["ngram_counts"] = with_base("""
+SELECT 0 AS "order", -1 AS c2, -1 AS c1, token_id, n0 AS n FROM m0
+UNION ALL SELECT 1, -1, c1, token_id, n1 FROM m1
+UNION ALL SELECT 2, c2, c1, token_id, n2 FROM m2""", MODEL)
+    q["next_token_probs"] = with_base(f"""
+SELECT R.c2, R.c1, R.target_id AS token_id, round({p_expr()}, 6) AS p
+{score_from('treq')}""", MODEL, """
+treq AS (SELECT DISTINCT c2, c1, token_id AS target_id FROM ctx WHERE testset)""")
+    q["val_loss"] = with_base(f"""
+SELECT count(*) AS n, round(avg(nll), 6) AS loss_mean,
+       round((SELECT avg(b) FROM (SELECT avg(nll) AS b FROM ls GROUP BY rn // 64)), 6) AS loss_batch_mean
+FROM ls""", MODEL, f"""
+ls AS (SELECT -ln({p_expr()}) AS nll,
+              row_number() OVER (ORDER BY R.stay_id, R.pos) - 1 AS rn
+       {score_from('(SELECT stay_id, pos, c2, c1, token_id AS target_id FROM ctx WHERE testset)')})""")
+    split = f"{uniform_sql('stay_id')} < 0.9"
+    cols = ",\n".join(f"avg(-ln({p_expr('b', l0, l1, l2, a)})) AS {n}" for n, l0, l1, l2, a in GRID)
+    stack = "\nUNION ALL ".join(f"SELECT {i} AS step, '{n}' AS config, {n} AS val_loss FROM vl"
+                                for i, (n, *_r) in enumerate(GRID))
+    q["best_smoothing"] = with_base(f"""
+SELECT CAST(step AS INTEGER) AS step, config, round(val_loss, 6) AS val_loss,
+       round(min(val_loss) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6)
+         AS best_so_far,
+       val_loss = min(val_loss) OVER () AS is_best
+FROM ({stack})""", CTX, model_ctes("b", f"NOT testset AND {split}"), f"""
+vl AS (SELECT {cols}
+       {score_from(f'(SELECT c2, c1, token_id AS target_id FROM ctx WHERE NOT testset AND NOT ({split}))', 'b')})""")
     return q

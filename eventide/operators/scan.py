@@ -113,3 +113,33 @@ def at_offset(requests: DataFrame, stream: DataFrame, pos_col: str, offset: int,
 def block_key(pos: Column | str, size: int) -> Column:
     p = F.col(pos) if isinstance(pos, str) else pos
     return F.floor(p / F.lit(size)).cast("long")
+
+
+def neighbors(df: DataFrame, group: str | Sequence[str], order: str, col: str,
+              offsets: Sequence[int], names: Sequence[str] | None = None,
+              fanout: int = DEFAULT_FANOUT) -> DataFrame:
+    """``col`` at ``order + offset`` for each offset (lag < 0 < lead), for a
+    gapless ``order`` (a stream position).
+
+    Rows within ``max|offset|`` of a chunk edge are copied into the
+    neighbouring chunk, so one window over ``(group, chunk)`` sees every
+    neighbour it needs: one shuffle, bounded partitions, no join.
+    """
+    group = _cols(group)
+    names = list(names or [f"{col}_{'m' if o < 0 else 'p'}{abs(o)}" for o in offsets])
+    back = max([-o for o in offsets if o < 0] + [0])
+    fwd = max([o for o in offsets if o > 0] + [0])
+    c = F.floor(F.col(order) / F.lit(fanout)).cast("long")
+    r = F.pmod(F.col(order), F.lit(fanout))
+    shifts = F.array(F.lit(0))
+    if back:
+        shifts = F.when(r >= fanout - back, F.array_union(shifts, F.array(F.lit(1)))).otherwise(shifts)
+    if fwd:
+        shifts = F.when(r < fwd, F.array_union(shifts, F.array(F.lit(-1)))).otherwise(shifts)
+    d = df.select("*", F.explode(shifts).alias("__shift"))
+    d = d.withColumn("__nchunk", c + F.col("__shift"))
+    w = Window.partitionBy(*group, "__nchunk").orderBy(order)
+    for o, n in zip(offsets, names):
+        fn = F.lag(col, -o) if o < 0 else F.lead(col, o)
+        d = d.withColumn(n, fn.over(w))
+    return d.where(F.col("__shift") == 0).drop("__shift", "__nchunk")

@@ -1,26 +1,77 @@
-"""Registered queries: name -> (spark, sf_dir) -> DataFrame."""
+"""Registered queries: name -> (spark, sf_dir) -> DataFrame.
+
+Every query reads the given tables (or what Spark derives from them) in full.
+Computed columns carry the same names as their DuckDB twins in
+``checks/oracle_sql.py``; doubles are rounded to 6 places on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eventide.functions.hashing import uniform
+from eventide.functions.tokens import family, suffix_int
+from eventide.operators import cohorts, metrics, scoring
+from eventide.operators.scan import prefix_sum
+from eventide.operators.tokens import EVENTS_ITEM_KIND
+from eventide.plans import lab_eval
+from eventide.plans import params as P
 from eventide.plans.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+EVENT_TYPES = tuple(EVENTS_ITEM_KIND)
+
 
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
 
 
+def r6(c):
+    return F.round(c, 6)
+
+
+# ---- step 1: scans, tokeniser, stream ----------------------------------------
+
 @query
 def decile_edges(spark, sf_dir):
     ws = Workspace(spark, sf_dir)
-    return ws.edges_long.select("item", "qi", F.round("edge", 6).alias("edge"))
+    return ws.edges_long.select("item", "qi", r6("edge").alias("edge"))
+
+
+@query
+def magnitudes(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    return ws.emitted.select("stay_id", "row_id", "item", F.col("mag").cast("int").alias("mag"))
+
+
+@query
+def hour_spine(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    return ws.tokens.where(F.col("kind") == 0).select(
+        "stay_id", F.col("hour_no").cast("long").alias("hour_no"), "charttime", "token")
+
+
+@query
+def vocab(spark, sf_dir):
+    return Workspace(spark, sf_dir).vocab
+
+
+@query
+def token_parse(spark, sf_dir):
+    v = Workspace(spark, sf_dir).vocab
+    return v.select("token", family("token").alias("family"), suffix_int("token").alias("suffix"))
+
+
+@query
+def unknown_tokens(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    test = ws.tokens.where("testset").select("token")
+    return test.join(ws.vocab, "token", "left_anti").groupBy("token").agg(F.count("*").alias("n"))
 
 
 @query
@@ -28,3 +79,177 @@ def token_stream(spark, sf_dir):
     ws = Workspace(spark, sf_dir)
     return ws.tokens.select("stay_id", F.col("pos").cast("long").alias("pos"), "charttime",
                             "token", "token_id", F.col("hour_no").cast("long").alias("hour_no"))
+
+
+# ---- step 2: cohorts and labels -------------------------------------------------
+
+@query
+def occurrences_per_stay(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    # bound-parameter form of the reference's cohort SQL
+    ws.tokens.createOrReplaceTempView("eventide_tokens")
+    targets = [*P.LAB_TARGETS, P.CULTURE_TARGET]
+    args = {f"t{i}": t for i, t in enumerate(targets)}
+    marks = ", ".join(f":t{i}" for i in range(len(targets)))
+    return spark.sql(
+        f"SELECT token AS target, stay_id, count(*) AS n FROM eventide_tokens "
+        f"WHERE testset = true AND token IN ({marks}) GROUP BY token, stay_id", args=args)
+
+
+@query
+def lab_examples(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    ex = cohorts.nth_occurrences(ws.tokens, P.LAB_TARGETS)
+    return ex.select("target", "stay_id", "occ", "pos", "cut")
+
+
+@query
+def value_at_next(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    ex = cohorts.value_after(cohorts.nth_occurrences(ws.tokens, P.LAB_TARGETS), ws.tokens, 1)
+    return ex.select("target", "stay_id", "occ", "val_token")
+
+
+@query
+def one_hot_labels(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    ex = cohorts.value_after(cohorts.nth_occurrences(ws.tokens, P.LAB_TARGETS), ws.tokens, 1)
+    oh = cohorts.one_hot(ex, "val_token", P.MAGNITUDES)
+    return oh.select("target", "stay_id", "occ", F.col("cls").cast("int").alias("cls"), "y")
+
+
+@query
+def unexpected_labels(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    ex = cohorts.value_after(cohorts.nth_occurrences(ws.tokens, P.LAB_TARGETS), ws.tokens, 1)
+    return cohorts.unexpected_count(ex, ["target"], "val_token", P.MAGNITUDES)
+
+
+@query
+def culture_examples(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    ex = cohorts.value_after(cohorts.nth_occurrences(ws.tokens, [P.CULTURE_TARGET]), ws.tokens, 1)
+    return ex.select("stay_id", "occ", "cut", "val_token",
+                     (F.col("val_token") == P.RESULT_TOKENS[0]).cast("int").alias("y"))
+
+
+# ---- step 3: ranking metrics ------------------------------------------------------
+
+def _event_scores(spark, sf_dir):
+    """One-vs-rest rows: every event once per item type of the grammar
+    (a fixed list), score = value, y = the event is of that type."""
+    ws = Workspace(spark, sf_dir)
+    ev = ws.table("events", ["event_type", "value"])
+    types = F.array(*[F.lit(t) for t in EVENT_TYPES])
+    x = ev.select("event_type", "value", F.explode(types).alias("target"))
+    return x.select("target", F.col("value").alias("score"),
+                    (F.col("event_type") == F.col("target")).cast("int").alias("y"))
+
+
+@query
+def auroc_binary(spark, sf_dir):
+    m = metrics.ranking_metrics(_event_scores(spark, sf_dir), ["target"], "score", "y")
+    return m.select("target", "n", "n_pos", r6("auroc").alias("auroc"))
+
+
+@query
+def avg_precision(spark, sf_dir):
+    m = metrics.ranking_metrics(_event_scores(spark, sf_dir), ["target"], "score", "y")
+    return m.select("target", r6("ap").alias("ap"))
+
+
+@query
+def macro_metrics(spark, sf_dir):
+    m = metrics.ranking_metrics(_event_scores(spark, sf_dir), ["target"], "score", "y")
+    mm = metrics.macro(m.withColumn("g", F.lit(1)), ["g"], len(EVENT_TYPES))
+    return mm.select(r6("macro_auroc").alias("macro_auroc"), r6("macro_ap").alias("macro_ap"))
+
+
+@query
+def metric_panel(spark, sf_dir):
+    return lab_eval.lab_panel(Workspace(spark, sf_dir))
+
+
+@query
+def culture_eval(spark, sf_dir):
+    return lab_eval.culture_panel(Workspace(spark, sf_dir))
+
+
+# ---- step 4: conditional next-token model -----------------------------------------
+
+@query
+def ngram_counts(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    m = scoring.fit_from_tokens(ws.tokens, ws.vocab)
+    return m.long()
+
+
+def _test_contexts(ws: Workspace) -> DataFrame:
+    ctx = scoring.with_context(ws.tokens.where("testset"))
+    return ctx.withColumnRenamed("token_id", "target_id")
+
+
+@query
+def next_token_probs(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    m = scoring.fit_from_tokens(ws.tokens, ws.vocab)
+    req = _test_contexts(ws).select("c2", "c1", "target_id").distinct()
+    return scoring.score(req, m).select("c2", "c1", F.col("target_id").alias("token_id"),
+                                        r6("p").alias("p"))
+
+
+def _stay_offsets(rows: DataFrame) -> DataFrame:
+    """Global row number ``rn`` over (stay_id, pos) without a global sort:
+    per-stay lengths, scanned in stay order (one row per stay)."""
+    lens = rows.groupBy("stay_id").agg(F.count("*").alias("len")).withColumn("g", F.lit(0))
+    off = prefix_sum(lens, "g", "stay_id", ["len"]).select("stay_id", "len_before")
+    return rows.join(off, "stay_id").withColumn("rn", F.col("len_before") + F.col("pos"))
+
+
+@query
+def val_loss(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    m = scoring.fit_from_tokens(ws.tokens, ws.vocab)
+    sc = scoring.score(_test_contexts(ws), m)
+    sc = _stay_offsets(sc).withColumn("nll", -F.log("p")) \
+        .withColumn("batch", F.floor(F.col("rn") / P.BATCH))
+    per_batch = sc.groupBy("batch").agg(F.avg("nll").alias("b"), F.count("*").alias("k"),
+                                        F.sum("nll").alias("s"))
+    out = per_batch.agg(F.sum("k").alias("n"), (F.sum("s") / F.sum("k")).alias("loss_mean"),
+                        F.avg("b").alias("loss_batch_mean"))
+    return out.select("n", r6("loss_mean").alias("loss_mean"),
+                      r6("loss_batch_mean").alias("loss_batch_mean"))
+
+
+SMOOTHING_GRID = {
+    "s0": scoring.Smoothing(0.1, 0.3, 0.6, 1.0),
+    "s1": scoring.Smoothing(0.2, 0.3, 0.5, 1.0),
+    "s2": scoring.Smoothing(0.1, 0.3, 0.6, 0.1),
+    "s3": scoring.Smoothing(0.05, 0.15, 0.8, 0.5),
+    "s4": scoring.Smoothing(0.3, 0.4, 0.3, 2.0),
+}
+
+
+@query
+def best_smoothing(spark, sf_dir):
+    """Fit on training stays hashed to 'train', score the held-out 'val'
+    stays under each smoothing setting in one pass, keep the best (and the
+    best so far in grid order, as a checkpointing loop would)."""
+    ws = Workspace(spark, sf_dir)
+    tr = ws.tokens.where(~F.col("testset"))
+    part = F.when(uniform("stay_id") < P.TRAIN_FRACTION, "train").otherwise("val")
+    tr = tr.withColumn("part", part)
+    m = scoring.fit(scoring.with_context(tr.where(F.col("part") == "train"))
+                    .select("token_id", "c1", "c2"), ws.vocab)
+    val = scoring.with_context(tr.where(F.col("part") == "val")).withColumnRenamed("token_id", "target_id")
+    sc = scoring.score_many(val, m, SMOOTHING_GRID)
+    losses = sc.agg(*[F.avg(-F.log(F.col(k))).alias(k) for k in SMOOTHING_GRID])
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.lit(k).alias("config"),
+                                        F.col(k).alias("val_loss"))
+                               for i, k in enumerate(SMOOTHING_GRID)]))
+    long = losses.select(rows.alias("r")).select("r.*")
+    w = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    best = Window.partitionBy()
+    return long.select(F.col("step").cast("int").alias("step"), "config", r6("val_loss").alias("val_loss"),
+                       r6(F.min("val_loss").over(w)).alias("best_so_far"),
+                       (F.col("val_loss") == F.min("val_loss").over(best)).alias("is_best"))

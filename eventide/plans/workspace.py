@@ -34,7 +34,7 @@ ADAPTERS = {
 
 class Workspace:
     def __init__(self, spark: SparkSession, sf_dir: str, adapter: str = "events",
-                 materialize: bool = False):
+                 materialize: bool = True):
         prepare(spark)
         self.spark = spark
         self.sf_dir = sf_dir
@@ -42,6 +42,7 @@ class Workspace:
         reader, self.grammar, self.unit, self.order_cols = ADAPTERS[adapter]
         self._reader = reader
         self.materialize = materialize
+        self._run = uuid.uuid4().hex
 
     def table(self, name: str, columns=None) -> DataFrame:
         return tables.read_table(self.spark, self.sf_dir, name, columns)
@@ -83,17 +84,23 @@ class Workspace:
     def _stream_grid(self) -> tuple[DataFrame, DataFrame]:
         return build_stream(self.emitted, self.unit, self.order_cols)
 
-    @property
+    @cached_property
     def grid(self) -> DataFrame:
-        return self._stream_grid[1]
+        return self._save(self._stream_grid[1], "grid")
+
+    def _save(self, df: DataFrame, name: str) -> DataFrame:
+        """Write to the shared checkpoint folder and read back: the lineage
+        is cut and every later plan starts from a parquet scan (with column
+        pruning and pushed filters)."""
+        if not self.materialize:
+            return df
+        path = f"{ensure_checkpoint_dir(self.spark)}/eventide-{self._run}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
 
     @cached_property
     def tokens(self) -> DataFrame:
         """``stay_id, pos, charttime, kind, row_id, sub, token, hour_no,
         testset, token_id`` (token_id NULL for tokens unseen in training)."""
         s = self._stream_grid[0].join(self.vocab, "token", "left")
-        if self.materialize:
-            path = f"{ensure_checkpoint_dir(self.spark)}/eventide-tokens-{uuid.uuid4().hex}"
-            s.write.parquet(path)
-            s = self.spark.read.parquet(path)
-        return s
+        return self._save(s, "tokens")
