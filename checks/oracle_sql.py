@@ -263,4 +263,263 @@ SELECT CAST(step AS INTEGER) AS step, config, round(val_loss, 6) AS val_loss,
 FROM ({stack})""", CTX, model_ctes("b", f"NOT testset AND {split}"), f"""
 vl AS (SELECT {cols}
        {score_from(f'(SELECT c2, c1, token_id AS target_id FROM ctx WHERE NOT testset AND NOT ({split}))', 'b')})""")
+    q.update(more_queries())
+    return q
+
+
+SHIFTS = """
+shifts AS (
+  SELECT d.stay_id, d.shift_start, CAST(count(p.row_id) > 0 AS INTEGER) AS y
+  FROM (SELECT DISTINCT stay_id, date_trunc('day', charttime) + INTERVAL 19 HOUR AS shift_start FROM raw) d
+  LEFT JOIN raw p ON p.stay_id = d.stay_id AND p.item = 'purchase'
+       AND p.charttime >= d.shift_start AND p.charttime < d.shift_start + INTERVAL 12 HOUR
+  GROUP BY d.stay_id, d.shift_start),
+stay_detail AS (
+  SELECT stay_id, (epoch_us(max(charttime)) - epoch_us(min(charttime))) / 86400000000.0 AS los_days
+  FROM raw GROUP BY stay_id)"""
+
+LEX = """
+lex AS (SELECT target, stay_id, CAST(occ AS BIGINT) AS occ, pos + 1 AS cut FROM tgt WHERE occ > 0)"""
+
+
+def pad_text(lst: str, n: int = BLOCK) -> str:
+    return f"array_to_string(list_concat(list_transform(range({n} - len({lst})), lambda x: 0), {lst}), ' ')"
+
+
+def tail_list(lst: str, n: int = BLOCK) -> str:
+    return f"(CASE WHEN len({lst}) > {n} THEN list_slice({lst}, len({lst}) - {n - 1}, len({lst})) ELSE {lst} END)"
+
+
+TB = f"""
+tbl AS (SELECT stay_id, testset, pos // {BLOCK} AS b, list(coalesce(token_id, 0) ORDER BY pos) AS l
+        FROM stream GROUP BY stay_id, testset, pos // {BLOCK})"""
+
+COHORT = f"""
+coh AS (SELECT d.stay_id, d.los_days FROM splits s JOIN stay_detail d USING (stay_id)
+        WHERE s.testset AND d.los_days > {LOS_MIN_DAYS}),
+cuts AS (SELECT c.stay_id, t.pos AS cut_pos, t.token AS cut_token FROM coh c
+         JOIN stream t ON t.stay_id = c.stay_id AND t.kind = 0 AND t.hour_no = {H_CUT}),
+lastlab AS (
+  SELECT c.stay_id,
+         (SELECT CASE WHEN n.token LIKE 'magnitude.%' THEN TRY_CAST(split_part(n.token, '.', 2) AS INTEGER) END
+          FROM stream l JOIN stream n ON n.stay_id = l.stay_id AND n.pos = l.pos + 1
+          WHERE l.stay_id = c.stay_id AND l.token = 'lab.view' AND l.pos < c.cut_pos
+          ORDER BY l.pos DESC LIMIT 1) AS last_mag
+  FROM cuts c)"""
+
+SHIFT_COHORT = """
+scoh AS (
+  SELECT s.stay_id, s.shift_start, s.y,
+         (SELECT count(*) FROM stream t WHERE t.stay_id = s.stay_id AND t.charttime <= s.shift_start) AS cut
+  FROM shifts s WHERE s.stay_id % 10 = 0 ORDER BY s.stay_id, s.shift_start LIMIT 1000)"""
+
+
+def horizon_ctes(steps: int = 16, l0: float = 0.1, lam: float = 0.9) -> str:
+    parts = ["""
+ids AS (SELECT token_id AS c FROM vocab WHERE token_id > 0),
+hb AS MATERIALIZED (
+  SELECT i.c, (coalesce(m0.n0, 0) + 1.0) / (kn.N + 1.0 * kn.V) AS p0, coalesce(t1.n1c, 0) AS n1c
+  FROM ids i CROSS JOIN kn LEFT JOIN m0 ON m0.token_id = i.c LEFT JOIN t1 ON t1.c1 = i.c),
+g0 AS MATERIALIZED (
+  SELECT c, CASE WHEN c = (SELECT token_id FROM vocab WHERE token = 'med.purchase') THEN 1.0 ELSE 0.0 END AS g
+  FROM ids)"""]
+    for k in range(1, steps + 1):
+        parts.append(f"""
+g{k} AS MATERIALIZED (
+  SELECT b.c, (CASE WHEN b.n1c > 0 THEN {lam} * coalesce(sp.num, 0) / b.n1c ELSE {lam} * gg.G END)
+              + {l0} * gg.G AS g
+  FROM hb b
+  CROSS JOIN (SELECT sum(h.p0 * x.g) AS G FROM g{k - 1} x JOIN hb h USING (c)) gg
+  LEFT JOIN (SELECT m1.c1, sum(m1.n1 * x.g) AS num FROM m1 JOIN g{k - 1} x ON x.c = m1.token_id
+             GROUP BY m1.c1) sp ON sp.c1 = b.c)""")
+    union = " UNION ALL ".join(f"SELECT c, g FROM g{k}" for k in range(1, steps + 1))
+    parts.append(f"""
+hs AS (SELECT c AS c1, sum(g) / {float(steps)} AS score FROM ({union}) GROUP BY c),
+hsc AS (SELECT s.stay_id, s.shift_start, s.y, hs.score FROM scoh s
+        LEFT JOIN stream l ON l.stay_id = s.stay_id AND l.pos = s.cut - 1
+        LEFT JOIN hs ON hs.c1 = l.token_id)""")
+    return ",".join(parts)
+
+
+def more_queries() -> dict[str, str]:
+    q: dict[str, str] = {}
+    tl = targets_cte("tgt", LABS)
+    q["asof_cut"] = with_base("""
+SELECT s.stay_id, s.shift_start,
+       (SELECT count(*) FROM stream t WHERE t.stay_id = s.stay_id AND t.charttime <= s.shift_start) AS cut
+FROM shifts s""", SHIFTS)
+    q["tail_block"] = with_base(f"""
+SELECT e.target, e.stay_id, e.occ, t.pos - (e.cut - {BLOCK}) AS i, coalesce(t.token_id, 0) AS token_id
+FROM lex e JOIN stream t ON t.stay_id = e.stay_id AND t.pos >= e.cut - {BLOCK} AND t.pos < e.cut""", tl, LEX)
+    q["padded_block"] = with_base(f"""
+SELECT target, stay_id, occ, {pad_text('l')} AS block FROM (
+  SELECT e.target, e.stay_id, e.occ, list(coalesce(t.token_id, 0) ORDER BY t.pos) AS l
+  FROM lex e JOIN stream t ON t.stay_id = e.stay_id AND t.pos >= e.cut - {BLOCK} AND t.pos < e.cut
+  GROUP BY e.target, e.stay_id, e.occ)""", tl, LEX)
+    q["history_bag"] = with_base(f"""
+SELECT e.target, e.stay_id, e.occ, coalesce(t.token_id, 0) AS token_id, count(*) AS n
+FROM lex e JOIN stream t ON t.stay_id = e.stay_id AND t.pos < e.cut - {BLOCK}
+GROUP BY e.target, e.stay_id, e.occ, coalesce(t.token_id, 0)""", tl, LEX)
+    q["training_blocks"] = with_base(f"SELECT stay_id, b, {pad_text('l')} AS x FROM tbl", TB)
+    q["next_token_labels"] = with_base(f"""
+SELECT tb.stay_id, tb.b, {pad_text('tb.l')} || ' ' || coalesce(n.token_id, 0) AS y,
+       CAST({BLOCK + 1} AS INTEGER) AS n_labels
+FROM tbl tb LEFT JOIN stream n ON n.stay_id = tb.stay_id AND n.pos = (tb.b + 1) * {BLOCK}""", TB)
+    q["train_val_split"] = with_base(f"""
+SELECT stay_id, b,
+       CASE WHEN {uniform_sql('stay_id', 'b')} < 0.9 THEN 'train' ELSE 'val' END AS by_example,
+       CASE WHEN {uniform_sql('stay_id')} < 0.9 THEN 'train' ELSE 'val' END AS by_stay
+FROM (SELECT DISTINCT stay_id, pos // {BLOCK} AS b FROM stream WHERE NOT testset)""")
+    head = "array_to_string(list_slice(list_filter(l, lambda v: v != 0), 1, 12), ' ')"
+    q["head_nonpad"] = with_base(f"SELECT stay_id, b, {head} AS head FROM tbl WHERE testset", TB)
+    q["draw_example"] = with_base(f"""
+SELECT stay_id, b, {head} AS head FROM tbl WHERE testset
+ORDER BY {uniform_sql('stay_id', 'b')}, stay_id, b LIMIT 1""", TB)
+    inj = """
+inj AS (SELECT list(coalesce(v.token_id, 0) ORDER BY x.k) AS a
+        FROM (VALUES (0, 'med.purchase'), (1, 'unit.3'), (2, 'magnitude.9')) x(k, tok)
+        LEFT JOIN vocab v ON v.token = x.tok)"""
+    q["append_block"] = with_base(f"""
+SELECT target, stay_id, occ, {pad_text(tail_list('z'))} AS block FROM (
+  SELECT e.target, e.stay_id, e.occ,
+         list_concat(list(coalesce(t.token_id, 0) ORDER BY t.pos), any_value(inj.a)) AS z
+  FROM lex e JOIN stream t ON t.stay_id = e.stay_id AND t.pos >= e.cut - {BLOCK} AND t.pos < e.cut
+  CROSS JOIN inj
+  GROUP BY e.target, e.stay_id, e.occ)""", tl, LEX, inj)
+
+    dex = """
+dex AS (
+  SELECT e.stay_id, e.row_id, e.charttime,
+         (SELECT max(d.pos) FROM stream d WHERE d.stay_id = e.stay_id AND d.charttime <= e.charttime
+            AND d.token = 'med.purchase') AS last_pos
+  FROM stream e WHERE e.testset AND e.token = 'med.purchase'),
+dex2 AS (
+  SELECT x.*, u.token AS unit_token, coalesce(u.token_id, -1) AS unit_id,
+         TRY_CAST(string_split(m.token, '.')[-1] AS INTEGER) AS dose
+  FROM dex x JOIN stream u ON u.stay_id = x.stay_id AND u.pos = x.last_pos + 1
+  JOIN stream m ON m.stay_id = x.stay_id AND m.pos = x.last_pos + 2
+  WHERE m.token LIKE 'magnitude.%')"""
+    q["dose_examples"] = with_base("""
+SELECT stay_id, row_id, charttime, last_pos, unit_token, dose FROM dex2""", dex)
+    q["dose_prompt"] = with_base(f"""
+SELECT stay_id, row_id, {pad_text('l')} AS prompt, dose FROM (
+  SELECT x.stay_id, x.row_id, x.dose, list(coalesce(t.token_id, 0) ORDER BY t.pos) AS l
+  FROM dex2 x JOIN stream t ON t.stay_id = x.stay_id AND t.pos >= x.last_pos + 2 - {BLOCK}
+       AND t.pos < x.last_pos + 2
+  GROUP BY x.stay_id, x.row_id, x.dose)""", dex)
+    dsc = f"""
+dreq AS (
+  SELECT x.*, k AS cls, coalesce(dv.token_id, -1) AS c2, x.unit_id AS c1,
+         coalesce(mv.token_id, -1) AS target_id
+  FROM dex2 x CROSS JOIN range(0, 10) r(k)
+  LEFT JOIN vocab dv ON dv.token = 'med.purchase'
+  LEFT JOIN vocab mv ON mv.token = 'magnitude.' || k),
+dsc AS (SELECT R.cls, {p_expr()} AS s, CAST(R.dose = R.cls AS INTEGER) AS y {score_from('dreq')})"""
+    q["dose_eval_panel"] = with_base("""
+SELECT 'med.purchase' AS target, 'overall_auroc' AS metric,
+       round(CASE WHEN count(auroc) = 10 THEN avg(auroc) END, 6) AS value FROM dmet
+UNION ALL SELECT 'med.purchase', 'overall_ap', round(sum(coalesce(ap, 0)) / 10, 6) FROM dmet
+UNION ALL SELECT 'med.purchase', 'top_auroc', round(auroc, 6) FROM dmet WHERE cls = 9
+UNION ALL SELECT 'med.purchase', 'top_ap', round(ap, 6) FROM dmet WHERE cls = 9""",
+                                     dex, MODEL, dsc, metric_ctes("dsc", ["cls"], "d"))
+
+    q["los_cohort"] = with_base("SELECT stay_id, round(los_days, 6) AS los_days FROM coh", SHIFTS, COHORT)
+    q["first_n_hours"] = with_base("SELECT stay_id, cut_pos, cut_token FROM cuts", SHIFTS, COHORT)
+    q["last_lab_before_cut"] = with_base("SELECT stay_id, last_mag FROM lastlab", SHIFTS, COHORT)
+    q["dose_histogram"] = with_base("""
+SELECT c.stay_id, CAST(k AS INTEGER) AS decile,
+       count(CASE WHEN d.unit = 'unit.0' THEN 1 END) AS unit_0, count(CASE WHEN d.unit = 'unit.1' THEN 1 END) AS unit_1,
+       count(CASE WHEN d.unit = 'unit.2' THEN 1 END) AS unit_2, count(CASE WHEN d.unit = 'unit.3' THEN 1 END) AS unit_3
+FROM cuts c CROSS JOIN range(0, 10) r(k)
+LEFT JOIN dd d ON d.stay_id = c.stay_id AND d.decile = k
+GROUP BY c.stay_id, k""", SHIFTS, COHORT, """
+dd AS (
+  SELECT c.stay_id, u.token AS unit, TRY_CAST(split_part(m.token, '.', 2) AS INTEGER) AS decile
+  FROM cuts c JOIN stream s ON s.stay_id = c.stay_id AND s.token = 'med.purchase' AND s.pos < c.cut_pos
+  JOIN stream u ON u.stay_id = s.stay_id AND u.pos = s.pos + 1
+  JOIN stream m ON m.stay_id = s.stay_id AND m.pos = s.pos + 2
+  WHERE m.token LIKE 'magnitude.%')""")
+    nh = "'hour.' || ((CAST(split_part(c.cut_token, '.', 2) AS INTEGER) + 1) % 24)"
+    q["counterfactual_prompt"] = with_base(f"""
+SELECT stay_id, array_to_string({tail_list('z')}, ' ') AS prompt FROM (
+  SELECT cf.stay_id, list_concat(cf.l, ij.a) AS z FROM cf JOIN ij USING (stay_id))""", SHIFTS, COHORT, f"""
+cf AS (SELECT c.stay_id, list(coalesce(t.token_id, 0) ORDER BY t.pos) AS l FROM cuts c
+       JOIN stream t ON t.stay_id = c.stay_id AND t.pos > c.cut_pos - {BLOCK} AND t.pos <= c.cut_pos
+       GROUP BY c.stay_id),
+ij AS (SELECT c.stay_id, list(coalesce(v.token_id, 0) ORDER BY x.k) AS a
+       FROM cuts c CROSS JOIN (VALUES (0, 'med.purchase'), (1, 'unit.3'), (2, 'magnitude.9'), (3, NULL)) x(k, tok)
+       LEFT JOIN vocab v ON v.token = coalesce(x.tok, {nh})
+       GROUP BY c.stay_id)""")
+    probe = [f"""
+pr0 AS (SELECT c.stay_id, coalesce(v.token_id, 0) AS c2 FROM cuts c LEFT JOIN vocab v ON v.token = {nh})"""]
+    for i, lab in enumerate(["lab.click", "lab.view"]):
+        probe.append(f"""
+rq{i} AS (SELECT s.stay_id, '{lab}' AS lab, k, s.c2, coalesce(lv.token_id, 0) AS c1,
+                 coalesce(mv.token_id, 0) AS target_id
+          FROM pr{i} s CROSS JOIN range(0, 10) r(k)
+          LEFT JOIN vocab lv ON lv.token = '{lab}' LEFT JOIN vocab mv ON mv.token = 'magnitude.' || k),
+sc{i} AS (SELECT R.stay_id, R.lab, R.k, {p_expr()} AS p {score_from(f'rq{i}')}),
+ag{i} AS (SELECT stay_id, lab, sum(p) AS mag_mass, sum(k * p) / sum(p) AS exp_mag,
+                 (list(k ORDER BY p DESC, k ASC))[1] AS argmax_mag
+          FROM sc{i} GROUP BY stay_id, lab),
+pr{i + 1} AS (SELECT a.stay_id, coalesce(v.token_id, 0) AS c2 FROM ag{i} a
+              LEFT JOIN vocab v ON v.token = 'magnitude.' || a.argmax_mag)""")
+    q["panel_probe"] = with_base("""
+SELECT stay_id, lab, round(mag_mass, 6) AS mag_mass, round(exp_mag, 6) AS exp_mag,
+       CAST(argmax_mag AS INTEGER) AS argmax_mag FROM ag0
+UNION ALL
+SELECT stay_id, lab, round(mag_mass, 6), round(exp_mag, 6), CAST(argmax_mag AS INTEGER) FROM ag1""",
+                                 SHIFTS, COHORT, MODEL, ",".join(probe))
+    mm = """
+lr AS (SELECT l.stay_id, l.pos, l.token AS item, TRY_CAST(split_part(n.token, '.', 2) AS INTEGER) AS mag,
+              CAST(NULL AS INTEGER) AS dose
+       FROM stream l JOIN stream n ON n.stay_id = l.stay_id AND n.pos = l.pos + 1
+       WHERE NOT l.testset AND l.token LIKE 'lab.%' AND n.token LIKE 'magnitude.%'),
+dr AS (SELECT d.stay_id, d.pos, CAST(NULL AS VARCHAR) AS item, CAST(NULL AS INTEGER) AS mag,
+              TRY_CAST(split_part(m.token, '.', 2) AS INTEGER) AS dose
+       FROM stream d JOIN stream m ON m.stay_id = d.stay_id AND m.pos = d.pos + 2
+       WHERE NOT d.testset AND d.token LIKE 'med.%' AND m.token LIKE 'magnitude.%'),
+uw AS (SELECT *, last_value(dose IGNORE NULLS) OVER (PARTITION BY stay_id ORDER BY pos
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_dose
+       FROM (SELECT * FROM lr UNION ALL SELECT * FROM dr)),
+uw2 AS (SELECT *, lag(mag) OVER (PARTITION BY stay_id, item ORDER BY pos) AS prev_mag
+        FROM uw WHERE item IS NOT NULL),
+mmod AS (SELECT item, prev_mag, last_dose AS dose, mag, count(*) AS n FROM uw2
+         GROUP BY item, prev_mag, last_dose, mag)"""
+    q["magnitude_model"] = with_base("""
+SELECT item, CAST(prev_mag AS INTEGER) AS prev_mag, CAST(dose AS INTEGER) AS dose,
+       CAST(mag AS INTEGER) AS mag, n FROM mmod""", mm)
+    q["pre_post_delta"] = with_base("""
+SELECT count(*) AS n, count(pre) AS n_pre, count(post) AS n_post, count(post - pre) AS n_pairs,
+       round(avg(pre), 6) AS avg_pre, round(avg(post), 6) AS avg_post, round(avg(post - pre), 6) AS avg_delta
+FROM pp""", SHIFTS, COHORT, mm, """
+mmv AS (SELECT * FROM mmod WHERE item = 'lab.view' AND dose = 9),
+tot AS (SELECT coalesce(sum(mag * n), 0) AS bs, coalesce(sum(n), 0) AS bw FROM mmv),
+pre AS (SELECT stay_id, CAST(last_mag AS DOUBLE) AS pre FROM lastlab),
+pp AS (SELECT p.stay_id, any_value(p.pre) AS pre,
+              CASE WHEN sum(m.n) > 0 THEN (sum(m.mag * m.n) + 45.0) / (sum(m.n) + 10.0)
+                   ELSE (any_value(tot.bs) + 45.0) / (any_value(tot.bw) + 10.0) END AS post
+       FROM pre p CROSS JOIN tot LEFT JOIN mmv m ON m.prev_mag = p.pre
+       GROUP BY p.stay_id)""")
+
+    q["shift_labels"] = with_base("SELECT stay_id, shift_start, y FROM shifts", SHIFTS)
+    q["shift_cohort"] = with_base("SELECT stay_id, shift_start, y, cut FROM scoh", SHIFTS, SHIFT_COHORT)
+    q["no_prior_event"] = with_base("""
+SELECT s.stay_id, s.shift_start FROM shifts s JOIN splits sp USING (stay_id) JOIN stay_detail d USING (stay_id)
+WHERE sp.testset AND d.los_days > 1 AND NOT EXISTS (
+  SELECT 1 FROM raw r WHERE r.stay_id = s.stay_id AND r.item = 'error' AND r.charttime < s.shift_start)""",
+                                    SHIFTS)
+    q["horizon_score"] = with_base("SELECT stay_id, shift_start, round(score, 6) AS score FROM hsc",
+                                   SHIFTS, SHIFT_COHORT, MODEL, horizon_ctes())
+    q["hour_horizon"] = with_base("""
+SELECT c.stay_id, c.shift_start, count(t.pos) AS n_tokens, count(CASE WHEN t.token = 'med.purchase' THEN 1 END) AS n_target
+FROM scoh c LEFT JOIN stream h ON h.stay_id = c.stay_id AND h.pos = c.cut - 1
+LEFT JOIN stream t ON t.stay_id = c.stay_id AND t.pos >= c.cut AND t.hour_no <= coalesce(h.hour_no, 0) + 12
+GROUP BY c.stay_id, c.shift_start""", SHIFTS, SHIFT_COHORT)
+    q["handoff_eval"] = with_base("""
+SELECT 'handoff' AS target, 'auroc' AS metric, round(auroc, 6) AS value FROM hmet
+UNION ALL SELECT 'handoff', 'ap', round(ap, 6) FROM hmet""", SHIFTS, SHIFT_COHORT, MODEL, horizon_ctes(),
+                                  """
+hsel AS (SELECT 'handoff' AS t, score AS s, y FROM hsc WHERE score IS NOT NULL)""",
+                                  metric_ctes("hsel", ["t"], "h"))
     return q

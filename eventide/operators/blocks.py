@@ -29,8 +29,8 @@ def tail_rows(examples: DataFrame, tokens: DataFrame, key: Sequence[str], block:
     """
     ex = examples.select(*key, "stay_id", F.col(cut_col).alias("__cut"))
     ex = ex.select("*", F.explode(F.array_distinct(F.array(
-        F.floor((F.col("__cut") - block) / block), F.floor((F.col("__cut") - 1) / block))))
-        .cast("long").alias("__b"))
+        F.floor((F.col("__cut") - block) / block).cast("long"),
+        F.floor((F.col("__cut") - 1) / block).cast("long")))).alias("__b"))
     tk = tokens.select(F.col("stay_id").alias("__s"), F.col("pos").alias("__p"),
                        F.coalesce("token_id", F.lit(0)).alias("__t"),
                        F.floor(F.col("pos") / block).cast("long").alias("__tb"))
@@ -81,12 +81,12 @@ def history_bag(examples: DataFrame, tokens: DataFrame, key: Sequence[str], bloc
     pieces = per_chunk.select("stay_id", "token_id", "n",
                               F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("lvl"),
                               "chunk") \
-        .withColumn("idx", F.shiftright("chunk", F.col("lvl"))) \
+        .withColumn("idx", F.expr("shiftright(chunk, lvl)")) \
         .groupBy("stay_id", "lvl", "idx", "token_id").agg(F.sum("n").alias("n"))
     req = ex.select(*key, "stay_id", "__k",
                     F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("lvl"))
-    req = req.where(F.shiftright("__k", F.col("lvl")).bitwiseAND(F.lit(1)) == 1) \
-        .withColumn("idx", F.shiftright("__k", F.col("lvl")) - 1)
+    req = req.where(F.expr("shiftright(__k, lvl) & 1") == 1) \
+        .withColumn("idx", F.expr("shiftright(__k, lvl) - 1"))
     whole = req.join(pieces, ["stay_id", "lvl", "idx"]).select(*key, "token_id", "n")
 
     # partial chunk: positions [k * C, s)

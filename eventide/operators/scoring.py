@@ -191,7 +191,7 @@ def sample_next(requests: DataFrame, m: NgramModel, vocab: DataFrame, key_cols:
 
 
 def horizon_scores(m: NgramModel, vocab: DataFrame, target_id: int, steps: int,
-                   s: Smoothing = DEFAULT, checkpoint_every: int = 4) -> DataFrame:
+                   s: Smoothing = DEFAULT, checkpoint_every: int = 1) -> DataFrame:
     """Mean probability of emitting ``target_id`` over the next ``steps``
     tokens, by start token: ``(c1, score)``.
 
@@ -214,14 +214,16 @@ def horizon_scores(m: NgramModel, vocab: DataFrame, target_id: int, steps: int,
                         F.lit(0.0).alias("acc"))
     everything = Window.partitionBy()
     for step in range(1, steps + 1):
-        G = F.sum(F.col("p0") * F.col("g")).over(everything)
-        st = state.withColumn("G", G)
+        # note: column names are case-insensitive, so the scalar is "gsum"
+        st = state.withColumn("gsum", F.sum(F.col("p0") * F.col("g")).over(everything))
         sparse = (m.m1.join(st.select(F.col("c").alias("token_id"), "g"), "token_id")
                   .groupBy("c1").agg(F.sum(F.col("n1") * F.col("g")).alias("num")))
         nxt = st.join(sparse.withColumnRenamed("c1", "c"), "c", "left")
         g = (F.when(F.col("n1c") > 0, F.lit(lam) * F.coalesce("num", F.lit(0.0)) / F.col("n1c"))
-             .otherwise(F.lit(lam) * F.col("G")) + F.lit(s.l0) * F.col("G"))
+             .otherwise(F.lit(lam) * F.col("gsum")) + F.lit(s.l0) * F.col("gsum"))
         state = nxt.select("c", "p0", "n1c", g.alias("g"), (F.col("acc") + g).alias("acc"))
+        # each step reads the previous state twice (the scalar and the sparse
+        # part), so the lineage is cut every step to keep the plan small
         if checkpoint_every and step % checkpoint_every == 0 and step < steps:
             state = state.checkpoint()
     return state.select(F.col("c").alias("c1"), (F.col("acc") / F.lit(float(steps))).alias("score"))

@@ -43,7 +43,7 @@ def class_requests(ex: DataFrame, vocab: DataFrame, classes: dict[str, str]) ->
 def lab_panel(ws: Workspace, targets: Sequence[str] = P.LAB_TARGETS,
               model: scoring.NgramModel | None = None) -> DataFrame:
     """Long report ``(target, metric, value)``: low / high AUROC and AP."""
-    m = model or scoring.fit_from_tokens(ws.tokens, ws.vocab)
+    m = model or ws.model
     ex = examples(ws, targets)
     req = class_requests(ex, ws.vocab, {"low": P.LOW, "high": P.HIGH})
     sc = scoring.score(req, m).withColumn("y", (F.col("val_token") == F.col("cls_token")).cast("int"))
@@ -55,7 +55,7 @@ def lab_panel(ws: Workspace, targets: Sequence[str] = P.LAB_TARGETS,
 
 
 def culture_panel(ws: Workspace, model: scoring.NgramModel | None = None) -> DataFrame:
-    m = model or scoring.fit_from_tokens(ws.tokens, ws.vocab)
+    m = model or ws.model
     ex = examples(ws, [P.CULTURE_TARGET])
     req = class_requests(ex, ws.vocab, {"growth": P.RESULT_TOKENS[0]})
     sc = scoring.score(req, m).withColumn("y", (F.col("val_token") == F.col("cls_token")).cast("int"))

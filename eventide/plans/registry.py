@@ -39,44 +39,44 @@ def r6(c):
 
 @query
 def decile_edges(spark, sf_dir):
-    ws = Workspace(spark, sf_dir)
+    ws = Workspace.get(spark, sf_dir)
     return ws.edges_long.select("item", "qi", r6("edge").alias("edge"))
 
 
 @query
 def magnitudes(spark, sf_dir):
-    ws = Workspace(spark, sf_dir)
+    ws = Workspace.get(spark, sf_dir)
     return ws.emitted.select("stay_id", "row_id", "item", F.col("mag").cast("int").alias("mag"))
 
 
 @query
 def hour_spine(spark, sf_dir):
-    ws = Workspace(spark, sf_dir)
+    ws = Workspace.get(spark, sf_dir)
     return ws.tokens.where(F.col("kind") == 0).select(
         "stay_id", F.col("hour_no").cast("long").alias("hour_no"), "charttime", "token")
 
 
 @query
 def vocab(spark, sf_dir):
-    return Workspace(spark, sf_dir).vocab
+    return Workspace.get(spark, sf_dir).vocab
 
 
 @query
 def token_parse(spark, sf_dir):
-    v = Workspace(spark, sf_dir).vocab
+    v = Workspace.get(spark, sf_dir).vocab
     return v.select("token", family("token").alias("family"), suffix_int("token").alias("suffix"))
 
 
 @query
 def unknown_tokens(spark, sf_dir):
-    ws = Workspace(spark, sf_dir)
+    ws = Workspace.get(spark, sf_dir)
     test = ws.tokens.where("testset").select("token")
     return test.join(ws.vocab, "token", "left_anti").groupBy("token").agg(F.count("*").alias("n"))
 
 
 @query
 def token_stream(spark, sf_dir):
-    ws = Workspace(spark, sf_dir)
+    ws = Workspace.get(spark, sf_dir)
     return ws.tokens.select("stay_id", F.col("pos").cast("long").alias("pos"), "charttime",
                             "token", "token_id", F.col("hour_no").cast("long").alias("hour_no"))
 
@@ -85,7 +85,7 @@ def token_stream(spark, sf_dir):
 
 @query
 def occurrences_per_stay(spark, sf_dir):
-    ws = Workspace(spark, sf_dir)
+    ws = Workspace.get(spark, sf_dir)
     # bound-parameter form of the reference's cohort SQL
     ws.tokens.createOrReplaceTempView("eventide_tokens")
     targets = [*P.LAB_TARGETS, P.CULTURE_TARGET]
@@ -98,21 +98,21 @@ def occurrences_per_stay(spark, sf_dir):
 
 @query
 def lab_examples(spark, sf_dir):
-    ws = Workspace(spark, sf_dir)
+    ws = Workspace.get(spark, sf_dir)
     ex = cohorts.nth_occurrences(ws.tokens, P.LAB_TARGETS)
     return ex.select("target", "stay_id", "occ", "pos", "cut")
 
 
 @query
 def value_at_next(spark, sf_dir):
-    ws = Workspace(spark, sf_dir)
+    ws = Workspace.get(spark, sf_dir)
     ex = cohorts.value_after(cohorts.nth_occurrences(ws.tokens, P.LAB_TARGETS), ws.tokens, 1)
     return ex.select("target", "stay_id", "occ", "val_token")
 
 
 @query
 def one_hot_labels(spark, sf_dir):
-    ws = Workspace(spark, sf_dir)
+    ws = Workspace.get(spark, sf_dir)
     ex = cohorts.value_after(cohorts.nth_occurrences(ws.tokens, P.LAB_TARGETS), ws.tokens, 1)
     oh = cohorts.one_hot(ex, "val_token", P.MAGNITUDES)
     return oh.select("target", "stay_id", "occ", F.col("cls").cast("int").alias("cls"), "y")
@@ -120,14 +120,14 @@ def one_hot_labels(spark, sf_dir):
 
 @query
 def unexpected_labels(spark, sf_dir):
-    ws = Workspace(spark, sf_dir)
+    ws = Workspace.get(spark, sf_dir)
     ex = cohorts.value_after(cohorts.nth_occurrences(ws.tokens, P.LAB_TARGETS), ws.tokens, 1)
     return cohorts.unexpected_count(ex, ["target"], "val_token", P.MAGNITUDES)
 
 
 @query
 def culture_examples(spark, sf_dir):
-    ws = Workspace(spark, sf_dir)
+    ws = Workspace.get(spark, sf_dir)
     ex = cohorts.value_after(cohorts.nth_occurrences(ws.tokens, [P.CULTURE_TARGET]), ws.tokens, 1)
     return ex.select("stay_id", "occ", "cut", "val_token",
                      (F.col("val_token") == P.RESULT_TOKENS[0]).cast("int").alias("y"))
@@ -138,7 +138,7 @@ def culture_examples(spark, sf_dir):
 def _event_scores(spark, sf_dir):
     """One-vs-rest rows: every event once per item type of the grammar
     (a fixed list), score = value, y = the event is of that type."""
-    ws = Workspace(spark, sf_dir)
+    ws = Workspace.get(spark, sf_dir)
     ev = ws.table("events", ["event_type", "value"])
     types = F.array(*[F.lit(t) for t in EVENT_TYPES])
     x = ev.select("event_type", "value", F.explode(types).alias("target"))
@@ -167,20 +167,20 @@ def macro_metrics(spark, sf_dir):
 
 @query
 def metric_panel(spark, sf_dir):
-    return lab_eval.lab_panel(Workspace(spark, sf_dir))
+    return lab_eval.lab_panel(Workspace.get(spark, sf_dir))
 
 
 @query
 def culture_eval(spark, sf_dir):
-    return lab_eval.culture_panel(Workspace(spark, sf_dir))
+    return lab_eval.culture_panel(Workspace.get(spark, sf_dir))
 
 
 # ---- step 4: conditional next-token model -----------------------------------------
 
 @query
 def ngram_counts(spark, sf_dir):
-    ws = Workspace(spark, sf_dir)
-    m = scoring.fit_from_tokens(ws.tokens, ws.vocab)
+    ws = Workspace.get(spark, sf_dir)
+    m = ws.model
     return m.long()
 
 
@@ -191,8 +191,8 @@ def _test_contexts(ws: Workspace) -> DataFrame:
 
 @query
 def next_token_probs(spark, sf_dir):
-    ws = Workspace(spark, sf_dir)
-    m = scoring.fit_from_tokens(ws.tokens, ws.vocab)
+    ws = Workspace.get(spark, sf_dir)
+    m = ws.model
     req = _test_contexts(ws).select("c2", "c1", "target_id").distinct()
     return scoring.score(req, m).select("c2", "c1", F.col("target_id").alias("token_id"),
                                         r6("p").alias("p"))
@@ -208,8 +208,8 @@ def _stay_offsets(rows: DataFrame) -> DataFrame:
 
 @query
 def val_loss(spark, sf_dir):
-    ws = Workspace(spark, sf_dir)
-    m = scoring.fit_from_tokens(ws.tokens, ws.vocab)
+    ws = Workspace.get(spark, sf_dir)
+    m = ws.model
     sc = scoring.score(_test_contexts(ws), m)
     sc = _stay_offsets(sc).withColumn("nll", -F.log("p")) \
         .withColumn("batch", F.floor(F.col("rn") / P.BATCH))
@@ -235,7 +235,7 @@ def best_smoothing(spark, sf_dir):
     """Fit on training stays hashed to 'train', score the held-out 'val'
     stays under each smoothing setting in one pass, keep the best (and the
     best so far in grid order, as a checkpointing loop would)."""
-    ws = Workspace(spark, sf_dir)
+    ws = Workspace.get(spark, sf_dir)
     tr = ws.tokens.where(~F.col("testset"))
     part = F.when(uniform("stay_id") < P.TRAIN_FRACTION, "train").otherwise("val")
     tr = tr.withColumn("part", part)
@@ -253,3 +253,219 @@ def best_smoothing(spark, sf_dir):
     return long.select(F.col("step").cast("int").alias("step"), "config", r6("val_loss").alias("val_loss"),
                        r6(F.min("val_loss").over(w)).alias("best_so_far"),
                        (F.col("val_loss") == F.min("val_loss").over(best)).alias("is_best"))
+
+
+# ---- step 5: blocks, cuts, splits -------------------------------------------------
+
+from eventide.functions import arrays as arr  # noqa: E402
+from eventide.functions.arrays import to_text  # noqa: E402
+from eventide.operators import blocks  # noqa: E402
+from eventide.plans import dose_eval, handoff, overdose  # noqa: E402
+
+LAB_KEY = ["target", "stay_id", "occ"]
+
+
+def _lab_ex(ws):
+    return cohorts.nth_occurrences(ws.tokens, P.LAB_TARGETS)
+
+
+@query
+def asof_cut(spark, sf_dir):
+    ws = Workspace.get(spark, sf_dir)
+    s = handoff.shift_labels(ws).select("stay_id", "shift_start")
+    return cohorts.asof_cut(s, ws.tokens, ws.grid, "shift_start")
+
+
+@query
+def tail_block(spark, sf_dir):
+    ws = Workspace.get(spark, sf_dir)
+    r = blocks.tail_rows(_lab_ex(ws), ws.tokens, LAB_KEY, P.BLOCK)
+    return r.select(*LAB_KEY, "i", "token_id")
+
+
+@query
+def padded_block(spark, sf_dir):
+    ws = Workspace.get(spark, sf_dir)
+    pb = blocks.padded_blocks(_lab_ex(ws), ws.tokens, LAB_KEY, P.BLOCK)
+    return pb.select(*LAB_KEY, to_text("block").alias("block"))
+
+
+def _grid_max_pos(ws) -> int:
+    g = ws.grid.agg(F.max(F.col("c_before") + F.col("c") + F.col("ah") - F.col("ah0"))).first()[0]
+    return int(g or 0)
+
+
+@query
+def history_bag(spark, sf_dir):
+    ws = Workspace.get(spark, sf_dir)
+    hb = blocks.history_bag(_lab_ex(ws), ws.tokens, LAB_KEY, P.BLOCK, max_pos=_grid_max_pos(ws))
+    return hb.select(*LAB_KEY, "token_id", "n")
+
+
+@query
+def training_blocks(spark, sf_dir):
+    ws = Workspace.get(spark, sf_dir)
+    tb = blocks.training_blocks(ws.tokens, P.BLOCK)
+    return tb.select("stay_id", "b", to_text("x").alias("x"))
+
+
+@query
+def next_token_labels(spark, sf_dir):
+    ws = Workspace.get(spark, sf_dir)
+    tb = blocks.training_blocks(ws.tokens, P.BLOCK)
+    return tb.select("stay_id", "b", to_text("y").alias("y"), F.size("y").alias("n_labels"))
+
+
+@query
+def train_val_split(spark, sf_dir):
+    """90/10 split by example (block), as the reference, and by stay."""
+    ws = Workspace.get(spark, sf_dir)
+    tb = ws.tokens.where(~F.col("testset")).select(
+        "stay_id", F.floor(F.col("pos") / P.BLOCK).cast("long").alias("b")).distinct()
+    return tb.select("stay_id", "b", blocks.split_column(["stay_id", "b"]).alias("by_example"),
+                     blocks.split_column(["stay_id"]).alias("by_stay"))
+
+
+@query
+def head_nonpad(spark, sf_dir):
+    ws = Workspace.get(spark, sf_dir)
+    tb = blocks.training_blocks(ws.tokens.where("testset"), P.BLOCK)
+    return tb.select("stay_id", "b", to_text(arr.head_nonpad("x", P.HEAD)).alias("head"))
+
+
+@query
+def append_block(spark, sf_dir):
+    """Append the injected drug tokens to each lab example's tail block and
+    keep the last ``BLOCK`` (left-padded)."""
+    ws = Workspace.get(spark, sf_dir)
+    T = P.BLOCK
+    ex = _lab_ex(ws)
+    rows = blocks.tail_rows(ex, ws.tokens, LAB_KEY, T).select(*LAB_KEY, "i", "token_id")
+    add = ex.select(*LAB_KEY, F.posexplode(F.array(*[F.lit(x) for x in P.INJECTED])).alias("j", "tok"))
+    v = ws.vocab.select(F.col("token").alias("tok"), F.col("token_id").alias("tid"))
+    add = add.join(v, "tok", "left").select(*LAB_KEY, (F.lit(T) + F.col("j")).alias("i"),
+                                            F.coalesce("tid", F.lit(0)).alias("token_id"))
+    k = len(P.INJECTED)
+    allr = rows.unionByName(add).withColumn("i", F.col("i") - k).where(F.col("i") >= 0)
+    blk = blocks.rows_to_block(allr, LAB_KEY, T)
+    return blk.select(*LAB_KEY, to_text("block").alias("block"))
+
+
+@query
+def draw_example(spark, sf_dir):
+    """One test block drawn by a reproducible hash uniform: an arg-min
+    aggregate, no global sort."""
+    ws = Workspace.get(spark, sf_dir)
+    tb = blocks.training_blocks(ws.tokens.where("testset"), P.BLOCK)
+    u = uniform("stay_id", "b")
+    pick = tb.select(F.min_by(F.struct("stay_id", "b", "x"), F.struct(u, F.col("stay_id"), F.col("b")))
+                     .alias("r")).select("r.*")
+    return pick.select("stay_id", "b", to_text(arr.head_nonpad("x", P.HEAD)).alias("head"))
+
+
+# ---- step 6: dose evaluation ------------------------------------------------------
+
+@query
+def dose_examples(spark, sf_dir):
+    ws = Workspace.get(spark, sf_dir)
+    ex = dose_eval.dose_examples(ws)
+    return ex.select("stay_id", "row_id", "charttime", F.col("last_pos").cast("long").alias("last_pos"),
+                     "unit_token", "dose")
+
+
+@query
+def dose_prompt(spark, sf_dir):
+    ws = Workspace.get(spark, sf_dir)
+    ex = dose_eval.dose_examples(ws)
+    pb = dose_eval.dose_prompts(ws, ex)
+    return pb.join(ex.select("stay_id", "row_id", "dose"), ["stay_id", "row_id"]) \
+        .select("stay_id", "row_id", to_text("block").alias("prompt"), "dose")
+
+
+@query
+def dose_eval_panel(spark, sf_dir):
+    return dose_eval.dose_panel(Workspace.get(spark, sf_dir))
+
+
+# ---- step 7: overdose evaluation ----------------------------------------------------
+
+@query
+def los_cohort(spark, sf_dir):
+    ws = Workspace.get(spark, sf_dir)
+    return overdose.cohort(ws).select("stay_id", r6("los_days").alias("los_days"))
+
+
+@query
+def first_n_hours(spark, sf_dir):
+    ws = Workspace.get(spark, sf_dir)
+    return overdose.cuts(ws).select("stay_id", F.col("cut_pos").cast("long").alias("cut_pos"), "cut_token")
+
+
+@query
+def last_lab_before_cut(spark, sf_dir):
+    ws = Workspace.get(spark, sf_dir)
+    return overdose.last_lab(ws).select("stay_id", F.col("last_mag").cast("int").alias("last_mag"))
+
+
+@query
+def dose_histogram(spark, sf_dir):
+    return overdose.dose_histogram(Workspace.get(spark, sf_dir))
+
+
+@query
+def counterfactual_prompt(spark, sf_dir):
+    return overdose.counterfactual_prompt(Workspace.get(spark, sf_dir))
+
+
+@query
+def panel_probe(spark, sf_dir):
+    pp = overdose.panel_probe(Workspace.get(spark, sf_dir))
+    return pp.select("stay_id", "lab", r6("mag_mass").alias("mag_mass"), r6("exp_mag").alias("exp_mag"),
+                     F.col("argmax_mag").cast("int").alias("argmax_mag"))
+
+
+@query
+def magnitude_model(spark, sf_dir):
+    return overdose.magnitude_model(Workspace.get(spark, sf_dir)).select(
+        "item", F.col("prev_mag").cast("int").alias("prev_mag"), F.col("dose").cast("int").alias("dose"),
+        F.col("mag").cast("int").alias("mag"), "n")
+
+
+@query
+def pre_post_delta(spark, sf_dir):
+    return overdose.pre_post(Workspace.get(spark, sf_dir))
+
+
+# ---- step 8: hand-off evaluation ------------------------------------------------------
+
+@query
+def shift_labels(spark, sf_dir):
+    return handoff.shift_labels(Workspace.get(spark, sf_dir))
+
+
+@query
+def shift_cohort(spark, sf_dir):
+    return handoff.shift_cohort(Workspace.get(spark, sf_dir))
+
+
+@query
+def no_prior_event(spark, sf_dir):
+    return handoff.no_prior_event(Workspace.get(spark, sf_dir))
+
+
+@query
+def horizon_score(spark, sf_dir):
+    ws = Workspace.get(spark, sf_dir)
+    hs = handoff.horizon_scores(ws, handoff.shift_cohort(ws))
+    return hs.select("stay_id", "shift_start", r6("score").alias("score"))
+
+
+@query
+def hour_horizon(spark, sf_dir):
+    ws = Workspace.get(spark, sf_dir)
+    return handoff.hour_horizon(ws, handoff.shift_cohort(ws))
+
+
+@query
+def handoff_eval(spark, sf_dir):
+    return handoff.handoff_panel(Workspace.get(spark, sf_dir))

@@ -32,7 +32,21 @@ ADAPTERS = {
 }
 
 
+_SHARED: dict = {}
+
+
 class Workspace:
+    @classmethod
+    def get(cls, spark: SparkSession, sf_dir: str, adapter: str = "events") -> "Workspace":
+        """One workspace per (session, data folder, adapter): the token stream
+        is built once and read by every query, like a derived table."""
+        key = (spark.sparkContext.applicationId, id(spark), sf_dir, adapter)
+        ws = _SHARED.get(key)
+        if ws is None:
+            ws = _SHARED[key] = cls(spark, sf_dir, adapter)
+        prepare(spark)
+        return ws
+
     def __init__(self, spark: SparkSession, sf_dir: str, adapter: str = "events",
                  materialize: bool = True):
         prepare(spark)
@@ -98,6 +112,12 @@ class Workspace:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
+    @cached_property
+    def model(self):
+        """Order 0-2 next-token counts fitted on the training stays."""
+        from eventide.operators.scoring import fit_from_tokens
+        return fit_from_tokens(self.tokens, self.vocab)
+
     @cached_property
     def tokens(self) -> DataFrame:
         """``stay_id, pos, charttime, kind, row_id, sub, token, hour_no,
