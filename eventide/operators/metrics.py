@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from eventide.operators.scan import prefix_sum
 
 BUCKET_SCALE = float(2 ** 20)
+# a group with at most this many distinct scores is scanned by one window
+SINGLE_WINDOW_MAX = 1_000_000
 
 
 def _collapse(df: DataFrame, group: Sequence[str], score: str, label: str) -> DataFrame:
@@ -45,10 +47,27 @@ def _ascending_prefix(d: DataFrame, group: Sequence[str]) -> DataFrame:
     return d
 
 
+def _single_window_prefix(d: DataFrame, group: Sequence[str]) -> DataFrame:
+    w = Window.partitionBy(*group).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    return d.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c + "_lt")
+                           for c in ("pos", "neg", "cnt")])
+
+
 def ranking_metrics(df: DataFrame, group: Sequence[str], score: str, label: str) -> DataFrame:
-    """``(*group, n, n_pos, auroc, ap)`` per group."""
+    """``(*group, n, n_pos, auroc, ap)`` per group.
+
+    The collapsed table is persisted and its largest group is measured: up
+    to ``SINGLE_WINDOW_MAX`` distinct scores one window per group is used,
+    beyond it the two-level bucket scan.
+    """
+    from pyspark import StorageLevel
     group = list(group)
-    d = _ascending_prefix(_collapse(df, group, score, label), group)
+    d = _collapse(df, group, score, label).persist(StorageLevel.MEMORY_AND_DISK)
+    widest = d.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if widest <= SINGLE_WINDOW_MAX:
+        d = _single_window_prefix(d, group)
+    else:
+        d = _ascending_prefix(d, group)
     totals = d.groupBy(*group).agg(F.sum("pos").alias("P"), F.sum("cnt").alias("N_all"))
     d = d.join(totals, group)
     tp = F.col("P") - F.col("pos_lt")           # positives with score >= s
@@ -69,10 +88,10 @@ def macro(per_class: DataFrame, group: Sequence[str], n_classes: int) -> DataFra
     """Macro AUROC (NULL as soon as one class is undefined or absent) and
     macro AP (absent classes count 0) over ``n_classes`` classes."""
     group = list(group)
-    agg = per_class.groupBy(*group).agg(F.count("auroc").alias("k"), F.avg("auroc").alias("a"),
-                                        F.sum(F.coalesce("ap", F.lit(0.0))).alias("s"))
-    return agg.select(*group, F.when(F.col("k") == n_classes, F.col("a")).alias("macro_auroc"),
-                      (F.col("s") / F.lit(float(n_classes))).alias("macro_ap"))
+    agg = per_class.groupBy(*group).agg(F.count("auroc").alias("__k"), F.avg("auroc").alias("__a"),
+                                        F.sum(F.coalesce("ap", F.lit(0.0))).alias("__s"))
+    return agg.select(*group, F.when(F.col("__k") == n_classes, F.col("__a")).alias("macro_auroc"),
+                      (F.col("__s") / F.lit(float(n_classes))).alias("macro_ap"))
 
 
 def to_long(metrics: DataFrame, target_cols: Sequence[str], metric_cols: dict[str, str]) -> DataFrame:

@@ -84,9 +84,11 @@ def last_before(df: DataFrame, group: str | Sequence[str], order: str, value: st
     w = Window.partitionBy(*group, chunk).orderBy(order).rowsBetween(Window.unboundedPreceding, hi)
     inner = d.withColumn("__in", F.last(value, ignorenulls=True).over(w))
     # last non-null value of every chunk, then carried across chunks
-    per_chunk = (d.where(F.col(value).isNotNull())
-                 .groupBy(*group, chunk)
-                 .agg(F.max_by(F.col(value), F.col(order)).alias("__v")))
+    # (every chunk gets a row, NULL when it holds no value, so that the
+    # carry passes through empty chunks)
+    has = F.col(value).isNotNull()
+    per_chunk = (d.groupBy(*group, chunk)
+                 .agg(F.max_by(F.when(has, F.col(value)), F.when(has, F.col(order))).alias("__v")))
     carried = last_before(per_chunk, group, chunk, "__v", "__out", inclusive=False,
                           fanout=fanout, levels=levels - 1)
     carried = carried.select(*group, chunk, "__out")
