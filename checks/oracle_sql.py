@@ -264,6 +264,7 @@ FROM ({stack})""", CTX, model_ctes("b", f"NOT testset AND {split}"), f"""
 vl AS (SELECT {cols}
        {score_from(f'(SELECT c2, c1, token_id AS target_id FROM ctx WHERE NOT testset AND NOT ({split}))', 'b')})""")
     q.update(more_queries())
+    q.update(last_queries())
     return q
 
 
@@ -523,3 +524,131 @@ UNION ALL SELECT 'handoff', 'ap', round(ap, 6) FROM hmet""", SHIFTS, SHIFT_COHOR
 hsel AS (SELECT 'handoff' AS t, score AS s, y FROM hsc WHERE score IS NOT NULL)""",
                                   metric_ctes("hsel", ["t"], "h"))
     return q
+
+
+LI_ORDER = ("l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, "
+            "l_discount, l_tax, l_returnflag, l_linestatus")
+LI_NULLS = ", ".join(f"NULL AS {c.strip()}" for c in LI_ORDER.split(","))
+
+LRAW = f"""
+lraw AS (SELECT o.o_custkey AS stay_id, l.l_shipdate AS charttime, l.l_returnflag AS item,
+                CAST(l.l_quantity AS DOUBLE) AS value, {", ".join("l." + c.strip() for c in LI_ORDER.split(","))}
+         FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
+lspl AS (SELECT DISTINCT stay_id, (stay_id % 10 = 0) AS testset FROM lraw),
+lrt AS (SELECT r.*, s.testset FROM lraw r JOIN lspl s USING (stay_id)),
+ledges AS (SELECT item, quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e
+           FROM lrt WHERE NOT testset GROUP BY item),
+lmag AS (SELECT r.*, len(list_filter(d.e, lambda x: x < r.value)) AS mag FROM lrt r LEFT JOIN ledges d USING (item)),
+levtok AS (SELECT stay_id, charttime, 1 AS kind, {LI_ORDER}, testset,
+                  unnest(['lab.' || item, 'magnitude.' || mag]) AS token, unnest([0, 1]) AS sub FROM lmag),
+lbounds AS (SELECT stay_id, any_value(testset) AS testset, date_trunc('day', min(charttime)) AS d0,
+                   date_trunc('day', max(charttime)) AS d1 FROM lrt GROUP BY stay_id),
+lday AS (SELECT stay_id, b AS charttime, 0 AS kind, {LI_NULLS}, testset,
+                'day.' || (isodow(b) - 1) AS token, 0 AS sub
+         FROM (SELECT stay_id, testset, unnest(generate_series(d0 + INTERVAL 1 DAY, d1, INTERVAL 1 DAY)) AS b
+               FROM lbounds)),
+lstream0 AS (SELECT *, row_number() OVER (PARTITION BY stay_id ORDER BY charttime, kind, {LI_ORDER}, sub) - 1 AS pos
+             FROM (SELECT * FROM levtok UNION ALL SELECT * FROM lday)),
+lvocab AS (SELECT 'Null event' AS token, 0 AS token_id UNION ALL
+           SELECT token, CAST(row_number() OVER (ORDER BY token) AS INTEGER)
+           FROM (SELECT DISTINCT token FROM lstream0 WHERE NOT testset AND token IS NOT NULL)),
+lstream AS (SELECT s.*, v.token_id FROM lstream0 s LEFT JOIN lvocab v USING (token))"""
+
+CI = """
+labv AS (SELECT l.stay_id, l.pos,
+                CASE WHEN n.token LIKE 'magnitude.%' THEN TRY_CAST(split_part(n.token, '.', 2) AS INTEGER) END AS v
+         FROM stream l LEFT JOIN stream n ON n.stay_id = l.stay_id AND n.pos = l.pos + 1
+         WHERE l.token = 'lab.view'),
+drg AS (SELECT stay_id, pos, CAST(NULL AS INTEGER) AS v FROM stream WHERE token = 'med.purchase'),
+lst AS (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY stay_id ORDER BY pos
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS state
+        FROM (SELECT * FROM labv UNION ALL SELECT * FROM drg)),
+ci AS (SELECT s.stay_id, s.pos, 'med.purchase' AS drug, s.state FROM lst s JOIN drg d USING (stay_id, pos)
+       WHERE s.state >= 8)"""
+
+
+def insert_sql(anchors: str, replace: str | None = None) -> str:
+    """Stream with an 'error' token after every anchor (stay_id, pos)."""
+    tok = "s.token" if replace is None else f"CASE WHEN r.pos IS NOT NULL THEN '{replace}' ELSE s.token END"
+    rj = "" if replace is None else "LEFT JOIN anc r ON r.stay_id = s.stay_id AND r.pos = s.pos"
+    return f"""
+anc AS (SELECT DISTINCT stay_id, pos FROM {anchors}),
+ancr AS (SELECT stay_id, pos, row_number() OVER (PARTITION BY stay_id ORDER BY pos) - 1 AS k FROM anc),
+aug AS (
+  SELECT s.stay_id, s.pos + (SELECT count(*) FROM anc a WHERE a.stay_id = s.stay_id AND a.pos < s.pos) AS pos,
+         {tok} AS token, 0 AS loss_weight
+  FROM stream s {rj}
+  UNION ALL
+  SELECT stay_id, pos + k + 1, 'error', 1 FROM ancr)"""
+
+
+def last_queries() -> dict[str, str]:
+    q: dict[str, str] = {}
+    u1, u2 = uniform_sql("stay_id", "b", "1"), uniform_sql("stay_id", "b", "2")
+    padded = "list_concat(list_transform(range(256 - len(l)), lambda x: 0), l)"
+    q["sampled_next_token"] = with_base(f"""
+SELECT stay_id, b, CAST(part AS INTEGER) AS part, token_id AS next_token_id FROM (
+  SELECT r.stay_id, r.b, r.part, c2.token_id FROM rq r
+  JOIN cdf2 c2 ON r.part = 2 AND c2.c2 = r.c2 AND c2.c1 = r.c1 AND r.v >= c2.cum0 AND r.v < c2.cum
+  UNION ALL
+  SELECT r.stay_id, r.b, r.part, c1.token_id FROM rq r
+  JOIN cdf1 c1 ON r.part = 1 AND c1.c1 = r.c1 AND r.v >= c1.cum0 AND r.v < c1.cum
+  UNION ALL
+  SELECT r.stay_id, r.b, r.part, c0.token_id FROM rq r
+  JOIN cdf0 c0 ON r.part = 0 AND r.v >= c0.cum0 AND r.v < c0.cum)""", TB, MODEL, f"""
+rq0 AS (SELECT stay_id, b, p[256] AS c1, p[255] AS c2, {u1} AS u, {u2} AS v
+        FROM (SELECT stay_id, b, {padded} AS p FROM tbl WHERE testset)),
+rq AS (SELECT r.*, CASE WHEN r.u < 0.6 AND t2.n2c > 0 THEN 2
+                        WHEN r.u >= 0.6 AND r.u < 0.6 + 0.3 AND t1.n1c > 0 THEN 1 ELSE 0 END AS part
+       FROM rq0 r LEFT JOIN t2 ON t2.c2 = r.c2 AND t2.c1 = r.c1 LEFT JOIN t1 ON t1.c1 = r.c1),
+cdf2 AS (SELECT c2, c1, token_id,
+                sum(n2) OVER (PARTITION BY c2, c1 ORDER BY token_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                  / sum(n2) OVER (PARTITION BY c2, c1) AS cum,
+                (sum(n2) OVER (PARTITION BY c2, c1 ORDER BY token_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                  - n2) / sum(n2) OVER (PARTITION BY c2, c1) AS cum0 FROM m2),
+cdf1 AS (SELECT c1, token_id,
+                sum(n1) OVER (PARTITION BY c1 ORDER BY token_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                  / sum(n1) OVER (PARTITION BY c1) AS cum,
+                (sum(n1) OVER (PARTITION BY c1 ORDER BY token_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                  - n1) / sum(n1) OVER (PARTITION BY c1) AS cum0 FROM m1),
+w0 AS (SELECT v.token_id, coalesce(m0.n0, 0) + 1.0 AS w FROM vocab v LEFT JOIN m0 USING (token_id)
+       WHERE v.token_id > 0),
+cdf0 AS (SELECT token_id,
+                sum(w) OVER (ORDER BY token_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(w) OVER () AS cum,
+                (sum(w) OVER (ORDER BY token_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - w)
+                  / sum(w) OVER () AS cum0 FROM w0)""")
+    q["contraindicated_positions"] = with_base("SELECT stay_id, pos, drug, state FROM ci", CI)
+    q["inject_error"] = with_base("SELECT stay_id, pos, token, loss_weight FROM aug", CI,
+                                  insert_sql("(SELECT stay_id, pos + 2 AS pos FROM ci)"))
+    q["dose_x10"] = with_base("SELECT stay_id, pos, token, loss_weight FROM aug", insert_sql(
+        f"(SELECT stay_id, pos + 2 AS pos FROM stream WHERE token = 'med.purchase' "
+        f"AND {uniform_sql('stay_id', 'pos')} < 0.1)", replace="magnitude.9"))
+    u5 = uniform_sql("stay_id", "5")
+    q["real_synth_mix"] = with_base(f"""
+SELECT stay_id, source, count(*) AS n_tokens, count(CASE WHEN token = 'error' THEN 1 END) AS n_error FROM (
+  SELECT stay_id, token, 'real' AS source FROM stream WHERE {u5} >= 0.1
+  UNION ALL SELECT stay_id, token, 'synthetic' FROM aug WHERE {u5} < 0.1)
+GROUP BY stay_id, source""", CI, insert_sql("(SELECT stay_id, pos + 2 AS pos FROM ci)"))
+    q["response_splice"] = with_base(f"""
+SELECT s.stay_id, s.pos + CASE WHEN s.pos > a.a THEN 4 ELSE 0 END AS pos, s.token, 0 AS loss_weight
+FROM stream s JOIN anch a USING (stay_id)
+UNION ALL
+SELECT a.stay_id, a.a + 1 + x.i AS pos,
+       CASE WHEN x.t LIKE 'magnitude.%'
+            THEN 'magnitude.' || (CAST(split_part(x.t, '.', 2) AS INTEGER)
+                                  + CASE WHEN {uniform_sql('a.stay_id', '7 + x.i')} < 0.3 THEN 1 ELSE 0 END)
+            ELSE x.t END AS token, 1 AS loss_weight
+FROM anch a CROSS JOIN (VALUES (0, 'lab.view'), (1, 'magnitude.0'), (2, 'lab.click'), (3, 'magnitude.0')) x(i, t)""",
+                                     f"""
+hh AS (SELECT stay_id, max(hour_no) AS H FROM stream WHERE kind = 0 AND testset GROUP BY stay_id),
+pk AS (SELECT stay_id, 1 + floor({uniform_sql('stay_id', '6')} * H) AS j FROM hh WHERE H >= 1),
+anch AS (SELECT t.stay_id, t.pos AS a FROM stream t JOIN pk ON pk.stay_id = t.stay_id
+         AND t.kind = 0 AND t.hour_no = pk.j)""")
+    q["batch_scorer"] = with_base("""
+SELECT stay_id, b, round(len(list_filter(l, lambda v: v = t9)) / len(list_filter(l, lambda v: v != 0)), 6) AS score
+FROM tbl CROSS JOIN (SELECT token_id AS t9 FROM vocab WHERE token = 'magnitude.9') WHERE testset""", TB)
+    q["lineitem_stream_digest"] = "WITH " + LRAW + """
+SELECT stay_id, count(*) AS n_tokens, CAST(sum(pos * coalesce(token_id, 0)) AS BIGINT) AS checksum,
+       count(CASE WHEN kind = 0 THEN 1 END) AS n_spine
+FROM lstream GROUP BY stay_id"""
+    return q

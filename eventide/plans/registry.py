@@ -469,3 +469,92 @@ def hour_horizon(spark, sf_dir):
 @query
 def handoff_eval(spark, sf_dir):
     return handoff.handoff_panel(Workspace.get(spark, sf_dir))
+
+
+# ---- step 9: sampling --------------------------------------------------------------
+
+@query
+def sampled_next_token(spark, sf_dir):
+    """One next token per test block, drawn from the smoothed model with
+    reproducible hash uniforms (context = the block's last two tokens)."""
+    ws = Workspace.get(spark, sf_dir)
+    tb = blocks.training_blocks(ws.tokens.where("testset"), P.BLOCK)
+    req = tb.select("stay_id", "b", F.element_at("x", P.BLOCK).alias("c1"),
+                    F.element_at("x", P.BLOCK - 1).alias("c2"))
+    s = scoring.sample_next(req, ws.model, ws.vocab, ["stay_id", "b"])
+    return s.select("stay_id", "b", F.col("part").cast("int").alias("part"), "next_token_id")
+
+
+# ---- step 10: synthetic examples -------------------------------------------------------
+
+from eventide.operators import augment  # noqa: E402
+
+
+@query
+def contraindicated_positions(spark, sf_dir):
+    ws = Workspace.get(spark, sf_dir)
+    return augment.contraindicated(ws.tokens).select(
+        "stay_id", F.col("pos").cast("long").alias("pos"), "drug", F.col("state").cast("int").alias("state"))
+
+
+@query
+def inject_error(spark, sf_dir):
+    ws = Workspace.get(spark, sf_dir)
+    return augment.inject_error(ws.tokens).select(
+        "stay_id", F.col("pos").cast("long").alias("pos"), "token", "loss_weight")
+
+
+@query
+def dose_x10(spark, sf_dir):
+    ws = Workspace.get(spark, sf_dir)
+    return augment.dose_x10(ws.tokens).select(
+        "stay_id", F.col("pos").cast("long").alias("pos"), "token", "loss_weight")
+
+
+@query
+def real_synth_mix(spark, sf_dir):
+    """10 % of stays (hash-chosen) take the synthetic stream, the rest the
+    real one; summary per stay."""
+    ws = Workspace.get(spark, sf_dir)
+    synth = F.col("u") < F.lit(0.1)
+    real = ws.tokens.select("stay_id", "token").withColumn("u", uniform("stay_id", F.lit(5)))
+    fake = augment.inject_error(ws.tokens).select("stay_id", "token") \
+        .withColumn("u", uniform("stay_id", F.lit(5)))
+    mix = real.where(~synth).withColumn("source", F.lit("real")) \
+        .unionByName(fake.where(synth).withColumn("source", F.lit("synthetic")))
+    return mix.groupBy("stay_id", "source").agg(
+        F.count("*").alias("n_tokens"), F.count_if(F.col("token") == augment.ERROR_TOKEN).alias("n_error"))
+
+
+@query
+def response_splice(spark, sf_dir):
+    ws = Workspace.get(spark, sf_dir)
+    stays = ws.splits.where("testset").select("stay_id")
+    return augment.splice_response(ws.tokens, stays).select(
+        "stay_id", F.col("pos").cast("long").alias("pos"), "token", "loss_weight")
+
+
+# ---- step 11: external scorer hook, second adapter ------------------------------------
+
+from eventide.operators import batch  # noqa: E402
+
+
+@query
+def batch_scorer(spark, sf_dir):
+    ws = Workspace.get(spark, sf_dir)
+    tb = blocks.training_blocks(ws.tokens.where("testset"), P.BLOCK)
+    top = [r.token_id for r in ws.vocab.where(F.col("token") == P.HIGH).select("token_id").collect()]
+    return batch.batch_score(tb, ["stay_id", "b"], "x", batch.share_scorer(top)) \
+        .select("stay_id", "b", r6("score").alias("score"))
+
+
+@query
+def lineitem_stream_digest(spark, sf_dir):
+    """The token stream built from ``orders JOIN lineitem`` (customer = stay,
+    day spine), summarised per stay with an order-sensitive checksum."""
+    ws = Workspace.get(spark, sf_dir, "lineitem")
+    t = ws.tokens
+    return t.groupBy("stay_id").agg(
+        F.count("*").alias("n_tokens"),
+        F.sum(F.col("pos") * F.coalesce("token_id", F.lit(0))).alias("checksum"),
+        F.count_if(F.col("kind") == 0).alias("n_spine"))
