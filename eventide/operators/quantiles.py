@@ -18,62 +18,87 @@ groups times the number of quantiles, never by the data.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.operators.broadcast import bounded_broadcast
 
 
 def exact_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float],
                     accuracy: int = 10000, max_band: int = 2_000_000,
-                    max_rounds: int = 5) -> DataFrame:
+                    max_rounds: int = 8) -> DataFrame:
     """Rows ``(group, qi, edge)``: the ``probs[qi]`` quantile of ``value``
-    per ``group``, equal to ``quantile_cont`` / ``percentile``."""
+    per ``group``, equal to ``quantile_cont`` / ``percentile``.
+
+    Bands are kept per (group, quantile) between rounds (bounded by the
+    number of groups times quantiles).  A band that misses an order
+    statistic is widened to the whole range; a band that holds more than
+    ``max_band`` rows is narrowed with a 65-point sketch over its own rows
+    around the target's relative rank (each round divides it by ~30).
+    """
+    spark = df.sparkSession
     probs = [float(p) for p in probs]
     k = len(probs)
     vals = (df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
             .where(F.col("v").isNotNull() & ~F.isnan("v")))
     delta = 2.0 / accuracy
-    bands = None
+    lo_p = [max(0.0, p - delta) for p in probs]
+    hi_p = [min(1.0, p + delta) for p in probs]
+    sk = vals.groupBy("g").agg(F.count("*").alias("n"),
+                               F.percentile_approx("v", lo_p, accuracy).alias("lo"),
+                               F.percentile_approx("v", hi_p, accuracy).alias("hi")).collect()
+    n_of = {r["g"]: int(r["n"]) for r in sk}
+    band = {(r["g"], i): (float(r["lo"][i]), float(r["hi"][i])) for r in sk for i in range(k)}
+    gtype = dict(vals.dtypes)["g"]
+    grid = [j / 64.0 for j in range(65)]
+    checked = None
     for _ in range(max_rounds):
-        lo_p = [max(0.0, p - delta) for p in probs]
-        hi_p = [min(1.0, p + delta) for p in probs]
-        stats = vals.groupBy("g").agg(
-            F.count("*").alias("n"),
-            F.percentile_approx("v", lo_p, accuracy).alias("lo"),
-            F.percentile_approx("v", hi_p, accuracy).alias("hi"))
-        if delta >= 1.0:
-            stats = (vals.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("mn"),
-                                           F.max("v").alias("mx"))
-                     .select("g", "n", F.array_repeat("mn", k).alias("lo"),
-                             F.array_repeat("mx", k).alias("hi")))
-        stats = bounded_broadcast(stats, "quantile_bands")
-        counted = vals.join(stats, "g").groupBy("g", "n", "lo", "hi").agg(
+        rows = [(g, [band[(g, i)][0] for i in range(k)], [band[(g, i)][1] for i in range(k)])
+                for g in n_of]
+        bdf = spark.createDataFrame(rows, f"g {gtype}, lo array<double>, hi array<double>")
+        counted = vals.join(F.broadcast(bdf), "g").groupBy("g").agg(
             *[F.count_if(F.col("v") < F.col("lo")[i]).alias(f"b{i}") for i in range(k)],
             *[F.count_if((F.col("v") >= F.col("lo")[i]) & (F.col("v") <= F.col("hi")[i]))
-              .alias(f"m{i}") for i in range(k)])
-        rows = []
-        for i, p in enumerate(probs):
-            rn = (F.col("n") - 1).cast("double") * F.lit(p)
-            rows.append(F.struct(F.lit(i).alias("qi"), F.col("lo")[i].alias("lo"),
-                                 F.col("hi")[i].alias("hi"), F.col(f"b{i}").alias("below"),
-                                 F.col(f"m{i}").alias("inband"), rn.alias("rn")))
-        long = counted.select("g", "n", F.explode(F.array(*rows)).alias("s")).select("g", "n", "s.*")
-        long = long.withColumn("r1", F.floor("rn").cast("long")).withColumn("r2", F.ceil("rn").cast("long"))
-        long = long.withColumn(
-            "ok", (F.col("below") <= F.col("r1")) & (F.col("r2") < F.col("below") + F.col("inband"))
-            & ((F.col("inband") <= max_band) | F.lit(delta >= 1.0)))
-        long = bounded_broadcast(long, "quantile_checks")
-        bad = long.where(~F.col("ok")).limit(1).count()
-        if bad == 0:
-            bands = long
+              .alias(f"m{i}") for i in range(k)]).collect()
+        checked, wide, narrow = {}, [], []
+        for r in counted:
+            g, n = r["g"], n_of[r["g"]]
+            for i, p in enumerate(probs):
+                rn = (n - 1) * p
+                r1, r2 = math.floor(rn), math.ceil(rn)
+                below, inband = int(r[f"b{i}"]), int(r[f"m{i}"])
+                checked[(g, i)] = (below, rn, r1, r2)
+                if not (below <= r1 and r2 < below + inband):
+                    wide.append((g, i))
+                elif inband > max_band and band[(g, i)][0] < band[(g, i)][1]:
+                    narrow.append((g, i, (r1 - below) / max(inband - 1, 1)))
+        if not wide and not narrow:
             break
-        delta = min(1.0, delta * 8)
-    if bands is None:  # pragma: no cover - the last round spans [min, max]
+        for g, i in wide:
+            band[(g, i)] = (-math.inf, math.inf)
+        if narrow:
+            ndf = spark.createDataFrame([(g, i, band[(g, i)][0], band[(g, i)][1]) for g, i, _ in narrow],
+                                        f"bg {gtype}, qi int, blo double, bhi double")
+            sub = (vals.join(F.broadcast(ndf), (F.col("g") == F.col("bg")) & (F.col("v") >= F.col("blo"))
+                             & (F.col("v") <= F.col("bhi")))
+                   .groupBy("bg", "qi").agg(F.percentile_approx("v", grid, accuracy).alias("pts")).collect())
+            pts = {(r["bg"], r["qi"]): r["pts"] for r in sub}
+            for g, i, rel in narrow:
+                j = min(63, int(math.floor(rel * 64)))
+                pt = pts[(g, i)]
+                band[(g, i)] = (float(pt[max(j - 1, 0)]), float(pt[min(j + 2, 64)]))
+    else:  # pragma: no cover - bands are exact after a widening round
         raise RuntimeError("quantile bands did not converge")
 
+    long = [(g, i, band[(g, i)][0], band[(g, i)][1], *checked[(g, i)]) for (g, i) in checked]
+    bands = spark.createDataFrame(long, f"g {gtype}, qi int, lo double, hi double, below long, "
+                                        "rn double, r1 long, r2 long")
+    # a band holding one value (ties) is already the answer
+    flat = bands.where(F.col("lo") == F.col("hi")).select(
+        F.col("g").alias(group), F.col("qi").cast("int").alias("qi"), F.col("lo").alias("edge"))
+    bands = bands.where(F.col("lo") < F.col("hi"))
     # exact ranks inside each band; a value may sit in several bands
     b = bands.select(F.col("g").alias("bg"), "qi", F.col("lo").alias("blo"),
                      F.col("hi").alias("bhi"), "below", "r1", "r2", "rn")
@@ -89,7 +114,7 @@ def exact_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float
     edge = F.when(F.col("r1") == F.col("r2"), F.col("v1")).otherwise(
         F.col("v1") + (F.col("v2") - F.col("v1")) * (F.col("rn") - F.col("r1")))
     return agg.select(F.col("g").alias(group), F.col("qi").cast("int").alias("qi"),
-                      edge.alias("edge"))
+                      edge.alias("edge")).unionByName(flat)
 
 
 def edges_as_arrays(q: DataFrame, group: str) -> DataFrame:

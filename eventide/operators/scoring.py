@@ -191,7 +191,7 @@ def sample_next(requests: DataFrame, m: NgramModel, vocab: DataFrame, key_cols:
 
 
 def horizon_scores(m: NgramModel, vocab: DataFrame, target_id: int, steps: int,
-                   s: Smoothing = DEFAULT, checkpoint_every: int = 1) -> DataFrame:
+                   s: Smoothing = DEFAULT, checkpoint_every: int = 2) -> DataFrame:
     """Mean probability of emitting ``target_id`` over the next ``steps``
     tokens, by start token: ``(c1, score)``.
 
@@ -209,21 +209,32 @@ def horizon_scores(m: NgramModel, vocab: DataFrame, target_id: int, steps: int,
         "c", ((F.coalesce("n0", F.lit(0)) + F.lit(s.alpha))
               / F.lit(m.total + s.alpha * m.vocab_size)).alias("p0"))
     base = ids.join(p0, "c").join(m.t1.withColumnRenamed("c1", "c"), "c", "left")
-    base = F.broadcast(base.select("c", "p0", F.coalesce("n1c", F.lit(0)).alias("n1c")))
-    state = base.select("c", "p0", "n1c", (F.col("c") == target_id).cast("double").alias("g"),
+    base = F.broadcast(bounded_broadcast(base.select("c", "p0", F.coalesce("n1c", F.lit(0)).alias("n1c")),
+                                         "horizon_base"))
+    state = base.select("c", (F.col("c") == target_id).cast("double").alias("g"),
                         F.lit(0.0).alias("acc"))
     everything = Window.partitionBy()
+    m1 = bounded_broadcast(m.m1.select(F.col("c1").alias("__c1"), F.col("token_id").alias("__t"), "n1"),
+                           "horizon_bigrams")
     for step in range(1, steps + 1):
-        # note: column names are case-insensitive, so the scalar is "gsum"
-        st = state.withColumn("gsum", F.sum(F.col("p0") * F.col("g")).over(everything))
-        sparse = (m.m1.join(st.select(F.col("c").alias("token_id"), "g"), "token_id")
-                  .groupBy("c1").agg(F.sum(F.col("n1") * F.col("g")).alias("num")))
-        nxt = st.join(sparse.withColumnRenamed("c1", "c"), "c", "left")
+        # the state is read once per step: every row goes out as a "self"
+        # row (carries acc) and as an "edge" row (joined to the observed
+        # bigrams ending in it); one aggregate per context gathers both, so
+        # the plan grows linearly with the steps and no job runs per step.
+        # (column names are case-insensitive, so the scalar is "gsum")
+        st = state.join(base.select("c", "p0"), "c") \
+            .withColumn("gsum", F.sum(F.col("p0") * F.col("g")).over(everything))
+        x = st.select("c", "g", "acc", "gsum", F.explode(F.array(F.lit(0), F.lit(1))).alias("kind"))
+        j = x.join(m1, (F.col("kind") == 1) & (F.col("c") == F.col("__t")), "left")
+        key = F.when(F.col("kind") == 0, F.col("c")).otherwise(F.col("__c1"))
+        agg = (j.where(key.isNotNull()).groupBy(key.alias("c"))
+               .agg(F.sum(F.when(F.col("kind") == 1, F.col("n1") * F.col("g"))).alias("num"),
+                    F.max(F.when(F.col("kind") == 0, F.col("acc"))).alias("acc"),
+                    F.max("gsum").alias("gsum")))
+        nxt = agg.join(base.select("c", "n1c"), "c")
         g = (F.when(F.col("n1c") > 0, F.lit(lam) * F.coalesce("num", F.lit(0.0)) / F.col("n1c"))
              .otherwise(F.lit(lam) * F.col("gsum")) + F.lit(s.l0) * F.col("gsum"))
-        state = nxt.select("c", "p0", "n1c", g.alias("g"), (F.col("acc") + g).alias("acc"))
-        # each step reads the previous state twice (the scalar and the sparse
-        # part), so the lineage is cut every step to keep the plan small
+        state = nxt.select("c", g.alias("g"), (F.col("acc") + g).alias("acc"))
         if checkpoint_every and step % checkpoint_every == 0 and step < steps:
             state = state.checkpoint()
     return state.select(F.col("c").alias("c1"), (F.col("acc") / F.lit(float(steps))).alias("score"))

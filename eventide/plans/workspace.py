@@ -15,6 +15,7 @@ from __future__ import annotations
 import uuid
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,7 +97,10 @@ class Workspace:
 
     @cached_property
     def _stream_grid(self) -> tuple[DataFrame, DataFrame]:
-        return build_stream(self.emitted, self.unit, self.order_cols)
+        stream, grid = build_stream(self.emitted, self.unit, self.order_cols)
+        # the spine grid (one row per stay and hour) feeds both the stream and
+        # its own saved copy: keep it once instead of computing it twice
+        return stream, grid.persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def grid(self) -> DataFrame:

@@ -7,15 +7,16 @@ from eventide.operators.quantiles import exact_quantiles
 PROBS = [0.1, 0.25, 0.5, 0.9]
 
 
-@pytest.mark.parametrize("accuracy", [10000, 20])
-def test_exact_quantiles_match_linear_interpolation(spark, accuracy):
+@pytest.mark.parametrize("accuracy,max_band", [(10000, 2_000_000), (20, 2_000_000), (10000, 40)])
+def test_exact_quantiles_match_linear_interpolation(spark, accuracy, max_band):
     rng = np.random.default_rng(7)
     n = 3000
     g = np.where(rng.random(n) < 1 / 3, "hot", rng.choice(["a", "b", "c"], n))
     v = np.round(rng.gamma(2.0, 3.0, n), 1)  # many ties
     pdf = pd.DataFrame({"g": g, "v": v})
     pdf.loc[pdf.g == "c", "v"] = 5.0  # a constant group
-    got = exact_quantiles(spark.createDataFrame(pdf), "g", "v", PROBS, accuracy=accuracy).toPandas()
+    got = exact_quantiles(spark.createDataFrame(pdf), "g", "v", PROBS, accuracy=accuracy,
+                          max_band=max_band).toPandas()
     for (grp, qi), row in got.set_index(["g", "qi"]).iterrows():
         exp = np.percentile(pdf.loc[pdf.g == grp, "v"].to_numpy(), PROBS[qi] * 100, method="linear")
         assert row["edge"] == pytest.approx(exp, abs=1e-9), (grp, qi)
