@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +13,18 @@ SEEN: dict[str, int] = {}
 
 
 def bounded_broadcast(df: DataFrame, name: str, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    """Persist a small derived table, count it, and mark it for broadcast
-    only when the count is under ``max_rows``.
+    """Materialise a small derived table, count it, and mark it for
+    broadcast only when the count is under ``max_rows``.
 
-    Above the bound the table is returned as is and the planner uses a
-    shuffle join (with AQE skew splitting) instead.
+    The table is checkpointed into the cluster's checkpoint folder: its
+    lineage (often a long chain of scans and aggregates) is cut, so later
+    plans that use it stay small and it survives executor loss without
+    recomputation.  Above the bound the table is returned unmarked and the
+    planner uses a shuffle join (with AQE skew splitting) instead.
     """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    from eventide.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    kept = df.checkpoint(eager=True)
     n = kept.count()
     SEEN[name] = n
     return F.broadcast(kept) if n <= max_rows else kept

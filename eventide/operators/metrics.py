@@ -56,13 +56,16 @@ def _single_window_prefix(d: DataFrame, group: Sequence[str]) -> DataFrame:
 def ranking_metrics(df: DataFrame, group: Sequence[str], score: str, label: str) -> DataFrame:
     """``(*group, n, n_pos, auroc, ap)`` per group.
 
-    The collapsed table is persisted and its largest group is measured: up
+    The collapsed table is materialised and its largest group is measured: up
     to ``SINGLE_WINDOW_MAX`` distinct scores one window per group is used,
     beyond it the two-level bucket scan.
     """
-    from pyspark import StorageLevel
     group = list(group)
-    d = _collapse(df, group, score, label).persist(StorageLevel.MEMORY_AND_DISK)
+    # the collapsed table (one row per distinct score) is checkpointed: the
+    # scan below reads it several times and its lineage is cut
+    from eventide.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    d = _collapse(df, group, score, label).checkpoint(eager=True)
     widest = d.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
     if widest <= SINGLE_WINDOW_MAX:
         d = _single_window_prefix(d, group)

@@ -51,10 +51,11 @@ def no_prior_event(ws: Workspace, item: str = "error", min_days: float = 1.0) ->
 
 
 def horizon_scores(ws: Workspace, cohort: DataFrame, m: scoring.NgramModel | None = None) -> DataFrame:
-    m = m or ws.model
-    tid = ws.vocab.where(F.col("token") == P.HORIZON_TOKEN).select("token_id").first()
-    target = tid[0] if tid else -1
-    hs = scoring.horizon_scores(m, ws.vocab, target, P.HORIZON_STEPS)
+    if m is None:
+        hs = ws.horizon(P.HORIZON_TOKEN, P.HORIZON_STEPS)
+    else:
+        tid = ws.vocab.where(F.col("token") == P.HORIZON_TOKEN).select("token_id").first()
+        hs = scoring.horizon_scores(m, ws.vocab, tid[0] if tid else -1, P.HORIZON_STEPS)
     last = at_offset(cohort.withColumn("__lp", F.col("cut") - 1), ws.tokens, "__lp", 0,
                      ["token_id"], prefix="l_")
     return last.join(F.broadcast(hs), F.col("l_token_id") == F.col("c1"), "left") \

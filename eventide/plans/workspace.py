@@ -122,6 +122,18 @@ class Workspace:
         from eventide.operators.scoring import fit_from_tokens
         return fit_from_tokens(self.tokens, self.vocab)
 
+    def horizon(self, token: str, steps: int) -> DataFrame:
+        """Mean probability of ``token`` over ``steps`` chain steps, by start
+        token (one row per vocabulary id), computed once per workspace."""
+        key = (token, steps)
+        cache = self.__dict__.setdefault("_horizon", {})
+        if key not in cache:
+            from eventide.operators.scoring import horizon_scores
+            row = self.vocab.where(F.col("token") == token).select("token_id").first()
+            hs = horizon_scores(self.model, self.vocab, row[0] if row else -1, steps)
+            cache[key] = bounded_broadcast(hs, "horizon")
+        return cache[key]
+
     @cached_property
     def tokens(self) -> DataFrame:
         """``stay_id, pos, charttime, kind, row_id, sub, token, hour_no,
