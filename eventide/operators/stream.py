@@ -80,7 +80,9 @@ def build_stream(ev: DataFrame, unit: str = "hour",
     grid = bounds.select("stay_id", "ah0", *carry,
                          F.explode(F.sequence("ah0", "ah1")).alias("ah"))
     grid = grid.join(ht, ["stay_id", "ah"], "left").fillna(0, ["c"])
-    grid = prefix_sum(grid, "stay_id", "ah", ["c"])
+    # one row per stay and elapsed hour: bounded by the stay's time span (not
+    # its volume), so a single window per stay is safe here
+    grid = prefix_sum(grid, "stay_id", "ah", ["c"], levels=1)
 
     # per-minute offsets: grid offset of the unit + earlier minutes in it
     w_min = Window.partitionBy("stay_id", "ah").orderBy("am").rowsBetween(Window.unboundedPreceding, -1)

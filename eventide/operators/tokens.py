@@ -99,4 +99,5 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
                                .alias("token_id"))
     spark = tokens.sparkSession
     null = spark.createDataFrame([(NULL_TOKEN, NULL_ID)], "token string, token_id int")
-    return null.unionByName(numbered)
+    # one row more than the checked distinct set: broadcast without recounting
+    return F.broadcast(null.unionByName(numbered))

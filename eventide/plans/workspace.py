@@ -93,7 +93,7 @@ class Workspace:
         train = self.emitted.where(~F.col("testset"))
         cand = train.select(F.explode("toks").alias("token")).unionByName(
             spine_tokens(train, self.unit))
-        return bounded_broadcast(vocabulary(cand), "vocab")
+        return vocabulary(cand)
 
     @cached_property
     def _stream_grid(self) -> tuple[DataFrame, DataFrame]:
