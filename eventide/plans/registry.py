@@ -12,12 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eventide.functions import arrays as arr
+from eventide.functions.arrays import to_text
 from eventide.functions.hashing import uniform
 from eventide.functions.tokens import family, suffix_int
-from eventide.operators import cohorts, metrics, scoring
+from eventide.operators import augment, batch, blocks, cohorts, metrics, scoring
 from eventide.operators.scan import prefix_sum
 from eventide.operators.tokens import EVENTS_ITEM_KIND
-from eventide.plans import lab_eval
+from eventide.plans import dose_eval, handoff, lab_eval, overdose
 from eventide.plans import params as P
 from eventide.plans.workspace import Workspace
 
@@ -257,10 +259,6 @@ def best_smoothing(spark, sf_dir):
 
 # ---- step 5: blocks, cuts, splits -------------------------------------------------
 
-from eventide.functions import arrays as arr  # noqa: E402
-from eventide.functions.arrays import to_text  # noqa: E402
-from eventide.operators import blocks  # noqa: E402
-from eventide.plans import dose_eval, handoff, overdose  # noqa: E402
 
 LAB_KEY = ["target", "stay_id", "occ"]
 
@@ -487,7 +485,6 @@ def sampled_next_token(spark, sf_dir):
 
 # ---- step 10: synthetic examples -------------------------------------------------------
 
-from eventide.operators import augment  # noqa: E402
 
 
 @query
@@ -536,7 +533,6 @@ def response_splice(spark, sf_dir):
 
 # ---- step 11: external scorer hook, second adapter ------------------------------------
 
-from eventide.operators import batch  # noqa: E402
 
 
 @query

@@ -49,7 +49,7 @@ class Workspace:
         return ws
 
     def __init__(self, spark: SparkSession, sf_dir: str, adapter: str = "events",
-                 materialize: bool = True):
+                 materialize: bool = True, raw: DataFrame | None = None):
         prepare(spark)
         self.spark = spark
         self.sf_dir = sf_dir
@@ -57,6 +57,7 @@ class Workspace:
         reader, self.grammar, self.unit, self.order_cols = ADAPTERS[adapter]
         self._reader = reader
         self.materialize = materialize
+        self._raw_override = raw
         self._run = uuid.uuid4().hex
 
     def table(self, name: str, columns=None) -> DataFrame:
@@ -64,6 +65,9 @@ class Workspace:
 
     @cached_property
     def raw_only(self) -> DataFrame:
+        """Raw events from the adapter, or a table derived from it by Spark."""
+        if self._raw_override is not None:
+            return self._raw_override
         return self._reader(self.spark, self.sf_dir)
 
     @cached_property
