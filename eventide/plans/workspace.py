@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.operators.broadcast import bounded_broadcast
-from eventide.operators.stream import build_stream, spine_tokens
+from eventide.operators.stream import build_stream
 from eventide.operators.tokens import Grammar, decile_edges, emit, vocabulary
 from eventide.session import ensure_checkpoint_dir, prepare
 from eventide.sources import tables
@@ -94,9 +94,9 @@ class Workspace:
 
     @cached_property
     def vocab(self) -> DataFrame:
-        train = self.emitted.where(~F.col("testset"))
-        cand = train.select(F.explode("toks").alias("token")).unionByName(
-            spine_tokens(train, self.unit))
+        """Tokens of the training stays, read back from the saved stream's
+        (dictionary-encoded, pruned) token column: no extra pass over events."""
+        cand = self._stream_saved.where(~F.col("testset")).select("token")
         return vocabulary(cand)
 
     @cached_property
@@ -138,9 +138,14 @@ class Workspace:
             cache[key] = bounded_broadcast(hs, "horizon")
         return cache[key]
 
+    @cached_property
+    def _stream_saved(self) -> DataFrame:
+        return self._save(self._stream_grid[0], "stream")
+
     @cached_property
     def tokens(self) -> DataFrame:
         """``stay_id, pos, charttime, kind, row_id, sub, token, hour_no,
-        testset, token_id`` (token_id NULL for tokens unseen in training)."""
-        s = self._stream_grid[0].join(self.vocab, "token", "left")
-        return self._save(s, "tokens")
+        testset, token_id`` (token_id NULL for tokens unseen in training).
+
+        Ids are attached on read by a broadcast join to the (checked) vocabulary."""
+        return self._stream_saved.join(self.vocab, "token", "left")
