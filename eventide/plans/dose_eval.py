@@ -51,10 +51,11 @@ def dose_prompts(ws: Workspace, ex: DataFrame) -> DataFrame:
 def dose_scores(ws: Workspace, ex: DataFrame, m: scoring.NgramModel, drug: str = P.DRUG) -> DataFrame:
     """P(magnitude.c | drug, unit) for c = 0..9, with ``y`` one-hot."""
     voc = ws.vocab.select(F.col("token").alias("__tok"), F.col("token_id").alias("__tid"))
-    cls = F.array(*[F.struct(F.lit(i).alias("cls"), F.lit(f"magnitude.{i}").alias("cls_token"))
-                    for i in range(10)])
-    r = ex.select("*", F.lit(drug).alias("__drug"), F.explode(cls).alias("__c")) \
-        .select("*", "__c.*").drop("__c")
+    # the drug name rides inside the exploded rows: every id lookup is an
+    # equi-join on a data column
+    cls = F.array(*[F.struct(F.lit(i).alias("cls"), F.lit(f"magnitude.{i}").alias("cls_token"),
+                             F.lit(drug).alias("__drug")) for i in range(10)])
+    r = ex.select("*", F.explode(cls).alias("__c")).select("*", "__c.*").drop("__c")
     r = r.join(voc, F.col("__drug") == F.col("__tok"), "left") \
         .withColumn("c2", F.coalesce("__tid", F.lit(scoring.NONE))).drop("__tok", "__tid")
     r = r.join(voc, F.col("cls_token") == F.col("__tok"), "left") \

@@ -95,10 +95,13 @@ def panel_probe(ws: Workspace, m: scoring.NgramModel | None = None) -> DataFrame
     nxt = F.concat(F.lit("hour."), F.pmod(suffix_int("cut_token") + 1, F.lit(24)).cast("string"))
     state = _token_ids(ws, c.select("stay_id", nxt.alias("prev_token")), "prev_token", "c2")
     state = state.select("stay_id", "c2")
-    mags = F.array(*[F.lit(f"magnitude.{k}") for k in range(10)])
     out = None
     for lab in P.PANEL:
-        r = state.select("stay_id", "c2", F.lit(lab).alias("lab"), F.posexplode(mags).alias("k", "mtok"))
+        # the lab name rides inside the exploded rows, so both id lookups are
+        # equi-joins on data columns (a literal key would plan a nested loop)
+        reqs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(lab).alias("lab"),
+                                  F.lit(f"magnitude.{k}").alias("mtok")) for k in range(10)])
+        r = state.select("stay_id", "c2", F.explode(reqs).alias("__r")).select("stay_id", "c2", "__r.*")
         r = _token_ids(ws, r, "lab", "c1")
         r = _token_ids(ws, r, "mtok", "target_id")
         sc = scoring.score(r, m)
