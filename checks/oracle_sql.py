@@ -265,6 +265,12 @@ vl AS (SELECT {cols}
        {score_from(f'(SELECT c2, c1, token_id AS target_id FROM ctx WHERE NOT testset AND NOT ({split}))', 'b')})""")
     q.update(more_queries())
     q.update(last_queries())
+    ce = q["culture_eval"].replace(
+        "SELECT target, n, n_pos, round(auroc, 6) AS auroc, round(ap, 6) AS ap FROM cmet",
+        "SELECT target, 'growth_auroc' AS metric, round(auroc, 6) AS value FROM cmet "
+        "UNION ALL SELECT target, 'growth_ap', round(ap, 6) FROM cmet")
+    parts = [q["metric_panel"], ce, q["dose_eval_panel"], q["handoff_eval"]]
+    q["evaluation_report"] = " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
     return q
 
 

@@ -554,3 +554,18 @@ def lineitem_stream_digest(spark, sf_dir):
         F.count("*").alias("n_tokens"),
         F.sum(F.col("pos") * F.coalesce("token_id", F.lit(0))).alias("checksum"),
         F.count_if(F.col("kind") == 0).alias("n_spine"))
+
+
+# ---- report sink ------------------------------------------------------------------
+
+@query
+def evaluation_report(spark, sf_dir):
+    """All evaluation panels as one long ``(target, metric, value)`` table
+    (the reference prints the same name / value rows at the end of a run)."""
+    from eventide.sources.report import report
+    ws = Workspace.get(spark, sf_dir)
+    cult = lab_eval.culture_panel(ws).select("target", F.explode(F.array(
+        F.struct(F.lit("growth_auroc").alias("metric"), F.col("auroc").alias("value")),
+        F.struct(F.lit("growth_ap").alias("metric"), F.col("ap").alias("value")))).alias("m")) \
+        .select("target", "m.metric", "m.value")
+    return report(lab_eval.lab_panel(ws), cult, dose_eval.dose_panel(ws), handoff.handoff_panel(ws))
