@@ -65,10 +65,11 @@ def magnitude(value: Column, edges: Column) -> Column:
 def emit(raw: DataFrame, edges_long: DataFrame, grammar: Grammar) -> DataFrame:
     """Add ``mag`` and ``toks ARRAY<STRING>`` (the emission of each event).
 
-    The edges table has one row per item, so it is broadcast after a
-    checked count; the hot item never moves.
+    ``edges_long`` is a checked (``bounded_broadcast``) table; its array form
+    has at most as many rows, one per item, and is broadcast: the hot item
+    never moves.
     """
-    edges = bounded_broadcast(edges_as_arrays(edges_long, "item"), "decile_edges")
+    edges = F.broadcast(edges_as_arrays(edges_long, "item"))
     e = raw.join(edges, "item", "left")
     kind = grammar.kind(F.col("item"))
     name = grammar.name(kind, F.col("item"))
