@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.functions.arrays import left_pad, to_text
+from eventide.functions.arrays import left_pad
 from eventide.functions.hashing import uniform
 from eventide.operators.scan import at_offset
 
@@ -121,6 +121,3 @@ def split_column(key_cols: Sequence[str], frac: float = 0.9) -> F.Column:
     """'train' / 'val' from a reproducible hash uniform of the keys."""
     return F.when(uniform(*key_cols) < F.lit(frac), F.lit("train")).otherwise(F.lit("val"))
 
-
-def text(a) -> F.Column:
-    return to_text(a)

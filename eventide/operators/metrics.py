@@ -95,12 +95,3 @@ def macro(per_class: DataFrame, group: Sequence[str], n_classes: int) -> DataFra
                                         F.sum(F.coalesce("ap", F.lit(0.0))).alias("__s"))
     return agg.select(*group, F.when(F.col("__k") == n_classes, F.col("__a")).alias("macro_auroc"),
                       (F.col("__s") / F.lit(float(n_classes))).alias("macro_ap"))
-
-
-def to_long(metrics: DataFrame, target_cols: Sequence[str], metric_cols: dict[str, str]) -> DataFrame:
-    """Stack metric columns into ``(target, metric, value)`` rows."""
-    tgt = F.concat_ws(" ", *[F.col(c).cast("string") for c in target_cols])
-    parts = [F.struct(F.lit(name).alias("metric"), F.col(col).cast("double").alias("value"))
-             for name, col in metric_cols.items()]
-    return metrics.select(tgt.alias("target"), F.explode(F.array(*parts)).alias("m")) \
-        .select("target", "m.metric", "m.value")

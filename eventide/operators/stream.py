@@ -113,16 +113,3 @@ def build_stream(ev: DataFrame, unit: str = "hour",
         (F.col("ah") - F.col("ah0")).alias("hour_no"), *carry)
     stream = evtok.unionByName(hourtok)
     return stream, grid
-
-
-def spine_tokens(ev: DataFrame, unit: str = "hour") -> DataFrame:
-    """Distinct spine tokens that the stays of ``ev`` produce (for the
-    vocabulary) without building positions: at most one cycle per stay."""
-    U = UNIT_US[unit]
-    cyc = 24 if unit == "hour" else 7
-    b = (ev.withColumn("ah", F.floor(epoch_us("charttime") / F.lit(U)).cast("long"))
-         .groupBy("stay_id").agg(F.min("ah").alias("ah0"), F.max("ah").alias("ah1")))
-    b = b.where(F.col("ah1") > F.col("ah0"))
-    ab = b.select(F.explode(F.sequence(F.col("ah0") + 1,
-                                       F.least(F.col("ah1"), F.col("ah0") + cyc))).alias("ab"))
-    return ab.select(spine_token(unit, F.col("ab")).alias("token"))
