@@ -30,7 +30,7 @@ RESPONSE = ("lab.view", "magnitude.0", "lab.click", "magnitude.0")
 JITTER = 0.3
 
 
-def contraindicated(tokens: DataFrame, rules: Sequence[tuple] = RULES) -> DataFrame:
+def contraindicated(tokens: DataFrame, rules: Sequence[tuple] = RULES, levels: int = 2) -> DataFrame:
     """``(stay_id, pos, drug, state)``: drug tokens given while the last
     value of the rule's lab (before the drug) is at least the threshold."""
     out = None
@@ -42,7 +42,7 @@ def contraindicated(tokens: DataFrame, rules: Sequence[tuple] = RULES) -> DataFr
         drugs = tokens.where(F.col("token") == drug).select("stay_id", "pos",
                                                              F.lit(None).cast("int").alias("v"))
         rows = last_before(labs.unionByName(drugs.select("stay_id", "pos", "v")),
-                           "stay_id", "pos", "v", "state", inclusive=False)
+                           "stay_id", "pos", "v", "state", inclusive=False, levels=levels)
         hit = rows.where(F.col("v").isNull() & (F.col("state") >= lo)) \
             .join(drugs.select("stay_id", "pos"), ["stay_id", "pos"]) \
             .select("stay_id", "pos", F.lit(drug).alias("drug"), "state")
@@ -51,7 +51,7 @@ def contraindicated(tokens: DataFrame, rules: Sequence[tuple] = RULES) -> DataFr
 
 
 def insert_after(tokens: DataFrame, anchors: DataFrame, insert_token: str = ERROR_TOKEN,
-                 replace: DataFrame | None = None) -> DataFrame:
+                 replace: DataFrame | None = None, levels: int = 2) -> DataFrame:
     """Insert ``insert_token`` right after every anchor ``(stay_id, pos)``.
 
     Returns ``(stay_id, pos, token, loss_weight)``: original tokens move by
@@ -61,7 +61,7 @@ def insert_after(tokens: DataFrame, anchors: DataFrame, insert_token: str = ERRO
     before the insertion.
     """
     a = anchors.select("stay_id", "pos").distinct()
-    a = rank_in_group(a, "stay_id", "pos", "k")
+    a = rank_in_group(a, "stay_id", "pos", "k", levels=levels)
     base = tokens.select("stay_id", "pos", "token")
     if replace is not None:
         r = replace.select("stay_id", "pos", F.col("token").alias("__new"))
@@ -69,7 +69,7 @@ def insert_after(tokens: DataFrame, anchors: DataFrame, insert_token: str = ERRO
             .select("stay_id", "pos", F.coalesce("__new", "token").alias("token"))
     marked = base.join(a.select("stay_id", "pos", (F.col("k") + 1).alias("incl")),
                        ["stay_id", "pos"], "left")
-    marked = last_before(marked, "stay_id", "pos", "incl", "before", inclusive=False)
+    marked = last_before(marked, "stay_id", "pos", "incl", "before", inclusive=False, levels=levels)
     moved = marked.select("stay_id", (F.col("pos") + F.coalesce("before", F.lit(0))).alias("pos"),
                           "token", F.lit(0).alias("loss_weight"))
     ins = a.select("stay_id", (F.col("pos") + F.col("k") + 1).alias("pos"),
@@ -77,19 +77,20 @@ def insert_after(tokens: DataFrame, anchors: DataFrame, insert_token: str = ERRO
     return moved.unionByName(ins)
 
 
-def inject_error(tokens: DataFrame, rules: Sequence[tuple] = RULES) -> DataFrame:
+def inject_error(tokens: DataFrame, rules: Sequence[tuple] = RULES, levels: int = 2) -> DataFrame:
     """Error token after the dose magnitude (+2) of every contraindicated drug."""
-    c = contraindicated(tokens, rules)
-    return insert_after(tokens, c.select("stay_id", (F.col("pos") + 2).alias("pos")))
+    c = contraindicated(tokens, rules, levels)
+    return insert_after(tokens, c.select("stay_id", (F.col("pos") + 2).alias("pos")), levels=levels)
 
 
-def dose_x10(tokens: DataFrame, drug: str = "med.purchase", rate: float = 0.1) -> DataFrame:
+def dose_x10(tokens: DataFrame, drug: str = "med.purchase", rate: float = 0.1,
+             levels: int = 2) -> DataFrame:
     """For a hash-chosen share of drug events, raise the dose to the top
     decile (the +2 token becomes ``magnitude.9``) and insert the error token."""
     d = tokens.where((F.col("token") == drug) & (uniform("stay_id", "pos") < rate)) \
         .select("stay_id", (F.col("pos") + 2).alias("pos"))
     rep = d.select("stay_id", "pos", F.lit("magnitude.9").alias("token"))
-    return insert_after(tokens, d, replace=rep)
+    return insert_after(tokens, d, replace=rep, levels=levels)
 
 
 def splice_response(tokens: DataFrame, stays: DataFrame, seed_key: int = 6) -> DataFrame:

@@ -21,7 +21,7 @@ def occurrences(tokens: DataFrame, targets: Sequence[str], test_only: bool = Tru
 
 
 def nth_occurrences(tokens: DataFrame, targets: Sequence[str], test_only: bool = True,
-                    drop_first: bool = True) -> DataFrame:
+                    drop_first: bool = True, levels: int = 2) -> DataFrame:
     """One example per occurrence of a target token: ``(target, stay_id, occ,
     pos, cut)`` with ``cut = pos + 1`` (the block ends with the target).
 
@@ -32,7 +32,7 @@ def nth_occurrences(tokens: DataFrame, targets: Sequence[str], test_only: bool =
     if test_only:
         t = t.where("testset")
     t = t.select(F.col("token").alias("target"), "stay_id", "pos", "token_id")
-    t = rank_in_group(t, ["stay_id", "target"], "pos", "occ")
+    t = rank_in_group(t, ["stay_id", "target"], "pos", "occ", levels=levels)
     if drop_first:
         t = t.where(F.col("occ") > 0)
     return t.withColumn("cut", F.col("pos") + 1)

@@ -22,6 +22,15 @@ from pyspark.sql import functions as F
 DEFAULT_FANOUT = 4096
 
 
+def levels_for(max_rows: int, fanout: int = DEFAULT_FANOUT) -> int:
+    """Smallest depth (at least 2) whose chunks cover ``max_rows`` positions
+    with every window holding at most ``fanout`` rows."""
+    levels, cover = 2, fanout * fanout
+    while cover < max_rows:
+        levels, cover = levels + 1, cover * fanout
+    return levels
+
+
 def _cols(x: str | Sequence[str]) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 

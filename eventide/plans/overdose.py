@@ -133,9 +133,11 @@ def magnitude_model(ws: Workspace) -> DataFrame:
     ev = labs.select("stay_id", "pos", "item", "mag", F.lit(None).cast("int").alias("dose")) \
         .unionByName(drugs.select("stay_id", "pos", F.lit(None).cast("string").alias("item"),
                                   F.lit(None).cast("int").alias("mag"), "dose"))
-    ev = last_before(ev, "stay_id", "pos", "dose", "last_dose", inclusive=False)
+    lv = ws.scan_levels
+    ev = last_before(ev, "stay_id", "pos", "dose", "last_dose", inclusive=False, levels=lv)
     lab_rows = ev.where(F.col("item").isNotNull())
-    lab_rows = last_before(lab_rows, ["stay_id", "item"], "pos", "mag", "prev_mag", inclusive=False)
+    lab_rows = last_before(lab_rows, ["stay_id", "item"], "pos", "mag", "prev_mag", inclusive=False,
+                           levels=lv)
     return lab_rows.groupBy("item", "prev_mag", F.col("last_dose").alias("dose"), "mag") \
         .agg(F.count("*").alias("n"))
 

@@ -37,6 +37,10 @@ def r6(c):
     return F.round(c, 6)
 
 
+def _lab_ex(ws):
+    return cohorts.nth_occurrences(ws.tokens, P.LAB_TARGETS, levels=ws.scan_levels)
+
+
 # ---- step 1: scans, tokeniser, stream ----------------------------------------
 
 @query
@@ -101,21 +105,21 @@ def occurrences_per_stay(spark, sf_dir):
 @query
 def lab_examples(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
-    ex = cohorts.nth_occurrences(ws.tokens, P.LAB_TARGETS)
+    ex = cohorts.nth_occurrences(ws.tokens, P.LAB_TARGETS, levels=ws.scan_levels)
     return ex.select("target", "stay_id", "occ", "pos", "cut")
 
 
 @query
 def value_at_next(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
-    ex = cohorts.value_after(cohorts.nth_occurrences(ws.tokens, P.LAB_TARGETS), ws.tokens, 1)
+    ex = cohorts.value_after(_lab_ex(ws), ws.tokens, 1)
     return ex.select("target", "stay_id", "occ", "val_token")
 
 
 @query
 def one_hot_labels(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
-    ex = cohorts.value_after(cohorts.nth_occurrences(ws.tokens, P.LAB_TARGETS), ws.tokens, 1)
+    ex = cohorts.value_after(_lab_ex(ws), ws.tokens, 1)
     oh = cohorts.one_hot(ex, "val_token", P.MAGNITUDES)
     return oh.select("target", "stay_id", "occ", F.col("cls").cast("int").alias("cls"), "y")
 
@@ -123,14 +127,15 @@ def one_hot_labels(spark, sf_dir):
 @query
 def unexpected_labels(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
-    ex = cohorts.value_after(cohorts.nth_occurrences(ws.tokens, P.LAB_TARGETS), ws.tokens, 1)
+    ex = cohorts.value_after(_lab_ex(ws), ws.tokens, 1)
     return cohorts.unexpected_count(ex, ["target"], "val_token", P.MAGNITUDES)
 
 
 @query
 def culture_examples(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
-    ex = cohorts.value_after(cohorts.nth_occurrences(ws.tokens, [P.CULTURE_TARGET]), ws.tokens, 1)
+    ex = cohorts.value_after(
+        cohorts.nth_occurrences(ws.tokens, [P.CULTURE_TARGET], levels=ws.scan_levels), ws.tokens, 1)
     return ex.select("stay_id", "occ", "cut", "val_token",
                      (F.col("val_token") == P.RESULT_TOKENS[0]).cast("int").alias("y"))
 
@@ -263,10 +268,6 @@ def best_smoothing(spark, sf_dir):
 LAB_KEY = ["target", "stay_id", "occ"]
 
 
-def _lab_ex(ws):
-    return cohorts.nth_occurrences(ws.tokens, P.LAB_TARGETS)
-
-
 @query
 def asof_cut(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
@@ -288,15 +289,10 @@ def padded_block(spark, sf_dir):
     return pb.select(*LAB_KEY, to_text("block").alias("block"))
 
 
-def _grid_max_pos(ws) -> int:
-    g = ws.grid.agg(F.max(F.col("c_before") + F.col("c") + F.col("ah") - F.col("ah0"))).first()[0]
-    return int(g or 0)
-
-
 @query
 def history_bag(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
-    hb = blocks.history_bag(_lab_ex(ws), ws.tokens, LAB_KEY, P.BLOCK, max_pos=_grid_max_pos(ws))
+    hb = blocks.history_bag(_lab_ex(ws), ws.tokens, LAB_KEY, P.BLOCK, max_pos=ws.max_stay_len)
     return hb.select(*LAB_KEY, "token_id", "n")
 
 
@@ -490,21 +486,21 @@ def sampled_next_token(spark, sf_dir):
 @query
 def contraindicated_positions(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
-    return augment.contraindicated(ws.tokens).select(
+    return augment.contraindicated(ws.tokens, levels=ws.scan_levels).select(
         "stay_id", F.col("pos").cast("long").alias("pos"), "drug", F.col("state").cast("int").alias("state"))
 
 
 @query
 def inject_error(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
-    return augment.inject_error(ws.tokens).select(
+    return augment.inject_error(ws.tokens, levels=ws.scan_levels).select(
         "stay_id", F.col("pos").cast("long").alias("pos"), "token", "loss_weight")
 
 
 @query
 def dose_x10(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
-    return augment.dose_x10(ws.tokens).select(
+    return augment.dose_x10(ws.tokens, levels=ws.scan_levels).select(
         "stay_id", F.col("pos").cast("long").alias("pos"), "token", "loss_weight")
 
 
@@ -515,7 +511,7 @@ def real_synth_mix(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
     synth = F.col("u") < F.lit(0.1)
     real = ws.tokens.select("stay_id", "token").withColumn("u", uniform("stay_id", F.lit(5)))
-    fake = augment.inject_error(ws.tokens).select("stay_id", "token") \
+    fake = augment.inject_error(ws.tokens, levels=ws.scan_levels).select("stay_id", "token") \
         .withColumn("u", uniform("stay_id", F.lit(5)))
     mix = real.where(~synth).withColumn("source", F.lit("real")) \
         .unionByName(fake.where(synth).withColumn("source", F.lit("synthetic")))

@@ -106,6 +106,18 @@ class Workspace:
         # its own saved copy: keep it once instead of computing it twice
         return stream, grid.persist(StorageLevel.MEMORY_AND_DISK)
 
+    @cached_property
+    def max_stay_len(self) -> int:
+        """Longest stream of any stay, from the small spine grid."""
+        g = self.grid.agg(F.max(F.col("c_before") + F.col("c") + F.col("ah") - F.col("ah0"))).first()[0]
+        return int(g or 0) + 1
+
+    @cached_property
+    def scan_levels(self) -> int:
+        """Depth of the two-level (or deeper) scans for this data."""
+        from eventide.operators.scan import levels_for
+        return levels_for(self.max_stay_len)
+
     @cached_property
     def grid(self) -> DataFrame:
         return self._save(self._stream_grid[1], "grid")

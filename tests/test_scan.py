@@ -64,3 +64,11 @@ def test_neighbors(spark):
         a, b = m[n].to_numpy(dtype=float), m[n + "_got"].to_numpy(dtype=float)
         assert np.array_equal(np.isnan(a), np.isnan(b)), n
         assert (a[~np.isnan(a)] == b[~np.isnan(b)]).all(), n
+
+
+def test_levels_for_grows_with_the_longest_group():
+    from eventide.operators.scan import levels_for
+    assert levels_for(10) == 2
+    assert levels_for(4096 ** 2) == 2
+    assert levels_for(4096 ** 2 + 1) == 3
+    assert levels_for(10 ** 11) == 4
