@@ -12,18 +12,19 @@ when one item holds a third of the data.  Here:
 3. only the rows inside the bands are ranked exactly, in windows over
    ``(group, quantile)`` that hold at most ``max_band`` rows each.
 
-The check collects one row per (group, quantile): bounded by the number of
-groups times the number of quantiles, never by the data.
+Band bookkeeping is a small checkpointed table (one row per group and
+quantile); only a count of unsettled bands is read on the driver.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventide.operators.broadcast import bounded_broadcast
+
 
 
 def exact_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float],
@@ -32,13 +33,13 @@ def exact_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float
     """Rows ``(group, qi, edge)``: the ``probs[qi]`` quantile of ``value``
     per ``group``, equal to ``quantile_cont`` / ``percentile``.
 
-    Bands are kept per (group, quantile) between rounds (bounded by the
-    number of groups times quantiles).  A band that misses an order
-    statistic is widened to the whole range; a band that holds more than
-    ``max_band`` rows is narrowed with a 65-point sketch over its own rows
-    around the target's relative rank (each round divides it by ~30).
+    The bands live in a small checkpointed DataFrame (one row per group and
+    quantile); each round only a count of unsettled bands reaches the driver.
+    A band that misses an order statistic is widened to the whole range; a
+    band holding more than ``max_band`` rows is narrowed with a 65-point
+    sketch over its own rows around the target's relative rank (each round
+    divides it by ~30).
     """
-    spark = df.sparkSession
     probs = [float(p) for p in probs]
     k = len(probs)
     vals = (df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
@@ -46,55 +47,55 @@ def exact_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float
     delta = 2.0 / accuracy
     lo_p = [max(0.0, p - delta) for p in probs]
     hi_p = [min(1.0, p + delta) for p in probs]
+    pv = F.array(*[F.lit(p) for p in probs])
     sk = vals.groupBy("g").agg(F.count("*").alias("n"),
                                F.percentile_approx("v", lo_p, accuracy).alias("lo"),
-                               F.percentile_approx("v", hi_p, accuracy).alias("hi")).collect()
-    n_of = {r["g"]: int(r["n"]) for r in sk}
-    band = {(r["g"], i): (float(r["lo"][i]), float(r["hi"][i])) for r in sk for i in range(k)}
-    gtype = dict(vals.dtypes)["g"]
+                               F.percentile_approx("v", hi_p, accuracy).alias("hi"))
+    bands = sk.select("g", "n", F.posexplode(F.arrays_zip("lo", "hi")).alias("qi", "b")) \
+        .select("g", "n", "qi", F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi"))
+    rn = (F.col("n") - 1).cast("double") * F.element_at(pv, F.col("qi") + 1)
+    bands = bands.withColumn("rn", rn).withColumn("r1", F.floor("rn").cast("long")) \
+        .withColumn("r2", F.ceil("rn").cast("long"))
+    bands = bounded_broadcast(bands, "quantile_bands")
     grid = [j / 64.0 for j in range(65)]
     checked = None
     for _ in range(max_rounds):
-        rows = [(g, [band[(g, i)][0] for i in range(k)], [band[(g, i)][1] for i in range(k)])
-                for g in n_of]
-        bdf = spark.createDataFrame(rows, f"g {gtype}, lo array<double>, hi array<double>")
-        counted = vals.join(F.broadcast(bdf), "g").groupBy("g").agg(
-            *[F.count_if(F.col("v") < F.col("lo")[i]).alias(f"b{i}") for i in range(k)],
-            *[F.count_if((F.col("v") >= F.col("lo")[i]) & (F.col("v") <= F.col("hi")[i]))
-              .alias(f"m{i}") for i in range(k)]).collect()
-        checked, wide, narrow = {}, [], []
-        for r in counted:
-            g, n = r["g"], n_of[r["g"]]
-            for i, p in enumerate(probs):
-                rn = (n - 1) * p
-                r1, r2 = math.floor(rn), math.ceil(rn)
-                below, inband = int(r[f"b{i}"]), int(r[f"m{i}"])
-                checked[(g, i)] = (below, rn, r1, r2)
-                if not (below <= r1 and r2 < below + inband):
-                    wide.append((g, i))
-                elif inband > max_band and band[(g, i)][0] < band[(g, i)][1]:
-                    narrow.append((g, i, (r1 - below) / max(inband - 1, 1)))
-        if not wide and not narrow:
+        # count pass with per-group arrays: one row per value, no k-fold blow-up
+        arr = bands.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("qi", "lo", "hi"))).alias("s"))
+        counted = vals.join(F.broadcast(arr), "g").groupBy("g").agg(
+            *[F.count_if(F.col("v") < F.col("s")[i]["lo"]).alias(f"b{i}") for i in range(k)],
+            *[F.count_if((F.col("v") >= F.col("s")[i]["lo"]) & (F.col("v") <= F.col("s")[i]["hi"]))
+              .alias(f"m{i}") for i in range(k)])
+        counted = counted.select("g", F.posexplode(F.array(*[
+            F.struct(F.col(f"b{i}").alias("below"), F.col(f"m{i}").alias("inband")) for i in range(k)]))
+            .alias("qi", "c")).select("g", "qi", "c.below", "c.inband")
+        st = bands.join(counted, ["g", "qi"])
+        contains = (F.col("below") <= F.col("r1")) & (F.col("r2") < F.col("below") + F.col("inband"))
+        narrow = contains & (F.col("inband") > max_band) & (F.col("lo") < F.col("hi"))
+        st = st.withColumn("wide", ~contains).withColumn("narrow", narrow)
+        checked = bounded_broadcast(st, "quantile_checks")
+        if checked.where(F.col("wide") | F.col("narrow")).count() == 0:
             break
-        for g, i in wide:
-            band[(g, i)] = (-math.inf, math.inf)
-        if narrow:
-            ndf = spark.createDataFrame([(g, i, band[(g, i)][0], band[(g, i)][1]) for g, i, _ in narrow],
-                                        f"bg {gtype}, qi int, blo double, bhi double")
-            sub = (vals.join(F.broadcast(ndf), (F.col("g") == F.col("bg")) & (F.col("v") >= F.col("blo"))
-                             & (F.col("v") <= F.col("bhi")))
-                   .groupBy("bg", "qi").agg(F.percentile_approx("v", grid, accuracy).alias("pts")).collect())
-            pts = {(r["bg"], r["qi"]): r["pts"] for r in sub}
-            for g, i, rel in narrow:
-                j = min(63, int(math.floor(rel * 64)))
-                pt = pts[(g, i)]
-                band[(g, i)] = (float(pt[max(j - 1, 0)]), float(pt[min(j + 2, 64)]))
+        nb = checked.where("narrow").select(F.col("g").alias("bg"), F.col("qi").alias("bq"),
+                                            F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
+        pts = (vals.join(F.broadcast(nb), (F.col("g") == F.col("bg")) & (F.col("v") >= F.col("blo"))
+                         & (F.col("v") <= F.col("bhi")))
+               .groupBy("bg", "bq").agg(F.percentile_approx("v", grid, accuracy).alias("pts")))
+        upd = checked.join(pts, (F.col("g") == F.col("bg")) & (F.col("qi") == F.col("bq")), "left")
+        rel = (F.col("r1") - F.col("below")) / F.greatest(F.col("inband") - 1, F.lit(1))
+        j = F.least(F.lit(63), F.floor(rel * 64).cast("int"))
+        lo = (F.when(F.col("wide"), F.lit(float("-inf")))
+              .when(F.col("narrow"), F.element_at("pts", F.greatest(j - 1, F.lit(0)) + 1))
+              .otherwise(F.col("lo")))
+        hi = (F.when(F.col("wide"), F.lit(float("inf")))
+              .when(F.col("narrow"), F.element_at("pts", F.least(j + 2, F.lit(64)) + 1))
+              .otherwise(F.col("hi")))
+        bands = bounded_broadcast(upd.select("g", "n", "qi", lo.alias("lo"), hi.alias("hi"),
+                                             "rn", "r1", "r2"), "quantile_bands")
     else:  # pragma: no cover - bands are exact after a widening round
         raise RuntimeError("quantile bands did not converge")
 
-    long = [(g, i, band[(g, i)][0], band[(g, i)][1], *checked[(g, i)]) for (g, i) in checked]
-    bands = spark.createDataFrame(long, f"g {gtype}, qi int, lo double, hi double, below long, "
-                                        "rn double, r1 long, r2 long")
+    bands = checked.select("g", "qi", "lo", "hi", "below", "rn", "r1", "r2")
     # a band holding one value (ties) is already the answer
     flat = bands.where(F.col("lo") == F.col("hi")).select(
         F.col("g").alias(group), F.col("qi").cast("int").alias("qi"), F.col("lo").alias("edge"))
