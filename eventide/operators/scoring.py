@@ -209,8 +209,8 @@ def horizon_scores(m: NgramModel, vocab: DataFrame, target_id: int, steps: int,
         "c", ((F.coalesce("n0", F.lit(0)) + F.lit(s.alpha))
               / F.lit(m.total + s.alpha * m.vocab_size)).alias("p0"))
     base = ids.join(p0, "c").join(m.t1.withColumnRenamed("c1", "c"), "c", "left")
-    base = F.broadcast(bounded_broadcast(base.select("c", "p0", F.coalesce("n1c", F.lit(0)).alias("n1c")),
-                                         "horizon_base"))
+    base = bounded_broadcast(base.select("c", "p0", F.coalesce("n1c", F.lit(0)).alias("n1c")),
+                             "horizon_base")
     state = base.select("c", (F.col("c") == target_id).cast("double").alias("g"),
                         F.lit(0.0).alias("acc"))
     everything = Window.partitionBy()
@@ -220,7 +220,9 @@ def horizon_scores(m: NgramModel, vocab: DataFrame, target_id: int, steps: int,
         # the state is read once per step: every row goes out as a "self"
         # row (carries acc) and as an "edge" row (joined to the observed
         # bigrams ending in it); one aggregate per context gathers both, so
-        # the plan grows linearly with the steps and no job runs per step.
+        # the plan grows linearly with the steps.  The lineage is still cut
+        # every ``checkpoint_every`` steps: analysing a deep plan costs more
+        # than writing a vocabulary-sized table.
         # (column names are case-insensitive, so the scalar is "gsum")
         st = state.join(base.select("c", "p0"), "c") \
             .withColumn("gsum", F.sum(F.col("p0") * F.col("g")).over(everything))
