@@ -211,7 +211,7 @@ def horizon_scores(m: NgramModel, vocab: DataFrame, target_id: int, steps: int,
     base = ids.join(p0, "c").join(m.t1.withColumnRenamed("c1", "c"), "c", "left")
     base = bounded_broadcast(base.select("c", "p0", F.coalesce("n1c", F.lit(0)).alias("n1c")),
                              "horizon_base")
-    state = base.select("c", (F.col("c") == target_id).cast("double").alias("g"),
+    state = base.select("c", "p0", "n1c", (F.col("c") == target_id).cast("double").alias("g"),
                         F.lit(0.0).alias("acc"))
     everything = Window.partitionBy()
     m1 = bounded_broadcast(m.m1.select(F.col("c1").alias("__c1"), F.col("token_id").alias("__t"), "n1"),
@@ -224,19 +224,21 @@ def horizon_scores(m: NgramModel, vocab: DataFrame, target_id: int, steps: int,
         # every ``checkpoint_every`` steps: analysing a deep plan costs more
         # than writing a vocabulary-sized table.
         # (column names are case-insensitive, so the scalar is "gsum")
-        st = state.join(base.select("c", "p0"), "c") \
-            .withColumn("gsum", F.sum(F.col("p0") * F.col("g")).over(everything))
-        x = st.select("c", "g", "acc", "gsum", F.explode(F.array(F.lit(0), F.lit(1))).alias("kind"))
+        st = state.withColumn("gsum", F.sum(F.col("p0") * F.col("g")).over(everything))
+        x = st.select("c", "p0", "n1c", "g", "acc", "gsum",
+                      F.explode(F.array(F.lit(0), F.lit(1))).alias("kind"))
         j = x.join(m1, (F.col("kind") == 1) & (F.col("c") == F.col("__t")), "left")
         key = F.when(F.col("kind") == 0, F.col("c")).otherwise(F.col("__c1"))
         agg = (j.where(key.isNotNull()).groupBy(key.alias("c"))
                .agg(F.sum(F.when(F.col("kind") == 1, F.col("n1") * F.col("g"))).alias("num"),
                     F.max(F.when(F.col("kind") == 0, F.col("acc"))).alias("acc"),
+                    F.max(F.when(F.col("kind") == 0, F.col("p0"))).alias("p0"),
+                    F.max(F.when(F.col("kind") == 0, F.col("n1c"))).alias("n1c"),
                     F.max("gsum").alias("gsum")))
-        nxt = agg.join(base.select("c", "n1c"), "c")
+        nxt = agg
         g = (F.when(F.col("n1c") > 0, F.lit(lam) * F.coalesce("num", F.lit(0.0)) / F.col("n1c"))
              .otherwise(F.lit(lam) * F.col("gsum")) + F.lit(s.l0) * F.col("gsum"))
-        state = nxt.select("c", g.alias("g"), (F.col("acc") + g).alias("acc"))
+        state = nxt.select("c", "p0", "n1c", g.alias("g"), (F.col("acc") + g).alias("acc"))
         if checkpoint_every and step % checkpoint_every == 0 and step < steps:
             state = state.checkpoint()
     return state.select(F.col("c").alias("c1"), (F.col("acc") / F.lit(float(steps))).alias("score"))
