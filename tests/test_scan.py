@@ -72,3 +72,10 @@ def test_levels_for_grows_with_the_longest_group():
     assert levels_for(4096 ** 2) == 2
     assert levels_for(4096 ** 2 + 1) == 3
     assert levels_for(10 ** 11) == 4
+
+
+@pytest.mark.parametrize("levels", [2, 3, 4])
+def test_rank_depth_does_not_change_result(spark, levels):
+    pdf, df = _frame(spark, 4)
+    got = rank_in_group(df, "g", "pos", "r", fanout=3, levels=levels).toPandas().sort_values(["g", "pos"])
+    assert (got.groupby("g").cumcount().values == got["r"].values).all()
