@@ -28,6 +28,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventide.llm.common import once
+
 
 @dataclass(frozen=True)
 class Template:
@@ -74,14 +76,13 @@ def format_conversations(turns: DataFrame, template: Template = TEMPLATE, id_col
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).alias("t"))
     sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     # places (from 1) at which a run of one role starts
-    starts = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: (i == 1) | (
+    first_of_run = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: (i == 1) | (
         F.element_at("turns", i)["role"] != F.element_at("turns", F.greatest(i - 1, F.lit(1)))["role"]))
-    placed = sorted_turns.withColumn("starts", starts)
-    runs = F.transform("starts", lambda s, k: F.struct(
+    runs = once(first_of_run, lambda starts: F.transform(starts, lambda s, k: F.struct(
         F.element_at("turns", s)["role"].alias("role"),
-        F.transform(F.slice("turns", s, F.coalesce(F.get("starts", k + 1), F.size("turns") + 1) - s),
-                    lambda x: t.escape(x["text"])).alias("parts")))
-    merged = placed.select("conv_id", runs.alias("runs"))
+        F.transform(F.slice("turns", s, F.coalesce(F.get(starts, k + 1), F.size("turns") + 1) - s),
+                    lambda x: t.escape(x["text"])).alias("parts"))))
+    merged = sorted_turns.select("conv_id", runs.alias("runs"))
     pieces = merged.select("conv_id", F.transform("runs", lambda r: F.struct(
         F.concat(F.lit(t.start), t.escape(r["role"]), F.lit(t.message)).alias("head"), r["parts"].alias("parts"),
         r["role"].isin(*t.trained).alias("trained"))).alias("runs"))
@@ -107,7 +108,8 @@ def read_back(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
                        lambda r: F.split(F.substring(r, len(t.start) + 1, 2**31 - 1), re.escape(t.message), 2))
     turns = F.flatten(F.transform(runs, lambda r: F.transform(F.split(F.get(r, F.lit(1)), re.escape(t.part)), lambda p: F.struct(
         t.unescape(F.get(r, F.lit(0))).alias("role"), t.unescape(p).alias("text")))))
-    under = F.array_join(F.transform("loss", lambda s: t.unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")
+    under = once(F.col("formatted"), lambda f: F.array_join(F.transform("loss", lambda s: t.unescape(
+        F.substring(f, s["start"] + 1, s["end"] - s["start"]))), ""))
     return formatted.select("conv_id", turns.alias("turns"), under.alias("loss_text"), "formatted")
 
 

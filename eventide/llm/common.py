@@ -62,6 +62,13 @@ def unit_hash(*cols: str | Column) -> Column:
     return F.pmod(F.shiftrightunsigned(F.xxhash64(F.lit("unit"), *cols), 11), F.lit(2**53)) / F.lit(float(2**53))
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row.  Bound as a lambda's
+    variable it stays so, also if Catalyst pushes a filter on the
+    result below the projection and copies the expression."""
+    return F.transform(F.array(value), use)[0]
+
+
 def number_array(values) -> Column:
     """A constant array<double>; one string literal that Catalyst folds, so
     a table of thousands of numbers is one node of the plan."""
