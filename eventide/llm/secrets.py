@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import number_array, texts, unit_hash
+from eventide.llm.common import number_array, once, texts, unit_hash
 
 # Base patterns, in this order; the group that must have at
 # least so many characters.
@@ -60,15 +60,14 @@ def spans(text: Column, pattern: str, no: int, kind: str, fits) -> Column:
     computed once each; a text without a match costs one search."""
     def walk(both: Column) -> Column:
         found, pieces = both["found"], both["pieces"]
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("at"), none().alias("out")), lambda acc, i: F.transform(
-            F.array(F.struct((acc["at"] + F.char_length(F.get(pieces, i))).alias("start"), F.get(found, i).alias("m"))),
+        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("at"), none().alias("out")), lambda acc, i: once(
+            F.struct((acc["at"] + F.char_length(F.get(pieces, i))).alias("start"), F.get(found, i).alias("m")),
             lambda x: F.struct((x["start"] + F.char_length(x["m"])).alias("at"), F.when(fits(x["m"]), F.concat(acc["out"], F.array(F.struct(
                 x["start"].alias("start"), F.lit(no).alias("no"), (x["start"] + F.char_length(x["m"])).alias("end"), F.lit(kind).alias("kind")))))
-                .otherwise(acc["out"]).alias("out")))[0])["out"]
+                .otherwise(acc["out"]).alias("out"))))["out"]
 
-    once = F.transform(F.array(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"),
-                                        F.split(text, pattern, -1).alias("pieces"))), walk)[0]
-    return F.when(F.regexp_like(text, F.lit(pattern)), once).otherwise(none())
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("pieces"))
+    return F.when(F.regexp_like(text, F.lit(pattern)), once(both, walk)).otherwise(none())
 
 
 def base_spans(text: Column) -> Column:
@@ -85,8 +84,8 @@ def base_spans(text: Column) -> Column:
 
 def pairs(token: Column) -> Column:
     """Codes of the consecutive characters of an ASCII token."""
-    return F.transform(F.sequence(F.lit(2), F.char_length(token)), lambda i: (
-        F.ascii(F.substring(token, i - 1, F.lit(1))) * 128 + F.ascii(F.substring(token, i, F.lit(1)))))
+    return once(F.transform(F.split(token, ""), lambda c: F.ascii(c)), lambda cs: F.transform(
+        F.slice(cs, 2, F.greatest(F.char_length(token) - 1, F.lit(0))), lambda c, i: F.get(cs, i) * 128 + c))
 
 
 def samples(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
