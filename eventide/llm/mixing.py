@@ -9,10 +9,13 @@
    (expected tokens - target)^2 / present tokens.  Scaled by 1 / t_i (the natural
    metric, in which one repeat costs its tokens) a step is::
 
-       r_i <- max(0, r_i - sum_d p_id * (total_d - target_d) / present_d)
+       r_i <- max(0, r_i - sum_d p_id * move_d)
 
-   and a step of 1 converges, as each row of p sums to 1.  A step is one aggregate of
-   the compact table (tokens, posterior): one number a domain reaches the driver.
+   where ``move`` is (total - target) / present, with which a step of 1 always
+   goes down, as each row of p sums to 1.  Longer steps, scaled by how the totals
+   answer to the rows that are not at zero, are tried before it and taken if the sum falls.
+   A step is one aggregate of the compact table (tokens, posterior): nine numbers
+   reach the driver, whatever the corpus.
 3. **Copies**: the rate rounded to a whole number, up with the probability of its
    fraction, by a hash of the row; expected totals stay as fitted.
 
@@ -109,35 +112,77 @@ def memberships(docs: DataFrame, model, id_col: str = "doc_id", text_col: str =
     return odds.select("doc_id", "h", "n_tokens", F.transform("e", lambda e: e / F.aggregate("e", F.lit(0.0), lambda a, x: a + x)).alias("p"))
 
 
+def solved(g: list[list[float]], right: list[float]) -> list[float]:
+    """Gaussian elimination for as many unknowns as there are domains."""
+    n = len(right)
+    rows = [[*g[i], right[i]] for i in range(n)]
+    for i in range(n):
+        top = max(range(i, n), key=lambda j: abs(rows[j][i]))
+        rows[i], rows[top] = rows[top], rows[i]
+        for j in range(n):
+            if j != i and rows[i][i]:
+                f = rows[j][i] / rows[i][i]
+                rows[j] = [x - f * y for x, y in zip(rows[j], rows[i])]
+    return [r[n] / r[i] if r[i] else 0.0 for i, r in enumerate(rows)]
+
+
 def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0, rounds: int = ROUNDS,
               tolerance: float = TOLERANCE) -> DataFrame:
     """``members`` with a column ``rate``."""
     k = range(len(DOMAINS))
     flat = saved(members.select("doc_id", "h", "n_tokens", *[F.col("p")[i].alias(f"p{i}") for i in k], F.lit(float(budget)).alias("rate")), "members")
-
-    def totals(rows: DataFrame, rate: Column) -> list[float]:
-        got = rows.agg(*[F.sum(rate * F.col("n_tokens") * F.col(f"p{i}")).alias(f"s{i}") for i in k]).first()
-        return [float(x or 0.0) for x in got]
-
-    present = totals(flat, F.lit(1.0))
+    pairs = [(i, j) for i in k for j in k if i <= j]
+
+    def measured(rows: DataFrame, rate: Column) -> tuple[list[float], list[list[float]]]:
+        """Expected tokens of each domain, and how they answer to a move of
+        the rows that are free (rate above zero): one aggregate, nine numbers."""
+        free = F.when(rate > 0, F.col("n_tokens")).otherwise(0)
+        r = rows.agg(*[F.sum(rate * F.col("n_tokens") * F.col(f"p{i}")) for i in k],
+                     *[F.sum(free * F.col(f"p{i}") * F.col(f"p{j}")) for i, j in pairs]).first()
+        r = [float(x or 0.0) for x in r]
+        of = {p: x for p, x in zip(pairs, r[len(DOMAINS):])}
+        return r[:len(DOMAINS)], [[of[min(i, j), max(i, j)] for j in k] for i in k]
+
+    now, answer = measured(flat, F.col("rate"))
+    present = [sum(row) for row in answer] if budget > 0 else [0.0 for _ in k]
     whole = sum(present)
     wanted = [targets.get(d, 0.0) for d in DOMAINS]
-    shares = sum(w for w, m in zip(wanted, present) if m > 0)
+    live = [m > 1e-9 * whole for m in present]
+    shares = sum(w for w, m in zip(wanted, live) if m)
     if not whole or not shares:
         return flat
-    goal = [w / shares * budget * whole if m > 0 else 0.0 for w, m in zip(wanted, present)]
-    now = [budget * m for m in present]
+    goal = [w / shares * budget * whole if m else 0.0 for w, m in zip(wanted, live)]
+
+    def loss(totals: list[float]) -> float:
+        return sum((a - b) ** 2 / m for a, b, m, x in zip(totals, goal, present, live) if x) / whole
+
+    def moves(step: str) -> list[float]:
+        if step in ("whole", "part"):  # the inverse of the free rows' answer, damped
+            size = 1.0 if step == "whole" else 0.3
+            return [size * x for x in solved([[answer[i][j] + (1e-6 * whole if i == j else 0.0) for j in k] for i in k], gap)]
+        by = [sum(row) for row in answer] if step == "free" else present
+        return [x / m if y and m > 1e-9 * whole else 0.0 for x, m, y in zip(gap, by, live)]
+
+    steps, at, accepted = ("whole", "part", "free", "plain"), 0, 0
     rate = F.col("rate")
-    for step in range(1, rounds + 1):
-        moves = [(a - b) / m if m > 1e-9 * whole else 0.0 for a, b, m in zip(now, goal, present)]
-        if max(abs(a - b) for a, b in zip(now, goal)) <= tolerance * sum(goal):
+    for _ in range(rounds):
+        gap = [a - b if x else 0.0 for a, b, x in zip(now, goal, live)]
+        if max(map(abs, gap)) <= tolerance * sum(goal):
             break
-        change = sum((F.col(f"p{i}") * F.lit(moves[i]) for i in k), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - change)
-        if step % 8 == 0:  # keep the expression short
+        move = moves(steps[at])
+        tried = F.greatest(F.lit(0.0), rate - sum((F.col(f"p{i}") * F.lit(move[i]) for i in k), F.lit(0.0)))
+        new, new_answer = measured(flat, tried)
+        if loss(new) >= loss(now):
+            if at == len(steps) - 1:  # a plain step goes down but at the minimum
+                break
+            at += 1
+            continue
+        rate, now, answer, accepted = tried, new, new_answer, accepted + 1
+        if accepted % 4 == 0:
+            at = max(0, at - 1)
+        if accepted % 8 == 0:  # keep the expression short
             flat = saved(flat.withColumn("rate", rate), "rates")
             rate = F.col("rate")
-        now = totals(flat, rate)
     return flat.withColumn("rate", rate)
 
 
