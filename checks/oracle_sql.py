@@ -181,7 +181,13 @@ SELECT token, split_part(token, '.', 1) AS family,
        TRY_CAST(string_split(token, '.')[-1] AS INTEGER) AS suffix FROM vocab""")
     q["unknown_tokens"] = with_base("""
 SELECT token, count(*) AS n FROM stream
-WHERE testset AND token NOT IN (SELECT token FROM vocab) GROUP BY token""")
+WHERE testset AND token NOT IN (SELECT token FROM stream WHERE NOT testset AND token NOT LIKE 'med.%' AND token NOT LIKE 'unit.%') GROUP BY token""")
+    readable = ("CASE WHEN contains(token, '.') THEN split_part(token, '.', 1) || ': ' || substr(token, instr(token, '.') + 1) "
+                "ELSE token END")
+    q["token_names"] = with_base(f"SELECT token_id, {readable} AS name FROM vocab")
+    q["decoded_heads"] = with_base(f"""
+SELECT stay_id, pos // {BLOCK} AS b, string_agg({readable}, ' | ' ORDER BY pos) AS names
+FROM stream WHERE testset AND token_id > 0 AND pos % {BLOCK} < 12 GROUP BY stay_id, pos // {BLOCK}""")
     q["token_stream"] = with_base("""
 SELECT stay_id, CAST(pos AS BIGINT) AS pos, charttime, token, token_id, CAST(hour_no AS BIGINT) AS hour_no
 FROM stream""")
@@ -318,7 +324,7 @@ SHIFT_COHORT = """
 scoh AS (
   SELECT s.stay_id, s.shift_start, s.y,
          (SELECT count(*) FROM stream t WHERE t.stay_id = s.stay_id AND t.charttime <= s.shift_start) AS cut
-  FROM shifts s WHERE s.stay_id % 10 = 0 ORDER BY s.stay_id, s.shift_start LIMIT 1000)"""
+  FROM shifts s WHERE s.stay_id % 10 = 0)"""
 
 
 def horizon_ctes(steps: int = 16, l0: float = 0.1, lam: float = 0.9) -> str:
@@ -326,10 +332,11 @@ def horizon_ctes(steps: int = 16, l0: float = 0.1, lam: float = 0.9) -> str:
 ids AS (SELECT token_id AS c FROM vocab WHERE token_id > 0),
 hb AS MATERIALIZED (
   SELECT i.c, (coalesce(m0.n0, 0) + 1.0) / (kn.N + 1.0 * kn.V) AS p0, coalesce(t1.n1c, 0) AS n1c
-  FROM ids i CROSS JOIN kn LEFT JOIN m0 ON m0.token_id = i.c LEFT JOIN t1 ON t1.c1 = i.c),
+  FROM ids i CROSS JOIN kn LEFT JOIN m0 ON m0.token_id = i.c LEFT JOIN t1 ON t1.c1 = i.c
+  UNION ALL SELECT -1, 0.0, 0),
 g0 AS MATERIALIZED (
   SELECT c, CASE WHEN c = (SELECT token_id FROM vocab WHERE token = 'med.purchase') THEN 1.0 ELSE 0.0 END AS g
-  FROM ids)"""]
+  FROM hb)"""]
     for k in range(1, steps + 1):
         parts.append(f"""
 g{k} AS MATERIALIZED (
@@ -344,7 +351,7 @@ g{k} AS MATERIALIZED (
 hs AS (SELECT c AS c1, sum(g) / {float(steps)} AS score FROM ({union}) GROUP BY c),
 hsc AS (SELECT s.stay_id, s.shift_start, s.y, hs.score FROM scoh s
         LEFT JOIN stream l ON l.stay_id = s.stay_id AND l.pos = s.cut - 1
-        LEFT JOIN hs ON hs.c1 = l.token_id)""")
+        LEFT JOIN hs ON hs.c1 = coalesce(l.token_id, -1))""")
     return ",".join(parts)
 
 
@@ -433,13 +440,15 @@ UNION ALL SELECT 'med.purchase', 'top_ap', round(ap, 6) FROM dmet WHERE cls = 9"
     q["los_cohort"] = with_base("SELECT stay_id, round(los_days, 6) AS los_days FROM coh", SHIFTS, COHORT)
     q["first_n_hours"] = with_base("SELECT stay_id, cut_pos, cut_token FROM cuts", SHIFTS, COHORT)
     q["last_lab_before_cut"] = with_base("SELECT stay_id, last_mag FROM lastlab", SHIFTS, COHORT)
+    q["dropped_examples"] = with_base("""
+SELECT e.target, count(*) AS n_examples, count(*) FILTER (n.token IS NULL) AS n_dropped
+FROM lex e LEFT JOIN stream n ON n.stay_id = e.stay_id AND n.pos = e.cut GROUP BY e.target
+UNION ALL
+SELECT 'first_n_hours', count(*), count(*) FILTER (u.stay_id IS NULL) FROM coh c LEFT JOIN cuts u USING (stay_id)""",
+                                      SHIFTS, COHORT, tl, LEX)
     q["dose_histogram"] = with_base("""
-SELECT c.stay_id, CAST(k AS INTEGER) AS decile,
-       count(CASE WHEN d.unit = 'unit.0' THEN 1 END) AS unit_0, count(CASE WHEN d.unit = 'unit.1' THEN 1 END) AS unit_1,
-       count(CASE WHEN d.unit = 'unit.2' THEN 1 END) AS unit_2, count(CASE WHEN d.unit = 'unit.3' THEN 1 END) AS unit_3
-FROM cuts c CROSS JOIN range(0, 10) r(k)
-LEFT JOIN dd d ON d.stay_id = c.stay_id AND d.decile = k
-GROUP BY c.stay_id, k""", SHIFTS, COHORT, """
+SELECT stay_id, unit, CAST(decile AS INTEGER) AS decile, count(*) AS n FROM dd
+GROUP BY stay_id, unit, decile""", SHIFTS, COHORT, """
 dd AS (
   SELECT c.stay_id, u.token AS unit, TRY_CAST(split_part(m.token, '.', 2) AS INTEGER) AS decile
   FROM cuts c JOIN stream s ON s.stay_id = c.stay_id AND s.token = 'med.purchase' AND s.pos < c.cut_pos
@@ -496,6 +505,15 @@ mmod AS (SELECT item, prev_mag, last_dose AS dose, mag, count(*) AS n FROM uw2
     q["magnitude_model"] = with_base("""
 SELECT item, CAST(prev_mag AS INTEGER) AS prev_mag, CAST(dose AS INTEGER) AS dose,
        CAST(mag AS INTEGER) AS mag, n FROM mmod""", mm)
+    q["magnitude_probs"] = with_base("""
+SELECT w.item, CAST(w.prev_mag AS INTEGER) AS prev_mag, CAST(w.dose AS INTEGER) AS dose, CAST(k AS INTEGER) AS mag,
+       round((coalesce(o.n, 0) + 10.0 * (coalesce(l.n, 0) + 1.0) / (bt.n + 10.0)) / (w.n + 10.0), 6) AS p
+FROM (SELECT item, prev_mag, dose, sum(n) AS n FROM mmod GROUP BY item, prev_mag, dose) w
+CROSS JOIN range(0, 10) r(k)
+JOIN (SELECT item, dose, sum(n) AS n FROM mmod GROUP BY item, dose) bt ON bt.item = w.item AND bt.dose IS NOT DISTINCT FROM w.dose
+LEFT JOIN mmod o ON o.item = w.item AND o.prev_mag IS NOT DISTINCT FROM w.prev_mag AND o.dose IS NOT DISTINCT FROM w.dose AND o.mag = k
+LEFT JOIN (SELECT item, dose, mag, sum(n) AS n FROM mmod GROUP BY item, dose, mag) l
+  ON l.item = w.item AND l.dose IS NOT DISTINCT FROM w.dose AND l.mag = k""", mm)
     q["pre_post_delta"] = with_base("""
 SELECT count(*) AS n, count(pre) AS n_pre, count(post) AS n_post, count(post - pre) AS n_pairs,
        round(avg(pre), 6) AS avg_pre, round(avg(post), 6) AS avg_post, round(avg(post - pre), 6) AS avg_delta
@@ -510,12 +528,24 @@ pp AS (SELECT p.stay_id, any_value(p.pre) AS pre,
        GROUP BY p.stay_id)""")
 
     q["shift_labels"] = with_base("SELECT stay_id, shift_start, y FROM shifts", SHIFTS)
-    q["shift_cohort"] = with_base("SELECT stay_id, shift_start, y, cut FROM scoh", SHIFTS, SHIFT_COHORT)
+    q["shift_cohort"] = with_base("SELECT stay_id, shift_start, y, cut FROM scoh ORDER BY stay_id, shift_start LIMIT 1000", SHIFTS, SHIFT_COHORT)
     q["no_prior_event"] = with_base("""
 SELECT s.stay_id, s.shift_start FROM shifts s JOIN splits sp USING (stay_id) JOIN stay_detail d USING (stay_id)
 WHERE sp.testset AND d.los_days > 1 AND NOT EXISTS (
   SELECT 1 FROM raw r WHERE r.stay_id = s.stay_id AND r.item = 'error' AND r.charttime < s.shift_start)""",
                                     SHIFTS)
+    context = f"""
+sctx AS (SELECT s.stay_id, s.shift_start, s.y, s.cut, coalesce({pad_text('l')}, {pad_text('[]::INTEGER[]')}) AS block FROM (
+  SELECT s.stay_id, s.shift_start, any_value(s.y) AS y, any_value(s.cut) AS cut,
+         list(coalesce(t.token_id, 0) ORDER BY t.pos) FILTER (t.pos IS NOT NULL) AS l
+  FROM scoh s LEFT JOIN stream t ON t.stay_id = s.stay_id AND t.pos >= s.cut - {BLOCK} AND t.pos < s.cut
+  GROUP BY s.stay_id, s.shift_start) s)"""
+    q["shift_context"] = with_base("SELECT stay_id, shift_start, y, cut, block FROM sctx", SHIFTS, SHIFT_COHORT, context)
+    q["first_time_shifts"] = with_base("""
+SELECT x.stay_id, x.shift_start, x.y, x.cut, x.block FROM sctx x JOIN stay_detail d USING (stay_id)
+WHERE d.los_days > 1 AND NOT EXISTS (
+  SELECT 1 FROM raw r WHERE r.stay_id = x.stay_id AND r.item = 'error' AND r.charttime < x.shift_start)""",
+                                       SHIFTS, SHIFT_COHORT, context)
     q["horizon_score"] = with_base("SELECT stay_id, shift_start, round(score, 6) AS score FROM hsc",
                                    SHIFTS, SHIFT_COHORT, MODEL, horizon_ctes())
     q["hour_horizon"] = with_base("""
@@ -527,7 +557,7 @@ GROUP BY c.stay_id, c.shift_start""", SHIFTS, SHIFT_COHORT)
 SELECT 'handoff' AS target, 'auroc' AS metric, round(auroc, 6) AS value FROM hmet
 UNION ALL SELECT 'handoff', 'ap', round(ap, 6) FROM hmet""", SHIFTS, SHIFT_COHORT, MODEL, horizon_ctes(),
                                   """
-hsel AS (SELECT 'handoff' AS t, score AS s, y FROM hsc WHERE score IS NOT NULL)""",
+hsel AS (SELECT 'handoff' AS t, score AS s, y FROM hsc)""",
                                   metric_ctes("hsel", ["t"], "h"))
     return q
 
@@ -626,6 +656,18 @@ cdf0 AS (SELECT token_id,
     q["contraindicated_positions"] = with_base("SELECT stay_id, pos, drug, state FROM ci", CI)
     q["inject_error"] = with_base("SELECT stay_id, pos, token, loss_weight FROM aug", CI,
                                   insert_sql("(SELECT stay_id, pos + 2 AS pos FROM ci)"))
+    q["masked_loss"] = with_base(f"""
+SELECT count(*) AS n, CAST(sum(R.loss_weight) AS BIGINT) AS n_weighted, round(avg(-ln({p_expr()})), 6) AS loss_all,
+       round(sum(-ln({p_expr()}) * R.loss_weight) / sum(R.loss_weight), 6) AS loss_masked
+{score_from('mreq')}""", CI, insert_sql("(SELECT stay_id, pos + 2 AS pos FROM ci)"), MODEL, """
+mtok AS (SELECT a.stay_id, a.pos, a.loss_weight, coalesce(v.token_id, -1) AS target_id
+         FROM aug a LEFT JOIN vocab v USING (token) WHERE a.stay_id % 10 = 0),
+mreq AS (SELECT target_id, loss_weight, lag(target_id, 1) OVER (PARTITION BY stay_id ORDER BY pos) AS c1,
+                lag(target_id, 2) OVER (PARTITION BY stay_id ORDER BY pos) AS c2 FROM mtok)""")
+    q["saved_model"] = with_base("""
+SELECT 0 AS "order", count(*) AS n_rows, CAST(sum(n0) AS BIGINT) AS n_tokens, any_value(kn.N) AS total FROM m0, kn
+UNION ALL SELECT 1, count(*), CAST(sum(n1) AS BIGINT), any_value(kn.N) FROM m1, kn
+UNION ALL SELECT 2, count(*), CAST(sum(n2) AS BIGINT), any_value(kn.N) FROM m2, kn""", MODEL)
     q["dose_x10"] = with_base("SELECT stay_id, pos, token, loss_weight FROM aug", insert_sql(
         f"(SELECT stay_id, pos + 2 AS pos FROM stream WHERE token = 'med.purchase' "
         f"AND {uniform_sql('stay_id', 'pos')} < 0.1)", replace="magnitude.9"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions.hashing import uniform
 from eventide.functions.tokens import suffix_int
-from eventide.operators.scan import at_offset, last_before, rank_in_group
+from eventide.operators.scan import last_before, prefix_sum
 
 ERROR_TOKEN = "error"
 # fixed values: (drug token, lab token, lowest lab magnitude that forbids it)
@@ -35,16 +35,12 @@ def contraindicated(tokens: DataFrame, rules: Sequence[tuple] = RULES, levels: i
     value of the rule's lab (before the drug) is at least the threshold."""
     out = None
     for drug, lab, lo in rules:
-        labs = tokens.where(F.col("token") == lab).select("stay_id", "pos")
-        labs = at_offset(labs, tokens, "pos", 1, ["token"], prefix="n_")
-        labs = labs.select("stay_id", "pos", F.when(F.col("n_token").startswith("magnitude."),
-                                                    suffix_int("n_token")).alias("v"))
-        drugs = tokens.where(F.col("token") == drug).select("stay_id", "pos",
-                                                             F.lit(None).cast("int").alias("v"))
-        rows = last_before(labs.unionByName(drugs.select("stay_id", "pos", "v")),
-                           "stay_id", "pos", "v", "state", inclusive=False, levels=levels)
-        hit = rows.where(F.col("v").isNull() & (F.col("state") >= lo)) \
-            .join(drugs.select("stay_id", "pos"), ["stay_id", "pos"]) \
+        # labs and drugs in one scan and one carry; no join back
+        both = tokens.where(F.col("token").isin(lab, drug)).select(
+            "stay_id", "pos", (F.col("token") == drug).alias("is_drug"),
+            F.when((F.col("token") == lab) & F.col("next1").startswith("magnitude."), suffix_int("next1")).alias("v"))
+        rows = last_before(both, "stay_id", "pos", "v", "state", inclusive=False, levels=levels)
+        hit = rows.where(F.col("is_drug") & (F.col("state") >= lo)) \
             .select("stay_id", "pos", F.lit(drug).alias("drug"), "state")
         out = hit if out is None else out.unionByName(hit)
     return out
@@ -61,20 +57,19 @@ def insert_after(tokens: DataFrame, anchors: DataFrame, insert_token: str = ERRO
     before the insertion.
     """
     a = anchors.select("stay_id", "pos").distinct()
-    a = rank_in_group(a, "stay_id", "pos", "k", levels=levels)
     base = tokens.select("stay_id", "pos", "token")
     if replace is not None:
         r = replace.select("stay_id", "pos", F.col("token").alias("__new"))
         base = base.join(r, ["stay_id", "pos"], "left") \
             .select("stay_id", "pos", F.coalesce("__new", "token").alias("token"))
-    marked = base.join(a.select("stay_id", "pos", (F.col("k") + 1).alias("incl")),
-                       ["stay_id", "pos"], "left")
-    marked = last_before(marked, "stay_id", "pos", "incl", "before", inclusive=False, levels=levels)
-    moved = marked.select("stay_id", (F.col("pos") + F.coalesce("before", F.lit(0))).alias("pos"),
-                          "token", F.lit(0).alias("loss_weight"))
-    ins = a.select("stay_id", (F.col("pos") + F.col("k") + 1).alias("pos"),
-                   F.lit(insert_token).alias("token"), F.lit(1).alias("loss_weight"))
-    return moved.unionByName(ins)
+    marked = base.join(a.withColumn("mark", F.lit(1).cast("long")), ["stay_id", "pos"], "left").fillna(0, ["mark"])
+    counted = prefix_sum(marked, "stay_id", "pos", ["mark"], levels=levels)
+    # each row gives itself and, at an anchor, the inserted token behind it
+    at = F.col("pos") + F.col("mark_before")
+    own = F.struct(at.alias("pos"), F.col("token").alias("token"), F.lit(0).alias("loss_weight"))
+    new = F.struct((at + 1).alias("pos"), F.lit(insert_token).alias("token"), F.lit(1).alias("loss_weight"))
+    return counted.select("stay_id", F.explode(F.when(F.col("mark") == 1, F.array(own, new)).otherwise(F.array(own))).alias("r")) \
+        .select("stay_id", "r.*")
 
 
 def inject_error(tokens: DataFrame, rules: Sequence[tuple] = RULES, levels: int = 2) -> DataFrame:

@@ -9,15 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.operators.scan import at_offset, last_before, rank_in_group
-
-
-def occurrences(tokens: DataFrame, targets: Sequence[str], test_only: bool = True) -> DataFrame:
-    """``(target, stay_id, n)``: how often each target occurs per stay."""
-    t = tokens.where(F.col("token").isin(list(targets)))
-    if test_only:
-        t = t.where("testset")
-    return t.groupBy(F.col("token").alias("target"), "stay_id").agg(F.count("*").alias("n"))
+from eventide.operators.scan import rank_in_group
 
 
 def nth_occurrences(tokens: DataFrame, targets: Sequence[str], test_only: bool = True,
@@ -31,21 +23,25 @@ def nth_occurrences(tokens: DataFrame, targets: Sequence[str], test_only: bool =
     t = tokens.where(F.col("token").isin(list(targets)))
     if test_only:
         t = t.where("testset")
-    t = t.select(F.col("token").alias("target"), "stay_id", "pos", "token_id")
+    t = t.select(F.col("token").alias("target"), "stay_id", "pos", "token_id", "next1")
     t = rank_in_group(t, ["stay_id", "target"], "pos", "occ", levels=levels)
     if drop_first:
         t = t.where(F.col("occ") > 0)
     return t.withColumn("cut", F.col("pos") + 1)
 
 
-def value_after(examples: DataFrame, tokens: DataFrame, offset: int = 1,
-                name: str = "val_token", drop_missing: bool = True) -> DataFrame:
-    """Token at ``pos + offset`` (the value read right after the target)."""
-    r = at_offset(examples, tokens, "pos", offset, ["token"], prefix="__v_")
-    r = r.withColumnRenamed("__v_token", name)
+def value_after(examples: DataFrame, name: str = "val_token", drop_missing: bool = True) -> DataFrame:
+    """The value read right after the target: the stream carries it, so this is
+    a projection.  An example at the end of its stay has none; ``dropped`` counts those."""
+    r = examples.withColumnRenamed("next1", name)
     return r.where(F.col(name).isNotNull()) if drop_missing else r
 
 
+def dropped(examples: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``(*group, n_examples, n_dropped)``: examples, and those without a value."""
+    return examples.groupBy(*group).agg(F.count("*").alias("n_examples"), F.count_if(F.col("next1").isNull()).alias("n_dropped"))
+
+
 def one_hot(examples: DataFrame, value_col: str, expected: Sequence[str]) -> DataFrame:
     """Long one-hot labels: one row per expected class with ``y`` 0/1; an
     unexpected value gives all zeros (kept, as in the reference)."""
@@ -84,10 +80,8 @@ def last_value_before(tokens: DataFrame, cuts: DataFrame, item_token: str,
                       cut_col: str = "cut_pos") -> DataFrame:
     """Magnitude read after the last ``item_token`` before the cut, per stay
     (``max_by`` over positions: a partial aggregate, not a scan)."""
-    items = tokens.where(F.col("token") == item_token).select("stay_id", "pos")
-    items = at_offset(items, tokens, "pos", 1, ["token"], prefix="__n_")
-    items = items.withColumn("mag", F.when(F.col("__n_token").startswith("magnitude."),
-                                           F.substring_index("__n_token", ".", -1).try_cast("int")))
+    items = tokens.where(F.col("token") == item_token).select("stay_id", "pos", F.when(
+        F.col("next1").startswith("magnitude."), F.substring_index("next1", ".", -1).try_cast("int")).alias("mag"))
     j = items.join(cuts.select("stay_id", cut_col), "stay_id").where(F.col("pos") < F.col(cut_col))
     last = j.groupBy("stay_id").agg(F.max_by("mag", "pos").alias("last_mag"))
     return cuts.join(last, "stay_id", "left")
@@ -100,18 +94,19 @@ def asof_cut(requests: DataFrame, tokens: DataFrame, grid: DataFrame, time_col:
     Tokens and requests meet on ``(stay, unit bucket of t)``: the bucket's
     own spine token is at or before ``t``, so the answer lies in that bucket
     (or is 0 before the first event, or the whole stream after the last).
+    Equal requests are answered once and given back as often as they came.
     """
     from eventide.operators.stream import epoch_us
     us = epoch_us(time_col)
-    r = requests.withColumn("__ab", F.floor(us / F.lit(unit_us)).cast("long")) \
-        .withColumn("__us", us)
+    r = requests.groupBy(*requests.columns).agg(F.count("*").alias("__times"))
+    r = r.withColumn("__ab", F.floor(us / F.lit(unit_us)).cast("long")).withColumn("__us", us)
     tk = tokens.select(F.col("stay_id").alias("__s"), F.col("pos").alias("__p"),
                        epoch_us("charttime").alias("__tus")) \
         .withColumn("__tb", F.floor(F.col("__tus") / F.lit(unit_us)).cast("long"))
     inb = r.join(tk, (F.col("stay_id") == F.col("__s")) & (F.col("__ab") == F.col("__tb"))
                  & (F.col("__tus") <= F.col("__us")), "left")
     key = [c for c in requests.columns]
-    got = inb.groupBy(*key, "__ab").agg(F.max("__p").alias("__mx"))
+    got = inb.groupBy(*key, "__ab", "__times").agg(F.max("__p").alias("__mx"))
     stays = grid.groupBy("stay_id").agg(F.min("ah0").alias("__ah0"), F.max("ah").alias("__ah1"),
                                         F.max(F.col("c_before") + F.col("c")).alias("__ntok_ev"),
                                         F.count("*").alias("__nunits"))
@@ -120,4 +115,4 @@ def asof_cut(requests: DataFrame, tokens: DataFrame, grid: DataFrame, time_col:
     cut = (F.when(F.col("__mx").isNotNull(), F.col("__mx") + 1)
            .when(F.col("__ab") > F.col("__ah1"), total)
            .otherwise(F.lit(0)))
-    return got.select(*key, cut.cast("long").alias("cut"))
+    return got.select(*key, cut.cast("long").alias("cut"), F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")

@@ -4,9 +4,10 @@ average precision (step sum over distinct thresholds), per group and macro.
 Rows are first collapsed to distinct ``(group, score)`` with positive and
 negative counts (partial aggregation).  The running counts the formulas need
 are exclusive prefix sums in ascending score order, done in two levels: a
-window inside a score bucket, and a scan over per-bucket totals.  Buckets are
-``floor(atan(score) * 2**20)``: monotone in the score, so order and ties are
-kept, and at most ~3.3 million buckets exist per group whatever the data size.
+window inside a score bucket, and a window over per-bucket totals.  The bucket
+bounds are the group's own sketched quantiles of its distinct scores, so buckets are
+about equally large whatever the scores' scale; a bucket is an interval, so order and
+ties are kept.
 
 Undefined cases follow the usual library rules: AUROC is NULL when a group
 has only one class; AP is 0 when it has no positive.
@@ -19,11 +20,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.operators.scan import prefix_sum
+from eventide.operators.settled import settled
 
-BUCKET_SCALE = float(2 ** 20)
-# a group with at most this many distinct scores is scanned by one window
-SINGLE_WINDOW_MAX = 1_000_000
+BUCKETS = 128
 
 
 def _collapse(df: DataFrame, group: Sequence[str], score: str, label: str) -> DataFrame:
@@ -32,45 +31,33 @@ def _collapse(df: DataFrame, group: Sequence[str], score: str, label: str) -> Da
             .withColumn("neg", F.col("cnt") - F.col("pos")))
 
 
+def bucketed(d: DataFrame, group: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """Adds ``bkt``: the number of the group's score quantiles below ``s``."""
+    cuts = d.groupBy(*group).agg(F.percentile_approx("s", [i / buckets for i in range(1, buckets)], 100 * buckets).alias("cuts"))
+    cuts = settled(cuts.select(*group, F.array_distinct("cuts").alias("cuts")), "score-cuts")
+    return d.join(cuts, group).withColumn("bkt", F.size(F.filter("cuts", lambda c: c < F.col("s")))).drop("cuts")
+
+
 def _ascending_prefix(d: DataFrame, group: Sequence[str]) -> DataFrame:
     """Exclusive prefix sums of pos, neg, cnt in ascending score order."""
-    d = d.withColumn("bkt", F.floor(F.atan("s") * F.lit(BUCKET_SCALE)).cast("long"))
+    sums = ("pos", "neg", "cnt")
+    d = bucketed(d, group)
     w = Window.partitionBy(*group, "bkt").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c + "_in")
-                        for c in ("pos", "neg", "cnt")])
-    tot = d.groupBy(*group, "bkt").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "cnt")])
-    tot = prefix_sum(tot, list(group), "bkt", ["pos", "neg", "cnt"])
-    tot = tot.select(*group, "bkt", "pos_before", "neg_before", "cnt_before")
+    d = d.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c + "_in") for c in sums])
+    over = Window.partitionBy(*group).orderBy("bkt").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    tot = d.groupBy(*group, "bkt").agg(*[F.sum(c).alias(c) for c in sums])
+    tot = tot.select(*group, "bkt", *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(c + "_before") for c in sums])
     d = d.join(tot, [*group, "bkt"])
-    for c in ("pos", "neg", "cnt"):
+    for c in sums:
         d = d.withColumn(c + "_lt", F.col(c + "_in") + F.col(c + "_before"))
     return d
 
 
-def _single_window_prefix(d: DataFrame, group: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*group).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    return d.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c + "_lt")
-                           for c in ("pos", "neg", "cnt")])
-
-
 def ranking_metrics(df: DataFrame, group: Sequence[str], score: str, label: str) -> DataFrame:
-    """``(*group, n, n_pos, auroc, ap)`` per group.
-
-    The collapsed table is materialised and its largest group is measured: up
-    to ``SINGLE_WINDOW_MAX`` distinct scores one window per group is used,
-    beyond it the two-level bucket scan.
-    """
+    """``(*group, n, n_pos, auroc, ap)`` per group."""
     group = list(group)
-    # the collapsed table (one row per distinct score) is checkpointed: the
-    # scan below reads it several times and its lineage is cut
-    from eventide.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    d = _collapse(df, group, score, label).checkpoint(eager=True)
-    widest = d.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    if widest <= SINGLE_WINDOW_MAX:
-        d = _single_window_prefix(d, group)
-    else:
-        d = _ascending_prefix(d, group)
+    # one row per distinct score, settled: the scan below reads it several times
+    d = _ascending_prefix(settled(_collapse(df, group, score, label), "scores"), group)
     totals = d.groupBy(*group).agg(F.sum("pos").alias("P"), F.sum("cnt").alias("N_all"))
     d = d.join(totals, group)
     tp = F.col("P") - F.col("pos_lt")           # positives with score >= s

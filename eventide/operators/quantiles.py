@@ -5,15 +5,16 @@ when one item holds a third of the data.  Here:
 
 1. a mergeable sketch (``percentile_approx``, partial aggregation, bounded
    state) gives for each target quantile ``q`` a value band
-   ``[approx(q - d), approx(q + d)]``;
-2. one counting pass checks that the band holds both order statistics the
-   interpolation needs (ranks ``floor`` and ``ceil`` of ``q * (n - 1)``) and is
-   at most ``max_band`` rows; failing bands are widened and re-checked;
-3. only the rows inside the bands are ranked exactly, in windows over
-   ``(group, quantile)`` that hold at most ``max_band`` rows each.
+   ``[approx(q - 3/accuracy), approx(q + 3/accuracy)]``; the sketch's ranks are
+   off by ``n / accuracy`` at most, so the band holds both order statistics that the
+   interpolation needs (ranks ``floor`` and ``ceil`` of ``q * (n - 1)``).  Groups
+   of up to ``accuracy`` rows, where that margin is under a rank, take all their values;
+2. one pass counts the values below each band (partial aggregate);
+3. the values inside the bands collapse to ``(group, quantile, value, count)``
+   by partial aggregate, so ties are one row, and a running sum of the counts
+   finds the two order statistics.
 
-Band bookkeeping is a small checkpointed table (one row per group and
-quantile); only a count of unsettled bands is read on the driver.
+Nothing is repeated, capped or switched by size: a band of ties is one row.
 """
 
 from __future__ import annotations
@@ -23,99 +24,52 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.operators.broadcast import bounded_broadcast
+from eventide.operators.settled import settled
 
+ACCURACY = 100_000
 
 
 def exact_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float],
-                    accuracy: int = 10000, max_band: int = 2_000_000,
-                    max_rounds: int = 8) -> DataFrame:
+                    accuracy: int = ACCURACY) -> DataFrame:
     """Rows ``(group, qi, edge)``: the ``probs[qi]`` quantile of ``value``
-    per ``group``, equal to ``quantile_cont`` / ``percentile``.
-
-    The bands live in a small checkpointed DataFrame (one row per group and
-    quantile); each round only a count of unsettled bands reaches the driver.
-    A band that misses an order statistic is widened to the whole range; a
-    band holding more than ``max_band`` rows is narrowed with a 65-point
-    sketch over its own rows around the target's relative rank (each round
-    divides it by ~30).
-    """
+    per ``group``, equal to ``quantile_cont`` / ``percentile``."""
     probs = [float(p) for p in probs]
     k = len(probs)
     vals = (df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
             .where(F.col("v").isNotNull() & ~F.isnan("v")))
-    delta = 2.0 / accuracy
-    lo_p = [max(0.0, p - delta) for p in probs]
-    hi_p = [min(1.0, p + delta) for p in probs]
-    pv = F.array(*[F.lit(p) for p in probs])
-    sk = vals.groupBy("g").agg(F.count("*").alias("n"),
-                               F.percentile_approx("v", lo_p, accuracy).alias("lo"),
-                               F.percentile_approx("v", hi_p, accuracy).alias("hi"))
-    bands = sk.select("g", "n", F.posexplode(F.arrays_zip("lo", "hi")).alias("qi", "b")) \
-        .select("g", "n", "qi", F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi"))
-    rn = (F.col("n") - 1).cast("double") * F.element_at(pv, F.col("qi") + 1)
-    bands = bands.withColumn("rn", rn).withColumn("r1", F.floor("rn").cast("long")) \
-        .withColumn("r2", F.ceil("rn").cast("long"))
-    bands = bounded_broadcast(bands, "quantile_bands")
-    grid = [j / 64.0 for j in range(65)]
-    checked = None
-    for _ in range(max_rounds):
-        # count pass with per-group arrays: one row per value, no k-fold blow-up
-        arr = bands.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("qi", "lo", "hi"))).alias("s"))
-        counted = vals.join(F.broadcast(arr), "g").groupBy("g").agg(
-            *[F.count_if(F.col("v") < F.col("s")[i]["lo"]).alias(f"b{i}") for i in range(k)],
-            *[F.count_if((F.col("v") >= F.col("s")[i]["lo"]) & (F.col("v") <= F.col("s")[i]["hi"]))
-              .alias(f"m{i}") for i in range(k)])
-        counted = counted.select("g", F.posexplode(F.array(*[
-            F.struct(F.col(f"b{i}").alias("below"), F.col(f"m{i}").alias("inband")) for i in range(k)]))
-            .alias("qi", "c")).select("g", "qi", "c.below", "c.inband")
-        st = bands.join(counted, ["g", "qi"])
-        contains = (F.col("below") <= F.col("r1")) & (F.col("r2") < F.col("below") + F.col("inband"))
-        narrow = contains & (F.col("inband") > max_band) & (F.col("lo") < F.col("hi"))
-        st = st.withColumn("wide", ~contains).withColumn("narrow", narrow)
-        checked = bounded_broadcast(st, "quantile_checks")
-        if checked.where(F.col("wide") | F.col("narrow")).count() == 0:
-            break
-        nb = checked.where("narrow").select(F.col("g").alias("bg"), F.col("qi").alias("bq"),
-                                            F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
-        pts = (vals.join(F.broadcast(nb), (F.col("g") == F.col("bg")) & (F.col("v") >= F.col("blo"))
-                         & (F.col("v") <= F.col("bhi")))
-               .groupBy("bg", "bq").agg(F.percentile_approx("v", grid, accuracy).alias("pts")))
-        upd = checked.join(pts, (F.col("g") == F.col("bg")) & (F.col("qi") == F.col("bq")), "left")
-        rel = (F.col("r1") - F.col("below")) / F.greatest(F.col("inband") - 1, F.lit(1))
-        j = F.least(F.lit(63), F.floor(rel * 64).cast("int"))
-        lo = (F.when(F.col("wide"), F.lit(float("-inf")))
-              .when(F.col("narrow"), F.element_at("pts", F.greatest(j - 1, F.lit(0)) + 1))
-              .otherwise(F.col("lo")))
-        hi = (F.when(F.col("wide"), F.lit(float("inf")))
-              .when(F.col("narrow"), F.element_at("pts", F.least(j + 2, F.lit(64)) + 1))
-              .otherwise(F.col("hi")))
-        bands = bounded_broadcast(upd.select("g", "n", "qi", lo.alias("lo"), hi.alias("hi"),
-                                             "rn", "r1", "r2"), "quantile_bands")
-    else:  # pragma: no cover - bands are exact after a widening round
-        raise RuntimeError("quantile bands did not converge")
+    margin = 3.0 / accuracy
+    sk = vals.groupBy("g").agg(
+        F.count("*").alias("n"),
+        F.percentile_approx("v", [max(0.0, p - margin) for p in probs], accuracy).alias("lo"),
+        F.percentile_approx("v", [min(1.0, p + margin) for p in probs], accuracy).alias("hi"))
+    whole = F.col("n") <= accuracy
+    target = [(F.col("n") - 1).cast("double") * F.lit(p) for p in probs]
+    bands = settled(sk.select("g", F.array(*[F.struct(
+        F.lit(i).alias("qi"), target[i].alias("rn"),
+        F.floor(target[i]).cast("long").alias("r1"), F.ceil(target[i]).cast("long").alias("r2"),
+        F.when(whole, F.lit(float("-inf"))).otherwise(F.col("lo")[i]).alias("lo"),
+        F.when(whole, F.lit(float("inf"))).otherwise(F.col("hi")[i]).alias("hi"))
+        for i in range(k)]).alias("s")), "quantile-bands")
+
+    # per-group arrays: one row per value, no k-fold copy
+    met = vals.join(bands, "g")
+    below = met.groupBy("g").agg(*[F.count_if(F.col("v") < F.col("s")[i]["lo"]).alias(f"b{i}") for i in range(k)])
+    below = settled(below.select("g", F.array(*[f"b{i}" for i in range(k)]).alias("below")), "quantile-below")
+    inside = F.filter("s", lambda b: (F.col("v") >= b["lo"]) & (F.col("v") <= b["hi"]))
+    inband = (met.select("g", "v", F.explode(inside).alias("b"))
+              .groupBy("g", F.col("b.qi").alias("qi"), F.col("b.rn").alias("rn"), F.col("b.r1").alias("r1"),
+                       F.col("b.r2").alias("r2"), "v").agg(F.count("*").alias("c")))
+    w = Window.partitionBy("g", "qi").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = inband.withColumn("in_before", F.coalesce(F.sum("c").over(w), F.lit(0))).join(below, "g")
+    first = F.col("in_before") + F.get("below", F.col("qi"))
+
+    def at(rank: str):
+        return F.max(F.when((first <= F.col(rank)) & (F.col(rank) < first + F.col("c")), F.col("v")))
 
-    bands = checked.select("g", "qi", "lo", "hi", "below", "rn", "r1", "r2")
-    # a band holding one value (ties) is already the answer
-    flat = bands.where(F.col("lo") == F.col("hi")).select(
-        F.col("g").alias(group), F.col("qi").cast("int").alias("qi"), F.col("lo").alias("edge"))
-    bands = bands.where(F.col("lo") < F.col("hi"))
-    # exact ranks inside each band; a value may sit in several bands
-    b = bands.select(F.col("g").alias("bg"), "qi", F.col("lo").alias("blo"),
-                     F.col("hi").alias("bhi"), "below", "r1", "r2", "rn")
-    inband = (vals.join(F.broadcast(b), (F.col("g") == F.col("bg")) & (F.col("v") >= F.col("blo"))
-                        & (F.col("v") <= F.col("bhi")))
-              .select("g", "qi", "v", "below", "r1", "r2", "rn"))
-    w = Window.partitionBy("g", "qi").orderBy("v")
-    ranked = inband.withColumn("rank0", F.col("below") + F.row_number().over(w) - 1)
-    picked = ranked.where((F.col("rank0") == F.col("r1")) | (F.col("rank0") == F.col("r2")))
-    agg = picked.groupBy("g", "qi", "r1", "r2", "rn").agg(
-        F.max(F.when(F.col("rank0") == F.col("r1"), F.col("v"))).alias("v1"),
-        F.max(F.when(F.col("rank0") == F.col("r2"), F.col("v"))).alias("v2"))
-    edge = F.when(F.col("r1") == F.col("r2"), F.col("v1")).otherwise(
-        F.col("v1") + (F.col("v2") - F.col("v1")) * (F.col("rn") - F.col("r1")))
+    agg = ranked.groupBy("g", "qi", "rn", "r1", "r2").agg(at("r1").alias("v1"), at("r2").alias("v2"))
+    edge = F.col("v1") + (F.col("v2") - F.col("v1")) * (F.col("rn") - F.col("r1"))
     return agg.select(F.col("g").alias(group), F.col("qi").cast("int").alias("qi"),
-                      edge.alias("edge")).unionByName(flat)
+                      F.when(F.col("r1") == F.col("r2"), F.col("v1")).otherwise(edge).alias("edge"))
 
 
 def edges_as_arrays(q: DataFrame, group: str) -> DataFrame:

@@ -9,9 +9,9 @@ distribution is a grouped count over training stays:
   ``P0 = (count_0 + alpha) / (N + alpha * V)`` (add-alpha over the
   vocabulary); the mixture sums to 1 over the vocabulary for every context.
 
-The model tables are bounded by the observed n-grams of a bounded vocabulary,
-are broadcast after a checked count, and scoring is a chain of broadcast
-hash joins on the requests (no shuffle of the requests).
+The model tables hold the observed n-grams of the vocabulary and are settled, so
+the planner knows their size: while they are small, scoring is a chain of
+broadcast hash joins (no shuffle of the requests), beyond that it shuffles.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.functions.hashing import uniform
-from eventide.operators.broadcast import bounded_broadcast
+from eventide.operators.settled import settled
 from eventide.operators.scan import neighbors
 
 NONE = -1  # context slot not used
@@ -74,7 +74,7 @@ def fit(ctx: DataFrame, vocab: DataFrame) -> NgramModel:
     """Count orders 0-2 over context rows (``token_id, c1, c2``)."""
     g = (ctx.rollup("token_id", "c1", "c2")
          .agg(F.count("*").alias("n"), F.grouping_id().alias("gid")))
-    g = bounded_broadcast(g, "ngram_rollup")
+    g = settled(g, "ngram-rollup")
     m2 = g.where((F.col("gid") == 0) & F.col("c1").isNotNull() & F.col("c2").isNotNull()) \
         .select("c2", "c1", "token_id", F.col("n").alias("n2"))
     m1 = g.where((F.col("gid") == 1) & F.col("c1").isNotNull()) \
@@ -82,11 +82,10 @@ def fit(ctx: DataFrame, vocab: DataFrame) -> NgramModel:
     m0 = g.where(F.col("gid") == 3).select("token_id", F.col("n").alias("n0"))
     total = g.where(F.col("gid") == 7).select("n").first()
     total = int(total[0]) if total else 0
-    t2 = m2.groupBy("c2", "c1").agg(F.sum("n2").alias("n2c"))
-    t1 = m1.groupBy("c1").agg(F.sum("n1").alias("n1c"))
+    t2 = settled(m2.groupBy("c2", "c1").agg(F.sum("n2").alias("n2c")), "ngram-t2")
+    t1 = settled(m1.groupBy("c1").agg(F.sum("n1").alias("n1c")), "ngram-t1")
     v = vocab.where(F.col("token_id") > 0).count()
-    return NgramModel(F.broadcast(m0), F.broadcast(m1), F.broadcast(m2), F.broadcast(t1),
-                      F.broadcast(t2), total, v)
+    return NgramModel(m0, m1, m2, t1, t2, total, v)
 
 
 def fit_from_tokens(tokens: DataFrame, vocab: DataFrame) -> NgramModel:
@@ -159,12 +158,12 @@ def sample_next(requests: DataFrame, m: NgramModel, vocab: DataFrame, key_cols:
         return c.select("*", F.explode(F.sequence(lo, F.greatest(lo, hi))).alias("bin"))
 
     req = req.withColumn("bin", F.floor(F.col("__v") * BINS).cast("int"))
-    cdf2 = F.broadcast(cdf(m.m2, ["c2", "c1"], "n2"))
-    cdf1 = F.broadcast(cdf(m.m1, ["c1"], "n1"))
+    cdf2 = settled(cdf(m.m2, ["c2", "c1"], "n2"), "cdf2")
+    cdf1 = settled(cdf(m.m1, ["c1"], "n1"), "cdf1")
     voc = vocab.where(F.col("token_id") > 0).select("token_id")
     m0 = voc.join(m.m0, "token_id", "left").select(
         "token_id", (F.coalesce("n0", F.lit(0)) + F.lit(s.alpha)).alias("w0"))
-    cdf0 = F.broadcast(cdf(m0.withColumn("__g", F.lit(0)), ["__g"], "w0").drop("__g"))
+    cdf0 = settled(cdf(m0.withColumn("__g", F.lit(0)), ["__g"], "w0").drop("__g"), "cdf0")
 
     req = (req.join(m.t2.withColumnsRenamed({"c1": "__c1", "c2": "__c2"}),
                     (F.col(c1) == F.col("__c1")) & (F.col(c2) == F.col("__c2")), "left")
@@ -201,7 +200,9 @@ def horizon_scores(m: NgramModel, vocab: DataFrame, target_id: int, steps: int,
     ``g_0 = [c = target]``, ``score = mean(g_1 .. g_S)``.  ``P(t | c)`` is
     split into its sparse count part (a join on observed bigrams) and a
     rank-one part ``w(c) * P0(t)``, so no vocabulary-by-vocabulary table is
-    ever formed.  Every table here has one row per vocabulary token.
+    ever formed.  Every table here has one row per vocabulary token, and one
+    (id ``NONE``) for a start that is unknown or missing: it has no observed successor,
+    so its steps go by order 0.
     """
     lam = s.l1 + s.l2
     ids = vocab.where(F.col("token_id") > 0).select(F.col("token_id").alias("c"))
@@ -209,13 +210,13 @@ def horizon_scores(m: NgramModel, vocab: DataFrame, target_id: int, steps: int,
         "c", ((F.coalesce("n0", F.lit(0)) + F.lit(s.alpha))
               / F.lit(m.total + s.alpha * m.vocab_size)).alias("p0"))
     base = ids.join(p0, "c").join(m.t1.withColumnRenamed("c1", "c"), "c", "left")
-    base = bounded_broadcast(base.select("c", "p0", F.coalesce("n1c", F.lit(0)).alias("n1c")),
-                             "horizon_base")
+    unseen = vocab.sparkSession.range(1).select(F.lit(NONE).alias("c"), F.lit(0.0).alias("p0"), F.lit(0).cast("long").alias("n1c"))
+    base = settled(base.select("c", "p0", F.coalesce("n1c", F.lit(0)).alias("n1c")).unionByName(unseen), "horizon-base")
     state = base.select("c", "p0", "n1c", (F.col("c") == target_id).cast("double").alias("g"),
                         F.lit(0.0).alias("acc"))
     everything = Window.partitionBy()
-    m1 = bounded_broadcast(m.m1.select(F.col("c1").alias("__c1"), F.col("token_id").alias("__t"), "n1"),
-                           "horizon_bigrams")
+    # successors of a real token only: the unseen start stays at order 0
+    m1 = m.m1.where(F.col("c1") > 0).select(F.col("c1").alias("__c1"), F.col("token_id").alias("__t"), "n1")
     for step in range(1, steps + 1):
         # the state is read once per step: every row goes out as a "self"
         # row (carries acc) and as an "edge" row (joined to the observed

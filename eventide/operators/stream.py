@@ -49,41 +49,42 @@ def spine_token(unit: str, ab: Column) -> Column:
     return F.concat(F.lit("day."), F.pmod(ab + F.lit(3), F.lit(7)).cast("string"))
 
 
-def build_stream(ev: DataFrame, unit: str = "hour",
-                 order_cols: Sequence[str] = ("row_id",),
-                 carry: Sequence[str] = ("testset",)) -> tuple[DataFrame, DataFrame]:
-    """Build the stream from emitted events.
+def minute_totals(ev: DataFrame, unit: str, carry: Sequence[str]) -> DataFrame:
+    """Event tokens per stay and minute: a partial aggregate, skew-safe."""
+    per = UNIT_US[unit] // SUB_US
+    us = epoch_us("charttime")
+    return (ev.select("stay_id", F.floor(us / F.lit(SUB_US)).cast("long").alias("am"), F.size("toks").cast("long").alias("ntok"), *carry)
+            .groupBy("stay_id", "am").agg(F.sum("ntok").alias("c"), *[F.max(c).alias(c) for c in carry])
+            .withColumn("ah", F.floor(F.col("am") / F.lit(per)).cast("long")))
+
+
+def unit_grid(mt: DataFrame, carry: Sequence[str] = ("testset",)) -> DataFrame:
+    """One row per stay and unit index ``ah`` from the first to the last event,
+    with ``ah0``, ``c`` and ``c_before`` (event tokens before its boundary)."""
+    ht = mt.groupBy("stay_id", "ah").agg(F.sum("c").alias("c"))
+    bounds = mt.groupBy("stay_id").agg(F.min("ah").alias("ah0"), F.max("ah").alias("ah1"), *[F.max(c).alias(c) for c in carry])
+    grid = bounds.select("stay_id", "ah0", *carry, F.explode(F.sequence("ah0", "ah1")).alias("ah"))
+    grid = grid.join(ht, ["stay_id", "ah"], "left").fillna(0, ["c"])
+    # one row per stay and elapsed unit: bounded by the stay's time span (not
+    # its volume), so a single window per stay is safe here
+    return prefix_sum(grid, "stay_id", "ah", ["c"], levels=1)
+
+
+def build_stream(ev: DataFrame, mt: DataFrame, grid: DataFrame, unit: str = "hour",
+                 order_cols: Sequence[str] = ("row_id",), carry: Sequence[str] = ("testset",)) -> DataFrame:
+    """Build the stream from emitted events, their minute totals and the grid.
 
     ``ev`` needs ``stay_id, charttime, toks`` plus ``order_cols`` (the
     tie-break after time) and ``carry`` (per-stay columns such as the test
-    flag).  Returns ``(stream, grid)``:
-
-    * stream: ``stay_id, pos, charttime, kind, row_id, sub, token, hour_no``
-      and the carried columns;
-    * grid: one row per stay and unit index ``ah`` from the first to the last
-      event, with ``ah0`` and ``c_before`` (event tokens before boundary).
+    flag).  Returns ``stay_id, pos, charttime, kind, row_id, sub, token,
+    hour_no`` and the carried columns.
     """
     U = UNIT_US[unit]
-    per = U // SUB_US
     carry = list(carry)
     e = (ev.withColumn("us", epoch_us("charttime"))
          .withColumn("am", F.floor(F.col("us") / F.lit(SUB_US)).cast("long"))
          .withColumn("ntok", F.size("toks").cast("long")))
 
-    # per-minute and per-unit totals: partial aggregates, skew-safe
-    mt = (e.groupBy("stay_id", "am")
-          .agg(F.sum("ntok").alias("c"), *[F.max(c).alias(c) for c in carry])
-          .withColumn("ah", F.floor(F.col("am") / F.lit(per)).cast("long")))
-    ht = mt.groupBy("stay_id", "ah").agg(F.sum("c").alias("c"))
-    bounds = mt.groupBy("stay_id").agg(F.min("ah").alias("ah0"), F.max("ah").alias("ah1"),
-                                       *[F.max(c).alias(c) for c in carry])
-    grid = bounds.select("stay_id", "ah0", *carry,
-                         F.explode(F.sequence("ah0", "ah1")).alias("ah"))
-    grid = grid.join(ht, ["stay_id", "ah"], "left").fillna(0, ["c"])
-    # one row per stay and elapsed hour: bounded by the stay's time span (not
-    # its volume), so a single window per stay is safe here
-    grid = prefix_sum(grid, "stay_id", "ah", ["c"], levels=1)
-
     # per-minute offsets: grid offset of the unit + earlier minutes in it
     w_min = Window.partitionBy("stay_id", "ah").orderBy("am").rowsBetween(Window.unboundedPreceding, -1)
     mins = (mt.select("stay_id", "am", "ah", "c")
@@ -111,5 +112,4 @@ def build_stream(ev: DataFrame, unit: str = "hour",
         F.lit(0).alias("kind"), F.lit(None).cast("long").alias("row_id"),
         F.lit(0).alias("sub"), spine_token(unit, F.col("ah")).alias("token"),
         (F.col("ah") - F.col("ah0")).alias("hour_no"), *carry)
-    stream = evtok.unionByName(hourtok)
-    return stream, grid
+    return evtok.unionByName(hourtok)

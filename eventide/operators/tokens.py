@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventide.operators.broadcast import bounded_broadcast
+from eventide.operators.settled import settled
 from eventide.operators.quantiles import edges_as_arrays, exact_quantiles
 
 # ---- fixed values of the token grammar -------------------------------------
@@ -65,11 +65,10 @@ def magnitude(value: Column, edges: Column) -> Column:
 def emit(raw: DataFrame, edges_long: DataFrame, grammar: Grammar) -> DataFrame:
     """Add ``mag`` and ``toks ARRAY<STRING>`` (the emission of each event).
 
-    ``edges_long`` is a checked (``bounded_broadcast``) table; its array form
-    has at most as many rows, one per item, and is broadcast: the hot item
-    never moves.
+    ``edges_long`` is a settled table; its array form has one row per item, so
+    the planner broadcasts it while it is small and the hot item never moves.
     """
-    edges = F.broadcast(edges_as_arrays(edges_long, "item"))
+    edges = edges_as_arrays(edges_long, "item")
     e = raw.join(edges, "item", "left")
     kind = grammar.kind(F.col("item"))
     name = grammar.name(kind, F.col("item"))
@@ -94,11 +93,9 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
     tokens only (bounded by the grammar, not by the data).
     """
     distinct = tokens.where(F.col("token").isNotNull()).select("token").distinct()
-    distinct = bounded_broadcast(distinct, "vocab_distinct")
     from pyspark.sql import Window
     numbered = distinct.select("token", F.row_number().over(Window.orderBy("token")).cast("int")
                                .alias("token_id"))
     spark = tokens.sparkSession
-    null = spark.createDataFrame([(NULL_TOKEN, NULL_ID)], "token string, token_id int")
-    # one row more than the checked distinct set: broadcast without recounting
-    return F.broadcast(null.unionByName(numbered))
+    null = spark.range(1).select(F.lit(NULL_TOKEN).alias("token"), F.lit(NULL_ID).cast("int").alias("token_id"))
+    return settled(null.unionByName(numbered), "vocabulary")

@@ -12,10 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.functions.arrays import to_text
 from eventide.functions.tokens import suffix_int
 from eventide.operators import blocks, metrics, scoring
-from eventide.operators.scan import at_offset
 from eventide.plans import params as P
 from eventide.plans.workspace import Workspace
 
@@ -24,27 +22,23 @@ def dose_examples(ws: Workspace, drug: str = P.DRUG) -> DataFrame:
     """``stay_id, row_id, charttime, last_pos, unit_token, dose`` per drug
     event of a test stay (events sharing a time resolve to the same last
     drug position, and the duplicates are kept, as in the reference)."""
-    t = ws.tokens
-    ev = t.where(F.col("testset") & (F.col("token") == drug)).select("stay_id", "row_id", "charttime")
+    drugs = ws.test_tokens.where(F.col("token") == drug).select("stay_id", "row_id", "charttime", "pos", "next1", "next2")
     # the last drug token at or before t is the last one at time t itself,
     # because the example's own drug is inside the inclusive cut
-    last = (t.where(F.col("token") == drug).groupBy("stay_id", "charttime")
-            .agg(F.max("pos").alias("last_pos")))
-    ex = ev.join(last, ["stay_id", "charttime"])
-    ex = at_offset(ex, t, "last_pos", 1, ["token", "token_id"], prefix="u_")
-    ex = at_offset(ex, t, "last_pos", 2, ["token"], prefix="m_")
-    ex = ex.where(F.col("m_token").startswith("magnitude."))
-    return ex.select("stay_id", "row_id", "charttime", "last_pos",
-                     F.col("u_token").alias("unit_token"),
-                     F.coalesce("u_token_id", F.lit(scoring.NONE)).alias("unit_id"),
-                     suffix_int("m_token").alias("dose"))
+    last = drugs.groupBy("stay_id", "charttime").agg(F.max_by(F.struct("pos", "next1", "next2"), "pos").alias("l"))
+    ex = drugs.select("stay_id", "row_id", "charttime").join(last, ["stay_id", "charttime"])
+    ex = ex.where(F.col("l.next2").startswith("magnitude."))
+    voc = ws.vocab.select(F.col("token").alias("unit_token"), F.col("token_id").alias("unit_id"))
+    ex = ex.select("stay_id", "row_id", "charttime", F.col("l.pos").alias("last_pos"), F.col("l.next1").alias("unit_token"),
+                   suffix_int("l.next2").alias("dose"))
+    return ex.join(voc, "unit_token", "left").withColumn("unit_id", F.coalesce("unit_id", F.lit(scoring.NONE)))
 
 
 def dose_prompts(ws: Workspace, ex: DataFrame) -> DataFrame:
     """Prompt = tail block ending with ``[drug, unit]`` = positions up to
     ``last_pos + 1``, left-padded."""
     req = ex.withColumn("cut", F.col("last_pos") + 2)
-    pb = blocks.padded_blocks(req, ws.tokens, ["stay_id", "row_id"], P.BLOCK)
+    pb = blocks.padded_blocks(req, ws.test_tokens, ["stay_id", "row_id"], P.BLOCK)
     return pb
 
 
@@ -80,7 +74,3 @@ def dose_panel(ws: Workspace, drug: str = P.DRUG) -> DataFrame:
     long = one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value"))
                                           for n in names])).alias("m"))
     return long.select(F.lit(drug).alias("target"), "m.metric", F.round("m.value", 6).alias("value"))
-
-
-def prompt_text(pb: DataFrame) -> DataFrame:
-    return pb.select("stay_id", "row_id", to_text("block").alias("prompt"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.operators import cohorts, metrics, scoring
+from eventide.operators import blocks, cohorts, metrics, scoring
 from eventide.operators.scan import at_offset
 from eventide.plans import params as P
 from eventide.plans.workspace import Workspace
@@ -27,14 +27,26 @@ def shift_cuts(ws: Workspace, test_only: bool = True) -> DataFrame:
     s = shift_labels(ws)
     if test_only:
         s = s.join(ws.splits.where("testset").select("stay_id"), "stay_id")
-    return cohorts.asof_cut(s, ws.tokens, ws.grid, "shift_start")
+    return cohorts.asof_cut(s, ws.test_tokens if test_only else ws.tokens, ws.grid, "shift_start")
 
 
-def shift_cohort(ws: Workspace) -> DataFrame:
-    """The first ``SHIFT_LIMIT`` test shifts in (stay, start) order: an
-    ordered limit (top-k), as the reference reads a fixed number of rows."""
-    c = shift_cuts(ws)
-    return c.orderBy("stay_id", "shift_start").limit(P.SHIFT_LIMIT)
+def shift_cohort(ws: Workspace, limit: int = P.SHIFT_LIMIT) -> DataFrame:
+    """The first ``limit`` test shifts in (stay, start) order: an ordered limit
+    (top-k), as the reference reads a fixed number of rows.  The limit is
+    this query's feature; the evaluations below take every test shift."""
+    return shift_cuts(ws).orderBy("stay_id", "shift_start").limit(limit)
+
+
+def shift_context(ws: Workspace) -> DataFrame:
+    """Every test shift with its context: the padded tail block of the stream
+    as of the shift start."""
+    cuts = shift_cuts(ws)
+    return cuts.join(blocks.padded_blocks(cuts, ws.test_tokens, ["stay_id", "shift_start"], P.BLOCK), ["stay_id", "shift_start"])
+
+
+def first_time_shifts(ws: Workspace) -> DataFrame:
+    """The shifts of :func:`no_prior_event` with label, cut and context."""
+    return shift_context(ws).join(no_prior_event(ws), ["stay_id", "shift_start"], "left_semi")
 
 
 def no_prior_event(ws: Workspace, item: str = "error", min_days: float = 1.0) -> DataFrame:
@@ -56,10 +68,11 @@ def horizon_scores(ws: Workspace, cohort: DataFrame, m: scoring.NgramModel | Non
     else:
         tid = ws.vocab.where(F.col("token") == P.HORIZON_TOKEN).select("token_id").first()
         hs = scoring.horizon_scores(m, ws.vocab, tid[0] if tid else -1, P.HORIZON_STEPS)
-    last = at_offset(cohort.withColumn("__lp", F.col("cut") - 1), ws.tokens, "__lp", 0,
+    last = at_offset(cohort.withColumn("__lp", F.col("cut") - 1), ws.test_tokens, "__lp", 0,
                      ["token_id"], prefix="l_")
-    return last.join(F.broadcast(hs), F.col("l_token_id") == F.col("c1"), "left") \
-        .select("stay_id", "shift_start", "y", "cut", F.col("score"))
+    # no token before the cut, or one that training never saw: order 0
+    last = last.withColumn("__c", F.coalesce("l_token_id", F.lit(scoring.NONE)))
+    return last.join(hs, F.col("__c") == F.col("c1"), "left").select("stay_id", "shift_start", "y", "cut", "score")
 
 
 def hour_horizon(ws: Workspace, cohort: DataFrame, hours: int = P.HORIZON_HOURS,
@@ -67,27 +80,30 @@ def hour_horizon(ws: Workspace, cohort: DataFrame, hours: int = P.HORIZON_HOURS,
     """Observed continuation after the cut, stopped by hour tokens: tokens
     whose hour count since the cut is at most ``hours`` (the (hours+1)-th
     hour token and everything after it are masked, as in the reference's
-    ``<=`` mask).  Tokens and shifts meet on ``(stay, hour index)``."""
-    t = ws.tokens
-    c = at_offset(cohort.withColumn("__lp", F.col("cut") - 1), t, "__lp", 0, ["hour_no"], prefix="c_")
+    ``<=`` mask).  Whole hours come from counts per (stay, hour); only the
+    hour of the cut is met row by row.
+    """
+    t = ws.test_tokens.select("stay_id", "pos", "hour_no", (F.col("token") == token).cast("int").alias("hit"))
+    c = at_offset(cohort.withColumn("__lp", F.col("cut") - 1), ws.test_tokens, "__lp", 0, ["hour_no"], prefix="c_")
     c = c.withColumn("h0", F.coalesce("c_hour_no", F.lit(0)))
-    keys = c.select("stay_id", "shift_start", "cut", "h0",
-                    F.explode(F.sequence(F.col("h0"), F.col("h0") + hours)).alias("__h"))
-    tk = t.select(F.col("stay_id").alias("__s"), F.col("pos").alias("__p"),
-                  F.col("hour_no").alias("__hn"), F.col("token").alias("__t"))
-    j = keys.join(tk, (F.col("stay_id") == F.col("__s")) & (F.col("__h") == F.col("__hn"))
-                  & (F.col("__p") >= F.col("cut")))
-    agg = j.groupBy("stay_id", "shift_start").agg(
-        F.count("*").alias("n_tokens"), F.count_if(F.col("__t") == token).alias("n_target"))
+    per_hour = t.groupBy(F.col("stay_id").alias("__s"), F.col("hour_no").alias("__hn")).agg(
+        F.count("*").alias("n"), F.sum("hit").alias("k"))
+    keys = c.select("stay_id", "shift_start", F.explode(F.sequence(F.col("h0") + 1, F.col("h0") + hours)).alias("__h"))
+    whole = keys.join(per_hour, (F.col("stay_id") == F.col("__s")) & (F.col("__h") == F.col("__hn"))) \
+        .select("stay_id", "shift_start", "n", "k")
+    rows = t.select(F.col("stay_id").alias("__s"), "pos", F.col("hour_no").alias("__hn"), "hit")
+    first = c.select("stay_id", "shift_start", "cut", "h0").join(
+        rows, (F.col("stay_id") == F.col("__s")) & (F.col("h0") == F.col("__hn")) & (F.col("pos") >= F.col("cut"))) \
+        .select("stay_id", "shift_start", F.lit(1).cast("long").alias("n"), F.col("hit").cast("long").alias("k"))
+    agg = whole.unionByName(first).groupBy("stay_id", "shift_start").agg(F.sum("n").alias("n_tokens"), F.sum("k").alias("n_target"))
     return cohort.select("stay_id", "shift_start").join(agg, ["stay_id", "shift_start"], "left") \
         .select("stay_id", "shift_start", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
                 F.coalesce("n_target", F.lit(0)).alias("n_target"))
 
 
 def handoff_panel(ws: Workspace) -> DataFrame:
-    sc = horizon_scores(ws, shift_cohort(ws))
-    met = metrics.ranking_metrics(sc.where(F.col("score").isNotNull()).withColumn("t", F.lit("handoff")),
-                                  ["t"], "score", "y")
+    sc = horizon_scores(ws, shift_cuts(ws))
+    met = metrics.ranking_metrics(sc.withColumn("t", F.lit("handoff")), ["t"], "score", "y")
     return met.select(F.col("t").alias("target"), F.explode(F.array(
         F.struct(F.lit("auroc").alias("metric"), F.col("auroc").alias("value")),
         F.struct(F.lit("ap").alias("metric"), F.col("ap").alias("value")))).alias("m")) \

@@ -21,9 +21,9 @@ from eventide.plans.workspace import Workspace
 
 def examples(ws: Workspace, targets: Sequence[str]) -> DataFrame:
     """``target, stay_id, occ, pos, cut, val_token, c1, c2`` per example."""
-    ex = cohorts.nth_occurrences(ws.tokens, targets, levels=ws.scan_levels)
-    ex = cohorts.value_after(ex, ws.tokens, 1)
-    ex = at_offset(ex, ws.tokens, "pos", -1, ["token_id", "pos"], prefix="prev_")
+    ex = cohorts.nth_occurrences(ws.test_tokens, targets, levels=ws.scan_levels)
+    ex = cohorts.value_after(ex)
+    ex = at_offset(ex, ws.test_tokens, "pos", -1, ["token_id", "pos"], prefix="prev_")
     return ex.select("target", "stay_id", "occ", "pos", "cut", "val_token",
                      F.coalesce("token_id", F.lit(scoring.NONE)).alias("c1"),
                      F.when(F.col("prev_pos").isNotNull(),

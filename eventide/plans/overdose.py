@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from eventide.functions.arrays import to_text
 from eventide.functions.tokens import suffix_int
 from eventide.operators import blocks, cohorts, scoring
-from eventide.operators.scan import at_offset, last_before
+from eventide.operators.scan import last_before
 from eventide.plans import params as P
 from eventide.plans.workspace import Workspace
 
@@ -26,32 +26,22 @@ def cohort(ws: Workspace) -> DataFrame:
 
 def cuts(ws: Workspace) -> DataFrame:
     """``stay_id, cut_pos, cut_token`` (the N-th hour token, inclusive)."""
-    return cohorts.first_n_hours(ws.tokens, cohort(ws).select("stay_id"), P.N_HOURS)
+    return cohorts.first_n_hours(ws.test_tokens, cohort(ws).select("stay_id"), P.N_HOURS)
 
 
 def last_lab(ws: Workspace, c: DataFrame | None = None) -> DataFrame:
     c = cuts(ws) if c is None else c
-    return cohorts.last_value_before(ws.tokens, c, P.TRACKED_LAB)
+    return cohorts.last_value_before(ws.test_tokens, c, P.TRACKED_LAB)
 
 
-def dose_histogram(ws: Workspace, c: DataFrame | None = None, drug: str = P.DRUG,
-                   units: int = 4) -> DataFrame:
-    """Per stay and decile, the count of drug doses before the cut for each
-    unit (the reference's product x decile table, zeros kept)."""
+def dose_histogram(ws: Workspace, c: DataFrame | None = None, drug: str = P.DRUG) -> DataFrame:
+    """``(stay_id, unit, decile, n)``: doses of the drug before the cut, by the
+    units and deciles that occur (the reference's product x decile table, long)."""
     c = cuts(ws) if c is None else c
-    t = ws.tokens
-    d = t.where(F.col("token") == drug).select("stay_id", "pos")
+    d = ws.test_tokens.where(F.col("token") == drug).select("stay_id", "pos", "next1", "next2")
     d = d.join(c.select("stay_id", "cut_pos"), "stay_id").where(F.col("pos") < F.col("cut_pos"))
-    d = at_offset(d, t, "pos", 1, ["token"], prefix="u_")
-    d = at_offset(d, t, "pos", 2, ["token"], prefix="m_")
-    d = d.where(F.col("m_token").startswith("magnitude.")) \
-        .select("stay_id", F.col("u_token").alias("unit"), suffix_int("m_token").alias("decile"))
-    names = [f"unit.{u}" for u in range(units)]
-    piv = d.groupBy("stay_id", "decile").pivot("unit", names).count()
-    spine = c.select("stay_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("decile"))
-    out = spine.join(piv, ["stay_id", "decile"], "left")
-    return out.select("stay_id", "decile", *[F.coalesce(F.col(f"`{n}`"), F.lit(0)).cast("long")
-                                             .alias(n.replace(".", "_")) for n in names])
+    d = d.where(F.col("next2").startswith("magnitude."))
+    return d.groupBy("stay_id", F.col("next1").alias("unit"), suffix_int("next2").alias("decile")).agg(F.count("*").alias("n"))
 
 
 def _token_ids(ws: Workspace, rows: DataFrame, token_col: str, out: str) -> DataFrame:
@@ -67,7 +57,7 @@ def counterfactual_rows(ws: Workspace, c: DataFrame | None = None) -> DataFrame:
     c = cuts(ws) if c is None else c
     T = P.BLOCK
     ex = c.withColumn("cut", F.col("cut_pos") + 1)
-    rows = blocks.tail_rows(ex, ws.tokens, [], T).select("stay_id", "i", "token_id")
+    rows = blocks.tail_rows(ex, ws.test_tokens, [], T).select("stay_id", "i", "token_id")
     nxt = F.concat(F.lit("hour."), F.pmod(suffix_int("cut_token") + 1, F.lit(24)).cast("string"))
     inj = F.array(*[F.lit(x) for x in P.INJECTED], nxt)
     add = c.select("stay_id", F.posexplode(inj).alias("j", "token"))
@@ -121,18 +111,12 @@ def magnitude_model(ws: Workspace) -> DataFrame:
     """Counts ``(item, prev_mag, dose, mag, n)`` over training stays: the
     magnitude of a lab given the previous magnitude of the same lab and the
     last drug dose before it (carried forward, skew-safe)."""
+    # labs and drugs in one scan
     t = ws.tokens.where(~F.col("testset"))
-    labs = t.where(F.col("token").startswith("lab.")).select("stay_id", "pos", "token")
-    labs = at_offset(labs, t, "pos", 1, ["token"], prefix="n_")
-    labs = labs.where(F.col("n_token").startswith("magnitude.")) \
-        .select("stay_id", "pos", F.col("token").alias("item"), suffix_int("n_token").alias("mag"))
-    drugs = t.where(F.col("token").startswith("med.")).select("stay_id", "pos")
-    drugs = at_offset(drugs, t, "pos", 2, ["token"], prefix="d_")
-    drugs = drugs.where(F.col("d_token").startswith("magnitude.")) \
-        .select("stay_id", "pos", suffix_int("d_token").alias("dose"))
-    ev = labs.select("stay_id", "pos", "item", "mag", F.lit(None).cast("int").alias("dose")) \
-        .unionByName(drugs.select("stay_id", "pos", F.lit(None).cast("string").alias("item"),
-                                  F.lit(None).cast("int").alias("mag"), "dose"))
+    lab = F.col("token").startswith("lab.") & F.col("next1").startswith("magnitude.")
+    drug = F.col("token").startswith("med.") & F.col("next2").startswith("magnitude.")
+    ev = t.where(lab | drug).select("stay_id", "pos", F.when(lab, F.col("token")).alias("item"),
+                                    F.when(lab, suffix_int("next1")).alias("mag"), F.when(drug, suffix_int("next2")).alias("dose"))
     lv = ws.scan_levels
     ev = last_before(ev, "stay_id", "pos", "dose", "last_dose", inclusive=False, levels=lv)
     lab_rows = ev.where(F.col("item").isNotNull())
@@ -142,6 +126,29 @@ def magnitude_model(ws: Workspace) -> DataFrame:
         .agg(F.count("*").alias("n"))
 
 
+def magnitude_probs(model: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """``(item, prev_mag, dose, mag, p)``: for every observed context the ten
+    magnitudes with add-alpha counts, backing off to the item and dose alone::
+
+        p(mag | item, prev, dose) = (n + 10 alpha * q(mag | item, dose)) / (N + 10 alpha)
+        q(mag | item, dose)       = (n' + alpha) / (N' + 10 alpha)
+    """
+    ctx = ["item", "prev_mag", "dose"]
+    ten = F.explode(F.sequence(F.lit(0), F.lit(9))).alias("mag")
+
+    def counts(by: list[str], n: str, total: str) -> DataFrame:
+        return model.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("mag", "k"))).alias(n), F.sum("k").alias(total))
+
+    model = model.groupBy(*ctx, "mag").agg(F.sum("n").alias("k"))
+    wide = counts(ctx, "own", "N")
+    model = model.groupBy("item", "dose", "mag").agg(F.sum("k").alias("k"))
+    back = counts(["item", "dose"], "less", "M").withColumnsRenamed({"item": "i2", "dose": "d2"})
+    rows = wide.join(back, (wide["item"] == back["i2"]) & wide["dose"].eqNullSafe(back["d2"])).select(*ctx, "own", "N", "less", "M", ten)
+    q = (F.coalesce(F.col("less")[F.col("mag")], F.lit(0)) + alpha) / (F.col("M") + 10 * alpha)
+    p = (F.coalesce(F.col("own")[F.col("mag")], F.lit(0)) + 10 * alpha * q) / (F.col("N") + 10 * alpha)
+    return rows.select(*ctx, "mag", p.alias("p"))
+
+
 def expected_after_dose(model: DataFrame, requests: DataFrame, item: str, dose: int,
                         alpha: float = 1.0) -> DataFrame:
     """E[mag | item, prev_mag, dose] with add-alpha over the 10 magnitudes;
@@ -169,7 +176,7 @@ def pre_post(ws: Workspace) -> DataFrame:
     post (expected magnitude after the injected top dose), and the delta over
     stays that have both."""
     pre = last_lab(ws).select("stay_id", F.col("last_mag").cast("double").alias("pre"))
-    model = magnitude_model(ws)
+    model = ws.magnitude_model
     r = expected_after_dose(model, pre, P.TRACKED_LAB, 9)
     d = F.col("post") - F.col("pre")
     return r.agg(F.count("*").alias("n"), F.count("pre").alias("n_pre"),

@@ -10,9 +10,9 @@ DRUG = "med.purchase"
 N_HOURS = 240                     # first-N-hours cut
 LOS_MIN_DAYS = 29.0               # length-of-stay cohort threshold
 HORIZON_HOURS = 12                # hand-off horizon
-HORIZON_STEPS = 16                # steps of the expected-value rollout
+HORIZON_STEPS = 16                # steps of the expected-value rollout (a parameter of horizon_score)
 HORIZON_TOKEN = "med.purchase"    # token whose horizon probability is the score
-SHIFT_LIMIT = 1000                # the reference reads 1000 shifts
+SHIFT_LIMIT = 1000                # rows of the limited shift cohort (its feature)
 PANEL = ("lab.click", "lab.view")  # labs probed after an injected dose
 TRACKED_LAB = "lab.view"          # the lab whose pre/post magnitude is compared
 INJECTED = ("med.purchase", "unit.3", "magnitude.9")

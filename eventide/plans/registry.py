@@ -16,12 +16,13 @@ from eventide.functions import arrays as arr
 from eventide.functions.arrays import to_text
 from eventide.functions.hashing import uniform
 from eventide.functions.tokens import family, suffix_int
-from eventide.operators import augment, batch, blocks, cohorts, metrics, scoring
-from eventide.operators.scan import prefix_sum
-from eventide.operators.tokens import EVENTS_ITEM_KIND
+from eventide.operators import augment, blocks, cohorts, metrics, scoring
+from eventide.operators.scan import neighbors, prefix_sum
+from eventide.operators.tokens import EVENTS_ITEM_KIND, vocabulary
 from eventide.plans import dose_eval, handoff, lab_eval, overdose
 from eventide.plans import params as P
 from eventide.plans.workspace import Workspace
+from eventide.sources.model_io import load_model, save_model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -38,7 +39,7 @@ def r6(c):
 
 
 def _lab_ex(ws):
-    return cohorts.nth_occurrences(ws.tokens, P.LAB_TARGETS, levels=ws.scan_levels)
+    return cohorts.nth_occurrences(ws.test_tokens, P.LAB_TARGETS, levels=ws.scan_levels)
 
 
 # ---- step 1: scans, tokeniser, stream ----------------------------------------
@@ -75,9 +76,36 @@ def token_parse(spark, sf_dir):
 
 @query
 def unknown_tokens(spark, sf_dir):
+    """Test tokens outside a vocabulary.  The training stays have every token of
+    these tables, so the vocabulary here is fitted without the drug's events: its
+    name and units are unknown to it."""
     ws = Workspace.get(spark, sf_dir)
-    test = ws.tokens.where("testset").select("token")
-    return test.join(ws.vocab, "token", "left_anti").groupBy("token").agg(F.count("*").alias("n"))
+    fitted = ws.tokens.where(~F.col("testset") & ~family("token").isin("med", "unit")).select("token")
+    test = ws.test_tokens.select("token")
+    return test.join(vocabulary(fitted), "token", "left_anti").groupBy("token").agg(F.count("*").alias("n"))
+
+
+def _readable(token: str):
+    """``label: value`` of a token, as the reference shows its ids."""
+    return F.when(F.contains(token, F.lit(".")), F.concat(F.substring_index(token, ".", 1), F.lit(": "), F.expr(
+        f"substring({token}, instr({token}, '.') + 1)"))).otherwise(F.col(token))
+
+
+@query
+def token_names(spark, sf_dir):
+    return Workspace.get(spark, sf_dir).vocab.select("token_id", _readable("token").alias("name"))
+
+
+@query
+def decoded_heads(spark, sf_dir):
+    """The first tokens of each test block, decoded from ids to names."""
+    ws = Workspace.get(spark, sf_dir)
+    names = ws.vocab.select(F.col("token_id").alias("id"), _readable("token").alias("name"))
+    rows = ws.test_tokens.where(F.col("token_id") > 0).select("stay_id", F.floor(F.col("pos") / P.BLOCK).cast("long").alias("b"), "pos", "token_id")
+    rows = rows.where(F.pmod("pos", F.lit(P.BLOCK)) < P.HEAD)
+    rows = rows.join(names, rows["token_id"] == names["id"])
+    return rows.groupBy("stay_id", "b").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("s")).select(
+        "stay_id", "b", F.array_join(F.transform("s", lambda x: x["name"]), " | ").alias("names"))
 
 
 @query
@@ -105,21 +133,31 @@ def occurrences_per_stay(spark, sf_dir):
 @query
 def lab_examples(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
-    ex = cohorts.nth_occurrences(ws.tokens, P.LAB_TARGETS, levels=ws.scan_levels)
-    return ex.select("target", "stay_id", "occ", "pos", "cut")
+    return _lab_ex(ws).select("target", "stay_id", "occ", "pos", "cut")
+
+
+@query
+def dropped_examples(spark, sf_dir):
+    """What the cohorts leave out, and count: lab draws without a value at the
+    end of a stay, and long stays with fewer hours than the cut."""
+    ws = Workspace.get(spark, sf_dir)
+    labs = cohorts.dropped(_lab_ex(ws), ["target"])
+    stays = overdose.cohort(ws).select("stay_id").join(overdose.cuts(ws).select("stay_id", "cut_pos"), "stay_id", "left")
+    hours = stays.agg(F.count("*").alias("n_examples"), F.count_if(F.col("cut_pos").isNull()).alias("n_dropped"))
+    return labs.unionByName(hours.select(F.lit("first_n_hours").alias("target"), "n_examples", "n_dropped"))
 
 
 @query
 def value_at_next(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
-    ex = cohorts.value_after(_lab_ex(ws), ws.tokens, 1)
+    ex = cohorts.value_after(_lab_ex(ws))
     return ex.select("target", "stay_id", "occ", "val_token")
 
 
 @query
 def one_hot_labels(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
-    ex = cohorts.value_after(_lab_ex(ws), ws.tokens, 1)
+    ex = cohorts.value_after(_lab_ex(ws))
     oh = cohorts.one_hot(ex, "val_token", P.MAGNITUDES)
     return oh.select("target", "stay_id", "occ", F.col("cls").cast("int").alias("cls"), "y")
 
@@ -127,15 +165,14 @@ def one_hot_labels(spark, sf_dir):
 @query
 def unexpected_labels(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
-    ex = cohorts.value_after(_lab_ex(ws), ws.tokens, 1)
+    ex = cohorts.value_after(_lab_ex(ws))
     return cohorts.unexpected_count(ex, ["target"], "val_token", P.MAGNITUDES)
 
 
 @query
 def culture_examples(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
-    ex = cohorts.value_after(
-        cohorts.nth_occurrences(ws.tokens, [P.CULTURE_TARGET], levels=ws.scan_levels), ws.tokens, 1)
+    ex = cohorts.value_after(cohorts.nth_occurrences(ws.test_tokens, [P.CULTURE_TARGET], levels=ws.scan_levels))
     return ex.select("stay_id", "occ", "cut", "val_token",
                      (F.col("val_token") == P.RESULT_TOKENS[0]).cast("int").alias("y"))
 
@@ -192,7 +229,7 @@ def ngram_counts(spark, sf_dir):
 
 
 def _test_contexts(ws: Workspace) -> DataFrame:
-    ctx = scoring.with_context(ws.tokens.where("testset"))
+    ctx = scoring.with_context(ws.test_tokens)
     return ctx.withColumnRenamed("token_id", "target_id")
 
 
@@ -205,10 +242,11 @@ def next_token_probs(spark, sf_dir):
                                         r6("p").alias("p"))
 
 
-def _stay_offsets(rows: DataFrame) -> DataFrame:
-    """Global row number ``rn`` over (stay_id, pos) without a global sort:
-    per-stay lengths, scanned in stay order (one row per stay)."""
-    lens = rows.groupBy("stay_id").agg(F.count("*").alias("len")).withColumn("g", F.lit(0))
+def _stay_offsets(ws: Workspace, rows: DataFrame) -> DataFrame:
+    """Global row number ``rn`` over (stay_id, pos) of the test stays without a
+    global sort: stay lengths come from the grid, and are scanned in stay order."""
+    lens = ws.grid.where("testset").groupBy("stay_id").agg(
+        (F.max(F.col("c_before") + F.col("c")) + F.count("*") - 1).alias("len")).withColumn("g", F.lit(0))
     off = prefix_sum(lens, "g", "stay_id", ["len"]).select("stay_id", "len_before")
     return rows.join(off, "stay_id").withColumn("rn", F.col("len_before") + F.col("pos"))
 
@@ -218,7 +256,7 @@ def val_loss(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
     m = ws.model
     sc = scoring.score(_test_contexts(ws), m)
-    sc = _stay_offsets(sc).withColumn("nll", -F.log("p")) \
+    sc = _stay_offsets(ws, sc).withColumn("nll", -F.log("p")) \
         .withColumn("batch", F.floor(F.col("rn") / P.BATCH))
     per_batch = sc.groupBy("batch").agg(F.avg("nll").alias("b"), F.count("*").alias("k"),
                                         F.sum("nll").alias("s"))
@@ -278,21 +316,21 @@ def asof_cut(spark, sf_dir):
 @query
 def tail_block(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
-    r = blocks.tail_rows(_lab_ex(ws), ws.tokens, LAB_KEY, P.BLOCK)
+    r = blocks.tail_rows(_lab_ex(ws), ws.test_tokens, LAB_KEY, P.BLOCK)
     return r.select(*LAB_KEY, "i", "token_id")
 
 
 @query
 def padded_block(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
-    pb = blocks.padded_blocks(_lab_ex(ws), ws.tokens, LAB_KEY, P.BLOCK)
+    pb = blocks.padded_blocks(_lab_ex(ws), ws.test_tokens, LAB_KEY, P.BLOCK)
     return pb.select(*LAB_KEY, to_text("block").alias("block"))
 
 
 @query
 def history_bag(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
-    hb = blocks.history_bag(_lab_ex(ws), ws.tokens, LAB_KEY, P.BLOCK, max_pos=ws.max_stay_len)
+    hb = blocks.history_bag(_lab_ex(ws), ws.test_tokens, LAB_KEY, P.BLOCK, max_pos=ws.max_stay_len)
     return hb.select(*LAB_KEY, "token_id", "n")
 
 
@@ -323,7 +361,7 @@ def train_val_split(spark, sf_dir):
 @query
 def head_nonpad(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
-    tb = blocks.training_blocks(ws.tokens.where("testset"), P.BLOCK)
+    tb = blocks.training_blocks(ws.test_tokens, P.BLOCK)
     return tb.select("stay_id", "b", to_text(arr.head_nonpad("x", P.HEAD)).alias("head"))
 
 
@@ -334,7 +372,7 @@ def append_block(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
     T = P.BLOCK
     ex = _lab_ex(ws)
-    rows = blocks.tail_rows(ex, ws.tokens, LAB_KEY, T).select(*LAB_KEY, "i", "token_id")
+    rows = blocks.tail_rows(ex, ws.test_tokens, LAB_KEY, T).select(*LAB_KEY, "i", "token_id")
     add = ex.select(*LAB_KEY, F.posexplode(F.array(*[F.lit(x) for x in P.INJECTED])).alias("j", "tok"))
     v = ws.vocab.select(F.col("token").alias("tok"), F.col("token_id").alias("tid"))
     add = add.join(v, "tok", "left").select(*LAB_KEY, (F.lit(T) + F.col("j")).alias("i"),
@@ -350,11 +388,14 @@ def draw_example(spark, sf_dir):
     """One test block drawn by a reproducible hash uniform: an arg-min
     aggregate, no global sort."""
     ws = Workspace.get(spark, sf_dir)
-    tb = blocks.training_blocks(ws.tokens.where("testset"), P.BLOCK)
-    u = uniform("stay_id", "b")
-    pick = tb.select(F.min_by(F.struct("stay_id", "b", "x"), F.struct(u, F.col("stay_id"), F.col("b")))
-                     .alias("r")).select("r.*")
-    return pick.select("stay_id", "b", to_text(arr.head_nonpad("x", P.HEAD)).alias("head"))
+    keys = ws.test_tokens.select("stay_id", F.floor(F.col("pos") / P.BLOCK).cast("long").alias("b"))
+    pick = keys.select(F.min_by(F.struct("stay_id", "b"), F.struct(uniform("stay_id", "b"), F.col("stay_id"), F.col("b")))
+                       .alias("r")).select(F.col("r.stay_id").alias("s"), F.col("r.b").alias("k"))
+    # only the drawn block is built: one row meets the stream
+    t = ws.test_tokens
+    drawn = t.join(F.broadcast(pick), (t["stay_id"] == F.col("s")) & (F.floor(t["pos"] / P.BLOCK) == F.col("k")))
+    tb = blocks.training_blocks(drawn.drop("s", "k"), P.BLOCK)
+    return tb.select("stay_id", "b", to_text(arr.head_nonpad("x", P.HEAD)).alias("head"))
 
 
 # ---- step 6: dose evaluation ------------------------------------------------------
@@ -425,6 +466,14 @@ def magnitude_model(spark, sf_dir):
         F.col("mag").cast("int").alias("mag"), "n")
 
 
+@query
+def magnitude_probs(spark, sf_dir):
+    """The magnitude model as a smoothed distribution that backs off."""
+    p = overdose.magnitude_probs(Workspace.get(spark, sf_dir).magnitude_model)
+    return p.select("item", F.col("prev_mag").cast("int").alias("prev_mag"), F.col("dose").cast("int").alias("dose"),
+                    F.col("mag").cast("int").alias("mag"), r6("p").alias("p"))
+
+
 @query
 def pre_post_delta(spark, sf_dir):
     return overdose.pre_post(Workspace.get(spark, sf_dir))
@@ -442,22 +491,34 @@ def shift_cohort(spark, sf_dir):
     return handoff.shift_cohort(Workspace.get(spark, sf_dir))
 
 
+@query
+def shift_context(spark, sf_dir):
+    c = handoff.shift_context(Workspace.get(spark, sf_dir))
+    return c.select("stay_id", "shift_start", "y", "cut", to_text("block").alias("block"))
+
+
 @query
 def no_prior_event(spark, sf_dir):
     return handoff.no_prior_event(Workspace.get(spark, sf_dir))
 
 
+@query
+def first_time_shifts(spark, sf_dir):
+    c = handoff.first_time_shifts(Workspace.get(spark, sf_dir))
+    return c.select("stay_id", "shift_start", "y", "cut", to_text("block").alias("block"))
+
+
 @query
 def horizon_score(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
-    hs = handoff.horizon_scores(ws, handoff.shift_cohort(ws))
+    hs = handoff.horizon_scores(ws, handoff.shift_cuts(ws))
     return hs.select("stay_id", "shift_start", r6("score").alias("score"))
 
 
 @query
 def hour_horizon(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
-    return handoff.hour_horizon(ws, handoff.shift_cohort(ws))
+    return handoff.hour_horizon(ws, handoff.shift_cuts(ws))
 
 
 @query
@@ -472,7 +533,7 @@ def sampled_next_token(spark, sf_dir):
     """One next token per test block, drawn from the smoothed model with
     reproducible hash uniforms (context = the block's last two tokens)."""
     ws = Workspace.get(spark, sf_dir)
-    tb = blocks.training_blocks(ws.tokens.where("testset"), P.BLOCK)
+    tb = blocks.training_blocks(ws.test_tokens, P.BLOCK)
     req = tb.select("stay_id", "b", F.element_at("x", P.BLOCK).alias("c1"),
                     F.element_at("x", P.BLOCK - 1).alias("c2"))
     s = scoring.sample_next(req, ws.model, ws.vocab, ["stay_id", "b"])
@@ -519,11 +580,37 @@ def real_synth_mix(spark, sf_dir):
         F.count("*").alias("n_tokens"), F.count_if(F.col("token") == augment.ERROR_TOKEN).alias("n_error"))
 
 
+@query
+def masked_loss(spark, sf_dir):
+    """Mean negative log-likelihood over the test stays' synthetic stream, of
+    all tokens and of those that carry loss weight (the inserted ones)."""
+    ws = Workspace.get(spark, sf_dir)
+    t = augment.inject_error(ws.test_tokens, levels=ws.scan_levels).join(ws.vocab, "token", "left")
+    t = t.select("stay_id", "pos", F.coalesce("token_id", F.lit(scoring.NONE)).alias("token_id"), "loss_weight")
+    ctx = neighbors(t, "stay_id", "pos", "token_id", [-1, -2], ["c1", "c2"]).withColumnRenamed("token_id", "target_id")
+    nll = -F.log("p")
+    out = scoring.score(ctx, ws.model).agg(
+        F.count("*").alias("n"), F.sum("loss_weight").cast("long").alias("n_weighted"), F.avg(nll).alias("loss_all"),
+        (F.sum(nll * F.col("loss_weight")) / F.sum("loss_weight")).alias("loss_masked"))
+    return out.select("n", "n_weighted", r6("loss_all").alias("loss_all"), r6("loss_masked").alias("loss_masked"))
+
+
+@query
+def saved_model(spark, sf_dir):
+    """The model's counts by order, after a save to and a load from the shared folder."""
+    ws = Workspace.get(spark, sf_dir)
+    path = f"{ws.folder}/saved-model"
+    save_model({"ngram": ws.model.long()}, {"block": P.BLOCK}, {"total": ws.model.total}, path)
+    tables, _, meta = load_model(spark, path, ["ngram"])
+    return tables["ngram"].groupBy("order").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_tokens")).withColumn(
+        "total", F.lit(meta["total"]).cast("long"))
+
+
 @query
 def response_splice(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
     stays = ws.splits.where("testset").select("stay_id")
-    return augment.splice_response(ws.tokens, stays).select(
+    return augment.splice_response(ws.test_tokens, stays).select(
         "stay_id", F.col("pos").cast("long").alias("pos"), "token", "loss_weight")
 
 
@@ -533,11 +620,15 @@ def response_splice(spark, sf_dir):
 
 @query
 def batch_scorer(spark, sf_dir):
-    ws = Workspace.get(spark, sf_dir)
-    tb = blocks.training_blocks(ws.tokens.where("testset"), P.BLOCK)
-    top = [r.token_id for r in ws.vocab.where(F.col("token") == P.HIGH).select("token_id").collect()]
-    return batch.batch_score(tb, ["stay_id", "b"], "x", batch.share_scorer(top)) \
-        .select("stay_id", "b", r6("score").alias("score"))
+    """Score of every test block: the share of its tokens that are the highest
+    magnitude, by built-in array functions (``operators.batch`` is the hook for a
+    model from outside)."""
+    ws = Workspace.get(spark, sf_dir)
+    row = ws.vocab.where(F.col("token") == P.HIGH).select("token_id").first()
+    top = row[0] if row else scoring.NONE
+    tb = blocks.training_blocks(ws.test_tokens, P.BLOCK)
+    hits, real = F.size(F.filter("x", lambda t: t == top)), F.size(F.filter("x", lambda t: t != 0))
+    return tb.select("stay_id", "b", r6(F.when(real > 0, hits / real)).alias("score"))
 
 
 @query

@@ -2,12 +2,13 @@
 
 Built lazily and once per workspace:
 
-raw events (+ test flag) -> decile edges (training stays) -> emitted tokens
--> vocabulary (training stays) -> positioned token stream with ids.
+raw events -> test flag -> decile edges (training stays) -> emitted tokens ->
+hour grid -> positioned token stream -> vocabulary (training stays).
 
-``materialize=True`` writes the token stream as parquet under the cluster's
-checkpoint folder and reads it back, cutting the lineage (the reference reads
-its token table from a database in the same way).
+Raw events, grid and stream are written once as parquet under the cluster's
+checkpoint folder and read back narrowly (the reference reads its token table
+from a database in the same way).  The stream carries the next two tokens and is
+partitioned by the test flag, so a query of test stays reads only those.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from __future__ import annotations
 import uuid
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.operators.broadcast import bounded_broadcast
-from eventide.operators.stream import build_stream
+from eventide.operators.scan import neighbors
+from eventide.operators.settled import settled
+from eventide.operators.stream import build_stream, minute_totals, unit_grid
 from eventide.operators.tokens import Grammar, decile_edges, emit, vocabulary
 from eventide.session import ensure_checkpoint_dir, prepare
 from eventide.sources import tables
@@ -49,14 +50,13 @@ class Workspace:
         return ws
 
     def __init__(self, spark: SparkSession, sf_dir: str, adapter: str = "events",
-                 materialize: bool = True, raw: DataFrame | None = None):
+                 raw: DataFrame | None = None):
         prepare(spark)
         self.spark = spark
         self.sf_dir = sf_dir
         self.adapter = adapter
         reader, self.grammar, self.unit, self.order_cols = ADAPTERS[adapter]
         self._reader = reader
-        self.materialize = materialize
         self._raw_override = raw
         self._run = uuid.uuid4().hex
 
@@ -65,20 +65,18 @@ class Workspace:
 
     @cached_property
     def raw_only(self) -> DataFrame:
-        """Raw events from the adapter, or a table derived from it by Spark."""
-        if self._raw_override is not None:
-            return self._raw_override
-        return self._reader(self.spark, self.sf_dir)
+        """Raw events from the adapter (or a table derived from it by Spark),
+        read, joined and parsed once: every later pass scans the saved columns it needs."""
+        return self._save(self._reader(self.spark, self.sf_dir) if self._raw_override is None else self._raw_override, "raw")
 
     @cached_property
     def splits(self) -> DataFrame:
-        return tables.splits(self.raw_only)
+        return settled(tables.splits(self.raw_only), "splits")
 
     @cached_property
     def raw(self) -> DataFrame:
         """Raw events with the stay's test flag (splits joined once)."""
-        sp = bounded_broadcast(self.splits, "splits")
-        return self.raw_only.join(sp, "stay_id")
+        return self.raw_only.join(self.splits, "stay_id")
 
     @cached_property
     def stay_detail(self) -> DataFrame:
@@ -86,7 +84,7 @@ class Workspace:
 
     @cached_property
     def edges_long(self) -> DataFrame:
-        return bounded_broadcast(decile_edges(self.raw), "edges_long")
+        return settled(decile_edges(self.raw), "edges")
 
     @cached_property
     def emitted(self) -> DataFrame:
@@ -100,11 +98,8 @@ class Workspace:
         return vocabulary(cand)
 
     @cached_property
-    def _stream_grid(self) -> tuple[DataFrame, DataFrame]:
-        stream, grid = build_stream(self.emitted, self.unit, self.order_cols)
-        # the spine grid (one row per stay and hour) feeds both the stream and
-        # its own saved copy: keep it once instead of computing it twice
-        return stream, grid.persist(StorageLevel.MEMORY_AND_DISK)
+    def _minutes(self) -> DataFrame:
+        return self._save(minute_totals(self.emitted, self.unit, ["testset"]), "minutes")
 
     @cached_property
     def max_stay_len(self) -> int:
@@ -120,17 +115,28 @@ class Workspace:
 
     @cached_property
     def grid(self) -> DataFrame:
-        return self._save(self._stream_grid[1], "grid")
+        return self._save(unit_grid(self._minutes), "grid")
 
-    def _save(self, df: DataFrame, name: str) -> DataFrame:
+    @property
+    def folder(self) -> str:
+        return f"{ensure_checkpoint_dir(self.spark)}/eventide-{self._run}"
+
+    def _save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         """Write to the shared checkpoint folder and read back: the lineage
         is cut and every later plan starts from a parquet scan (with column
-        pruning and pushed filters)."""
-        if not self.materialize:
-            return df
-        path = f"{ensure_checkpoint_dir(self.spark)}/eventide-{self._run}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        pruning, pushed filters and, with ``by``, partition pruning)."""
+        path = f"{self.folder}/{name}"
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        """Drop this workspace's tables from the shared folder."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for key in [k for k, ws in _SHARED.items() if ws is self]:
+            del _SHARED[key]
 
     @cached_property
     def model(self):
@@ -138,6 +144,12 @@ class Workspace:
         from eventide.operators.scoring import fit_from_tokens
         return fit_from_tokens(self.tokens, self.vocab)
 
+    @cached_property
+    def magnitude_model(self) -> DataFrame:
+        """Counts of the magnitude model, computed once (see ``plans.overdose``)."""
+        from eventide.plans.overdose import magnitude_model
+        return settled(magnitude_model(self), "magnitude-model")
+
     def horizon(self, token: str, steps: int) -> DataFrame:
         """Mean probability of ``token`` over ``steps`` chain steps, by start
         token (one row per vocabulary id), computed once per workspace."""
@@ -147,17 +159,25 @@ class Workspace:
             from eventide.operators.scoring import horizon_scores
             row = self.vocab.where(F.col("token") == token).select("token_id").first()
             hs = horizon_scores(self.model, self.vocab, row[0] if row else -1, steps)
-            cache[key] = bounded_broadcast(hs, "horizon")
+            cache[key] = settled(hs, "horizon")
         return cache[key]
 
     @cached_property
     def _stream_saved(self) -> DataFrame:
-        return self._save(self._stream_grid[0], "stream")
+        """The stream with the next two tokens of each position."""
+        stream = build_stream(self.emitted, self._minutes, self.grid, self.unit, self.order_cols)
+        return self._save(neighbors(stream, "stay_id", "pos", "token", [1, 2], ["next1", "next2"]), "stream", by="testset")
 
     @cached_property
     def tokens(self) -> DataFrame:
-        """``stay_id, pos, charttime, kind, row_id, sub, token, hour_no,
-        testset, token_id`` (token_id NULL for tokens unseen in training).
+        """``stay_id, pos, charttime, kind, row_id, sub, token, hour_no, next1,
+        next2, testset, token_id`` (token_id NULL for tokens unseen in training).
 
-        Ids are attached on read by a broadcast join to the (checked) vocabulary."""
+        Ids are attached on read by a join to the settled vocabulary, and only
+        where a query uses them."""
         return self._stream_saved.join(self.vocab, "token", "left")
+
+    @cached_property
+    def test_tokens(self) -> DataFrame:
+        """The stream of the test stays: one partition folder of the table."""
+        return self.tokens.where("testset")

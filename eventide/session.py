@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -45,8 +46,9 @@ def prepare(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; a private folder is
-    only made when it is unset (local tests).
+    ``spark.checkpoint.dir`` is read from the session.  Where it is unset, a
+    local master gets a folder of its own; on a cluster that is an error,
+    because a folder of one machine is not seen by the others.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -54,6 +56,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError(f"master {sc.master}: set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="eventide-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

@@ -5,7 +5,7 @@ they arrive, for keeping the token table current:
 
 * new event rows are read with ``readStream`` (file source);
 * the decile edges fitted in batch are a static table, joined to the stream
-  (stream-static broadcast join: the edges are one row per item);
+  (stream-static join; the planner broadcasts it while it is small);
 * each event is expanded into its tokens (stateless, per row);
 * an event-time aggregate with a watermark counts tokens per hour, so late
   rows are accepted up to the watermark and the state is then dropped.
@@ -21,7 +21,6 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.operators.quantiles import edges_as_arrays
 from eventide.operators.tokens import Grammar, emit
 
 
@@ -43,7 +42,7 @@ def raw_from_events(ev: DataFrame, splits: DataFrame | None = None) -> DataFrame
                     F.get_json_object("props", "$.k").cast("int").alias("k"))
     if splits is None:
         return raw.withColumn("testset", (F.pmod("stay_id", F.lit(10)) == 0))
-    return raw.join(F.broadcast(splits), "stay_id", "left")
+    return raw.join(splits, "stay_id", "left")
 
 
 def token_rows(raw_stream: DataFrame, edges_long: DataFrame, grammar: Grammar | None = None) -> DataFrame:
@@ -59,7 +58,3 @@ def hourly_counts(tokens: DataFrame, watermark: str = "2 hours") -> DataFrame:
     return (t.withWatermark("et", watermark)
             .groupBy(F.window("et", "1 hour").alias("w"), "token")
             .agg(F.count("*").alias("n")))
-
-
-def edges_table(edges_long: DataFrame) -> DataFrame:
-    return edges_as_arrays(edges_long, "item")

@@ -7,17 +7,25 @@ from eventide.operators.quantiles import exact_quantiles
 PROBS = [0.1, 0.25, 0.5, 0.9]
 
 
-@pytest.mark.parametrize("accuracy,max_band", [(10000, 2_000_000), (20, 2_000_000), (10000, 40)])
-def test_exact_quantiles_match_linear_interpolation(spark, accuracy, max_band):
+@pytest.mark.parametrize("accuracy", [100_000, 500, 20])
+def test_exact_quantiles_match_linear_interpolation(spark, accuracy):
     rng = np.random.default_rng(7)
     n = 3000
     g = np.where(rng.random(n) < 1 / 3, "hot", rng.choice(["a", "b", "c"], n))
     v = np.round(rng.gamma(2.0, 3.0, n), 1)  # many ties
     pdf = pd.DataFrame({"g": g, "v": v})
     pdf.loc[pdf.g == "c", "v"] = 5.0  # a constant group
-    got = exact_quantiles(spark.createDataFrame(pdf), "g", "v", PROBS, accuracy=accuracy,
-                          max_band=max_band).toPandas()
+    got = exact_quantiles(spark.createDataFrame(pdf), "g", "v", PROBS, accuracy=accuracy).toPandas()
     for (grp, qi), row in got.set_index(["g", "qi"]).iterrows():
         exp = np.percentile(pdf.loc[pdf.g == grp, "v"].to_numpy(), PROBS[qi] * 100, method="linear")
         assert row["edge"] == pytest.approx(exp, abs=1e-9), (grp, qi)
     assert len(got) == 4 * len(PROBS)
+
+
+@pytest.mark.parametrize("accuracy", [100_000, 100])
+def test_ties_on_both_sides_of_a_boundary(spark, accuracy):
+    """Equal parts of 50 values: each decile falls between two tied values."""
+    df = spark.range(50_000).selectExpr("'x' AS g", "cast(id % 50 + 1 AS double) AS v")
+    got = {r.qi: r.edge for r in exact_quantiles(df, "g", "v", PROBS, accuracy=accuracy).collect()}
+    v = np.repeat(np.arange(1.0, 51.0), 1000)
+    assert got == {i: pytest.approx(np.percentile(v, p * 100)) for i, p in enumerate(PROBS)}

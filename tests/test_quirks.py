@@ -29,6 +29,52 @@ def test_q5_short_stays_dropped(ws):
     assert c2.where(~F.col("cut_token").startswith("hour.")).count() == 0
 
 
+def test_q6_equal_requests_are_all_answered(spark, ws):
+    t = ws.tokens.where("kind = 1").select("stay_id", F.col("charttime").alias("t")).limit(3)
+    twice = t.unionByName(t)
+    got = cohorts.asof_cut(twice, ws.tokens, ws.grid, "t")
+    assert got.count() == 6 and got.distinct().count() <= 3
+
+
+def test_units_above_three_are_counted(spark):
+    """A dose with k of 100 or more has its own unit in the histogram."""
+    from eventide.plans import overdose
+    from eventide.plans.workspace import Workspace
+    from eventide.sources.tables import events_raw
+    raw = events_raw(spark, "/root/testdata/sf0.001")
+    ws = Workspace(spark, "/root/testdata/sf0.001", raw=raw.withColumn("k", F.col("k") + 100))
+    cut = ws.test_tokens.groupBy("stay_id").agg((F.max("pos") + 1).alias("cut_pos"))
+    h = overdose.dose_histogram(ws, cut)
+    assert h.agg(F.sum("n")).first()[0] == ws.test_tokens.where(F.col("token") == P.DRUG).count()
+    assert {r.unit for r in h.select("unit").distinct().collect()} <= {f"unit.{u}" for u in range(4, 8)}
+    ws.close()
+
+
+def test_a_cluster_must_name_its_checkpoint_folder():
+    import pytest
+
+    from eventide import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Sc:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Spark:
+        sparkContext, conf = Sc(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Spark())
+
+
 def test_q6_duplicate_times_share_last_position(ws):
     from eventide.plans import dose_eval
     ex = dose_eval.dose_examples(ws).toPandas()
