@@ -10,23 +10,12 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def tail(a: Column | str, n: int) -> Column:
-    """Last ``n`` elements; the whole array when it is shorter."""
-    a = _c(a)
-    return F.when(F.size(a) <= n, a).otherwise(F.slice(a, F.size(a) - n + 1, F.lit(n)))
-
-
 def left_pad(a: Column | str, n: int, pad: int = 0) -> Column:
     """Left-pad with ``pad`` up to length ``n`` (longer arrays unchanged)."""
     a = _c(a)
     return F.concat(F.array_repeat(F.lit(pad), F.greatest(F.lit(n) - F.size(a), F.lit(0))), a)
 
 
-def append_keep(a: Column | str, b: Column | str, n: int) -> Column:
-    """Concatenate and keep the last ``n`` (append, keep block size)."""
-    return tail(F.concat(_c(a), _c(b)), n)
-
-
 def head_nonpad(a: Column | str, n: int, pad: int = 0) -> Column:
     """First ``n`` elements that are not padding."""
     return F.slice(F.filter(_c(a), lambda x: x != F.lit(pad)), 1, n)

@@ -18,7 +18,3 @@ def family(token: Column | str) -> Column:
 def suffix_int(token: Column | str) -> Column:
     """``int(token.split('.')[-1])``, NULL when the suffix is not a number."""
     return F.substring_index(_c(token), ".", -1).try_cast("int")
-
-
-def is_family(token: Column | str, fam: str) -> Column:
-    return _c(token).startswith(fam + ".")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions.hashing import uniform
 from eventide.functions.tokens import suffix_int
-from eventide.operators.scan import last_before, prefix_sum
+from eventide.operators.scan import join_stays, last_before, prefix_sum
 
 ERROR_TOKEN = "error"
 # fixed values: (drug token, lab token, lowest lab magnitude that forbids it)
@@ -98,7 +98,7 @@ def splice_response(tokens: DataFrame, stays: DataFrame, seed_key: int = 6) -> D
     anchor = tokens.where(F.col("kind") == 0).join(pick, "stay_id") \
         .where(F.col("hour_no") == F.col("j")).select("stay_id", F.col("pos").alias("a"))
     n = len(RESPONSE)
-    body = tokens.join(anchor, "stay_id").select(
+    body = join_stays(tokens, anchor).select(
         "stay_id", (F.col("pos") + F.when(F.col("pos") > F.col("a"), F.lit(n)).otherwise(0)).alias("pos"),
         "token", F.lit(0).alias("loss_weight"))
     resp = anchor.select("stay_id", "a", F.posexplode(F.array(*[F.lit(t) for t in RESPONSE])).alias("i", "t"))

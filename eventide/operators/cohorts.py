@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.operators.scan import rank_in_group
+from eventide.operators.scan import join_stays, rank_in_group
 
 
 def nth_occurrences(tokens: DataFrame, targets: Sequence[str], test_only: bool = True,
@@ -82,7 +82,7 @@ def last_value_before(tokens: DataFrame, cuts: DataFrame, item_token: str,
     (``max_by`` over positions: a partial aggregate, not a scan)."""
     items = tokens.where(F.col("token") == item_token).select("stay_id", "pos", F.when(
         F.col("next1").startswith("magnitude."), F.substring_index("next1", ".", -1).try_cast("int")).alias("mag"))
-    j = items.join(cuts.select("stay_id", cut_col), "stay_id").where(F.col("pos") < F.col(cut_col))
+    j = join_stays(items, cuts.select("stay_id", cut_col)).where(F.col("pos") < F.col(cut_col))
     last = j.groupBy("stay_id").agg(F.max_by("mag", "pos").alias("last_mag"))
     return cuts.join(last, "stay_id", "left")
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_FANOUT = 4096
@@ -121,9 +121,16 @@ def at_offset(requests: DataFrame, stream: DataFrame, pos_col: str, offset: int,
     return requests.join(right, cond, "left").drop("__g", "__p")
 
 
-def block_key(pos: Column | str, size: int) -> Column:
-    p = F.col(pos) if isinstance(pos, str) else pos
-    return F.floor(p / F.lit(size)).cast("long")
+SALTS = 16
+
+
+def join_stays(rows: DataFrame, per_stay: DataFrame, group: str = "stay_id", order: str = "pos", salts: int = SALTS) -> DataFrame:
+    """``rows`` joined with a table of one row a stay.  The stay's rows are dealt
+    over ``salts`` keys by chunk of position and its one row is copied to
+    each, so that a hot stay is no single key of the join."""
+    salt = F.pmod(F.floor(F.col(order) / DEFAULT_FANOUT), F.lit(salts)).cast("int")
+    copies = per_stay.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("__salt", salt).join(copies, [group, "__salt"]).drop("__salt")
 
 
 def neighbors(df: DataFrame, group: str | Sequence[str], order: str, col: str,

@@ -49,12 +49,19 @@ def spine_token(unit: str, ab: Column) -> Column:
     return F.concat(F.lit("day."), F.pmod(ab + F.lit(3), F.lit(7)).cast("string"))
 
 
-def minute_totals(ev: DataFrame, unit: str, carry: Sequence[str]) -> DataFrame:
-    """Event tokens per stay and minute: a partial aggregate, skew-safe."""
+def tie_bucket(tie: tuple[str, int] | None) -> Column:
+    """Where all events of a minute have one time (whole days), the first
+    tie-break column divided by a width splits the minute in order."""
+    return F.lit(0).cast("long") if tie is None else F.floor(F.col(tie[0]) / F.lit(tie[1])).cast("long")
+
+
+def minute_totals(ev: DataFrame, unit: str, carry: Sequence[str], tie: tuple[str, int] | None = None) -> DataFrame:
+    """Event tokens per stay, minute and tie bucket: a partial aggregate, skew-safe."""
     per = UNIT_US[unit] // SUB_US
     us = epoch_us("charttime")
-    return (ev.select("stay_id", F.floor(us / F.lit(SUB_US)).cast("long").alias("am"), F.size("toks").cast("long").alias("ntok"), *carry)
-            .groupBy("stay_id", "am").agg(F.sum("ntok").alias("c"), *[F.max(c).alias(c) for c in carry])
+    return (ev.select("stay_id", F.floor(us / F.lit(SUB_US)).cast("long").alias("am"), tie_bucket(tie).alias("tb"),
+                      F.size("toks").cast("long").alias("ntok"), *carry)
+            .groupBy("stay_id", "am", "tb").agg(F.sum("ntok").alias("c"), *[F.max(c).alias(c) for c in carry])
             .withColumn("ah", F.floor(F.col("am") / F.lit(per)).cast("long")))
 
 
@@ -71,7 +78,8 @@ def unit_grid(mt: DataFrame, carry: Sequence[str] = ("testset",)) -> DataFrame:
 
 
 def build_stream(ev: DataFrame, mt: DataFrame, grid: DataFrame, unit: str = "hour",
-                 order_cols: Sequence[str] = ("row_id",), carry: Sequence[str] = ("testset",)) -> DataFrame:
+                 order_cols: Sequence[str] = ("row_id",), carry: Sequence[str] = ("testset",),
+                 tie: tuple[str, int] | None = None) -> DataFrame:
     """Build the stream from emitted events, their minute totals and the grid.
 
     ``ev`` needs ``stay_id, charttime, toks`` plus ``order_cols`` (the
@@ -83,19 +91,20 @@ def build_stream(ev: DataFrame, mt: DataFrame, grid: DataFrame, unit: str = "hou
     carry = list(carry)
     e = (ev.withColumn("us", epoch_us("charttime"))
          .withColumn("am", F.floor(F.col("us") / F.lit(SUB_US)).cast("long"))
+         .withColumn("tb", tie_bucket(tie))
          .withColumn("ntok", F.size("toks").cast("long")))
 
     # per-minute offsets: grid offset of the unit + earlier minutes in it
-    w_min = Window.partitionBy("stay_id", "ah").orderBy("am").rowsBetween(Window.unboundedPreceding, -1)
-    mins = (mt.select("stay_id", "am", "ah", "c")
+    w_min = Window.partitionBy("stay_id", "ah").orderBy("am", "tb").rowsBetween(Window.unboundedPreceding, -1)
+    mins = (mt.select("stay_id", "am", "tb", "ah", "c")
             .join(grid.select("stay_id", "ah", "ah0", "c_before"), ["stay_id", "ah"])
             .withColumn("m_before", F.col("c_before") + F.coalesce(F.sum("c").over(w_min), F.lit(0)))
-            .select("stay_id", "am", "m_before", (F.col("ah") - F.col("ah0")).alias("hidx")))
+            .select("stay_id", "am", "tb", "m_before", (F.col("ah") - F.col("ah0")).alias("hidx")))
 
-    # event rows: one shuffle on (stay, minute), join and window share it
-    w_ev = (Window.partitionBy("stay_id", "am").orderBy("us", *order_cols)
+    # event rows: one shuffle on (stay, minute, tie bucket), join and window share it
+    w_ev = (Window.partitionBy("stay_id", "am", "tb").orderBy("us", *order_cols)
             .rowsBetween(Window.unboundedPreceding, -1))
-    x = e.join(mins, ["stay_id", "am"])
+    x = e.join(mins, ["stay_id", "am", "tb"])
     x = x.withColumn("base", F.col("hidx") + F.col("m_before")
                      + F.coalesce(F.sum("ntok").over(w_ev), F.lit(0)))
     evtok = x.select("stay_id", "charttime", F.lit(1).alias("kind"), "row_id",

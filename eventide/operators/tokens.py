@@ -45,9 +45,6 @@ class Grammar:
         pref = F.create_map(*[x for kv in KIND_PREFIX.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
         return F.concat(pref[kind], F.lit("."), item)
 
-    def names_for(self, kind: str) -> list[str]:
-        return [f"{KIND_PREFIX[kind]}.{i}" for i, k in self.item_kind.items() if k == kind]
-
 
 def decile_edges(raw: DataFrame) -> DataFrame:
     """Per-item decile edges fitted on training (non-test) stays:
@@ -81,7 +78,9 @@ def emit(raw: DataFrame, edges_long: DataFrame, grammar: Grammar) -> DataFrame:
             .when(kind == "med", F.array(name, unit, mtok))
             .when(kind == "culture", F.array(name, result))
             .otherwise(F.array(name)))
-    return e.withColumn("mag", mag).withColumn("toks", toks).drop("edges")
+    # a missing value (or an item that training never saw) has no magnitude: it
+    # emits no token in that place, never a NULL one
+    return e.withColumn("mag", mag).withColumn("toks", F.array_compact(toks)).drop("edges")
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:

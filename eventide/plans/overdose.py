@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from eventide.functions.arrays import to_text
 from eventide.functions.tokens import suffix_int
 from eventide.operators import blocks, cohorts, scoring
-from eventide.operators.scan import last_before
+from eventide.operators.scan import join_stays, last_before
 from eventide.plans import params as P
 from eventide.plans.workspace import Workspace
 
@@ -39,7 +39,7 @@ def dose_histogram(ws: Workspace, c: DataFrame | None = None, drug: str = P.DRUG
     units and deciles that occur (the reference's product x decile table, long)."""
     c = cuts(ws) if c is None else c
     d = ws.test_tokens.where(F.col("token") == drug).select("stay_id", "pos", "next1", "next2")
-    d = d.join(c.select("stay_id", "cut_pos"), "stay_id").where(F.col("pos") < F.col("cut_pos"))
+    d = join_stays(d, c.select("stay_id", "cut_pos")).where(F.col("pos") < F.col("cut_pos"))
     d = d.where(F.col("next2").startswith("magnitude."))
     return d.groupBy("stay_id", F.col("next1").alias("unit"), suffix_int("next2").alias("decile")).agg(F.count("*").alias("n"))
 

@@ -17,7 +17,7 @@ from eventide.functions.arrays import to_text
 from eventide.functions.hashing import uniform
 from eventide.functions.tokens import family, suffix_int
 from eventide.operators import augment, blocks, cohorts, metrics, scoring
-from eventide.operators.scan import neighbors, prefix_sum
+from eventide.operators.scan import join_stays, neighbors, prefix_sum
 from eventide.operators.tokens import EVENTS_ITEM_KIND, vocabulary
 from eventide.plans import dose_eval, handoff, lab_eval, overdose
 from eventide.plans import params as P
@@ -248,7 +248,7 @@ def _stay_offsets(ws: Workspace, rows: DataFrame) -> DataFrame:
     lens = ws.grid.where("testset").groupBy("stay_id").agg(
         (F.max(F.col("c_before") + F.col("c")) + F.count("*") - 1).alias("len")).withColumn("g", F.lit(0))
     off = prefix_sum(lens, "g", "stay_id", ["len"]).select("stay_id", "len_before")
-    return rows.join(off, "stay_id").withColumn("rn", F.col("len_before") + F.col("pos"))
+    return join_stays(rows, off).withColumn("rn", F.col("len_before") + F.col("pos"))
 
 
 @query

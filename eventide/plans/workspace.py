@@ -27,10 +27,11 @@ from eventide.session import ensure_checkpoint_dir, prepare
 from eventide.sources import tables
 
 ADAPTERS = {
-    "events": (tables.events_raw, Grammar(), "hour", ("row_id",)),
+    "events": (tables.events_raw, Grammar(), "hour", ("row_id",), None),
     "lineitem": (tables.lineitem_raw,
                  Grammar(item_kind={"R": "lab", "A": "lab", "N": "lab"}, default_kind="lab"),
-                 "day", tuple(tables.LINEITEM_ORDER)),
+                 # all rows of a day have one time: their order key splits it
+                 "day", tuple(tables.LINEITEM_ORDER), (tables.LINEITEM_ORDER[0], 4096)),
 }
 
 
@@ -55,7 +56,7 @@ class Workspace:
         self.spark = spark
         self.sf_dir = sf_dir
         self.adapter = adapter
-        reader, self.grammar, self.unit, self.order_cols = ADAPTERS[adapter]
+        reader, self.grammar, self.unit, self.order_cols, self.tie = ADAPTERS[adapter]
         self._reader = reader
         self._raw_override = raw
         self._run = uuid.uuid4().hex
@@ -99,7 +100,7 @@ class Workspace:
 
     @cached_property
     def _minutes(self) -> DataFrame:
-        return self._save(minute_totals(self.emitted, self.unit, ["testset"]), "minutes")
+        return self._save(minute_totals(self.emitted, self.unit, ["testset"], self.tie), "minutes")
 
     @cached_property
     def max_stay_len(self) -> int:
@@ -165,7 +166,7 @@ class Workspace:
     @cached_property
     def _stream_saved(self) -> DataFrame:
         """The stream with the next two tokens of each position."""
-        stream = build_stream(self.emitted, self._minutes, self.grid, self.unit, self.order_cols)
+        stream = build_stream(self.emitted, self._minutes, self.grid, self.unit, self.order_cols, tie=self.tie)
         return self._save(neighbors(stream, "stay_id", "pos", "token", [1, 2], ["next1", "next2"]), "stream", by="testset")
 
     @cached_property

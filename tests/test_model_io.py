@@ -23,3 +23,25 @@ def test_entry_runs(spark):
     rows = df.collect()
     assert df.columns == ["target", "metric", "value"]
     assert len(rows) > 0
+
+
+def test_report_sink(spark, ws):
+    from eventide.plans.lab_eval import lab_panel
+    from eventide.sources.report import report, write_report
+    path = f"{ensure_checkpoint_dir(spark)}/eventide-test-report-{uuid.uuid4().hex}"
+    r = report(lab_panel(ws))
+    write_report(r, path)
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == sorted(map(tuple, r.collect()))
+
+
+def test_batch_hook(spark, ws):
+    """The hook for a model from outside gives what the built-in score gives."""
+    from pyspark.sql import functions as F
+
+    from eventide.operators import batch, blocks
+    from eventide.plans import params as P
+    top = ws.vocab.where(F.col("token") == P.HIGH).first().token_id
+    tb = blocks.training_blocks(ws.test_tokens, P.BLOCK)
+    got = batch.batch_score(tb, ["stay_id", "b"], "x", batch.share_scorer([top])).collect()
+    want = {(r.stay_id, r.b): sum(t == top for t in r.x) / sum(t != 0 for t in r.x) for r in tb.collect()}
+    assert {(r.stay_id, r.b): round(r.score, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}

@@ -45,3 +45,18 @@ def test_history_plus_block_rebuilds_prefix(ws):
     tr = blocks.tail_rows(ex, ws.tokens, key, small).groupBy(*key).agg(F.count("*").alias("b"))
     j = ex.join(hb, key, "left").join(tr, key, "left").fillna(0, ["h", "b"])
     assert j.where(F.col("h") + F.col("b") != F.col("cut")).count() == 0
+
+
+def test_missing_values_emit_no_null_token(spark):
+    """A NULL value, a NULL k or an unseen item leaves its token out."""
+    from eventide.plans.workspace import Workspace
+    from eventide.sources.tables import events_raw
+    raw = events_raw(spark, "/root/testdata/sf0.001")
+    gone = F.pmod("row_id", F.lit(4)) == 0
+    raw = raw.withColumn("value", F.when(~gone, F.col("value"))).withColumn("k", F.when(F.pmod("row_id", F.lit(8)) > 0, F.col("k")))
+    ws = Workspace(spark, "/root/testdata/sf0.001", raw=raw.withColumn(
+        "item", F.when(F.col("stay_id") % 10 == 0, F.concat("item", F.lit("_new"))).otherwise(F.col("item"))))
+    assert ws.tokens.where(F.col("token").isNull()).count() == 0
+    s = ws.tokens.groupBy("stay_id").agg(F.count("*").alias("n"), F.max("pos").alias("mx"))
+    assert s.where(F.col("n") != F.col("mx") + 1).count() == 0
+    ws.close()
