@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from eventide.llm.common import LOWER, unit_hash
+from eventide.llm.common import LOWER, saved, unit_hash
 
 LENGTH = 256
 # Bound of the training sample: windows for each language.
@@ -146,15 +146,19 @@ def window_of(body: bytes) -> np.ndarray:
 
 def sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """``(lang, body)``: for each language at most ``per_lang`` windows, one of
-    a document, at a place chosen by hash.  The rank keeps only that many rows of a
-    language in each task before anything is shuffled."""
+    a document, at a place chosen by hash.  A language's rows are thinned by hash to
+    about twice that number where they lie, and ranked after, so that a language with
+    most of the rows does not meet in one task."""
     own = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    sizes = saved(own.groupBy("lang").agg(F.count("*").alias("n")), "languages").withColumnRenamed("lang", "of")
+    rank = unit_hash(F.lit("rank"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
+    own = own.join(sizes, own["lang"] == sizes["of"]).withColumn("r", rank).where(F.col("r") * F.col("n") < 2 * per_lang)
     start = F.floor(unit_hash(F.lit("place"), "doc_id") * F.greatest(F.char_length("text") - LENGTH + 1, F.lit(1))).cast("int")
-    cut = own.select("lang", unit_hash(F.lit("rank"), "doc_id").alias("r"), F.col("doc_id").alias("d"),
+    cut = own.select("lang", "r", F.col("doc_id").alias("d"),
                      F.substring("text", start + 1, LENGTH).cast("binary").alias("body"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("r", "d", "body"))
-    return cut.withColumn("k", rank).where(F.col("k") <= per_lang).select("lang", "body")
+    place = F.row_number().over(W.partitionBy("lang").orderBy("r", "d", "body"))
+    return cut.withColumn("k", place).where(F.col("k") <= per_lang).select("lang", "body")
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG, steps: int = STEPS) -> bytes | None:
