@@ -9,7 +9,7 @@ a language that are not held out.  The sample is trained on in one task;
 only the weights (some 100 kB) reach the driver.
 
 Prediction is a map over whole texts: every window of a text is scored and the
-text's log-probabilities are the means over its windows, weighted by length.
+text's probabilities are the means over its windows, weighted by length.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; a null
 id is never held out (its crc32 is taken of the empty text); rows without
@@ -186,14 +186,15 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, steps: int = STEPS) -> bytes
 
 
 def score_texts(net: ByteConv, bodies: list[bytes]) -> np.ndarray:
-    """Mean log-probabilities of each text over all its windows."""
+    """Mean probabilities of each text over all its windows, so that a text of two
+    languages gets the one that has more of it."""
     total = np.zeros((len(bodies), len(net.langs)))
     weight = np.zeros(len(bodies))
     held, owner, size = [], [], []
 
     def flush() -> None:
-        lp = net.log_probs(np.stack(held))
-        np.add.at(total, owner, lp * np.array(size)[:, None])
+        p = np.exp(net.log_probs(np.stack(held)))
+        np.add.at(total, owner, p * np.array(size)[:, None])
         np.add.at(weight, owner, size)
         held.clear(), owner.clear(), size.clear()
 
@@ -224,11 +225,9 @@ def predict(docs: DataFrame, model: bytes | None) -> DataFrame:
             lang, score = ["und"] * len(bodies), [0.0] * len(bodies)
             at = [i for i, h in enumerate(has) if h] if net else []
             if at:
-                lp = score_texts(net, [bodies[i] for i in at])
-                p = np.exp(lp - lp.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
+                p = score_texts(net, [bodies[i] for i in at])
                 for i, k, s in zip(at, p.argmax(axis=1), p.max(axis=1)):
-                    lang[i], score[i] = net.langs[k], float(s)
+                    lang[i], score[i] = net.langs[k], min(1.0, float(s))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score, pa.float64())],
                                              names=["doc_id", "lang_pred", "score"])
 
