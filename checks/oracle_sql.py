@@ -535,7 +535,7 @@ WHERE sp.testset AND d.los_days > 1 AND NOT EXISTS (
   SELECT 1 FROM raw r WHERE r.stay_id = s.stay_id AND r.item = 'error' AND r.charttime < s.shift_start)""",
                                     SHIFTS)
     context = f"""
-sctx AS (SELECT s.stay_id, s.shift_start, s.y, s.cut, coalesce({pad_text('l')}, {pad_text('[]::INTEGER[]')}) AS block FROM (
+sctx AS (SELECT s.stay_id, s.shift_start, s.y, s.cut, {pad_text('coalesce(l, []::INTEGER[])')} AS block FROM (
   SELECT s.stay_id, s.shift_start, any_value(s.y) AS y, any_value(s.cut) AS cut,
          list(coalesce(t.token_id, 0) ORDER BY t.pos) FILTER (t.pos IS NOT NULL) AS l
   FROM scoh s LEFT JOIN stream t ON t.stay_id = s.stay_id AND t.pos >= s.cut - {BLOCK} AND t.pos < s.cut

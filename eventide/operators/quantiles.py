@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from eventide.operators.settled import settled
 
-ACCURACY = 100_000
+ACCURACY = 10_000
 
 
 def exact_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float],
