@@ -17,7 +17,7 @@ from eventide.functions.arrays import to_text
 from eventide.functions.hashing import uniform
 from eventide.functions.tokens import family, suffix_int
 from eventide.operators import augment, blocks, cohorts, metrics, scoring
-from eventide.operators.scan import join_stays, neighbors, prefix_sum
+from eventide.operators.scan import join_stays, neighbors
 from eventide.operators.tokens import EVENTS_ITEM_KIND, vocabulary
 from eventide.plans import dose_eval, handoff, lab_eval, overdose
 from eventide.plans import params as P
@@ -244,10 +244,16 @@ def next_token_probs(spark, sf_dir):
 
 def _stay_offsets(ws: Workspace, rows: DataFrame) -> DataFrame:
     """Global row number ``rn`` over (stay_id, pos) of the test stays without a
-    global sort: stay lengths come from the grid, and are scanned in stay order."""
+    global sort: stay lengths come from the grid, and are summed in stay order
+    inside buckets of equally many stays (sketched bounds), then over the buckets."""
     lens = ws.grid.where("testset").groupBy("stay_id").agg(
-        (F.max(F.col("c_before") + F.col("c")) + F.count("*") - 1).alias("len")).withColumn("g", F.lit(0))
-    off = prefix_sum(lens, "g", "stay_id", ["len"]).select("stay_id", "len_before")
+        (F.max(F.col("c_before") + F.col("c")) + F.count("*") - 1).alias("len"))
+    d = metrics.bucketed(lens.select(F.lit(0).alias("g"), F.col("stay_id").alias("s"), "len"), ["g"])
+    before = Window.partitionBy("bkt").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("g").orderBy("bkt").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    tot = d.groupBy("g", "bkt").agg(F.sum("len").alias("n")).select("bkt", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("n"))
+    off = d.withColumn("own", F.coalesce(F.sum("len").over(before), F.lit(0))).join(tot, "bkt").select(
+        F.col("s").alias("stay_id"), (F.col("own") + F.col("n")).alias("len_before"))
     return join_stays(rows, off).withColumn("rn", F.col("len_before") + F.col("pos"))
 
 

@@ -38,12 +38,20 @@ ADAPTERS = {
 _SHARED: dict = {}
 
 
+def _stamp(spark: SparkSession, folder: str) -> tuple:
+    """Name, length and time of change of what lies in a folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)))
+
+
 class Workspace:
     @classmethod
     def get(cls, spark: SparkSession, sf_dir: str, adapter: str = "events") -> "Workspace":
-        """One workspace per (session, data folder, adapter): the token stream
-        is built once and read by every query, like a derived table."""
-        key = (spark.sparkContext.applicationId, id(spark), sf_dir, adapter)
+        """One workspace per (session, data folder as it is now, adapter): the
+        token stream is built once and read by every query, like a derived table;
+        a changed table gets a new one."""
+        key = (spark.sparkContext.applicationId, id(spark), sf_dir, adapter, _stamp(spark, sf_dir))
         ws = _SHARED.get(key)
         if ws is None:
             ws = _SHARED[key] = cls(spark, sf_dir, adapter)

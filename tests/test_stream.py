@@ -60,3 +60,19 @@ def test_missing_values_emit_no_null_token(spark):
     s = ws.tokens.groupBy("stay_id").agg(F.count("*").alias("n"), F.max("pos").alias("mx"))
     assert s.where(F.col("n") != F.col("mx") + 1).count() == 0
     ws.close()
+
+
+def test_a_changed_table_gets_a_new_workspace(spark):
+    import uuid
+
+    from eventide.plans.workspace import Workspace
+    from eventide.session import ensure_checkpoint_dir
+    folder = f"{ensure_checkpoint_dir(spark)}/eventide-test-tables-{uuid.uuid4().hex}"
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    ev.write.parquet(f"{folder}/events.parquet")
+    a = Workspace.get(spark, folder)
+    assert Workspace.get(spark, folder) is a
+    ev.limit(100).write.mode("overwrite").parquet(f"{folder}/events.parquet")
+    b = Workspace.get(spark, folder)
+    assert b is not a and b.raw_only.count() == 100
+    b.close()
