@@ -17,7 +17,7 @@ Edge cases: null text and null role count as empty; turns are sorted by (turn, r
 text), nulls first, so ties and repeated rows have one order and all stay; a
 null ``conv_id`` is a conversation of its own; other columns are ignored; an
 empty table gives an empty result.  A conversation is one value of the result,
-so its rows meet in one group; rows are bytes to the shuffle only once.
+so its turns meet in one group; they are shuffled once.
 """
 
 from __future__ import annotations

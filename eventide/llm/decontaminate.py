@@ -24,7 +24,6 @@ get a row; an empty benchmark hits nothing; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -205,10 +204,6 @@ def report(found: DataFrame) -> DataFrame:
                         F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def items_digest(ids) -> str:
-    return hashlib.sha256(",".join(sorted(str(x) for x in ids)).encode()).hexdigest()
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows in which any window occurs; columns as given.
     Only the identities of contaminated rows meet the table in a join."""
