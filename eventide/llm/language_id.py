@@ -21,7 +21,6 @@ columns are ignored.
 from __future__ import annotations
 
 import pickle
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +42,6 @@ BATCH = 64
 RATE = 0.02
 # Windows scored at a time.
 WINDOWS = 256
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -221,7 +219,7 @@ def predict(docs: DataFrame, model: bytes | None) -> DataFrame:
         net = pickle.loads(shared.value).ready() if shared.value else None
         for batch in batches:
             bodies = [x.as_py() for x in batch.column(1)]
-            has = [b is not None and LETTER.search(b.decode("utf-8", "replace")) is not None for b in bodies]
+            has = [b is not None and any(map(str.isalpha, b.decode("utf-8", "replace"))) for b in bodies]
             lang, score = ["und"] * len(bodies), [0.0] * len(bodies)
             at = [i for i, h in enumerate(has) if h] if net else []
             if at:

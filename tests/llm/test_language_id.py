@@ -30,7 +30,7 @@ def test_learns_only_from_labelled_rows_not_held_out(spark, make_docs, text_make
 
 
 def test_odd_rows(make_docs, odd, text_maker):
-    rows = odd + [(20 + i, text_maker(i % 2, 40), "xx" if i % 2 else "yy") for i in range(12)] + [(50, "12 + 34 = 46 !"), (51, "ß")]
+    rows = odd + [(20 + i, text_maker(i % 2, 40), "xx" if i % 2 else "yy") for i in range(12)] + [(50, "12 + 34 = 46 !"), (51, "ß"), (52, "x² → ²³"), (53, "²³ ½ _ ٣")]
     df = make_docs([(*r[:2], None) if len(r) == 2 else r for r in rows], clash=True)
     net = lid.fit(df, steps=20)
     got = lid.predict(df, net).collect()
