@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import (chat, decontaminate, language_id, licenses, line_dedup, mixing, quality, rules, secrets, simhash)
+from eventide.llm import (chat, decontaminate, language_id, licenses, line_dedup, mixing, quality, resample, rules, secrets,
+                          simhash)
 from eventide.llm.common import table
 
 
@@ -57,6 +58,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_secret_scan, op3_language_id, op4_quality_classifier, op5_line_dedup, op6_decontaminate,
-    op7_simhash_dedup, op8_mixing, op9_quality_rules, op10_license_scan)}
+    op7_simhash_dedup, op8_mixing, op9_quality_rules, op10_license_scan, op11_resample)}
