@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import (chat, decontaminate, language_id, licenses, line_dedup, mixing, quality, resample, rules, secrets,
-                          simhash)
+from eventide.llm import (align, bpe, chat, decontaminate, language_id, licenses, line_dedup, mixing, quality, resample,
+                          rules, secrets, simhash)
 from eventide.llm.common import table
 
 
@@ -62,6 +62,22 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("word_bpe_49k.json")
+    return bpe.report(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+
+
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.link_report(align.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"),
+                                         tokenizer_file("piece_bpe_32k.model")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_secret_scan, op3_language_id, op4_quality_classifier, op5_line_dedup, op6_decontaminate,
-    op7_simhash_dedup, op8_mixing, op9_quality_rules, op10_license_scan, op11_resample)}
+    op7_simhash_dedup, op8_mixing, op9_quality_rules, op10_license_scan, op11_resample, op12_bpe,
+    op13_token_align)}
