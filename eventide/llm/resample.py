@@ -3,13 +3,14 @@
 Features are all runs of 1 to 3 consecutive words; a feature's bucket is the
 CRC-32 of its UTF-8 bytes modulo ``buckets``.
 
-1. Head: every task keeps heavy-hitter counts of words and word pairs (bounded;
-   the smallest are pruned when there are too many) over all documents, and the
-   summed counts pick the words and pairs with at least one in ``HEAD`` of all
-   occurrences: at most ``HEAD`` of each, by counting.  The exact CRC states
-   of those words and pairs are broadcast (words over ``HEAD_BYTES`` stay out,
-   so the broadcast has a size bound).  The head only saves work: what is not
-   in it takes the direct CRC of its bytes, so a wrong head changes no result.
+1. Head: every task counts words and word pairs of all its documents (in bounded
+   memory: the rarest are dropped when there are too many), hands on those with at
+   least one in ``2 * HEAD`` of its own occurrences, and the sums pick the words and
+   pairs with at least one in ``HEAD`` of all: at most ``HEAD`` of each, by counting.
+   The exact CRC states of those words and pairs are broadcast (words over
+   ``HEAD_BYTES`` stay out, so the broadcast has a size bound).  The head only saves
+   work: what is not in it takes the direct CRC of its bytes, so a word or pair that
+   is missed changes no result.
 2. Totals: exact counts of every bucket over all documents and over all of the
    target, one vector of ``buckets`` numbers a task, summed by Spark.
 3. Weights: a second scan sums each document's gains; scores add Gumbel noise
@@ -27,9 +28,9 @@ read in pieces of ``PIECE`` bytes; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched, repeat
 from zlib import crc32
 
 import numpy as np
@@ -44,9 +45,10 @@ MIN_WORDS = 20
 PERCENT = 5
 SEED = 42
 
-HEAD = 32_768  # a head word or pair has one in so many of all occurrences
+HEAD = 8192  # a head word or pair has one in so many of all occurrences
 HEAD_BYTES = 64  # longest head word
-COUNTERS = 8 * HEAD  # a task's counters before pruning
+COUNTERS = 16 * HEAD  # a task's counters of words, and of pairs
+BUFFER = 1 << 19  # words that are counted at a time
 PIECE = 1 << 20  # bytes of a text that are split into words at a time
 
 
@@ -85,20 +87,18 @@ def crossing(body: bytes | None) -> Iterator[tuple[list[bytes], int]]:
 
 def build_head(words: list[bytes], pairs: list[tuple[bytes, bytes]]) -> Head:
     ids = {w: i for i, w in enumerate(words)}
-    states = np.fromiter((crc32(w) for w in words), np.uint32, len(words))
+    states = np.array([*map(crc32, words), 0], np.uint32)  # the last one for a word that isn't there
     both = sorted((ids[a] << 32 | ids[b], crc32(b" " + b, crc32(a))) for a, b in pairs if a in ids and b in ids)
     return Head(ids, states, np.array([k for k, _ in both], np.int64), np.array([s for _, s in both], np.uint32))
 
 
-def feature_states(ws: list[bytes], carried: int, head: Head) -> list[np.ndarray]:
+def feature_states(ws: list[bytes], carried: int, head: Head) -> np.ndarray:
     """CRC-32 of all features that end in ``ws[carried:]``: words, pairs, triples."""
     n = len(ws)
-    ids = np.fromiter((head.words.get(w, -1) for w in ws), np.int64, n)
-    one = np.empty(n, np.uint32)
-    known = ids >= 0
-    one[known] = head.states[ids[known]]
-    tail = np.flatnonzero(~known)
-    one[tail] = [crc32(ws[j]) for j in tail.tolist()]
+    ids = np.array([*map(head.words.get, ws, repeat(-1))], np.int64)
+    one = head.states[ids]
+    tail = np.flatnonzero(ids < 0)
+    one[tail] = [*map(crc32, map(ws.__getitem__, tail.tolist()))]
 
     spaced = [b" " + w for w in ws]
     two = np.empty(max(n - 1, 0), np.uint32)
@@ -110,37 +110,97 @@ def feature_states(ws: list[bytes], carried: int, head: Head) -> list[np.ndarray
             known = head.pairs[at] == key
             two[known] = head.pair_states[at[known]]
         tail = np.flatnonzero(~known)
-        two[tail] = [crc32(spaced[j + 1], s) for j, s in zip(tail.tolist(), one[tail].tolist())]
-    three = np.fromiter(map(crc32, spaced[2:], two[:-1].tolist()), np.uint32, max(n - 2, 0))
-    return [one[carried:], two[max(carried - 1, 0):], three[max(carried - 2, 0):]]
+        two[tail] = [*map(crc32, map(spaced.__getitem__, (tail + 1).tolist()), one[tail].tolist())]
+    three = np.array([*map(crc32, spaced[2:], two[:-1].tolist())], np.uint32)
+    return np.concatenate((one[carried:], two[max(carried - 1, 0):], three[max(carried - 2, 0):]))
+
+
+class Numbers(dict):
+    """Words and their numbers, from 1 on; a new word gets the next one."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self) + 1
+        return number
+
+
+class Frequent:
+    """Counts of the words and pairs of a stream of texts; of more than
+    ``COUNTERS`` the rarer half is forgotten."""
+
+    def __init__(self) -> None:
+        self.number = Numbers()
+        self.words = np.zeros(1, np.int64)  # by number; 0 stands between texts
+        self.pairs, self.pair_counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.held = [0]
+        self.total = 0
+
+    def add(self, body: bytes | None) -> None:
+        for ws in pieces(body):
+            self.held += map(self.number.__getitem__, ws)
+            self.total += len(ws)
+            if len(self.held) >= BUFFER:
+                self.count()
+        if self.held[-1]:
+            self.held.append(0)
+
+    def count(self) -> None:
+        ids = np.array(self.held, np.int64)
+        new = np.bincount(ids[1:], minlength=len(self.number) + 1)  # the first was counted before
+        new[:len(self.words)] += self.words
+        self.words = new
+        code = (ids[:-1] << 32 | ids[1:])[(ids[:-1] > 0) & (ids[1:] > 0)]
+        code, n = np.unique(code, return_counts=True)
+        self.pairs, at = np.unique(np.concatenate((self.pairs, code)), return_inverse=True)
+        self.pair_counts = np.bincount(at, weights=np.concatenate((self.pair_counts, n))).astype(np.int64)
+        last = self.held[-1]
+        if len(self.pairs) > COUNTERS:
+            self.keep_pairs(np.argpartition(-self.pair_counts, COUNTERS // 2)[:COUNTERS // 2])
+        if len(self.number) > COUNTERS:
+            last = int(self.forget()[last])
+        self.held = [last]
+
+    def keep_pairs(self, at: np.ndarray) -> None:
+        at = np.sort(at)
+        self.pairs, self.pair_counts = self.pairs[at], self.pair_counts[at]
+
+    def forget(self) -> np.ndarray:
+        """Drop the rarer words, and their pairs; the others' new numbers (0 if dropped)."""
+        stay = np.argpartition(-self.words[1:], COUNTERS // 2)[:COUNTERS // 2] + 1
+        new = np.zeros(len(self.words), np.int64)
+        new[stay] = np.arange(1, len(stay) + 1)
+        self.number = Numbers((w, k) for w, i in self.number.items() if (k := int(new[i])))
+        self.words = np.concatenate(([0], self.words[stay]))
+        a, b = new[self.pairs >> 32], new[self.pairs & 0xFFFFFFFF]
+        self.pairs = a << 32 | b
+        self.keep_pairs(np.flatnonzero((a > 0) & (b > 0)))
+        order = np.argsort(self.pairs)
+        self.pairs, self.pair_counts = self.pairs[order], self.pair_counts[order]
+        return new
+
+    def rows(self) -> Iterator[tuple[bytes | None, bytes | None, int]]:
+        """``(word, None, n)`` and ``(word, word, n)`` of the frequent ones, and the total."""
+        self.count()
+        least = self.total / (2 * HEAD)
+        name = {i: w for w, i in self.number.items() if len(w) <= HEAD_BYTES}
+        for i in np.flatnonzero(self.words >= max(least, 1)).tolist():
+            if i in name:
+                yield name[i], None, int(self.words[i])
+        for k in np.flatnonzero(self.pair_counts >= least).tolist():
+            a, b = divmod(int(self.pairs[k]), 1 << 32)
+            if a in name and b in name:
+                yield name[a], name[b], int(self.pair_counts[k])
+        yield None, None, self.total
 
 
 def frequent(body: DataFrame) -> tuple[list[bytes], list[tuple[bytes, bytes]]]:
     """Words and pairs with at least one in ``HEAD`` of all occurrences."""
-    def pruned(c: Counter) -> Counter:
-        floor = sorted(c.values(), reverse=True)[COUNTERS // 2]
-        return Counter({k: n for k, n in c.items() if n > floor})
-
     def count(batches):
-        words: Counter = Counter()
-        pairs: Counter = Counter()
-        total = 0
+        own = Frequent()
         for batch in batches:
             for x in batch.column(1):
-                for ws, carried in crossing(x.as_py()):
-                    new = ws[carried:]
-                    total += len(new)
-                    words.update(new)
-                    pairs.update(zip(ws[max(carried - 1, 0):], new if carried else new[1:]))
-                    words = pruned(words) if len(words) > COUNTERS else words
-                    pairs = pruned(pairs) if len(pairs) > COUNTERS else pairs
-        least = total / (4 * HEAD)
-        rows = [(w, None, n) for w, n in words.items() if n >= least and len(w) <= HEAD_BYTES]
-        rows += [(a, b, n) for (a, b), n in pairs.items()
-                 if n >= least and len(a) <= HEAD_BYTES and len(b) <= HEAD_BYTES]
-        rows.append((None, None, total))
-        for i in range(0, len(rows), 10_000):
-            a, b, n = zip(*rows[i:i + 10_000])
+                own.add(x.as_py())
+        for some in batched(own.rows(), 10_000):
+            a, b, n = zip(*some)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())],
                                              names=["a", "b", "n"])
 
@@ -159,8 +219,7 @@ def bucket_totals(body: DataFrame, head: Head, buckets: int) -> np.ndarray:
         for batch in batches:
             for x in batch.column(1):
                 for ws, carried in crossing(x.as_py()):
-                    for states in feature_states(ws, carried, head):
-                        total += np.bincount(states % buckets, minlength=buckets)
+                    total += np.bincount(feature_states(ws, carried, head) % buckets, minlength=buckets)
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], names=["bucket", "n"])
 
@@ -186,10 +245,10 @@ def weigh(body: DataFrame, head: Head, gains: np.ndarray) -> DataFrame:
             for x in batch.column(1):
                 n_words = n_features = total = 0
                 for ws, carried in crossing(x.as_py()):
+                    states = feature_states(ws, carried, head)
                     n_words += len(ws) - carried
-                    for states in feature_states(ws, carried, head):
-                        n_features += len(states)
-                        total += int(gains[states % buckets].sum())
+                    n_features += len(states)
+                    total += int(gains[states % buckets].sum())
                 out.append((n_words, n_features, total))
             cols = zip(*out) if out else [()] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)],

@@ -5,7 +5,6 @@ import re
 import zlib
 from collections import Counter
 
-import numpy as np
 import pytest
 
 from eventide.llm import registry, resample
@@ -73,7 +72,7 @@ def test_head_changes_no_state(text_maker):
     pairs = list(zip(ws, ws[1:]))
     for words, some in (([], []), (sorted(set(ws[::2])), sorted(set(pairs[::3]))), (sorted(set(ws)), sorted(set(pairs)))):
         got = resample.feature_states(ws, 0, resample.build_head(words, some))
-        assert np.concatenate(got).tolist() == direct
+        assert got.tolist() == direct
 
 
 def test_pieces_of_a_long_text_give_every_feature_once(monkeypatch, text_maker):
@@ -83,8 +82,7 @@ def test_pieces_of_a_long_text_give_every_feature_once(monkeypatch, text_maker):
     head = resample.build_head([], [])
     got = Counter()
     for ws, carried in resample.crossing(text):
-        for states in resample.feature_states(ws, carried, head):
-            got.update(states.tolist())
+        got.update(resample.feature_states(ws, carried, head).tolist())
     assert got == whole
 
 
@@ -95,3 +93,23 @@ def test_frequent_finds_every_heavy_word_and_pair(make_docs, monkeypatch):
     words, pairs = resample.frequent(resample.as_bytes(resample.texts(make_docs(docs))))
     assert words == [b"of", b"the"]
     assert set(pairs) == {(a, b) for a in words for b in words}
+
+
+def test_counts_of_a_stream_and_what_is_forgotten(monkeypatch, text_maker):
+    texts = [text_maker(i, 200).encode() for i in range(30)] + [b"", None, b"one"]
+    ws = [t.split() for t in texts if t]
+    own = resample.Frequent()
+    monkeypatch.setattr(resample, "HEAD", 10**9)
+    monkeypatch.setattr(resample, "BUFFER", 333)
+    monkeypatch.setattr(resample, "PIECE", 50)
+    for t in texts:
+        own.add(t)
+    got = {(a, b): n for a, b, n in own.rows()}
+    assert got.pop((None, None)) == sum(map(len, ws))
+    assert got == Counter((w, None) for x in ws for w in x) + Counter(p for x in ws for p in zip(x, x[1:]))
+    few = resample.Frequent()
+    monkeypatch.setattr(resample, "COUNTERS", 40)
+    for k in range(3000):
+        few.add(b"the cat saw %d the cat" % k)
+    got = {(a, b): n for a, b, n in few.rows()}
+    assert got[b"the", None] == got[b"cat", None] == got[b"the", b"cat"] == 6000 and len(got) < 200
