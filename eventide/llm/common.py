@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+import weakref
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,12 +28,74 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     Cuts the lineage: what follows survives lost executors without running
-    ``df`` again, and ``df`` is computed once however often it is read.
+    ``df`` again, and ``df`` is computed once however often it is read.  The files
+    stay until :func:`dropped` or :func:`release`, as a lazy result may read them.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/eventide-llm/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def own_folder(spark: SparkSession) -> str:
+    """The session's folder for saved tables, under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/eventide-llm/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def dropped(table: DataFrame) -> None:
+    """Delete the files of a saved table that nothing reads any more; of
+    any other table, nothing."""
+    if path := _PATHS.pop(table, None):
+        _delete(table.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that the operators have saved in this session, once its
+    results have been written or read."""
+    _delete(spark, own_folder(spark))
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with underscores appended until no column is called so."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column's name as a reference, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def bounded_sample(rows: DataFrame, n_rows: int, sample: int, salt: str) -> DataFrame:
+    """About ``sample`` and at most twice as many of the distinct ``(doc_id,
+    text)`` rows, the same ones however they are partitioned; some if there are any.
+
+    Rows are chosen by a hash of both columns, so that rows that share an id or have
+    none are still sampled one by one, and repeated rows count once."""
+    share = min(1.0, sample / max(1, n_rows))
+    while True:
+        some = rows.withColumn("r", unit_hash(F.lit(salt), "doc_id", "text")).where(F.col("r") < share).dropDuplicates(
+            ["doc_id", "text"]).orderBy("r", "doc_id", "text").limit(2 * sample)
+        some = saved(some.drop("r"), salt)
+        if share >= 1 or not some.isEmpty():
+            return some
+        dropped(some)
+        share = min(1.0, 8 * share)  # a few texts repeated many times may all lie above the bound
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,10 +114,10 @@ def as_bytes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("body"))
 
 
-def text_hash(c: str = "text") -> Column:
+def text_hash(text: str | Column = "text") -> Column:
     """Second half of a row's identity, so that rows that share an id but
     not their text stay apart."""
-    return F.xxhash64(F.coalesce(F.col(c), F.lit("")))
+    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
 def unit_hash(*cols: str | Column) -> Column:

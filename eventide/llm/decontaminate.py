@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import PLAIN_WORDS, as_bytes, saved, text_hash, texts
+from eventide.llm.common import PLAIN_WORDS, as_bytes, fresh, quoted, saved, text_hash, texts
 
 WINDOW = 10
 # Windows compiled into one search; 200,000 take about 100 MB in a worker.
@@ -208,7 +208,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """``docs`` without the rows in which any window occurs; columns as given.
     Only the identities of contaminated rows meet the table in a join."""
     cols = docs.columns
+    d, h = fresh(cols, "d", "h")
     found = find_contamination(docs, benchmark, window).where("size(spans) > 0").select(
-        F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
-    on = docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__h"))
-    return docs.join(found, on, "left_anti").select(*[f"`{c}`" for c in cols])
+        F.col("doc_id").alias(d), F.col("h").alias(h)).distinct()
+    on = docs["doc_id"].eqNullSafe(F.col(d)) & (text_hash(docs["text"]) == F.col(h))
+    return docs.join(found, on, "left_anti").select(*map(quoted, cols))

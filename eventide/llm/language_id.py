@@ -4,8 +4,9 @@ Architecture: bytes of a fixed-length window -> for each width a bank of
 filters over one-hot bytes (a sum of table rows, one for each offset) -> bias,
 max pooling over the window, ReLU -> linear layer -> softmax.  Trained in numpy by
 Adam on a **bounded** sample of labelled windows: at most ``PER_LANG``
-windows of ``LENGTH`` bytes for each language, chosen by hash among the rows with
-a language that are not held out.  The sample is trained on in one task;
+windows of ``LENGTH`` bytes for each language, and ``IN_ALL`` together (but one for
+each language), chosen by hash among the rows with a language that are not held
+out.  Every such language is learned.  The sample is trained on in one task;
 only the weights (some 100 kB) reach the driver.
 
 Prediction is a map over whole texts: every window of a text is scored and the
@@ -14,8 +15,8 @@ text's probabilities are the means over its windows, weighted by length.
 Edge cases: a null text or one without a letter is ``und`` with score 0; a null
 id is never held out (its crc32 is taken of the empty text); rows without
 language are predicted but not learned from; without any
-labelled row every text is ``und`` with score 0; equal rows each get a row; other
-columns are ignored.
+labelled row every text is ``und`` with score 0; equal rows each get a row (and
+give one window to learn from); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from eventide.llm.common import LOWER, saved, unit_hash
 LENGTH = 256
 # Bound of the training sample: windows for each language.
 PER_LANG = 1500
-# Languages learned, most frequent first; a bound for the model's size.
-MAX_LANGS = 200
+# Bound of the training sample in all: with many languages each has fewer windows.
+IN_ALL = 200_000
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 STEPS = 1200
@@ -145,16 +146,18 @@ def window_of(body: bytes) -> np.ndarray:
 def sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """``(lang, body)``: for each language at most ``per_lang`` windows, one of
     a document, at a place chosen by hash.  A language's rows are thinned by hash to
-    about twice that number where they lie, and ranked after, so that a language with
-    most of the rows does not meet in one task."""
+    about twice that number where they lie, repeated ones are taken once, and the rest is
+    ranked, so that a language or a row with most of the rows does not meet in one task."""
     own = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = saved(own.groupBy("lang").agg(F.count("*").alias("n")), "languages").withColumnRenamed("lang", "of")
-    rank = unit_hash(F.lit("rank"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
-    own = own.join(sizes, own["lang"] == sizes["of"]).withColumn("r", rank).where(F.col("r") * F.col("n") < 2 * per_lang)
+    own = own.withColumn("r", unit_hash(F.lit("rank"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"))
+    # a language's least rank stays, so that few texts that are repeated often don't all lie above the bound
+    sizes = saved(own.groupBy("lang").agg(F.count("*").alias("n"), F.min("r").alias("least")), "languages").withColumnRenamed("lang", "of")
+    per_lang = min(per_lang, max(1, IN_ALL // max(1, sizes.count())))
+    own = own.join(sizes, own["lang"] == sizes["of"]).where((F.col("r") * F.col("n") < 2 * per_lang) | (F.col("r") == F.col("least")))
     start = F.floor(unit_hash(F.lit("place"), "doc_id") * F.greatest(F.char_length("text") - LENGTH + 1, F.lit(1))).cast("int")
     cut = own.select("lang", "r", F.col("doc_id").alias("d"),
-                     F.substring("text", start + 1, LENGTH).cast("binary").alias("body"))
+                     F.substring("text", start + 1, LENGTH).cast("binary").alias("body")).distinct()
     place = F.row_number().over(W.partitionBy("lang").orderBy("r", "d", "body"))
     return cut.withColumn("k", place).where(F.col("k") <= per_lang).select("lang", "body")
 
@@ -169,12 +172,8 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, steps: int = STEPS) -> bytes
         if not langs:
             return
         order = sorted(range(len(langs)), key=lambda i: (langs[i], bodies[i]))  # the same whatever the order of arrival
-        count: dict[str, int] = {}
-        for x in langs:
-            count[x] = count.get(x, 0) + 1
-        names = sorted(sorted(count, key=lambda k: (-count[k], k))[:MAX_LANGS])
+        names = sorted(set(langs))
         number = {k: i for i, k in enumerate(names)}
-        order = [i for i in order if langs[i] in number]
         net = ByteConv(names).train(np.stack([window_of(bodies[i]) for i in order]),
                                     np.array([number[langs[i]] for i in order]), steps)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])

@@ -166,8 +166,10 @@ def evaluate(text: str) -> tuple[str, set[str], float] | None:
         at = m.end()
     if not seen:
         return None
+    while operand_next and waiting:  # what has no right operand goes, and the brackets opened after it
+        operand_next = waiting.pop() == "("
     while waiting:
-        if waiting[-1] == "(" or len(values) < 2:
+        if waiting[-1] == "(":
             waiting.pop()
         else:
             reduce_top()

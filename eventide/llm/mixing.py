@@ -4,6 +4,9 @@
    else ``clean``.  A multinomial model of hashed words, trained on a **bounded**
    sample (at most ``LABELLED`` labelled ids by hash), predicts each document's
    posterior over the domains, so unlabelled documents belong to all of them in part.
+   Words of a text are not independent, so the sum of their ratios is far too sure:
+   it is divided by the root of their number and by the temperature that gives the
+   labelled documents left out of training (one in ``CALIBRATION``) the least log loss.
 2. **Rates.**  Document i has tokens t_i, posterior p_i and a rate r_i >= 0, at
    first ``budget``.  Projected gradient minimises the sum over domains of
    (expected tokens - target)^2 / present tokens.  Scaled by 1 / t_i (the natural
@@ -14,6 +17,8 @@
    where ``move`` is (total - target) / present, with which a step of 1 always
    goes down, as each row of p sums to 1.  Longer steps, scaled by how the totals
    answer to the rows that are not at zero, are tried before it and taken if the sum falls.
+   It ends when every total is within ``TOLERANCE`` of its target or at the minimum,
+   and ``residual`` says what is left.
    A step is one aggregate of the compact table (tokens, posterior): nine numbers
    reach the driver, whatever the corpus.
 3. **Copies**: the rate rounded to a whole number, up with the probability of its
@@ -33,17 +38,19 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import number_array, saved, text_hash, texts, unit_hash
+from eventide.llm.common import dropped, fresh, number_array, once, quoted, saved, text_hash, texts, unit_hash
 from eventide.llm.rules import words
 
 DOMAINS = ("clean", "toxic", "low")
 # Share of the mixture's tokens that each domain is to have.
-TARGETS = {"clean": 0.985, "toxic": 0.005, "low": 0.01}
+TARGETS = {"clean": 0.955, "toxic": 0.035, "low": 0.01}
 LABELLED = 20_000
 BUCKETS = 1 << 14
 SMOOTHING = 0.1
-ROUNDS = 40
 TOLERANCE = 1e-4
+AT_MINIMUM = 1e-3  # a plain step that lowers the loss by no larger share ends the descent
+CALIBRATION = 5  # one labelled id in so many calibrates and does not train
+TEMPERATURES = tuple(2.0 ** (i / 2) for i in range(-10, 17))
 
 
 def labelled(labels: DataFrame, bound: int = LABELLED) -> DataFrame:
@@ -60,13 +67,37 @@ def buckets_of(ws: str) -> Column:
         F.xxhash64(w).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")))
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> tuple[list[float], dict[str, list[float]]]:
-    """Log prior of each domain, and each domain's log-likelihood ratios to
-    the first one, by bucket."""
+def left_out(id_: str) -> Column:
+    return unit_hash(F.lit("calibration"), id_) < 1 / CALIBRATION
+
+
+def train(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> tuple[list[float], dict[str, list[float]], float]:
+    """Log prior of each domain, each domain's log-likelihood ratios to
+    the first one, by bucket, and the temperature of a text's sum of them."""
     own = texts(docs).where("text is not null")
     chosen = labelled(labels, bound)  # bounded, so it may be broadcast
-    rows = own.join(F.broadcast(chosen), own["doc_id"] == chosen["id"]).select("domain", words(F.col("text")).alias("ws"))
-    counts = rows.select("domain", F.explode(F.concat(buckets_of("ws"), F.array(F.lit(-1)))).alias("b")).groupBy(
+    rows = saved(own.join(F.broadcast(chosen), own["doc_id"] == chosen["id"]).select("id", "domain", "text"), "labelled")
+    heat = temperature(rows.where(left_out("id")), *counted(rows.where(~left_out("id"))))
+    model = counted(rows)
+    dropped(rows)
+    return *model, heat
+
+
+def temperature(rows: DataFrame, prior: list[float], tables: dict[str, list[float]]) -> float:
+    """Of ``TEMPERATURES`` the one with the least log loss over labelled rows; 1 without any."""
+    scored = saved(sums(rows, prior, tables, "domain"), "left-out")
+    at = F.array_position(F.array(*map(F.lit, DOMAINS)), F.col("domain")).cast("int") - 1
+    losses = [F.sum(-F.log(F.greatest(F.get(posterior(F.col("ratios"), F.col("n_tokens"), prior, t), at), F.lit(1e-12))))
+              for t in TEMPERATURES]
+    found = scored.agg(*[x.alias(f"t{i}") for i, x in enumerate(losses)]).first()
+    dropped(scored)
+    return 1.0 if found[0] is None else min(zip(found, TEMPERATURES))[1]
+
+
+def counted(rows: DataFrame) -> tuple[list[float], dict[str, list[float]]]:
+    """Log priors and log-likelihood ratios of labelled rows."""
+    counts = rows.select("domain", words(F.col("text")).alias("ws")).select(
+        "domain", F.explode(F.concat(buckets_of("ws"), F.array(F.lit(-1)))).alias("b")).groupBy(
         "domain", "b").count().collect()  # at most 3 x (BUCKETS + 2) rows
     n = {d: [0] * (BUCKETS + 1) for d in DOMAINS}
     docs_of = dict.fromkeys(DOMAINS, 0)
@@ -87,29 +118,36 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> tuple[li
     return prior, {d: [a - b for a, b in zip(logs(n[d]), first)] for d in DOMAINS[1:]}
 
 
-def memberships(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, h, n_tokens, p)``: tokens and posterior of each row, an array
-    in the order of ``DOMAINS``."""
-    prior, tables = model
-    own = texts(docs, id_col, text_col).select("doc_id", text_hash().alias("h"), words(F.coalesce("text", F.lit(""))).alias("ws"))
-    live = [d for d, p in zip(DOMAINS, prior) if p > -math.inf]
-    base = prior[DOMAINS.index(live[0])]
-    hashed = own.select("doc_id", "h", F.size("ws").cast("long").alias("n_tokens"), buckets_of("ws").alias("bs"))
+def sums(docs: DataFrame, prior: list[float], tables: dict[str, list[float]], *keep: str) -> DataFrame:
+    """Columns ``keep``, ``n_tokens`` and ``ratios``: each domain's sum of log-likelihood
+    ratios over a text's words (null for a domain without a share)."""
+    bs = docs.select(*keep, words(F.coalesce("text", F.lit(""))).alias("ws")).select(
+        *keep, F.size("ws").cast("long").alias("n_tokens"), buckets_of("ws").alias("bs"))
 
     def total(table: Column) -> Column:
         return F.aggregate("bs", F.lit(0.0), lambda acc, b: acc + F.get(table, b))
 
-    logits = []
-    for d, p in zip(DOMAINS, prior):
-        if p == -math.inf:
-            logits.append(F.lit(None).cast("double"))
-        elif d == DOMAINS[0]:
-            logits.append(F.lit(p - base))
-        else:
-            logits.append(F.lit(p - base) + total(number_array(tables[d])))
-    scored = hashed.select("doc_id", "h", "n_tokens", F.array(*logits).alias("z")).withColumn("top", F.array_max("z"))
-    odds = scored.select("doc_id", "h", "n_tokens", F.transform("z", lambda z: F.coalesce(F.exp(z - F.col("top")), F.lit(0.0))).alias("e"))
-    return odds.select("doc_id", "h", "n_tokens", F.transform("e", lambda e: e / F.aggregate("e", F.lit(0.0), lambda a, x: a + x)).alias("p"))
+    ratios = [F.lit(None).cast("double") if p == -math.inf else F.lit(0.0) if d == DOMAINS[0] else total(number_array(tables[d]))
+              for d, p in zip(DOMAINS, prior)]
+    return bs.select(*keep, "n_tokens", F.array(*ratios).alias("ratios"))
+
+
+def posterior(ratios: Column, n_tokens: Column, prior: list[float], temperature: float) -> Column:
+    """The domains' probabilities from their sums of ratios over ``n_tokens`` words."""
+    base = max(p for p in prior)
+    logs = F.array(*[F.lit(None if p == -math.inf else p - base).cast("double") for p in prior])
+    heat = temperature * F.sqrt(F.greatest(n_tokens, F.lit(1)))
+    z = F.zip_with(ratios, logs, lambda r, p: r / heat + p)
+    odds = once(z, lambda v: F.transform(v, lambda x: F.coalesce(F.exp(x - F.array_max(v)), F.lit(0.0))))
+    return once(odds, lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y)))
+
+
+def memberships(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, h, n_tokens, p)``: tokens and posterior of each row, an array
+    in the order of ``DOMAINS``."""
+    prior, tables, heat = model
+    own = texts(docs, id_col, text_col).withColumn("h", text_hash())
+    return sums(own, prior, tables, "doc_id", "h").select("doc_id", "h", "n_tokens", posterior(F.col("ratios"), F.col("n_tokens"), prior, heat).alias("p"))
 
 
 def solved(g: list[list[float]], right: list[float]) -> list[float]:
@@ -126,9 +164,12 @@ def solved(g: list[list[float]], right: list[float]) -> list[float]:
     return [r[n] / r[i] if r[i] else 0.0 for i, r in enumerate(rows)]
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0, rounds: int = ROUNDS,
+def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0,
               tolerance: float = TOLERANCE) -> DataFrame:
-    """``members`` with a column ``rate``."""
+    """``members`` with columns ``rate`` and ``residual``: the largest distance of
+    a domain's total from its target, as a share of all tokens.  It is at most
+    ``tolerance`` unless the targets can't be met; then the rates are those of
+    the smallest loss."""
     k = range(len(DOMAINS))
     flat = saved(members.select("doc_id", "h", "n_tokens", *[F.col("p")[i].alias(f"p{i}") for i in k], F.lit(float(budget)).alias("rate")), "members")
     pairs = [(i, j) for i in k for j in k if i <= j]
@@ -150,7 +191,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, budget: f
     live = [m > 1e-9 * whole for m in present]
     shares = sum(w for w, m in zip(wanted, live) if m)
     if not whole or not shares:
-        return flat
+        return flat.withColumn("residual", F.lit(0.0))
     goal = [w / shares * budget * whole if m else 0.0 for w, m in zip(wanted, live)]
 
     def loss(totals: list[float]) -> float:
@@ -163,16 +204,18 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, budget: f
         by = [sum(row) for row in answer] if step == "free" else present
         return [x / m if y and m > 1e-9 * whole else 0.0 for x, m, y in zip(gap, by, live)]
 
+    def residual(totals: list[float]) -> float:
+        return max(abs(a - b) for a, b, x in zip(totals, goal, live) if x) / sum(goal)
+
     steps, at, accepted = ("whole", "part", "free", "plain"), 0, 0
     rate = F.col("rate")
-    for _ in range(rounds):
+    while residual(now) > tolerance:
         gap = [a - b if x else 0.0 for a, b, x in zip(now, goal, live)]
-        if max(map(abs, gap)) <= tolerance * sum(goal):
-            break
         move = moves(steps[at])
         tried = F.greatest(F.lit(0.0), rate - sum((F.col(f"p{i}") * F.lit(move[i]) for i in k), F.lit(0.0)))
         new, new_answer = measured(flat, tried)
-        if loss(new) >= loss(now):
+        gain = 1 - loss(new) / loss(now)
+        if gain <= AT_MINIMUM:
             if at == len(steps) - 1:  # a plain step goes down but at the minimum
                 break
             at += 1
@@ -181,23 +224,27 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, budget: f
         if accepted % 4 == 0:
             at = max(0, at - 1)
         if accepted % 8 == 0:  # keep the expression short
-            flat = saved(flat.withColumn("rate", rate), "rates")
+            old, flat = flat, saved(flat.withColumn("rate", rate), "rates")
+            dropped(old)
             rate = F.col("rate")
-    return flat.withColumn("rate", rate)
+    return flat.withColumn("rate", rate).withColumn("residual", F.lit(residual(now)))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0, bound: int = LABELLED) -> DataFrame:
-    """``(doc_id, h, n_tokens, p_<domain>..., rate, copies)`` of each row."""
+    """``(doc_id, h, n_tokens, p_<domain>..., rate, copies, residual)`` of each row."""
     fitted = fit_rates(memberships(docs, train(docs, labels, bound)), targets, budget)
     copies = F.floor(F.col("rate") + unit_hash(F.lit("copies"), F.col("doc_id"), F.col("h"))).cast("long")
     return fitted.select("doc_id", "h", "n_tokens", *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate",
-                         copies.alias("copies"))
+                         copies.alias("copies"), "residual")
 
 
 def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0) -> DataFrame:
-    """``docs`` with ``rate`` and ``copies``, without the rows of no copy."""
+    """``docs`` with ``rate``, ``copies`` and ``residual`` (with underscores
+    appended where ``docs`` has such columns), without the rows of no copy."""
     cols = docs.columns
+    outs = fresh(cols, "rate", "copies", "residual")
+    d, h, *own = fresh([*cols, *outs], "d", "h", "own_rate", "own_copies", "own_residual")
     chosen = mix(docs, labels, targets, budget).where("copies > 0").select(
-        F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("rate").alias("__rate"), F.col("copies").alias("__copies")).distinct()
-    on = docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__h"))
-    return docs.join(chosen, on).select(*[f"`{c}`" for c in cols], F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
+        F.col("doc_id").alias(d), F.col("h").alias(h), *[F.col(x).alias(y) for x, y in zip(("rate", "copies", "residual"), own)]).distinct()
+    on = docs["doc_id"].eqNullSafe(F.col(d)) & (text_hash(docs["text"]) == F.col(h))
+    return docs.join(chosen, on).select(*map(quoted, cols), *[F.col(x).alias(y) for x, y in zip(own, outs)])

@@ -8,14 +8,19 @@
    documents estimates each labeller's accuracy and the class shares, and gives
    each pattern a posterior.
 3. **Scorer.**  Logistic regression on hashed word and shape features, trained
-   on the posteriors of a bounded sample (about ``SAMPLE`` documents by hash,
-   never more than twice as many) in one task; only its weights reach the driver.
+   on the posteriors of a bounded sample (about ``SAMPLE`` documents by a hash of id
+   and text, never more than twice as many, never none) in one task; only its
+   weights reach the driver.
 4. **Scores.**  A map over whole texts; a document is kept if its score is at
    least ``THRESHOLD``.
 
+A text of more than ``PIECE`` bytes is read piece by piece, cut between words; what
+is held of it is one number for each distinct word.
+
 Edge cases: null and empty texts have no words and get the score of no
 features (the bias), except that they are never kept; ties at the threshold are kept;
-equal rows get equal scores; other columns are ignored; an empty table
+equal rows get equal scores, whatever stands beside them; rows that share an id or
+have none are sampled by their texts; other columns are ignored; an empty table
 gives an empty result.
 """
 
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import buffers, spans_by_bytes, texts, unit_hash
+from eventide.llm.common import bounded_sample, buffers, fresh, quoted, spans_by_bytes, texts
 
 # Bound of the scorer's training sample, in documents.
 SAMPLE = 3000
@@ -43,6 +48,7 @@ CLASS[97:123], CLASS[65:91], CLASS[48:58], CLASS[128:] = LOWERS, UPPERS, DIGITS,
 CLASS[[ord(c) for c in ".,;:?'\"()-"]] = STOPS
 CLASS[ord("!")] = BANGS
 PACKED = [np.array([1 << 21 * (c - 3 * k) if 0 <= c - 3 * k < 3 else 0 for c in CLASS.tolist()], np.uint64) for k in range(3)]
+KINDS = 9
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 
@@ -61,13 +67,18 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return out[:n]
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    return h ^ (h >> np.uint64(31))
+
+
 class Words:
-    """The words of a run of texts, as arrays: hash, document, shape, length."""
+    """The words of a run of texts of at most a piece, as arrays: hash,
+    document, shape, length, and what the word before in its document has."""
 
     def __init__(self, offs: np.ndarray, data: np.ndarray):
         with np.errstate(over="ignore"):
             base, n = offs[0], int(offs[-1] - offs[0])
-            self.docs = len(offs) - 1
+            docs = len(offs) - 1
             x = data[base:base + n]
             cuts = offs - base
             blank = SPACE[x]
@@ -75,48 +86,170 @@ class Words:
             first[cuts] = True
             start = np.flatnonzero(~blank & (first[:n] | np.concatenate(([True], blank[:-1]))[:n]))
             stop = np.flatnonzero(~blank & (first[1:] | np.concatenate((blank[1:], [True]))[:n])) + 1
-            self.length = stop - start
-            self.doc = np.searchsorted(cuts, start, side="right") - 1
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * powers(_R, n))))
-            self.hash = (sums[stop] - sums[start]) * powers(_R_INVERSE, n + 1)[start]
-            self.hash ^= self.hash >> np.uint64(31)
-            self.kinds = np.empty((len(start), 9), np.int32)
-            for k, packed in enumerate(PACKED):  # three counts in a word, each under 2^21
+            hashes = mixed((sums[stop] - sums[start]) * powers(_R_INVERSE, n + 1)[start])
+            kinds = np.empty((len(start), KINDS), np.int64)
+            for k, packed in enumerate(PACKED):  # three counts in a word, each under 2^21 as a run is no longer
                 seen = np.concatenate((np.zeros(1, np.uint64), np.cumsum(packed[x])))
                 of = seen[stop] - seen[start]
                 for j in range(3):
-                    self.kinds[:, 3 * k + j] = (of >> np.uint64(21 * j)) & np.uint64((1 << 21) - 1)
-            same = np.zeros(len(start), bool)
-            same[1:] = (self.hash[1:] == self.hash[:-1]) & (self.doc[1:] == self.doc[:-1])
-            self.repeat = same
-            self.count = np.bincount(self.doc, minlength=self.docs)
+                    kinds[:, 3 * k + j] = (of >> np.uint64(21 * j)) & np.uint64((1 << 21) - 1)
+        self.set(hashes, kinds, stop - start, np.searchsorted(cuts, start, side="right") - 1, docs)
+
+    def set(self, hashes: np.ndarray, kinds: np.ndarray, length: np.ndarray, doc: np.ndarray, docs: int) -> None:
+        self.hash, self.kinds, self.length, self.doc, self.docs = hashes, kinds, length, doc, docs
+        self.follows = np.zeros(len(doc), bool)  # a word of the same document stands before
+        self.follows[1:] = doc[1:] == doc[:-1]
+        self.before = np.concatenate((hashes[:1], hashes[:-1]))
+        self.count = np.bincount(doc, minlength=docs)
+        self.shapes()
+
+    def after(self, last: Words | None) -> Words:
+        """The same words of one text, told which word stands before them."""
+        if last is not None and len(self.doc):
+            self.follows[0], self.before[0] = True, last.hash[-1]
+            self.shapes()
+            self.shape_before[0] = last.shape[-1]
+        return self
+
+    def shapes(self) -> None:
+        k = self.kinds
+        self.repeat = self.follows & (self.hash == self.before)
+        letters = k[:, LOWERS] + k[:, UPPERS] + k[:, HIGH]
+        self.shape = ((letters == 0) + 2 * (k[:, UPPERS] * 2 > letters) + 4 * (k[:, SYMBOLS] > 0) + 8 * (k[:, BANGS] > 0)
+                      + 16 * self.repeat + 32 * (k[:, STOPS] > 0) + 64 * (k[:, DIGITS] > 0)
+                      + 128 * np.minimum(self.length // 4, 7)).astype(np.uint64)
+        self.shape_before = np.concatenate((self.shape[:1], self.shape[:-1]))
 
     def per_doc(self, values) -> np.ndarray:
         return np.bincount(self.doc, weights=values, minlength=self.docs)
 
-    def stats(self) -> dict[str, np.ndarray]:
-        """Statistics of each text that the labellers look at."""
-        n = np.maximum(self.count, 1)
+    def sums(self) -> dict[str, np.ndarray]:
+        """Sums over each document's words; those of pieces of a text add up."""
         chars = self.kinds.sum(axis=1) - self.kinds[:, HIGH] / 2  # about one code point for two high bytes
         letters = self.kinds[:, LOWERS] + self.kinds[:, UPPERS] + self.kinds[:, HIGH] / 2
-        with np.errstate(over="ignore"):
-            key = self.hash ^ (self.doc.astype(np.uint64) * _GOLD)
-        _, at = np.unique(key, return_index=True)
-        distinct = np.bincount(self.doc[at], minlength=self.docs)
-        total, ltotal = np.maximum(self.per_doc(chars), 1), np.maximum(self.per_doc(letters), 1)
-        odd = self.kinds[:, SYMBOLS] + self.kinds[:, BANGS]
         return {
             "words": self.count,
-            "repeats": self.per_doc(self.repeat) / n,
-            "distinct": distinct / n,
-            "letters": self.per_doc(letters) / total,
-            "upper": self.per_doc(self.kinds[:, UPPERS]) / ltotal,
-            "marked": self.per_doc(odd > 0) / n,
-            "bare": self.per_doc((letters == 0)) / n,
-            "mean": self.per_doc(chars) / n,
-            "stops": self.per_doc(self.kinds[:, STOPS] > 0) / n,
+            "repeats": self.per_doc(self.repeat),
+            "chars": self.per_doc(chars),
+            "letters": self.per_doc(letters),
+            "upper": self.per_doc(self.kinds[:, UPPERS]),
+            "marked": self.per_doc(self.kinds[:, SYMBOLS] + self.kinds[:, BANGS] > 0),
+            "bare": self.per_doc(letters == 0),
+            "stops": self.per_doc(self.kinds[:, STOPS] > 0),
         }
 
+    def distinct(self) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            key = self.hash ^ (self.doc.astype(np.uint64) * _GOLD)
+        _, at = np.unique(key, return_index=True)
+        return np.bincount(self.doc[at], minlength=self.docs)
+
+    def stats(self) -> dict[str, np.ndarray]:
+        """Statistics of each text that the labellers look at."""
+        return shares(self.sums(), self.distinct())
+
+    def features(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashed features of every word: ``(document, bucket)`` pairs.  Of each word its
+        hash, the hash with the word before, its shape, and both shapes."""
+        zero = np.uint64(0)
+        with np.errstate(over="ignore"):
+            joined = self.hash + np.where(self.follows, self.before * _R, zero)
+            both = self.shape + np.where(self.follows, (self.shape_before + np.uint64(1)) * np.uint64(4096), zero)
+            parts = [h * _GOLD + np.uint64(salt) * _R for salt, h in enumerate((self.hash, joined, self.shape, both), 1)]
+            bucket = np.concatenate([((h ^ (h >> np.uint64(29))) * _GOLD) >> np.uint64(64 - 15) for h in parts])
+        return np.tile(self.doc, len(parts)), bucket.astype(np.int64)
+
+    def weighed(self, weights: np.ndarray) -> np.ndarray:
+        """Sum of the weights of each document's features."""
+        doc, bucket = self.features()
+        return np.bincount(doc, weights=weights[bucket], minlength=self.docs)
+
+    def bucket_counts(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each document's buckets and how often they occur."""
+        doc, bucket = self.features()
+        pairs, n = np.unique(doc * BUCKETS + bucket, return_counts=True)
+        cut = np.searchsorted(pairs // BUCKETS, np.arange(self.docs + 1))
+        return [(pairs[a:b] % BUCKETS, n[a:b]) for a, b in zip(cut, cut[1:])]
+
+
+def shares(sums: dict[str, np.ndarray], distinct: np.ndarray) -> dict[str, np.ndarray]:
+    n, chars, letters = (np.maximum(sums[k], 1) for k in ("words", "chars", "letters"))
+    return {
+        "words": sums["words"], "repeats": sums["repeats"] / n, "distinct": distinct / n,
+        "letters": sums["letters"] / chars, "upper": sums["upper"] / letters, "marked": sums["marked"] / n,
+        "bare": sums["bare"] / n, "mean": sums["chars"] / n, "stops": sums["stops"] / n,
+    }
+
+
+class LongText:
+    """One text of more than a piece; answers as :class:`Words` of one
+    document, reading piece after piece."""
+
+    docs = 1
+
+    def __init__(self, data: np.ndarray):
+        self.data = data
+
+    def parts(self):
+        last, at, n = None, 0, len(self.data)
+        while at < n:
+            end = min(n, at + PIECE)
+            if end < n:  # back to a word's end, or on to the end of a word that is longer than a piece
+                blanks = np.flatnonzero(SPACE[self.data[at:end]])
+                end = at + int(blanks[-1]) + 1 if len(blanks) else self.word_end(end)
+            part = (Words(np.array([0, end - at]), self.data[at:end]) if end - at <= PIECE else self.long_word(at, end)).after(last)
+            if len(part.doc):
+                last = part
+                yield part
+            at = end
+
+    def word_end(self, at: int) -> int:
+        while at < len(self.data):
+            blanks = np.flatnonzero(SPACE[self.data[at:at + PIECE]])
+            if len(blanks):
+                return at + int(blanks[0])
+            at += PIECE
+        return len(self.data)
+
+    def long_word(self, at: int, end: int) -> Words:
+        """One word of more than a piece: its hash and counts, block by block."""
+        counts, h, power = np.zeros(KINDS, np.int64), np.uint64(0), np.uint64(1)
+        with np.errstate(over="ignore"):
+            block = powers(_R, PIECE + 1)
+            for i in range(at, end, PIECE):
+                x = self.data[i:min(end, i + PIECE)]
+                counts += np.bincount(CLASS[x], minlength=KINDS)
+                h += ((x.astype(np.uint64) + np.uint64(1)) * block[:len(x)]).sum(dtype=np.uint64) * power
+                power *= block[len(x)]
+        out = Words.__new__(Words)
+        out.set(mixed(np.array([h])), counts[None, :], np.array([end - at]), np.zeros(1, np.int64), 1)
+        return out
+
+    @property
+    def count(self) -> np.ndarray:
+        return sum((w.count for w in self.parts()), np.zeros(1, np.int64))
+
+    def stats(self) -> dict[str, np.ndarray]:
+        total, seen = None, np.zeros(0, np.uint64)
+        for w in self.parts():
+            own = w.sums()
+            total = own if total is None else {k: total[k] + own[k] for k in own}
+            seen = np.union1d(seen, w.hash)
+        if total is None:
+            return Words(np.array([0, 0]), self.data[:0]).stats()
+        return shares(total, np.array([len(seen)]))
+
+    def weighed(self, weights: np.ndarray) -> np.ndarray:
+        return sum((w.weighed(weights) for w in self.parts()), np.zeros(1))
+
+    def bucket_counts(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        n = np.zeros(BUCKETS, np.int64)
+        for w in self.parts():
+            n += np.bincount(w.features()[1], minlength=BUCKETS)
+        found = np.flatnonzero(n)
+        return [(found, n[found])]
+
 
 # Labellers: name, statistic, words needed, vote (1 good, 2 bad) and the range
 # in which it is cast; elsewhere, or with fewer words, the labeller abstains.
@@ -180,33 +313,14 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.
     return post, table, float(share)
 
 
-def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of every word: ``(document, bucket)`` pairs.  Of each
-    word its hash, the hash with the word before, its shape, and both shapes."""
-    k = w.kinds
-    letters = k[:, LOWERS] + k[:, UPPERS] + k[:, HIGH]
-    shape = ((letters == 0) + 2 * (k[:, UPPERS] * 2 > letters) + 4 * (k[:, SYMBOLS] > 0) + 8 * (k[:, BANGS] > 0)
-             + 16 * w.repeat + 32 * (k[:, STOPS] > 0) + 64 * (k[:, DIGITS] > 0)
-             + 128 * np.minimum(w.length // 4, 7)).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        joined = w.hash.copy()
-        joined[1:] += w.hash[:-1] * _R
-        both = shape.copy()
-        both[1:] += (shape[:-1] + np.uint64(1)) * np.uint64(4096)
-        parts = [h * _GOLD + np.uint64(salt) * _R for salt, h in enumerate((w.hash, joined, shape, both), 1)]
-        bucket = np.concatenate([((h ^ (h >> np.uint64(29))) * _GOLD) >> np.uint64(64 - 15) for h in parts])
-    return np.tile(w.doc, len(parts)), bucket.astype(np.int64)
-
-
 class Scorer:
     """Logistic regression on a document's mean hashed features."""
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
 
-    def score(self, w: Words) -> np.ndarray:
-        doc, bucket = features(w)
-        z = np.bincount(doc, weights=self.weights[bucket], minlength=w.docs) / np.maximum(w.count, 1)
+    def score(self, w: Words | LongText) -> np.ndarray:
+        z = w.weighed(self.weights) / np.maximum(w.count, 1)
         return 1 / (1 + np.exp(-np.clip(z + self.bias, -50, 50)))
 
     @staticmethod
@@ -234,10 +348,12 @@ class Scorer:
 
 
 def runs(column):
-    """The texts of an Arrow binary column as :class:`Words`, a piece at a time."""
+    """The texts of an Arrow binary column as :class:`Words`, a piece at a
+    time, or as :class:`LongText`."""
     offs, data = buffers(column)
     for i, j in spans_by_bytes(offs, PIECE):
-        yield Words(offs[i:j + 1], data)
+        long = j == i + 1 and offs[j] - offs[i] > PIECE
+        yield LongText(data[offs[i]:offs[j]]) if long else Words(offs[i:j + 1], data)
 
 
 def _body(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -256,8 +372,9 @@ def vote_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> tuple[Scorer | None, dict]:
-    """The scorer and what EM found: ``accuracy`` by labeller, ``share``."""
-    table = sorted((r.pattern, r.n) for r in vote_counts(docs, id_col, text_col).collect())  # at most 3^7 rows
+    """The scorer (None for an empty table) and what EM found: ``accuracy`` by
+    labeller, ``share``."""
+    table = sorted((r.pattern, r.n) for r in vote_counts(docs, id_col, text_col).collect())  # at most 3^8 rows
     if not table:
         return None, {"accuracy": {}, "share": None}
     patterns, counts = (np.array(c, np.int64) for c in zip(*table))
@@ -267,16 +384,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     def rows(batches):
         for batch in batches:
             for w in runs(batch.column(0)):
-                doc, bucket = features(w)
-                pairs, n = np.unique(doc * BUCKETS + bucket, return_counts=True)
-                cut = np.searchsorted(pairs // BUCKETS, np.arange(w.docs + 1))
                 labels = [known.value[x] for x in pattern_of(votes(w.stats())).tolist()]
-                for d in range(w.docs):
-                    at = slice(cut[d], cut[d + 1])
+                for (bucket, n), words, label in zip(w.bucket_counts(), w.count, labels):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([(pairs[at] % BUCKETS).astype(np.int32)], pa.list_(pa.int32())),
-                         pa.array([(n[at] / max(1, w.count[d])).astype(np.float32)], pa.list_(pa.float32())),
-                         pa.array([labels[d]], pa.float64())], names=["buckets", "means", "label"])
+                        [pa.array([bucket.astype(np.int32)], pa.list_(pa.int32())),
+                         pa.array([(n / max(1, words)).astype(np.float32)], pa.list_(pa.float32())),
+                         pa.array([label], pa.float64())], names=["buckets", "means", "label"])
 
     def train(batches):
         got = []
@@ -289,11 +402,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array([s.weights.astype("<f8").tobytes()], pa.binary()),
                                               pa.array([s.bias], pa.float64())], names=["weights", "bias"])
 
-    chosen = _body(docs, id_col, text_col).where(unit_hash(F.lit("sample"), "doc_id") < min(1.0, sample / counts.sum())).select(
-        "body").limit(2 * sample)
-    row = chosen.mapInArrow(rows, "buckets array<int>, means array<float>, label double").repartition(1).mapInArrow(
-        train, "weights binary, bias double").first()
-    scorer = Scorer(np.frombuffer(bytes(row[0]), "<f8"), row[1]) if row else None
+    chosen = bounded_sample(texts(docs, id_col, text_col), int(counts.sum()), sample, "quality-sample")
+    row = _body(chosen, "doc_id", "text").select("body").mapInArrow(
+        rows, "buckets array<int>, means array<float>, label double").repartition(1).mapInArrow(
+        train, "weights binary, bias double").first()  # the sample has rows as the table has
+    scorer = Scorer(np.frombuffer(bytes(row[0]), "<f8"), row[1])
     # how often a labeller that votes is right
     accuracy = {name: float((share * probs[k, 0, 1] + (1 - share) * probs[k, 1, 2])
                             / (share * probs[k, 0, 1:].sum() + (1 - share) * probs[k, 1, 1:].sum()))
@@ -330,6 +443,7 @@ def keep_good(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOL
     scorer, _ = fit(docs, sample)
     shared = docs.sparkSession.sparkContext.broadcast(None if scorer is None else (scorer.weights, scorer.bias))
     cols = docs.columns
+    (body,) = fresh(cols, "body")
 
     def run(batches):
         own = Scorer(*(shared.value or (np.zeros(BUCKETS), 0.0)))
@@ -340,5 +454,5 @@ def keep_good(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOL
             yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns[:-1]], names=cols)
 
     # the text travels once, as bytes
-    sent = docs.withColumn("__body", F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    sent = docs.select(*map(quoted, cols), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias(body))
     return sent.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ log-likelihood ratio is at least ``THRESHOLD`` a character is a ``markov`` span
 unless it overlaps a base span.
 
 Both models are trained from labelled samples, over a **bounded** number of documents
-(about ``SAMPLE`` by hash, never more than twice as many): random strings are
+(about ``SAMPLE`` by a hash of id and text, never more than twice as many, never none): random strings are
 what the base patterns match there, and digests of the documents in hex,
 base 36 and base 64; ordinary identifiers are the words of 6
 letters or more outside base matches.  Counts are grouped by pair of characters, so the
@@ -17,8 +17,10 @@ Spans count code points, end exclusive: the lengths of the pieces between the ma
 and of the matches are summed, for matching texts only.
 
 Edge cases: null and empty texts have no span; equal spans of different kinds all
-count; repeated rows each get a row; other columns are ignored; an empty table gives an
-empty result (and an untrained model, which finds nothing).
+count; repeated rows each get a row and are sampled once; rows that share an id or have
+none are sampled by their texts; other columns are ignored; an empty table gives an
+empty result.  Without a sampled word of 6 letters or more there is no model of
+identifiers, and only base spans are found.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import number_array, once, texts, unit_hash
+from eventide.llm.common import bounded_sample, number_array, once, texts
 
 # Base patterns, in this order; the group that must have at
 # least so many characters.
@@ -91,8 +93,7 @@ def pairs(token: Column) -> Column:
 def samples(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``(random, token)``: labelled strings of a bounded number of documents."""
     own = texts(docs).where("text is not null")
-    share = min(1.0, sample / max(1, own.count()))
-    own = own.where(unit_hash(F.lit("secrets"), "doc_id") < share).limit(2 * sample)
+    own = bounded_sample(own, own.count(), sample, "secrets-sample")
     cut = own.select("text", F.concat(*[F.regexp_extract_all("text", F.lit(SEARCHED.get(k, p)), F.lit(g)) for k, p, g, _ in KINDS]).alias("hits"))
     digest = F.sha2("text", 256)
     drawn = F.array(digest, F.conv(F.substring(digest, 1, 15), 16, 36), F.conv(F.substring(digest, 16, 15), 16, 36),

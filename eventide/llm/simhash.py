@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import LOWER, saved, text_hash, texts
+from eventide.llm.common import LOWER, dropped, fresh, quoted, saved, text_hash, texts
 
 SHINGLE = 3
 RADIUS = 2
@@ -272,7 +272,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "links")
     before = mark(edges)
     while before[0]:
-        edges = saved(stars(stars(edges, True), False), "stars")
+        old, edges = edges, saved(stars(stars(edges, True), False), "stars")
+        dropped(old)
         after = mark(edges)
         if after == before:
             break
@@ -310,9 +311,10 @@ def dedup_near(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) ->
     The join and the removal of repeated rows have the same key, so texts are
     shuffled once."""
     cols = docs.columns
+    d, h, own_d, own_h = fresh(cols, "d", "h", "own_d", "own_h")
     chosen = near_duplicates(docs, shingle, radius).groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("k")).select(
-        _identity(F.col("k.doc_id")).alias("__d"), F.col("k.h").alias("__h"))
-    keyed = docs.withColumn("__id", _identity(docs["doc_id"])).withColumn("__hash", text_hash())
-    rows = keyed.join(chosen, (keyed["__id"] == chosen["__d"]) & (keyed["__hash"] == chosen["__h"]), "left_semi")
-    return rows.dropDuplicates(["__id", "__hash"]).select(*[f"`{c}`" for c in cols])
+        _identity(F.col("k.doc_id")).alias(d), F.col("k.h").alias(h))
+    keyed = docs.withColumn(own_d, _identity(docs["doc_id"])).withColumn(own_h, text_hash(docs["text"]))
+    rows = keyed.join(chosen, (keyed[own_d] == chosen[d]) & (keyed[own_h] == chosen[h]), "left_semi")
+    return rows.dropDuplicates([own_d, own_h]).select(*map(quoted, cols))

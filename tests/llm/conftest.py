@@ -10,7 +10,9 @@ DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text"
                      T.StructField("n_chars", T.LongType())])
 
 # Columns that clash with names the operators use inside.
-CLASHES = ["h", "fp", "key", "n_words", "score", "kept", "spans", "ws", "body", "__h", "__d", "rate", "label", "id"]
+CLASHES = ["h", "fp", "key", "n_words", "score", "kept", "spans", "ws", "body", "__h", "__d", "rate", "label", "id", "d", "own_d", "own_h",
+           "copies", "residual", "own_rate", "p", "bs", "owner", "n_dropped", "n_bits", "keep", "__owner", "__n_bits", "__n_dropped",
+           "__keep", "__body", "__id", "__hash", "__rate", "__copies", "r", "place", "n", "root", "odd name"]
 
 
 @pytest.fixture(scope="session")
@@ -21,9 +23,7 @@ def make_docs(spark):
         df = spark.createDataFrame(full, DOCS)
         if clash:
             from pyspark.sql import functions as F
-            for c in CLASHES:
-                if not c.startswith("__"):
-                    df = df.withColumn(c, F.lit("x"))
+            df = df.select("*", *[F.lit("x").alias(c) for c in CLASHES])
         return df
     return make
 
@@ -47,6 +47,16 @@ ODD = [
 ]
 
 
+@pytest.fixture
+def stored(tmp_path, spark):
+    """A table written as Parquet and read again, as the pipeline does."""
+    def store(df):
+        path = str(tmp_path / f"t{len(list(tmp_path.iterdir()))}")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+    return store
+
+
 @pytest.fixture(scope="session")
 def odd():
     return list(ODD)

@@ -80,3 +80,41 @@ def test_sample_is_bounded(spark):
     n = {r.lang: r["count"] for r in lid.sample(df, 20).groupBy("lang").count().collect()}
     assert set(n.values()) == {20}
     assert df.select(F.countDistinct("lang")).first()[0] == len(n)
+
+
+def test_scores_against_every_window_by_hand(make_docs, odd, text_maker):
+    net = lid.ByteConv(["a", "b", "c"])
+    rng = np.random.default_rng(9)
+    for v in net.p.values():
+        v += rng.normal(size=v.shape).astype(np.float32) * 0.2
+    rows = [r for r in odd if r[1] is not None and len(r[1]) < 20_000] + [(60 + i, text_maker(i, 30 * i + 1)) for i in range(12)]
+    import pickle
+    got = lid.predict(make_docs(rows), pickle.dumps(net)).collect()
+    want = []
+    for _, t in rows:
+        if not any(map(str.isalpha, t)):
+            want.append(("und", 0.0))
+            continue
+        body, total = t.encode().lower(), np.zeros(3)
+        for at in range(0, len(body), lid.LENGTH):
+            x = body[at:at + lid.LENGTH]
+            padded = np.frombuffer(x.ljust(lid.LENGTH), np.uint8)
+            top = [max(sum(net.p[f"t{w}"][k][padded[i + k], f] for k in range(w)) for i in range(lid.LENGTH - w + 1))
+                   for w in lid.WIDTHS for f in range(lid.FILTERS)]
+            z = np.maximum(np.array(top) + net.p["b"], 0) @ net.p["w"] + net.p["c"]
+            total += np.exp(z - z.max()) / np.exp(z - z.max()).sum() * len(x)
+        total /= len(body)
+        want.append(("abc"[int(total.argmax())], float(total.max())))
+    assert sorted((r.lang_pred, round(r.score, 3)) for r in got) == sorted((k, round(s, 3)) for k, s in want)
+
+
+def test_every_language_is_learned_and_repeated_rows_do_not_hide_one(spark, make_docs, text_maker):
+    rows = [(i, text_maker(1000 + i % 250, 40, 30), f"l{i % 250:03}") for i in range(1500)]
+    rows += [(0, "always the same row", "same")] * 3000
+    df = make_docs(rows)
+    langs = {r.lang for r in lid.sample(df, 10).collect()}
+    assert langs == {x for i, _, x in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert len(langs) > 240 and "same" in langs
+    net = lid.fit(df, per_lang=10, steps=40)
+    import pickle
+    assert pickle.loads(net).langs == sorted(langs)

@@ -66,3 +66,18 @@ def test_tags_in_documents(make_docs):
             (3, "spdx license identifier mit")]
     got = {r.doc_id: (r.labels, r.score, r.expressions) for r in licenses.scan_licenses(make_docs(rows)).collect()}
     assert got == {1: ("mit", 1.0, "mit"), 2: ("gpl-3,isc", 0.4, "gpl-3.0-only AND isc"), 3: ("", 0.5, "")}
+
+
+def graded(x):
+    form, labels, grade = licenses.evaluate(x)
+    return form, grade
+
+
+def test_operators_without_a_right_operand_are_dropped():
+    want = ("mit OR gpl-3.0", 1.0)
+    for tail in ("", " and (", " and ((", " or", " and", " with", " and (( or", " )"):
+        assert graded("mit or gpl-3.0" + tail) == want, tail
+    assert graded("(mit or (") == ("mit", 1.0)
+    assert graded("gpl-3.0 or (mit and (") == ("gpl-3.0 OR mit", 1.0)
+    assert graded("gpl-3.0 and (mit or isc") == ("gpl-3.0 AND (mit OR isc)", 0.4)
+    assert licenses.evaluate("( and mit") is None and licenses.evaluate("") is None

@@ -50,7 +50,7 @@ def test_hot_line_over_many_partitions(make_docs, text_maker):
     for n in (1, 7, 40):
         assert run(df, partitions=n) == want
     # the hot hash is not one partition's
-    own = ld.texts(df).withColumn("h", ld.text_hash())
+    own = ld.texts(df).select(ld.owner_key(F.col("doc_id"), "bigint").alias("owner"), ld.text_hash().alias("h"), "text")
     dealt = ld.line_hashes(own, 10).repartitionByRange(20, "key", "owner", "place").groupBy(F.spark_partition_id()).count().collect()
     assert max(r["count"] for r in dealt) < 3 * sum(r["count"] for r in dealt) / 20
 
@@ -63,6 +63,17 @@ def test_odd_rows(make_docs, odd):
     assert run(make_docs([])) == []
 
 
+def test_ids_of_other_types(spark):
+    def keep(ids, kind):
+        df = spark.createDataFrame([(i, f"a line of all documents\nown line of number {k}") for k, i in enumerate(ids)], f"doc_id {kind}, text string")
+        return [r.doc_id for r in ld.dedup_lines(df).collect() if "all documents" in r.text]
+
+    assert keep(["b", "a10", "a9", None], "string") == ["a10"]
+    assert keep([2**63 - 1, None], "long") == [2**63 - 1]
+    assert keep([5, -3, -2**63, 2**63 - 1], "long") == [-2**63]
+    assert keep([3, -1, 2], "int") == [-1]
+
+
 def test_texts_of_the_stage(make_docs, odd):
     rows = odd + [(30, "keep this line of mine\nsame text of several words here")]
     df = make_docs(rows, clash=True)

@@ -42,22 +42,33 @@ def test_against_brute_force(spark, real, labels):
         assert df.columns == docs.columns and df.dtypes == docs.dtypes
     assert {r.doc_id: r.text for r in df.collect()} == want
     final = corpus_pipeline.run(spark, SF)
-    assert final.columns == [*docs.columns, "rate", "copies"]
+    assert final.columns == [*docs.columns, "rate", "copies", "residual"]
     out = {r.doc_id: r for r in final.collect()}
     assert all(want[i] == r.text and r.copies >= 1 and r.n_chars == len(r.text) for i, r in out.items())
     good = {r.doc_id for r in labels.where("quality = 1 and toxic = 0").collect()} & set(want)
     assert len(good & set(out)) > 0.95 * len(good)
 
 
-def test_stages_on_odd_rows(spark, make_docs, odd):
+def test_stages_on_odd_rows(spark, make_docs, odd, stored):
+    """Each stage alone, written as Parquet: clashing columns, string ids, an empty table."""
     df = make_docs(odd, clash=True)
+    strings = df.withColumn("doc_id", df["doc_id"].cast("string"))
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, df, SF)
-        assert out.columns[:len(df.columns)] == df.columns, name
-        out.collect()
+        for docs in (df, strings):
+            out = stored(stage(spark, docs, SF))
+            assert out.columns[:len(df.columns)] == df.columns, name
+            assert [t for _, t in out.dtypes[:len(df.columns)]] == [t for _, t in docs.dtypes]
         assert stage(spark, make_docs([]), SF).count() == 0
 
 
+def test_all_stages_in_a_row_with_clashing_columns(spark, make_docs, odd, stored, text_maker):
+    df = make_docs(odd + [(400 + i, ". ".join(text_maker(50 + 10 * i + k, 9) for k in range(12)) + ".") for i in range(30)], clash=True)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        df = stored(stage(spark, df, SF))
+    out = stored(corpus_pipeline.STAGES[-1][1](spark, df, SF))
+    assert out.columns == [*df.columns, "rate_", "copies_", "residual_"] and out.count() > 0
+
+
 def test_entry_without_the_subpackage(monkeypatch):
     import __spark_entry__ as entry
     assert {"pipeline", "op1_chat_format", "op10_license_scan"} <= set(entry.queries())

@@ -49,6 +49,62 @@ def test_statistics_against_brute_force(real):
             assert s["bare"][i] == pytest.approx(sum(not any(chr(c).isalpha() and c < 128 or c > 127 for c in x) for x in ws) / len(ws))
 
 
+def arrays(*bodies):
+    import pyarrow as pa
+    return list(quality.runs(pa.array(list(bodies), pa.binary())))
+
+
+def test_a_word_of_megabytes_is_counted():
+    body = b"Tail " + b"a" * 2_500_000 + b"B!9 end"
+    (w,) = arrays(body)
+    s = w.stats()
+    assert isinstance(w, quality.LongText) and w.count[0] == 3
+    (part,) = [p for p in w.parts() if p.kinds.sum() > 10**6]
+    assert part.kinds[0, [quality.LOWERS, quality.UPPERS, quality.BANGS, quality.DIGITS]].tolist() == [2_500_000, 1, 1, 1]
+    assert s["mean"][0] == pytest.approx(len(body.replace(b" ", b"")) / 3)
+
+
+def test_pieces_of_a_long_text_say_the_same(monkeypatch):
+    rng = np.random.default_rng(2)
+    ws = [b"alpha", b"Beta", b"GAMMA!", b"x9.", b"caf\xc3\xa9", b"#", b"a" * 40]
+    body = b" ".join(ws[k] for k in rng.integers(0, len(ws), 400)) + b"\n  " + b"z" * 95
+    weights = rng.normal(size=quality.BUCKETS)
+    (whole,) = arrays(body)
+    want = whole.stats(), whole.weighed(weights), whole.bucket_counts()[0]
+    for piece in (1, 13, 50, 1000):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        (w,) = arrays(body)
+        assert isinstance(w, quality.LongText)
+        got = w.stats()
+        assert all(got[k][0] == pytest.approx(want[0][k][0]) for k in got)
+        assert w.weighed(weights)[0] == pytest.approx(want[1][0])
+        assert (w.bucket_counts()[0][0] == want[2][0]).all() and (w.bucket_counts()[0][1] == want[2][1]).all()
+
+
+def test_a_row_scores_the_same_whatever_stands_beside_it(make_docs, text_maker):
+    scorer = quality.Scorer(np.random.default_rng(1).normal(size=quality.BUCKETS), 0.1)
+    texts = [text_maker(i, 30) for i in range(12)]
+    alone = [quality.scores(make_docs([(i, t)]).coalesce(1), scorer).first().score for i, t in enumerate(texts[:4])]
+    both = {r.doc_id: r.score for r in quality.scores(make_docs(list(enumerate(texts))).coalesce(1), scorer).collect()}
+    assert [both[i] for i in range(4)] == pytest.approx(alone)
+
+
+@pytest.mark.parametrize("one_id", [None, 7])
+def test_rows_that_share_an_id_are_sampled_by_their_texts(spark, one_id):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    normal = {r.text for r in docs.join(quality.classify(docs, sample=400).where("kept"), "doc_id").collect()}
+    same = docs.withColumn("doc_id", F.lit(one_id).cast("long"))
+    kept = {r.text for r in quality.keep_good(same, sample=400).collect()}
+    assert len(kept ^ normal) < 0.02 * docs.count()
+
+
+def test_scorer_from_repeated_rows_and_of_few(make_docs, text_maker):
+    docs = make_docs([(1, text_maker(1, 60))] * 5000 + [(2, "!!! ### $$$ " * 20)])
+    scorer, found = quality.fit(docs, sample=3)
+    assert scorer is not None and found["share"] is not None
+    assert quality.fit(make_docs([]))[0] is None
+
+
 def test_odd_rows(make_docs, odd):
     df = make_docs(odd, clash=True)
     got = quality.classify(df).collect()

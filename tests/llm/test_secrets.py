@@ -58,3 +58,37 @@ def test_models_tell_random_from_ordinary(spark, make_docs):
 def test_native_plan(spark):
     plan = registry.op2_secret_scan(spark, SF)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_markov_spans_against_brute_force(spark, make_docs, text_maker, real):
+    import random
+    rng = random.Random(4)
+
+    def drawn(k):
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=k))
+
+    rows = [(i, " ".join(["key " + drawn(rng.randint(10, 40)), "_".join(text_maker(i, 4).split()), "token=" + drawn(20),
+                          text_maker(i, 5)])) for i in range(120)]
+    docs = make_docs(rows)
+    model = secrets.train(secrets.samples(real[0]))
+    got = {r.doc_id: r for r in secrets.find_secrets(docs, model).collect()}
+    n = 0
+    for i, text in rows:
+        base = [(s.start, s.end) for s in got[i].base]
+        want = []
+        for m in re.finditer(secrets.CANDIDATE, text):
+            t = m[0]
+            mean = sum(model[ord(a) * 128 + ord(b)] for a, b in zip(t, t[1:])) / (len(t) - 1)
+            if mean >= secrets.THRESHOLD and not any(a < m.end() and m.start() < b for a, b in base):
+                want.append((m.start(), m.end()))
+        assert [(s.start, s.end) for s in got[i].added] == want
+        n += len(want)
+    assert n > 60  # most of the random strings of 16 characters or more
+
+
+def test_rows_that_share_an_id_are_sampled_by_their_texts(spark, make_docs, text_maker):
+    rows = [(None, text_maker(i, 30)) for i in range(3000)]
+    assert 50 < secrets.samples(make_docs(rows), 100).where("random").count() / 5 <= 200  # five digests a text
+    assert secrets.train(secrets.samples(make_docs(rows), 100)) is not None
+    assert secrets.train(secrets.samples(make_docs([(1, text_maker(1, 30))] * 2000), 3)) is not None
+    assert secrets.train(secrets.samples(make_docs([]))) is None
