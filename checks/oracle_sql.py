@@ -269,6 +269,11 @@ SELECT CAST(step AS INTEGER) AS step, config, round(val_loss, 6) AS val_loss,
 FROM ({stack})""", CTX, model_ctes("b", f"NOT testset AND {split}"), f"""
 vl AS (SELECT {cols}
        {score_from(f'(SELECT c2, c1, token_id AS target_id FROM ctx WHERE NOT testset AND NOT ({split}))', 'b')})""")
+    q["model_versions"] = f"""
+SELECT step, config, val_loss, CASE WHEN better THEN CAST(sum(CAST(better AS INTEGER)) OVER (ORDER BY step) AS INTEGER) END AS version,
+       better AND step = max(CASE WHEN better THEN step END) OVER () AS loaded
+FROM (SELECT *, coalesce(val_loss < min(val_loss) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS better
+      FROM ({q["best_smoothing"]}))"""
     q.update(more_queries())
     q.update(last_queries())
     ce = q["culture_eval"].replace(
@@ -355,8 +360,152 @@ hsc AS (SELECT s.stay_id, s.shift_start, s.y, hs.score FROM scoh s
     return ",".join(parts)
 
 
+HORIZON_STEPS = 80
+
+
+def hour_horizon_ctes(hours: int = HORIZON_HOURS, steps: int = HORIZON_STEPS, l0: float = 0.1, lam: float = 0.9) -> str:
+    """Value iteration over (token, hours left) with dense tables, for a fixed
+    number of steps by which hardly any mass is left."""
+    parts = [f"""
+hk AS (SELECT token_id AS t, CAST(token LIKE 'hour.%' AS INTEGER) AS hr, CAST(token = 'med.purchase' AS INTEGER) AS tgt
+       FROM vocab WHERE token_id > 0),
+hb AS MATERIALIZED (
+  SELECT i.t AS c, (coalesce(m0.n0, 0) + 1.0) / (kn.N + 1.0 * kn.V) AS p0, coalesce(t1.n1c, 0) AS n1c
+  FROM hk i CROSS JOIN kn LEFT JOIN m0 ON m0.token_id = i.t LEFT JOIN t1 ON t1.c1 = i.t
+  UNION ALL SELECT -1, 0.0, 0),
+v0 AS MATERIALIZED (SELECT c, h, 0.0 AS e, 0.0 AS f, 0.0 AS l FROM hb CROSS JOIN range(0, {hours + 1}) r(h))"""]
+    for k in range(1, steps + 1):
+        parts.append(f"""
+x{k} AS MATERIALIZED (SELECT hk.t, v.h + hk.hr AS h, hk.tgt + v.e AS e, CASE WHEN hk.tgt = 1 THEN 1.0 ELSE v.f END AS f, 1.0 + v.l AS l
+  FROM v{k - 1} v JOIN hk ON hk.t = v.c WHERE v.h + hk.hr BETWEEN 1 AND {hours}),
+g{k} AS (SELECT h, sum(p0 * e) AS e, sum(p0 * f) AS f, sum(p0 * l) AS l FROM x{k} JOIN hb ON hb.c = t GROUP BY h),
+n{k} AS (SELECT m1.c1, x.h, sum(m1.n1 * x.e) AS e, sum(m1.n1 * x.f) AS f, sum(m1.n1 * x.l) AS l
+  FROM m1 JOIN x{k} x ON x.t = m1.token_id GROUP BY m1.c1, x.h),
+v{k} AS MATERIALIZED (
+  SELECT b.c, g.h, {", ".join(f"CASE WHEN b.n1c > 0 THEN {lam} * coalesce(n.{a}, 0) / b.n1c + {l0} * g.{a} ELSE {l0 + lam} * g.{a} END AS {a}" for a in "efl")}
+  FROM hb b CROSS JOIN g{k} g LEFT JOIN n{k} n ON n.c1 = b.c AND n.h = g.h
+  UNION ALL SELECT c, h, 0.0, 0.0, 0.0 FROM v0 WHERE h = 0)""")
+    parts.append(f"""
+hh AS (SELECT s.stay_id, s.shift_start, s.y, v.e, v.f, v.l FROM scoh s
+       LEFT JOIN stream l ON l.stay_id = s.stay_id AND l.pos = s.cut - 1
+       JOIN v{steps} v ON v.c = coalesce(l.token_id, -1) AND v.h = {hours})""")
+    return ",".join(parts)
+
+
+HALF_LIFE, MEMORY_WEIGHT = 64.0, 0.2
+# each lab example against the whole vocabulary, with decayed counts of its whole history
+MEMORY = f"""
+mreq AS (SELECT ex.target, ex.stay_id, ex.occ, ex.cut, ex.c1, ex.c2, coalesce(v.token_id, -1) AS target_id
+         FROM ex LEFT JOIN vocab v ON v.token = ex.val_token),
+mbag AS (SELECT e.target, e.stay_id, e.occ, t.token_id, sum(pow(2.0, -(e.cut - 1 - t.pos) / {HALF_LIFE})) AS b
+         FROM mreq e JOIN stream t ON t.stay_id = e.stay_id AND t.pos < e.cut AND t.token_id > 0
+         GROUP BY e.target, e.stay_id, e.occ, t.token_id),
+mall AS (SELECT e.target, e.stay_id, e.occ, e.c1, e.c2, e.target_id AS own, v.token_id AS target_id
+         FROM mreq e CROSS JOIN (SELECT token_id FROM vocab WHERE token_id > 0) v),
+mp AS (SELECT R.target, R.stay_id, R.occ, R.own, R.target_id AS t, @P@ AS p @FROM@),
+mz AS (SELECT mp.target, mp.stay_id, mp.occ, sum(pow(p, {1 - MEMORY_WEIGHT}) * pow(coalesce(b, 0) + 1.0, {MEMORY_WEIGHT})) AS z
+       FROM mp LEFT JOIN mbag m ON m.target = mp.target AND m.stay_id = mp.stay_id AND m.occ = mp.occ AND m.token_id = mp.t
+       GROUP BY mp.target, mp.stay_id, mp.occ),
+ms AS (SELECT R.target, R.stay_id, R.occ, @P@ AS p_plain,
+              pow(@P@, {1 - MEMORY_WEIGHT}) * pow(coalesce(b, 0) + 1.0, {MEMORY_WEIGHT}) / z AS p_memory
+       @FROM2@ JOIN mz ON mz.target = R.target AND mz.stay_id = R.stay_id AND mz.occ = R.occ
+       LEFT JOIN mbag m ON m.target = R.target AND m.stay_id = R.stay_id AND m.occ = R.occ AND m.token_id = R.target_id)"""
+
+
+def memory_ctes() -> str:
+    return MEMORY.replace("@FROM@", score_from("mall")).replace("@FROM2@", score_from("mreq")).replace("@P@", p_expr())
+
+
+def panel_ctes(panel: list[str]) -> str:
+    """Eleven outcomes a step for every stay (not shared between stays)."""
+    nh = "'hour.' || ((CAST(split_part(c.cut_token, '.', 2) AS INTEGER) + 1) % 24)"
+    parts = [f"""
+fw0 AS (SELECT c.stay_id, coalesce(v.token_id, 0) AS c2, 1.0 AS a FROM cuts c LEFT JOIN vocab v ON v.token = {nh})"""]
+    for i, lab in enumerate(panel):
+        parts.append(f"""
+fq{i} AS (SELECT s.stay_id, s.a, k, s.c2, coalesce(lv.token_id, 0) AS c1, coalesce(mv.token_id, 0) AS target_id
+          FROM fw{i} s CROSS JOIN range(0, 10) r(k)
+          LEFT JOIN vocab lv ON lv.token = '{lab}' LEFT JOIN vocab mv ON mv.token = 'magnitude.' || k),
+fs{i} AS MATERIALIZED (SELECT R.stay_id, R.k, R.c1, R.target_id, sum(R.a * {p_expr()}) AS a {score_from(f'fq{i}')}
+          GROUP BY R.stay_id, R.k, R.c1, R.target_id),
+fa{i} AS MATERIALIZED (SELECT stay_id, c1, sum(a) AS mass, sum(k * a) / sum(a) AS e FROM fs{i} GROUP BY stay_id, c1),
+fw{i + 1} AS MATERIALIZED (SELECT stay_id, target_id AS c2, a FROM fs{i} UNION ALL SELECT stay_id, c1, 1 - mass FROM fa{i})""")
+    return ",".join(parts)
+
+
+RULES = """
+rules AS (SELECT * FROM (VALUES
+    (0, 'med.purchase', 'unit.0', 'lab.view', 9, 9), (1, 'med.purchase', 'unit.1', 'lab.view', 0, 0),
+    (2, 'med.purchase', 'unit.2', 'lab.click', 8, 9), (3, 'med.purchase', 'unit.3', 'lab.click', 0, 1),
+    (4, 'med.purchase', NULL, 'lab.view', 4, 4), (5, 'culture.error', NULL, 'lab.click', 9, 9))
+  r(rule, drug, unit, lab, low, high)),
+given AS (SELECT l.stay_id, l.pos, l.token AS lab, TRY_CAST(split_part(n.token, '.', 2) AS INTEGER) AS v
+          FROM stream l JOIN stream n ON n.stay_id = l.stay_id AND n.pos = l.pos + 1
+          WHERE l.token LIKE 'lab.%' AND n.token LIKE 'magnitude.%'),
+asked AS (SELECT s.stay_id, s.pos, s.token AS drug, u.token AS unit FROM stream s
+          LEFT JOIN stream u ON u.stay_id = s.stay_id AND u.pos = s.pos + 1 WHERE s.token IN ('med.purchase', 'culture.error')),
+latest AS (SELECT a.stay_id, a.pos, a.drug, a.unit, g.lab, arg_max(g.v, g.pos) AS state
+           FROM asked a JOIN given g ON g.stay_id = a.stay_id AND g.pos < a.pos GROUP BY a.stay_id, a.pos, a.drug, a.unit, g.lab)"""
+
+EM_ROUNDS = 200
+
+
 def more_queries() -> dict[str, str]:
     q: dict[str, str] = {}
+    q["horizon_hours"] = with_base("""
+SELECT stay_id, shift_start, round(e, 6) AS expected, round(f, 6) AS first_passage, round(l, 6) AS n_tokens, TRUE AS ended
+FROM hh""", SHIFTS, SHIFT_COHORT, MODEL, hour_horizon_ctes())
+    tl = targets_cte("tgt", LABS)
+    ex = examples_cte("ex", "tgt")
+    q["memory_scores"] = with_base("""
+SELECT target, stay_id, occ, round(p_plain, 6) AS p_plain, round(p_memory, 6) AS p_memory FROM ms""", tl, ex, MODEL, memory_ctes())
+    q["memory_loss"] = with_base("""
+SELECT 'plain' AS model, count(*) AS n, round(avg(-ln(p_plain)), 6) AS loss FROM ms
+UNION ALL SELECT 'memory', count(*), round(avg(-ln(p_memory)), 6) FROM ms""", tl, ex, MODEL, memory_ctes())
+    split = f"{uniform_sql('stay_id')} < 0.9"
+    parts = p_expr("b", 1.0, 0.0, 0.0), p_expr("b", 0.0, 1.0, 0.0), p_expr("b", 0.0, 0.0, 1.0)
+    q["interpolation_weights"] = with_base(f"""
+SELECT CAST(r AS INTEGER) AS round, round(a, 6) AS l0, round(b, 6) AS l1, round(c, 6) AS l2, round(loss, 6) AS loss
+FROM (SELECT *, lag(loss) OVER (ORDER BY r) - loss AS fell FROM em)
+QUALIFY coalesce(count(CASE WHEN fell < 1e-6 THEN 1 END) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0""",
+        CTX, model_ctes("b", f"NOT testset AND {split}"), f"""
+hv AS MATERIALIZED (SELECT {parts[0]} AS p0, {parts[1]} AS p1, {parts[2]} AS p2, count(*) AS k
+  {score_from(f'(SELECT c2, c1, token_id AS target_id FROM ctx WHERE NOT testset AND NOT ({split}))', 'b')} GROUP BY ALL),
+emw AS (SELECT 0 AS r, [1 / 3.0, 1 / 3.0, 1 / 3.0]::DOUBLE[] AS w UNION ALL
+  SELECT r, [x / n, y / n, z / n] FROM (
+    SELECT e.r + 1 AS r, sum(k) AS n, sum(k * w[1] * p0 / (w[1] * p0 + w[2] * p1 + w[3] * p2)) AS x,
+           sum(k * w[2] * p1 / (w[1] * p0 + w[2] * p1 + w[3] * p2)) AS y, sum(k * w[3] * p2 / (w[1] * p0 + w[2] * p1 + w[3] * p2)) AS z
+    FROM emw e, hv WHERE e.r < {EM_ROUNDS - 1} GROUP BY e.r)),
+em AS (SELECT r, w[1] AS a, w[2] AS b, w[3] AS c, (SELECT sum(-ln(w[1] * p0 + w[2] * p1 + w[3] * p2) * k) / sum(k) FROM hv) AS loss FROM emw)""")
+    q["interpolation_weights"] = q["interpolation_weights"].replace("WITH ", "WITH RECURSIVE ", 1)
+    panel = ["lab.click", "lab.view", "lab.view", "lab.click", "lab.click", "lab.view", "lab.click", "lab.view"]
+    q["panel_forward"] = with_base(" UNION ALL ".join(f"""
+SELECT stay_id, CAST({i} AS INTEGER) AS step, '{lab}' AS lab, round(mass, 6) AS mag_mass, round(e, 6) AS exp_mag, round(1 - mass, 6) AS none_mass
+FROM fa{i}""" for i, lab in enumerate(panel)), SHIFTS, COHORT, MODEL, panel_ctes(panel))
+    cells = ", ".join(f"CAST(count(CASE WHEN dd.decile = {k} THEN 1 END) AS BIGINT) AS d{k}" for k in range(10))
+    q["dose_table"] = with_base(f"""
+SELECT c.stay_id, u.unit, {cells} FROM cuts c CROSS JOIN (SELECT DISTINCT token AS unit FROM stream WHERE token LIKE 'unit.%') u
+LEFT JOIN dd ON dd.stay_id = c.stay_id AND dd.unit = u.unit GROUP BY c.stay_id, u.unit""", SHIFTS, COHORT, """
+dd AS (
+  SELECT c.stay_id, u.token AS unit, TRY_CAST(split_part(m.token, '.', 2) AS INTEGER) AS decile
+  FROM cuts c JOIN stream s ON s.stay_id = c.stay_id AND s.token = 'med.purchase' AND s.pos < c.cut_pos
+  JOIN stream u ON u.stay_id = s.stay_id AND u.pos = s.pos + 1
+  JOIN stream m ON m.stay_id = s.stay_id AND m.pos = s.pos + 2
+  WHERE m.token LIKE 'magnitude.%')""")
+    q["forbidden_positions"] = with_base("""
+SELECT a.stay_id, a.pos, CAST(r.rule AS INTEGER) AS rule, a.drug, a.lab, CAST(a.state AS INTEGER) AS state
+FROM latest a JOIN rules r ON r.drug = a.drug AND r.lab = a.lab AND (r.unit IS NULL OR r.unit = a.unit) AND a.state BETWEEN r.low AND r.high""",
+                                         RULES)
+    q["vocab_refit"] = with_base("""
+SELECT token, CAST(token_id AS INTEGER) AS token_id, FALSE AS is_new FROM v1
+UNION ALL SELECT token, CAST((SELECT max(token_id) FROM v1) + row_number() OVER (ORDER BY token) AS INTEGER), TRUE
+FROM vocab WHERE token NOT IN (SELECT token FROM v1)""", """
+v1 AS (SELECT 'Null event' AS token, 0 AS token_id UNION ALL
+       SELECT token, row_number() OVER (ORDER BY token) FROM vocab
+       WHERE token_id > 0 AND split_part(token, '.', 1) NOT IN ('med', 'unit'))""")
+    q["decile_sketches"] = with_base("""
+SELECT e.item, CAST(i - 1 AS INTEGER) AS qi, n, round(e[i], 6) AS edge, TRUE AS in_bound
+FROM edges e JOIN (SELECT item, count(value) AS n FROM rawt WHERE NOT testset GROUP BY item) USING (item), range(1, 10) t(i)""")
     tl = targets_cte("tgt", LABS)
     q["asof_cut"] = with_base("""
 SELECT s.stay_id, s.shift_start,
@@ -555,9 +704,9 @@ LEFT JOIN stream t ON t.stay_id = c.stay_id AND t.pos >= c.cut AND t.hour_no <=
 GROUP BY c.stay_id, c.shift_start""", SHIFTS, SHIFT_COHORT)
     q["handoff_eval"] = with_base("""
 SELECT 'handoff' AS target, 'auroc' AS metric, round(auroc, 6) AS value FROM hmet
-UNION ALL SELECT 'handoff', 'ap', round(ap, 6) FROM hmet""", SHIFTS, SHIFT_COHORT, MODEL, horizon_ctes(),
+UNION ALL SELECT 'handoff', 'ap', round(ap, 6) FROM hmet""", SHIFTS, SHIFT_COHORT, MODEL, hour_horizon_ctes(),
                                   """
-hsel AS (SELECT 'handoff' AS t, score AS s, y FROM hsc)""",
+hsel AS (SELECT 'handoff' AS t, e / l AS s, y FROM hh)""",
                                   metric_ctes("hsel", ["t"], "h"))
     return q
 
@@ -692,11 +841,30 @@ hh AS (SELECT stay_id, max(hour_no) AS H FROM stream WHERE kind = 0 AND testset
 pk AS (SELECT stay_id, 1 + floor({uniform_sql('stay_id', '6')} * H) AS j FROM hh WHERE H >= 1),
 anch AS (SELECT t.stay_id, t.pos AS a FROM stream t JOIN pk ON pk.stay_id = t.stay_id
          AND t.kind = 0 AND t.hour_no = pk.j)""")
+    lens = "(0, 5), (1, 7), (2, 3)"
+    toks = ("(0, 0, 'lab.view'), (0, 1, 'magnitude.0'), (0, 2, 'lab.click'), (0, 3, 'magnitude.1'), (0, 4, 'mort'), "
+            "(1, 0, 'lab.click'), (1, 1, 'magnitude.8'), (1, 2, 'lab.view'), (1, 3, 'magnitude.0'), (1, 4, 'culture.error'), (1, 5, 'Growth'), (1, 6, 'mort'), "
+            "(2, 0, 'lab.view'), (2, 1, 'magnitude.2'), (2, 2, 'mort')")
+    q["response_kinds"] = with_base(f"""
+SELECT s.stay_id, s.pos + CASE WHEN s.pos > a.a THEN a.n ELSE 0 END AS pos, s.token, 0 AS loss_weight, a.response FROM stream s JOIN anch a USING (stay_id)
+UNION ALL
+SELECT a.stay_id, a.a + 1 + x.i, CASE WHEN x.t LIKE 'magnitude.%'
+         THEN 'magnitude.' || (CAST(split_part(x.t, '.', 2) AS INTEGER) + CASE WHEN {uniform_sql('a.stay_id', '10 + x.i')} < 0.3 THEN 1 ELSE 0 END)
+         ELSE x.t END, 1, a.response
+FROM anch a JOIN (VALUES {toks}) x(k, i, t) ON x.k = a.response""", f"""
+hh AS (SELECT stay_id, max(hour_no) AS H FROM stream WHERE kind = 0 AND testset GROUP BY stay_id),
+pk AS (SELECT stay_id, 1 + floor({uniform_sql('stay_id', '8')} * H) AS j, CAST(floor({uniform_sql('stay_id', '9')} * 3) AS INTEGER) AS response FROM hh WHERE H >= 1),
+anch AS (SELECT t.stay_id, t.pos AS a, pk.response, l.n FROM stream t JOIN pk ON pk.stay_id = t.stay_id AND t.kind = 0 AND t.hour_no = pk.j
+         JOIN (VALUES {lens}) l(k, n) ON l.k = pk.response)""")
+    q["block_nll"] = with_base(f"""
+SELECT R.stay_id, R.b, round(avg(-ln({p_expr(l0=0.1, l1=0.9, l2=0.0)})), 6) AS nll
+{score_from("(SELECT stay_id, pos // 256 AS b, c1, c2, token_id AS target_id FROM ctx WHERE testset AND pos % 256 > 0)")} GROUP BY R.stay_id, R.b
+UNION ALL SELECT stay_id, b, NULL FROM tbl WHERE testset AND len(l) = 1""", TB, MODEL)
     q["batch_scorer"] = with_base("""
 SELECT stay_id, b, round(len(list_filter(l, lambda v: v = t9)) / len(list_filter(l, lambda v: v != 0)), 6) AS score
 FROM tbl CROSS JOIN (SELECT token_id AS t9 FROM vocab WHERE token = 'magnitude.9') WHERE testset""", TB)
     q["lineitem_stream_digest"] = "WITH " + LRAW + """
-SELECT stay_id, count(*) AS n_tokens, CAST(sum(pos * coalesce(token_id, 0)) AS BIGINT) AS checksum,
+SELECT stay_id, count(*) AS n_tokens, CAST(sum(pos * coalesce(token_id, 0) % 1000003) AS BIGINT) AS checksum,
        count(CASE WHEN kind = 0 THEN 1 END) AS n_spine
 FROM lstream GROUP BY stay_id"""
     return q

@@ -87,32 +87,38 @@ def last_value_before(tokens: DataFrame, cuts: DataFrame, item_token: str,
     return cuts.join(last, "stay_id", "left")
 
 
-def asof_cut(requests: DataFrame, tokens: DataFrame, grid: DataFrame, time_col: str,
-             unit_us: int = 3_600_000_000) -> DataFrame:
+def asof_cut(requests: DataFrame, tokens: DataFrame, grid: DataFrame, seconds: DataFrame, time_col: str,
+             unit: str = "hour") -> DataFrame:
     """Inclusive as-of cut: number of stream tokens with ``charttime <= t``.
 
-    Tokens and requests meet on ``(stay, unit bucket of t)``: the bucket's
-    own spine token is at or before ``t``, so the answer lies in that bucket
-    (or is 0 before the first event, or the whole stream after the last).
+    It is a sum: spine tokens and event tokens up to the boundary of t's unit (the
+    grid's row), event tokens of the unit's earlier seconds (their totals: at most one
+    row a second), and events of t's own second, the only rows that a request meets.
     Equal requests are answered once and given back as often as they came.
     """
-    from eventide.operators.stream import epoch_us
+    from eventide.operators.stream import SUB_US, UNIT_US, epoch_us
+    key = list(requests.columns)
     us = epoch_us(time_col)
-    r = requests.groupBy(*requests.columns).agg(F.count("*").alias("__times"))
-    r = r.withColumn("__ab", F.floor(us / F.lit(unit_us)).cast("long")).withColumn("__us", us)
-    tk = tokens.select(F.col("stay_id").alias("__s"), F.col("pos").alias("__p"),
-                       epoch_us("charttime").alias("__tus")) \
-        .withColumn("__tb", F.floor(F.col("__tus") / F.lit(unit_us)).cast("long"))
-    inb = r.join(tk, (F.col("stay_id") == F.col("__s")) & (F.col("__ab") == F.col("__tb"))
-                 & (F.col("__tus") <= F.col("__us")), "left")
-    key = [c for c in requests.columns]
-    got = inb.groupBy(*key, "__ab", "__times").agg(F.max("__p").alias("__mx"))
-    stays = grid.groupBy("stay_id").agg(F.min("ah0").alias("__ah0"), F.max("ah").alias("__ah1"),
-                                        F.max(F.col("c_before") + F.col("c")).alias("__ntok_ev"),
-                                        F.count("*").alias("__nunits"))
-    got = got.join(stays, "stay_id", "left")
-    total = F.col("__ntok_ev") + F.col("__nunits") - 1
-    cut = (F.when(F.col("__mx").isNotNull(), F.col("__mx") + 1)
-           .when(F.col("__ab") > F.col("__ah1"), total)
+    r = requests.groupBy(*key).agg(F.count("*").alias("__times"))
+    r = r.withColumn("__us", us).withColumn("__am", F.floor(us / F.lit(SUB_US)).cast("long")) \
+        .withColumn("__ah", F.floor(us / F.lit(UNIT_US[unit])).cast("long"))
+    at = ["stay_id", "__ah", "__am", "__us"]
+    times = r.select(*at).distinct()  # several requests may have one time
+    earlier = times.join(seconds.select(F.col("stay_id").alias("__s"), F.col("ah").alias("__h"), "am", "c"),
+                         (F.col("stay_id") == F.col("__s")) & (F.col("__ah") == F.col("__h")) & (F.col("am") < F.col("__am")))
+    rows = tokens.where(F.col("kind") == 1).select(F.col("stay_id").alias("__s"), epoch_us("charttime").alias("__t"))
+    rows = rows.withColumn("__m", F.floor(F.col("__t") / F.lit(SUB_US)).cast("long"))
+    own = times.join(rows, (F.col("stay_id") == F.col("__s")) & (F.col("__am") == F.col("__m")) & (F.col("__t") <= F.col("__us")))
+    inside = earlier.select(*at, "c").unionByName(own.select(*at, F.lit(1).cast("long").alias("c"))).groupBy(
+        *[F.col(c).alias(c + "2") for c in at]).agg(F.sum("c").alias("__inside"))
+    stays = grid.groupBy(F.col("stay_id").alias("__gs")).agg(
+        F.min("ah").alias("__first"), F.max("ah").alias("__last"),
+        (F.max(F.col("c_before") + F.col("c")) + F.count("*") - 1).alias("__all"))
+    units = grid.select(F.col("stay_id").alias("__us_stay"), F.col("ah").alias("__uh"), (F.col("ah") - F.col("ah0") + F.col("c_before")).alias("__upto"))
+    got = (r.join(stays, F.col("stay_id") == F.col("__gs"), "left")
+           .join(units, (F.col("stay_id") == F.col("__us_stay")) & (F.col("__ah") == F.col("__uh")), "left")
+           .join(inside, (F.col("stay_id") == F.col("stay_id2")) & (F.col("__us") == F.col("__us2")), "left"))
+    cut = (F.when(F.col("__ah") > F.col("__last"), F.col("__all"))
+           .when(F.col("__ah") >= F.col("__first"), F.col("__upto") + F.coalesce("__inside", F.lit(0)))
            .otherwise(F.lit(0)))
     return got.select(*key, cut.cast("long").alias("cut"), F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")

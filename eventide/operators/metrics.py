@@ -63,13 +63,13 @@ def ranking_metrics(df: DataFrame, group: Sequence[str], score: str, label: str)
     tp = F.col("P") - F.col("pos_lt")           # positives with score >= s
     cnt = F.col("N_all") - F.col("cnt_lt")      # rows with score >= s
     d = d.select(*group, "P", "N_all",
-                 (F.col("pos") * (F.col("neg_lt") + F.lit(0.5) * F.col("neg"))).alias("auc_term"),
+                 (F.col("pos").cast("double") * (F.col("neg_lt") + F.lit(0.5) * F.col("neg"))).alias("auc_term"),
                  F.when(F.col("P") > 0, F.col("pos") / F.col("P") * tp / cnt).alias("ap_term"))
     out = d.groupBy(*group).agg(F.first("P").alias("n_pos"), F.first("N_all").alias("n"),
                                 F.sum("auc_term").alias("auc_num"), F.sum("ap_term").alias("ap_sum"))
     nneg = F.col("n") - F.col("n_pos")
     auroc = F.when((F.col("n_pos") > 0) & (nneg > 0),
-                   F.col("auc_num") / (F.col("n_pos") * nneg).cast("double"))
+                   F.col("auc_num") / (F.col("n_pos").cast("double") * nneg.cast("double")))
     ap = F.when(F.col("n_pos") > 0, F.col("ap_sum")).otherwise(F.lit(0.0))
     return out.select(*group, "n", "n_pos", auroc.alias("auroc"), ap.alias("ap"))
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_FANOUT = 4096
@@ -124,13 +124,27 @@ def at_offset(requests: DataFrame, stream: DataFrame, pos_col: str, offset: int,
 SALTS = 16
 
 
-def join_stays(rows: DataFrame, per_stay: DataFrame, group: str = "stay_id", order: str = "pos", salts: int = SALTS) -> DataFrame:
+def join_stays(rows: DataFrame, per_stay: DataFrame, group: str = "stay_id", order: str = "pos", salts: int = SALTS,
+               salt: Column | None = None) -> DataFrame:
     """``rows`` joined with a table of one row a stay.  The stay's rows are dealt
-    over ``salts`` keys by chunk of position and its one row is copied to
-    each, so that a hot stay is no single key of the join."""
-    salt = F.pmod(F.floor(F.col(order) / DEFAULT_FANOUT), F.lit(salts)).cast("int")
+    over ``salts`` keys by chunk of position (or by ``salt``, a whole number) and its one
+    row is copied to each, so that a hot stay is no single key of the join."""
+    salt = F.floor(F.col(order) / DEFAULT_FANOUT) if salt is None else salt
     copies = per_stay.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("__salt", salt).join(copies, [group, "__salt"]).drop("__salt")
+    return rows.withColumn("__salt", F.pmod(salt, F.lit(salts)).cast("int")).join(copies, [group, "__salt"]).drop("__salt")
+
+
+def count_before(requests: DataFrame, rows: DataFrame, at: str, name: str, group: str = "stay_id", levels: int = 2) -> DataFrame:
+    """``requests`` with ``name``: the number of ``rows`` (``group, pos``; unique) of the
+    group with ``pos`` below ``at``.  Requests and rows share one two-level scan,
+    so no request meets more rows than a chunk holds."""
+    asked = requests.select(group, F.col(at).alias("__at")).distinct().select(
+        group, (F.col("__at") * 2).cast("long").alias("__o"), F.lit(0).cast("long").alias("__n"))
+    given = rows.select(group, (F.col("pos") * 2 + 1).cast("long").alias("__o"), F.lit(1).cast("long").alias("__n"))
+    counted = prefix_sum(asked.unionByName(given), group, "__o", ["__n"], levels=levels, suffix="_before")
+    counted = counted.where(F.col("__n") == 0).select(F.col(group).alias("__g"), "__o", F.col("__n_before").alias(name))
+    on = (F.col(group) == F.col("__g")) & ((F.col(at) * 2) == F.col("__o"))
+    return requests.join(counted, on).drop("__g", "__o")
 
 
 def neighbors(df: DataFrame, group: str | Sequence[str], order: str, col: str,

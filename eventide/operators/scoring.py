@@ -16,12 +16,14 @@ broadcast hash joins (no shuffle of the requests), beyond that it shuffles.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.functions.hashing import uniform
+from eventide.operators.ranking import running_totals
 from eventide.operators.settled import settled
 from eventide.operators.scan import neighbors
 
@@ -94,10 +96,6 @@ def fit_from_tokens(tokens: DataFrame, vocab: DataFrame) -> NgramModel:
     return fit(ctx.select("token_id", "c1", "c2"), vocab)
 
 
-def _p0(m: NgramModel, s: Smoothing):
-    return (F.coalesce("n0", F.lit(0)) + F.lit(s.alpha)) / F.lit(m.total + s.alpha * m.vocab_size)
-
-
 def score(requests: DataFrame, m: NgramModel, s: Smoothing = DEFAULT, c1: str = "c1",
           c2: str = "c2", target: str = "target_id", name: str = "p") -> DataFrame:
     """Add ``name`` = P(target | c2, c1) to every request row."""
@@ -107,29 +105,72 @@ def score(requests: DataFrame, m: NgramModel, s: Smoothing = DEFAULT, c1: str =
 def score_many(requests: DataFrame, m: NgramModel, grid: dict[str, Smoothing], c1: str = "c1",
                c2: str = "c2", target: str = "target_id") -> DataFrame:
     """One probability column per smoothing setting, in one pass."""
-    r = (requests
-         .join(m.m0.withColumnRenamed("token_id", "__t"), F.col(target) == F.col("__t"), "left")
-         .drop("__t")
-         .join(m.t1.withColumnRenamed("c1", "__c1"), F.col(c1) == F.col("__c1"), "left").drop("__c1")
-         .join(m.m1.withColumnsRenamed({"c1": "__c1", "token_id": "__t"}),
-               (F.col(c1) == F.col("__c1")) & (F.col(target) == F.col("__t")), "left")
-         .drop("__c1", "__t")
-         .join(m.t2.withColumnsRenamed({"c1": "__c1", "c2": "__c2"}),
-               (F.col(c1) == F.col("__c1")) & (F.col(c2) == F.col("__c2")), "left")
-         .drop("__c1", "__c2")
-         .join(m.m2.withColumnsRenamed({"c1": "__c1", "c2": "__c2", "token_id": "__t"}),
-               (F.col(c1) == F.col("__c1")) & (F.col(c2) == F.col("__c2"))
-               & (F.col(target) == F.col("__t")), "left")
-         .drop("__c1", "__c2", "__t"))
+    r = with_counts(requests, m, c1, c2, target)
     cols = {}
     for name, s in grid.items():
-        p0 = _p0(m, s)
-        p1 = F.when(F.col("n1c") > 0, F.coalesce("n1", F.lit(0)) / F.col("n1c")).otherwise(p0)
-        p2 = F.when(F.col("n2c") > 0, F.coalesce("n2", F.lit(0)) / F.col("n2c")).otherwise(p0)
+        p0, p1, p2 = components(m, s.alpha)
         cols[name] = F.lit(s.l2) * p2 + F.lit(s.l1) * p1 + F.lit(s.l0) * p0
     return r.withColumns(cols).drop("n0", "n1", "n1c", "n2", "n2c")
 
 
+def with_counts(requests: DataFrame, m: NgramModel, c1: str = "c1", c2: str = "c2", target: str = "target_id") -> DataFrame:
+    """Add the counts the three orders need: ``n0, n1, n1c, n2, n2c``."""
+    return (requests
+            .join(m.m0.withColumnRenamed("token_id", "__t"), F.col(target) == F.col("__t"), "left")
+            .drop("__t")
+            .join(m.t1.withColumnRenamed("c1", "__c1"), F.col(c1) == F.col("__c1"), "left").drop("__c1")
+            .join(m.m1.withColumnsRenamed({"c1": "__c1", "token_id": "__t"}),
+                  (F.col(c1) == F.col("__c1")) & (F.col(target) == F.col("__t")), "left")
+            .drop("__c1", "__t")
+            .join(m.t2.withColumnsRenamed({"c1": "__c1", "c2": "__c2"}),
+                  (F.col(c1) == F.col("__c1")) & (F.col(c2) == F.col("__c2")), "left")
+            .drop("__c1", "__c2")
+            .join(m.m2.withColumnsRenamed({"c1": "__c1", "c2": "__c2", "token_id": "__t"}),
+                  (F.col(c1) == F.col("__c1")) & (F.col(c2) == F.col("__c2"))
+                  & (F.col(target) == F.col("__t")), "left")
+            .drop("__c1", "__c2", "__t"))
+
+
+def components(m: NgramModel, alpha: float) -> tuple[Column, Column, Column]:
+    """P0, P1, P2 of a row of :func:`with_counts`; an unseen context falls back to P0."""
+    p0 = (F.coalesce("n0", F.lit(0)) + F.lit(alpha)) / F.lit(m.total + alpha * m.vocab_size)
+    p1 = F.when(F.col("n1c") > 0, F.coalesce("n1", F.lit(0)) / F.col("n1c")).otherwise(p0)
+    p2 = F.when(F.col("n2c") > 0, F.coalesce("n2", F.lit(0)) / F.col("n2c")).otherwise(p0)
+    return p0, p1, p2
+
+
+EM_TOLERANCE = 1e-6
+EM_ROUNDS = 200  # a guard against a stop that rounding would never allow
+
+
+def fit_weights(held_out: DataFrame, m: NgramModel, alpha: float = 1.0, start: tuple[float, float, float] = (1 / 3, 1 / 3, 1 / 3),
+                tolerance: float = EM_TOLERANCE) -> list[tuple[int, float, float, float, float]]:
+    """Interpolation weights by expectation-maximisation on held-out rows
+    (``c2, c1, target_id``): ``(round, l0, l1, l2, loss)`` of every round, where the
+    loss (mean negative log-likelihood) is that of the round's weights and
+    never rises; stops when it falls by less than ``tolerance``.
+
+    Held-out rows shrink to distinct (context, token) counts with their three
+    probabilities, written once; a round is one aggregate over that table, from
+    which four numbers reach the driver."""
+    distinct = held_out.groupBy("c2", "c1", "target_id").agg(F.count("*").alias("k"))
+    p0, p1, p2 = components(m, alpha)
+    table = settled(with_counts(distinct, m).select("k", p0.alias("p0"), p1.alias("p1"), p2.alias("p2")), "held-out")
+    weights, out, last = start, [], math.inf
+    while len(out) < EM_ROUNDS:
+        mixed = [F.lit(float(w)) * F.col(f"p{i}") for i, w in enumerate(weights)]
+        p = mixed[0] + mixed[1] + mixed[2]
+        r = table.agg(F.sum("k"), F.sum(-F.log(p) * F.col("k")), *[F.sum(x / p * F.col("k")) for x in mixed]).first()
+        if not r[0]:
+            break
+        loss = r[1] / r[0]
+        out.append((len(out), *weights, loss))
+        if last - loss < tolerance:
+            break
+        weights, last = tuple(x / r[0] for x in r[2:]), loss
+    return out
+
+
 def sample_next(requests: DataFrame, m: NgramModel, vocab: DataFrame, key_cols: list[str],
                 s: Smoothing = DEFAULT, c1: str = "c1", c2: str = "c2") -> DataFrame:
     """Draw one next token per request from the smoothed mixture, exactly,
@@ -153,6 +194,9 @@ def sample_next(requests: DataFrame, m: NgramModel, vocab: DataFrame, key_cols:
         tot = Window.partitionBy(*ctx)
         c = tbl.select(*ctx, "token_id", (F.sum(n).over(w) / F.sum(n).over(tot)).alias("cum"),
                        ((F.sum(n).over(w) - F.col(n)) / F.sum(n).over(tot)).alias("cum0"))
+        return in_bins(c)
+
+    def in_bins(c: DataFrame) -> DataFrame:
         lo = F.floor(F.col("cum0") * BINS).cast("int")
         hi = F.least(F.floor(F.col("cum") * BINS).cast("int"), F.lit(BINS - 1))
         return c.select("*", F.explode(F.sequence(lo, F.greatest(lo, hi))).alias("bin"))
@@ -163,7 +207,10 @@ def sample_next(requests: DataFrame, m: NgramModel, vocab: DataFrame, key_cols:
     voc = vocab.where(F.col("token_id") > 0).select("token_id")
     m0 = voc.join(m.m0, "token_id", "left").select(
         "token_id", (F.coalesce("n0", F.lit(0)) + F.lit(s.alpha)).alias("w0"))
-    cdf0 = settled(cdf(m0.withColumn("__g", F.lit(0)), ["__g"], "w0").drop("__g"), "cdf0")
+    mass = m.total + s.alpha * m.vocab_size
+    before = running_totals(m0, ["token_id"], F.col("w0"), "before")
+    cdf0 = settled(in_bins(before.select("token_id", ((F.col("before") + F.col("w0")) / mass).alias("cum"),
+                                         (F.col("before") / mass).alias("cum0"))), "cdf0")
 
     req = (req.join(m.t2.withColumnsRenamed({"c1": "__c1", "c2": "__c2"}),
                     (F.col(c1) == F.col("__c1")) & (F.col(c2) == F.col("__c2")), "left")
@@ -190,7 +237,7 @@ def sample_next(requests: DataFrame, m: NgramModel, vocab: DataFrame, key_cols:
 
 
 def horizon_scores(m: NgramModel, vocab: DataFrame, target_id: int, steps: int,
-                   s: Smoothing = DEFAULT, checkpoint_every: int = 2) -> DataFrame:
+                   s: Smoothing = DEFAULT, checkpoint_every: int = 1) -> DataFrame:
     """Mean probability of emitting ``target_id`` over the next ``steps``
     tokens, by start token: ``(c1, score)``.
 
@@ -214,7 +261,6 @@ def horizon_scores(m: NgramModel, vocab: DataFrame, target_id: int, steps: int,
     base = settled(base.select("c", "p0", F.coalesce("n1c", F.lit(0)).alias("n1c")).unionByName(unseen), "horizon-base")
     state = base.select("c", "p0", "n1c", (F.col("c") == target_id).cast("double").alias("g"),
                         F.lit(0.0).alias("acc"))
-    everything = Window.partitionBy()
     # successors of a real token only: the unseen start stays at order 0
     m1 = m.m1.where(F.col("c1") > 0).select(F.col("c1").alias("__c1"), F.col("token_id").alias("__t"), "n1")
     for step in range(1, steps + 1):
@@ -225,9 +271,9 @@ def horizon_scores(m: NgramModel, vocab: DataFrame, target_id: int, steps: int,
         # every ``checkpoint_every`` steps: analysing a deep plan costs more
         # than writing a vocabulary-sized table.
         # (column names are case-insensitive, so the scalar is "gsum")
-        st = state.withColumn("gsum", F.sum(F.col("p0") * F.col("g")).over(everything))
-        x = st.select("c", "p0", "n1c", "g", "acc", "gsum",
-                      F.explode(F.array(F.lit(0), F.lit(1))).alias("kind"))
+        gsum = state.agg(F.sum(F.col("p0") * F.col("g"))).first()[0] or 0.0  # one number
+        x = state.select("c", "p0", "n1c", "g", "acc", F.lit(float(gsum)).alias("gsum"),
+                         F.explode(F.array(F.lit(0), F.lit(1))).alias("kind"))
         j = x.join(m1, (F.col("kind") == 1) & (F.col("c") == F.col("__t")), "left")
         key = F.when(F.col("kind") == 0, F.col("c")).otherwise(F.col("__c1"))
         agg = (j.where(key.isNotNull()).groupBy(key.alias("c"))

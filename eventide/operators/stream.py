@@ -9,13 +9,13 @@ the whole stay:
 
 * an event at hour index ``hidx`` has ``hidx`` hour tokens before it;
 * the event tokens before it are (tokens of earlier hours) + (tokens of
-  earlier minutes of the same hour) + (tokens of earlier events in the same
-  minute).
+  earlier seconds of the same hour) + (tokens of earlier events in the same
+  second).
 
-Only the last term touches event rows, in a window over ``(stay, minute)``;
-the other two are scans over per-hour and per-minute totals, whose size is
-set by the stay's time span, not by its volume.  The events are shuffled once,
-on ``(stay, minute)``.
+Only the last term touches event rows, in a window over ``(stay, second)``;
+the other two are scans over per-hour and per-second totals, whose size is
+set by the stay's time span, not by its volume (3,600 rows an hour at most).  The events
+are shuffled once, on ``(stay, second)``.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from eventide.operators.scan import prefix_sum
 
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 UNIT_US = {"hour": 3_600_000_000, "day": 86_400_000_000}
-SUB_US = 60_000_000  # minute sub-buckets
+SUB_US = 1_000_000  # sub-buckets of a second
 
 
 def epoch_us(ts: str) -> Column:
@@ -50,13 +50,13 @@ def spine_token(unit: str, ab: Column) -> Column:
 
 
 def tie_bucket(tie: tuple[str, int] | None) -> Column:
-    """Where all events of a minute have one time (whole days), the first
-    tie-break column divided by a width splits the minute in order."""
+    """Where all events of a second have one time (whole days), the first
+    tie-break column divided by a width splits it in order."""
     return F.lit(0).cast("long") if tie is None else F.floor(F.col(tie[0]) / F.lit(tie[1])).cast("long")
 
 
-def minute_totals(ev: DataFrame, unit: str, carry: Sequence[str], tie: tuple[str, int] | None = None) -> DataFrame:
-    """Event tokens per stay, minute and tie bucket: a partial aggregate, skew-safe."""
+def second_totals(ev: DataFrame, unit: str, carry: Sequence[str], tie: tuple[str, int] | None = None) -> DataFrame:
+    """Event tokens per stay, second and tie bucket: a partial aggregate, skew-safe."""
     per = UNIT_US[unit] // SUB_US
     us = epoch_us("charttime")
     return (ev.select("stay_id", F.floor(us / F.lit(SUB_US)).cast("long").alias("am"), tie_bucket(tie).alias("tb"),
@@ -80,7 +80,7 @@ def unit_grid(mt: DataFrame, carry: Sequence[str] = ("testset",)) -> DataFrame:
 def build_stream(ev: DataFrame, mt: DataFrame, grid: DataFrame, unit: str = "hour",
                  order_cols: Sequence[str] = ("row_id",), carry: Sequence[str] = ("testset",),
                  tie: tuple[str, int] | None = None) -> DataFrame:
-    """Build the stream from emitted events, their minute totals and the grid.
+    """Build the stream from emitted events, their second totals and the grid.
 
     ``ev`` needs ``stay_id, charttime, toks`` plus ``order_cols`` (the
     tie-break after time) and ``carry`` (per-stay columns such as the test
@@ -94,17 +94,17 @@ def build_stream(ev: DataFrame, mt: DataFrame, grid: DataFrame, unit: str = "hou
          .withColumn("tb", tie_bucket(tie))
          .withColumn("ntok", F.size("toks").cast("long")))
 
-    # per-minute offsets: grid offset of the unit + earlier minutes in it
-    w_min = Window.partitionBy("stay_id", "ah").orderBy("am", "tb").rowsBetween(Window.unboundedPreceding, -1)
-    mins = (mt.select("stay_id", "am", "tb", "ah", "c")
+    # per-second offsets: grid offset of the unit + earlier seconds in it
+    w_sec = Window.partitionBy("stay_id", "ah").orderBy("am", "tb").rowsBetween(Window.unboundedPreceding, -1)
+    secs = (mt.select("stay_id", "am", "tb", "ah", "c")
             .join(grid.select("stay_id", "ah", "ah0", "c_before"), ["stay_id", "ah"])
-            .withColumn("m_before", F.col("c_before") + F.coalesce(F.sum("c").over(w_min), F.lit(0)))
+            .withColumn("m_before", F.col("c_before") + F.coalesce(F.sum("c").over(w_sec), F.lit(0)))
             .select("stay_id", "am", "tb", "m_before", (F.col("ah") - F.col("ah0")).alias("hidx")))
 
-    # event rows: one shuffle on (stay, minute, tie bucket), join and window share it
+    # event rows: one shuffle on (stay, second, tie bucket), join and window share it
     w_ev = (Window.partitionBy("stay_id", "am", "tb").orderBy("us", *order_cols)
             .rowsBetween(Window.unboundedPreceding, -1))
-    x = e.join(mins, ["stay_id", "am", "tb"])
+    x = e.join(secs, ["stay_id", "am", "tb"])
     x = x.withColumn("base", F.col("hidx") + F.col("m_before")
                      + F.coalesce(F.sum("ntok").over(w_ev), F.lit(0)))
     evtok = x.select("stay_id", "charttime", F.lit(1).alias("kind"), "row_id",

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventide.operators.ranking import numbered
 from eventide.operators.settled import settled
 from eventide.operators.quantiles import edges_as_arrays, exact_quantiles
 
@@ -91,10 +92,23 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
     a partial aggregate first, so the global numbering runs over the distinct
     tokens only (bounded by the grammar, not by the data).
     """
-    distinct = tokens.where(F.col("token").isNotNull()).select("token").distinct()
-    from pyspark.sql import Window
-    numbered = distinct.select("token", F.row_number().over(Window.orderBy("token")).cast("int")
-                               .alias("token_id"))
     spark = tokens.sparkSession
     null = spark.range(1).select(F.lit(NULL_TOKEN).alias("token"), F.lit(NULL_ID).cast("int").alias("token_id"))
-    return settled(null.unionByName(numbered), "vocabulary")
+    return settled(null.unionByName(_with_ids(_distinct(tokens), 1)), "vocabulary")
+
+
+def _distinct(tokens: DataFrame) -> DataFrame:
+    return tokens.where(F.col("token").isNotNull()).select("token").distinct()
+
+
+def _with_ids(distinct: DataFrame, first: int) -> DataFrame:
+    """Ids from ``first`` on in token order, from per-partition offsets."""
+    return numbered(distinct, ["token"]).select("token", (F.col("rn") + F.lit(first)).cast("int").alias("token_id"))
+
+
+def extend_vocabulary(vocab: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``vocab`` with the tokens it lacks: append-only, so every old id stays.
+    New tokens (an anti-join) get the ids after the stored maximum, in token order."""
+    top = vocab.agg(F.max("token_id")).first()[0]
+    new = _distinct(tokens).join(vocab, "token", "left_anti")
+    return settled(vocab.select("token", "token_id").unionByName(_with_ids(new, (NULL_ID if top is None else top) + 1)), "vocabulary")

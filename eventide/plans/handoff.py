@@ -2,9 +2,9 @@
 
 Shifts start at 19:00 of every active day; the label is an event of interest
 in the next 12 hours.  Context = the stream as of the shift start
-(inclusive).  Score = mean probability of the event token over a fixed
-number of steps of the back-off chain, started from the last context token
-(the expected value of the reference's sampled rollout).
+(inclusive).  Score = mean probability of the event token over the tokens of a
+rollout of the back-off chain until twelve hour tokens, started from the last
+context token (the expected value of the reference's sampled rollout).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.operators import blocks, cohorts, metrics, scoring
-from eventide.operators.scan import at_offset
+from eventide.operators.scan import at_offset, count_before
 from eventide.plans import params as P
 from eventide.plans.workspace import Workspace
 from eventide.sources import tables
@@ -27,7 +27,7 @@ def shift_cuts(ws: Workspace, test_only: bool = True) -> DataFrame:
     s = shift_labels(ws)
     if test_only:
         s = s.join(ws.splits.where("testset").select("stay_id"), "stay_id")
-    return cohorts.asof_cut(s, ws.test_tokens if test_only else ws.tokens, ws.grid, "shift_start")
+    return cohorts.asof_cut(s, ws.test_tokens if test_only else ws.tokens, ws.grid, ws.seconds, "shift_start", ws.unit)
 
 
 def shift_cohort(ws: Workspace, limit: int = P.SHIFT_LIMIT) -> DataFrame:
@@ -62,17 +62,28 @@ def no_prior_event(ws: Workspace, item: str = "error", min_days: float = 1.0) ->
         .select("stay_id", "shift_start")
 
 
+def last_tokens(ws: Workspace, cohort: DataFrame) -> DataFrame:
+    """``cohort`` with ``start``: the last token before the cut; order 0 (``NONE``) if
+    there is none or training never saw it."""
+    last = at_offset(cohort.withColumn("__lp", F.col("cut") - 1), ws.test_tokens, "__lp", 0, ["token_id"], prefix="l_")
+    return last.withColumn("start", F.coalesce("l_token_id", F.lit(scoring.NONE))).drop("__lp", "l_token_id")
+
+
 def horizon_scores(ws: Workspace, cohort: DataFrame, m: scoring.NgramModel | None = None) -> DataFrame:
     if m is None:
         hs = ws.horizon(P.HORIZON_TOKEN, P.HORIZON_STEPS)
     else:
         tid = ws.vocab.where(F.col("token") == P.HORIZON_TOKEN).select("token_id").first()
         hs = scoring.horizon_scores(m, ws.vocab, tid[0] if tid else -1, P.HORIZON_STEPS)
-    last = at_offset(cohort.withColumn("__lp", F.col("cut") - 1), ws.test_tokens, "__lp", 0,
-                     ["token_id"], prefix="l_")
-    # no token before the cut, or one that training never saw: order 0
-    last = last.withColumn("__c", F.coalesce("l_token_id", F.lit(scoring.NONE)))
-    return last.join(hs, F.col("__c") == F.col("c1"), "left").select("stay_id", "shift_start", "y", "cut", "score")
+    last = last_tokens(ws, cohort)
+    return last.join(hs, F.col("start") == F.col("c1"), "left").select("stay_id", "shift_start", "y", "cut", "score")
+
+
+def hour_scores(ws: Workspace, cohort: DataFrame) -> DataFrame:
+    """Expected outcome of the rollout until ``HORIZON_HOURS`` hour tokens."""
+    hs = ws.hour_horizon(P.HORIZON_TOKEN, P.HORIZON_HOURS)
+    return last_tokens(ws, cohort).join(hs, F.col("start") == F.col("c1")).select(
+        "stay_id", "shift_start", "y", "cut", "expected", "first_passage", "n_tokens", "alive")
 
 
 def hour_horizon(ws: Workspace, cohort: DataFrame, hours: int = P.HORIZON_HOURS,
@@ -80,29 +91,28 @@ def hour_horizon(ws: Workspace, cohort: DataFrame, hours: int = P.HORIZON_HOURS,
     """Observed continuation after the cut, stopped by hour tokens: tokens
     whose hour count since the cut is at most ``hours`` (the (hours+1)-th
     hour token and everything after it are masked, as in the reference's
-    ``<=`` mask).  Whole hours come from counts per (stay, hour); only the
-    hour of the cut is met row by row.
+    ``<=`` mask).  Where it ends follows from the grid; target tokens are counted
+    by two prefix counts, at the cut and at the end, so no request reads its hours.
     """
-    t = ws.test_tokens.select("stay_id", "pos", "hour_no", (F.col("token") == token).cast("int").alias("hit"))
     c = at_offset(cohort.withColumn("__lp", F.col("cut") - 1), ws.test_tokens, "__lp", 0, ["hour_no"], prefix="c_")
-    c = c.withColumn("h0", F.coalesce("c_hour_no", F.lit(0)))
-    per_hour = t.groupBy(F.col("stay_id").alias("__s"), F.col("hour_no").alias("__hn")).agg(
-        F.count("*").alias("n"), F.sum("hit").alias("k"))
-    keys = c.select("stay_id", "shift_start", F.explode(F.sequence(F.col("h0") + 1, F.col("h0") + hours)).alias("__h"))
-    whole = keys.join(per_hour, (F.col("stay_id") == F.col("__s")) & (F.col("__h") == F.col("__hn"))) \
-        .select("stay_id", "shift_start", "n", "k")
-    rows = t.select(F.col("stay_id").alias("__s"), "pos", F.col("hour_no").alias("__hn"), "hit")
-    first = c.select("stay_id", "shift_start", "cut", "h0").join(
-        rows, (F.col("stay_id") == F.col("__s")) & (F.col("h0") == F.col("__hn")) & (F.col("pos") >= F.col("cut"))) \
-        .select("stay_id", "shift_start", F.lit(1).cast("long").alias("n"), F.col("hit").cast("long").alias("k"))
-    agg = whole.unionByName(first).groupBy("stay_id", "shift_start").agg(F.sum("n").alias("n_tokens"), F.sum("k").alias("n_target"))
-    return cohort.select("stay_id", "shift_start").join(agg, ["stay_id", "shift_start"], "left") \
-        .select("stay_id", "shift_start", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
-                F.coalesce("n_target", F.lit(0)).alias("n_target"))
+    c = c.withColumn("__h", F.coalesce("c_hour_no", F.lit(0)) + F.lit(hours))
+    grid = ws.grid.where("testset")
+    total = grid.groupBy(F.col("stay_id").alias("__s")).agg((F.max(F.col("c_before") + F.col("c")) + F.count("*") - 1).alias("__all"))
+    ends = grid.select(F.col("stay_id").alias("__s2"), (F.col("ah") - F.col("ah0")).alias("__hn"),
+                       (F.col("ah") - F.col("ah0") + F.col("c_before") + F.col("c")).alias("__end"))
+    c = c.join(total, F.col("stay_id") == F.col("__s")).join(
+        ends, (F.col("stay_id") == F.col("__s2")) & (F.col("__h") == F.col("__hn")), "left")
+    c = c.select("stay_id", "shift_start", "cut", F.coalesce("__end", "__all").alias("end"))
+    hits = ws.test_tokens.where(F.col("token") == token).select("stay_id", "pos")
+    c = count_before(c, hits, "cut", "__k0", levels=ws.scan_levels)
+    c = count_before(c, hits, "end", "__k1", levels=ws.scan_levels)
+    return c.select("stay_id", "shift_start", (F.col("end") - F.col("cut")).cast("long").alias("n_tokens"),
+                    (F.col("__k1") - F.col("__k0")).cast("long").alias("n_target"))
 
 
 def handoff_panel(ws: Workspace) -> DataFrame:
-    sc = horizon_scores(ws, shift_cuts(ws))
+    # the reference's score: the target's mean probability over the tokens of the rollout
+    sc = hour_scores(ws, shift_cuts(ws)).withColumn("score", F.col("expected") / F.col("n_tokens"))
     met = metrics.ranking_metrics(sc.withColumn("t", F.lit("handoff")), ["t"], "score", "y")
     return met.select(F.col("t").alias("target"), F.explode(F.array(
         F.struct(F.lit("auroc").alias("metric"), F.col("auroc").alias("value")),

@@ -9,6 +9,8 @@ panel probe (append each lab, read the magnitude distribution) -> pre / post
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +18,14 @@ from eventide.functions.arrays import to_text
 from eventide.functions.tokens import suffix_int
 from eventide.operators import blocks, cohorts, scoring
 from eventide.operators.scan import join_stays, last_before
+from eventide.operators.settled import settled
 from eventide.plans import params as P
 from eventide.plans.workspace import Workspace
 
 
+NO_MAG = -1  # the last token is no magnitude
+
+
 def cohort(ws: Workspace) -> DataFrame:
     return cohorts.los_cohort(ws.splits, ws.stay_detail, P.LOS_MIN_DAYS)
 
@@ -81,10 +87,7 @@ def panel_probe(ws: Workspace, m: scoring.NgramModel | None = None) -> DataFrame
     the magnitude mass, the expected magnitude (normalised over magnitudes)
     and the most likely magnitude, which is appended before the next lab."""
     m = m or ws.model
-    c = cuts(ws)
-    nxt = F.concat(F.lit("hour."), F.pmod(suffix_int("cut_token") + 1, F.lit(24)).cast("string"))
-    state = _token_ids(ws, c.select("stay_id", nxt.alias("prev_token")), "prev_token", "c2")
-    state = state.select("stay_id", "c2")
+    state = _after_injection(ws, cuts(ws)).select("stay_id", F.col("start").alias("c2"))
     out = None
     for lab in P.PANEL:
         # the lab name rides inside the exploded rows, so both id lookups are
@@ -95,10 +98,11 @@ def panel_probe(ws: Workspace, m: scoring.NgramModel | None = None) -> DataFrame
         r = _token_ids(ws, r, "lab", "c1")
         r = _token_ids(ws, r, "mtok", "target_id")
         sc = scoring.score(r, m)
-        agg = sc.groupBy("stay_id", "lab").agg(
+        # written at each step: the plan of a lab holds no earlier one
+        agg = settled(sc.groupBy("stay_id", "lab").agg(
             F.sum("p").alias("mag_mass"),
             (F.sum(F.col("k") * F.col("p")) / F.sum("p")).alias("exp_mag"),
-            F.max_by("k", F.struct(F.col("p"), -F.col("k"))).alias("argmax_mag"))
+            F.max_by("k", F.struct(F.col("p"), -F.col("k"))).alias("argmax_mag")), "panel-step")
         out = agg if out is None else out.unionByName(agg)
         state = _token_ids(ws, agg.select("stay_id", F.concat(F.lit("magnitude."),
                                                              F.col("argmax_mag").cast("string"))
@@ -107,6 +111,62 @@ def panel_probe(ws: Workspace, m: scoring.NgramModel | None = None) -> DataFrame
     return out
 
 
+def _after_injection(ws: Workspace, c: DataFrame) -> DataFrame:
+    """``(stay_id, start)``: id of the last token of each counterfactual prompt,
+    the hour token after the cut's."""
+    nxt = F.concat(F.lit("hour."), F.pmod(suffix_int("cut_token") + 1, F.lit(24)).cast("string"))
+    return _token_ids(ws, c.select("stay_id", nxt.alias("t")), "t", "start").select("stay_id", "start")
+
+
+def panel_forward(ws: Workspace, panel: Sequence[str] = P.FORWARD_PANEL, m: scoring.NgramModel | None = None) -> DataFrame:
+    """The labs of a panel of any length in turn (a lab may recur), over all
+    outcomes: ``(stay_id, step, lab, mag_mass, exp_mag, none_mass)``.
+
+    After a lab's name the next token is a magnitude, which is appended, or it is not,
+    and nothing is.  So before each step the last token is one of eleven: a magnitude or
+    (``NO_MAG``) the lab before (the prompt's last token at first), each with a probability.
+    A step passes these through P(magnitude | last token, lab) and sums:
+    a forward recursion.  Stays with the same last prompt token share all of it, so a
+    step's table holds eleven rows for each such token; it is written, and the next
+    step's plan starts from it: joins grow with the panel's length, not its square."""
+    m = m or ws.model
+    stays = settled(_after_injection(ws, cuts(ws)), "panel-stays")
+    # (last: 0..9 a magnitude, NO_MAG otherwise; c2: that last token's id)
+    state = stays.select("start").distinct().select("start", F.col("start").alias("c2"), F.lit(NO_MAG).alias("last"), F.lit(1.0).alias("a"))
+    out = None
+    for step, lab in enumerate(panel):
+        names = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f"magnitude.{k}").alias("mtok"), F.lit(lab).alias("lab")) for k in range(10)])
+        r = state.select("start", "c2", "a", F.explode(names).alias("r")).select("start", "c2", "a", "r.*")
+        r = _token_ids(ws, _token_ids(ws, r, "lab", "c1"), "mtok", "target_id")
+        hit = settled(scoring.score(r, m).groupBy("start", "k", F.col("c1").alias("lab_id"), F.col("target_id").alias("mag_id")).agg(
+            F.sum(F.col("a") * F.col("p")).alias("a")), "panel-forward")
+        per = hit.groupBy("start", "lab_id").agg(F.sum("a").alias("mag_mass"), (F.sum(F.col("k") * F.col("a")) / F.sum("a")).alias("exp_mag"))
+        rows = per.select("start", F.lit(step).alias("step"), F.lit(lab).alias("lab"), "mag_mass", "exp_mag",
+                          (1 - F.col("mag_mass")).alias("none_mass"))
+        out = rows if out is None else out.unionByName(rows)
+        state = hit.select("start", F.col("mag_id").alias("c2"), F.col("k").alias("last"), "a").unionByName(
+            per.select("start", F.col("lab_id").alias("c2"), F.lit(NO_MAG).alias("last"), (1 - F.col("mag_mass")).alias("a")))
+    return stays.join(out, "start").select("stay_id", "step", "lab", "mag_mass", "exp_mag", "none_mass")
+
+
+def dose_table(ws: Workspace) -> DataFrame:
+    """``(stay_id, unit, d0 .. d9)``: the product x decile table of every stay
+    of the cohort, with its zeros, also of stays without a dose.
+
+    Products are found in the data (the units of the vocabulary's grammar: a dimension, a
+    few rows, which every stay gets as one array).  A stay's sparse counts are gathered into one
+    map, at most ten entries a product, and laid out by a fold over products and deciles."""
+    c = cuts(ws)
+    sparse = dose_histogram(ws, c)
+    units = sorted(r[0] for r in ws.tokens.where(F.col("token").startswith("unit.")).select("token").distinct().collect())
+    per_stay = sparse.groupBy("stay_id").agg(F.map_from_entries(F.collect_list(F.struct(
+        F.concat_ws("/", "unit", F.col("decile").cast("string")).alias("k"), F.col("n").alias("n")))).alias("counts"))
+    dense = c.select("stay_id").join(per_stay, "stay_id", "left").select(
+        "stay_id", "counts", F.explode(F.array(*map(F.lit, units)).cast("array<string>")).alias("unit"))
+    cell = lambda k: F.coalesce(F.col("counts")[F.concat_ws("/", "unit", F.lit(str(k)))], F.lit(0)).cast("long")
+    return dense.select("stay_id", "unit", *[cell(k).alias(f"d{k}") for k in range(10)])
+
+
 def magnitude_model(ws: Workspace) -> DataFrame:
     """Counts ``(item, prev_mag, dose, mag, n)`` over training stays: the
     magnitude of a lab given the previous magnitude of the same lab and the

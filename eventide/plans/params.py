@@ -14,6 +14,9 @@ HORIZON_STEPS = 16                # steps of the expected-value rollout (a param
 HORIZON_TOKEN = "med.purchase"    # token whose horizon probability is the score
 SHIFT_LIMIT = 1000                # rows of the limited shift cohort (its feature)
 PANEL = ("lab.click", "lab.view")  # labs probed after an injected dose
+FORWARD_PANEL = ("lab.click", "lab.view", "lab.view", "lab.click", "lab.click", "lab.view", "lab.click", "lab.view")  # in turn
+HALF_LIFE = 64.0                  # tokens after which a token of the history weighs half
+MEMORY_WEIGHT = 0.2               # share of the history in the log-linear score
 TRACKED_LAB = "lab.view"          # the lab whose pre/post magnitude is compared
 INJECTED = ("med.purchase", "unit.3", "magnitude.9")
 HEAD = 12                         # strip padding, take the head

@@ -7,6 +7,7 @@ Computed columns carry the same names as their DuckDB twins in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,13 +17,15 @@ from eventide.functions import arrays as arr
 from eventide.functions.arrays import to_text
 from eventide.functions.hashing import uniform
 from eventide.functions.tokens import family, suffix_int
-from eventide.operators import augment, blocks, cohorts, metrics, scoring
-from eventide.operators.scan import join_stays, neighbors
-from eventide.operators.tokens import EVENTS_ITEM_KIND, vocabulary
+from eventide.operators import augment, batch, blocks, cohorts, horizon, memory, metrics, quantiles, scoring
+from eventide.operators.ranking import running_totals
+from eventide.operators.scan import at_offset, join_stays, neighbors
+from eventide.operators.settled import settled
+from eventide.operators.tokens import EVENTS_ITEM_KIND, extend_vocabulary, vocabulary
 from eventide.plans import dose_eval, handoff, lab_eval, overdose
 from eventide.plans import params as P
 from eventide.plans.workspace import Workspace
-from eventide.sources.model_io import load_model, save_model
+from eventide.sources.model_io import ModelStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -85,6 +88,42 @@ def unknown_tokens(spark, sf_dir):
     return test.join(vocabulary(fitted), "token", "left_anti").groupBy("token").agg(F.count("*").alias("n"))
 
 
+@query
+def vocab_refit(spark, sf_dir):
+    """A vocabulary fitted without the drug's events, then extended by the rest: old
+    ids stay, new tokens come after them."""
+    ws = Workspace.get(spark, sf_dir)
+    train = ws.tokens.where(~F.col("testset")).select("token")
+    first = vocabulary(train.where(~family("token").isin("med", "unit")))
+    grown = extend_vocabulary(first, train)
+    old = first.select(F.col("token").alias("t"), F.lit(True).alias("old"))
+    return grown.join(old, grown["token"] == old["t"], "left").select("token", "token_id", F.col("old").isNull().alias("is_new"))
+
+
+@query
+def decile_sketches(spark, sf_dir):
+    """Deciles from daily sketches merged over all days, beside the exact ones: ``in_bound``
+    says that the sketched decile's true rank is within ``SKETCH_ERROR`` of the wanted
+    one (the sketches themselves are randomised)."""
+    ws = Workspace.get(spark, sf_dir)
+    raw = ws.raw.where(~F.col("testset")).select("item", F.to_date("charttime").alias("day"), "value")
+    daily = settled(quantiles.daily_sketches(raw, "item", "day", "value"), "daily-sketches")
+    edges = settled(quantiles.merged_quantiles(daily, "item", [i / 10 for i in range(1, 10)]), "sketched-deciles")
+    # true ranks: values below and up to each sketched edge, by partial aggregate
+    per = edges.groupBy(F.col("item").alias("i")).agg(F.array_sort(F.collect_list(F.struct("qi", "edge"))).alias("s"))
+    met = raw.where(F.col("value").isNotNull()).join(per, raw["item"] == per["i"]).groupBy("item").agg(*[
+        f(cmp(F.col("value"), F.col("s")[i]["edge"])).alias(f"{k}{i}") for i in range(9)
+        for k, f, cmp in (("lt", F.count_if, lambda v, e: v < e), ("le", F.count_if, lambda v, e: v <= e))])
+    long = met.select(F.col("item").alias("i"), F.explode(F.array(*[F.struct(F.lit(i).alias("q"), F.col(f"lt{i}").alias("lt"), F.col(f"le{i}").alias("le"))
+                                                                for i in range(9)])).alias("r")).select("i", "r.*")
+    want, exact = (F.col("qi") + 1) / 10.0 * F.col("n"), ws.edges_long.select(F.col("item").alias("i2"), F.col("qi").alias("q2"), F.col("edge").alias("exact"))
+    slack = F.lit(quantiles.SKETCH_ERROR) * F.col("n") + 1
+    out = edges.join(long, (F.col("item") == F.col("i")) & (F.col("qi") == F.col("q"))).join(
+        exact, (F.col("item") == F.col("i2")) & (F.col("qi") == F.col("q2")))
+    return out.select("item", F.col("qi").cast("int").alias("qi"), "n", r6("exact").alias("edge"),
+                      ((F.col("lt") <= want + slack) & (F.col("le") >= want - slack)).alias("in_bound"))
+
+
 def _readable(token: str):
     """``label: value`` of a token, as the reference shows its ids."""
     return F.when(F.contains(token, F.lit(".")), F.concat(F.substring_index(token, ".", 1), F.lit(": "), F.expr(
@@ -245,17 +284,10 @@ def next_token_probs(spark, sf_dir):
 def _stay_offsets(ws: Workspace, rows: DataFrame) -> DataFrame:
     """Global row number ``rn`` over (stay_id, pos) of the test stays without a
     global sort: stay lengths come from the grid, and are summed in stay order
-    inside buckets of equally many stays (sketched bounds), then over the buckets."""
+    inside ranges of stays, then over the ranges."""
     lens = ws.grid.where("testset").groupBy("stay_id").agg(
         (F.max(F.col("c_before") + F.col("c")) + F.count("*") - 1).alias("len"))
-    # one group; a key computed from the data, for a literal would plan a nested loop
-    one = F.pmod(F.col("stay_id"), F.lit(1)).alias("g")
-    d = metrics.bucketed(lens.select(one, F.col("stay_id").alias("s"), "len"), ["g"])
-    before = Window.partitionBy("bkt").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    over = Window.partitionBy("g").orderBy("bkt").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
-    tot = d.groupBy("g", "bkt").agg(F.sum("len").alias("n")).select("bkt", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("n"))
-    off = d.withColumn("own", F.coalesce(F.sum("len").over(before), F.lit(0))).join(tot, "bkt").select(
-        F.col("s").alias("stay_id"), (F.col("own") + F.col("n")).alias("len_before"))
+    off = running_totals(lens, ["stay_id"], F.col("len"), "len_before").drop("len")
     return join_stays(rows, off).withColumn("rn", F.col("len_before") + F.col("pos"))
 
 
@@ -283,18 +315,37 @@ SMOOTHING_GRID = {
 }
 
 
+def _held_out(ws: Workspace) -> tuple[scoring.NgramModel, DataFrame]:
+    """The model of the training stays hashed to 'train', and the context rows
+    of the others ('val')."""
+    tr = ws.tokens.where(~F.col("testset"))
+    tr = tr.withColumn("part", F.when(uniform("stay_id") < P.TRAIN_FRACTION, "train").otherwise("val"))
+    m = scoring.fit(scoring.with_context(tr.where(F.col("part") == "train")).select("token_id", "c1", "c2"), ws.vocab)
+    return m, scoring.with_context(tr.where(F.col("part") == "val")).withColumnRenamed("token_id", "target_id")
+
+
+def _held_out_losses(ws: Workspace) -> tuple[scoring.NgramModel, dict[str, float]]:
+    m, val = _held_out(ws)
+    r = scoring.score_many(val, m, SMOOTHING_GRID).agg(*[F.avg(-F.log(F.col(k))).alias(k) for k in SMOOTHING_GRID]).first()
+    return m, r.asDict()
+
+
+@query
+def interpolation_weights(spark, sf_dir):
+    """The interpolation weights fitted by expectation-maximisation on the held-out
+    stays, round by round, with the loss that each round's weights give."""
+    m, val = _held_out(Workspace.get(spark, sf_dir))
+    rows = spark.createDataFrame(scoring.fit_weights(val, m), "round int, l0 double, l1 double, l2 double, loss double")
+    return rows.select("round", *[r6(c).alias(c) for c in ("l0", "l1", "l2", "loss")])
+
+
 @query
 def best_smoothing(spark, sf_dir):
     """Fit on training stays hashed to 'train', score the held-out 'val'
     stays under each smoothing setting in one pass, keep the best (and the
     best so far in grid order, as a checkpointing loop would)."""
     ws = Workspace.get(spark, sf_dir)
-    tr = ws.tokens.where(~F.col("testset"))
-    part = F.when(uniform("stay_id") < P.TRAIN_FRACTION, "train").otherwise("val")
-    tr = tr.withColumn("part", part)
-    m = scoring.fit(scoring.with_context(tr.where(F.col("part") == "train"))
-                    .select("token_id", "c1", "c2"), ws.vocab)
-    val = scoring.with_context(tr.where(F.col("part") == "val")).withColumnRenamed("token_id", "target_id")
+    m, val = _held_out(ws)
     sc = scoring.score_many(val, m, SMOOTHING_GRID)
     losses = sc.agg(*[F.avg(-F.log(F.col(k))).alias(k) for k in SMOOTHING_GRID])
     rows = F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.lit(k).alias("config"),
@@ -318,7 +369,7 @@ LAB_KEY = ["target", "stay_id", "occ"]
 def asof_cut(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
     s = handoff.shift_labels(ws).select("stay_id", "shift_start")
-    return cohorts.asof_cut(s, ws.tokens, ws.grid, "shift_start")
+    return cohorts.asof_cut(s, ws.tokens, ws.grid, ws.seconds, "shift_start", ws.unit)
 
 
 @query
@@ -342,6 +393,34 @@ def history_bag(spark, sf_dir):
     return hb.select(*LAB_KEY, "token_id", "n")
 
 
+def _memory_scores(ws: Workspace) -> DataFrame:
+    """Every lab example's value, scored by the plain model and with memory."""
+    ex = cohorts.value_after(_lab_ex(ws))
+    ids = ws.vocab.select(F.col("token").alias("__tok"), F.col("token_id").alias("__tid"))
+    ex = ex.join(ids, F.col("val_token") == F.col("__tok"), "left").withColumn("target_id", F.coalesce("__tid", F.lit(scoring.NONE)))
+    ex = ex.withColumn("c1", F.coalesce("token_id", F.lit(scoring.NONE))).withColumn("__pp", F.col("pos") - 1)
+    ex = at_offset(ex, ws.test_tokens.withColumn("tid", F.coalesce("token_id", F.lit(scoring.NONE))), "__pp", 0, ["tid"], prefix="p_")
+    req = settled(ex.select(*LAB_KEY, "cut", "c1", F.col("p_tid").alias("c2"), "target_id"), "memory-requests")
+    bag = memory.decayed_bag(req, ws.test_tokens, LAB_KEY, P.HALF_LIFE, ws.max_stay_len)
+    return memory.with_memory(req, bag, ws.model, LAB_KEY, P.MEMORY_WEIGHT)
+
+
+@query
+def memory_scores(spark, sf_dir):
+    m = _memory_scores(Workspace.get(spark, sf_dir))
+    return m.select(*LAB_KEY, r6("p_plain").alias("p_plain"), r6("p_memory").alias("p_memory"))
+
+
+@query
+def memory_loss(spark, sf_dir):
+    """Held-out loss of the lab values, by the plain model and with the history's memory."""
+    m = _memory_scores(Workspace.get(spark, sf_dir))
+    loss = m.agg(F.count("*").alias("n"), *[F.avg(-F.log(c)).alias(c) for c in ("p_plain", "p_memory")])
+    pairs = F.explode(F.array(F.struct(F.lit("plain").alias("model"), F.col("p_plain").alias("loss")),
+                              F.struct(F.lit("memory").alias("model"), F.col("p_memory").alias("loss"))))
+    return loss.select("n", pairs.alias("r")).select("r.model", "n", r6("r.loss").alias("loss"))
+
+
 @query
 def training_blocks(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
@@ -455,6 +534,17 @@ def dose_histogram(spark, sf_dir):
     return overdose.dose_histogram(Workspace.get(spark, sf_dir))
 
 
+@query
+def dose_table(spark, sf_dir):
+    return overdose.dose_table(Workspace.get(spark, sf_dir))
+
+
+@query
+def panel_forward(spark, sf_dir):
+    pf = overdose.panel_forward(Workspace.get(spark, sf_dir))
+    return pf.select("stay_id", "step", "lab", r6("mag_mass").alias("mag_mass"), r6("exp_mag").alias("exp_mag"), r6("none_mass").alias("none_mass"))
+
+
 @query
 def counterfactual_prompt(spark, sf_dir):
     return overdose.counterfactual_prompt(Workspace.get(spark, sf_dir))
@@ -523,6 +613,17 @@ def horizon_score(spark, sf_dir):
     return hs.select("stay_id", "shift_start", r6("score").alias("score"))
 
 
+@query
+def horizon_hours(spark, sf_dir):
+    """The expected rollout of every test shift until its twelfth hour token: number of
+    target tokens, probability of one, number of tokens, and whether the
+    chain's remaining mass is within the tolerance."""
+    ws = Workspace.get(spark, sf_dir)
+    hs = handoff.hour_scores(ws, handoff.shift_cuts(ws))
+    return hs.select("stay_id", "shift_start", r6("expected").alias("expected"), r6("first_passage").alias("first_passage"),
+                     r6("n_tokens").alias("n_tokens"), (F.col("alive") <= horizon.TOLERANCE).alias("ended"))
+
+
 @query
 def hour_horizon(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
@@ -559,6 +660,14 @@ def contraindicated_positions(spark, sf_dir):
         "stay_id", F.col("pos").cast("long").alias("pos"), "drug", F.col("state").cast("int").alias("state"))
 
 
+@query
+def forbidden_positions(spark, sf_dir):
+    """Drugs given while a rule of the table forbids them."""
+    ws = Workspace.get(spark, sf_dir)
+    return augment.forbidden(ws.tokens, augment.rule_table(spark), levels=ws.scan_levels).select(
+        "stay_id", F.col("pos").cast("long").alias("pos"), "rule", "drug", "lab", F.col("state").cast("int").alias("state"))
+
+
 @query
 def inject_error(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
@@ -607,11 +716,28 @@ def masked_loss(spark, sf_dir):
 def saved_model(spark, sf_dir):
     """The model's counts by order, after a save to and a load from the shared folder."""
     ws = Workspace.get(spark, sf_dir)
-    path = f"{ws.folder}/saved-model"
-    save_model({"ngram": ws.model.long()}, {"block": P.BLOCK}, {"total": ws.model.total}, path)
-    tables, _, meta = load_model(spark, path, ["ngram"])
+    store = ModelStore(spark, f"{ws.folder}/saved-model")
+    store.publish(store.write({"ngram": ws.model.long()}), ("ngram",), 0.0, {"block": P.BLOCK}, {"total": ws.model.total})
+    tables, version = store.load()
     return tables["ngram"].groupBy("order").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_tokens")).withColumn(
-        "total", F.lit(meta["total"]).cast("long"))
+        "total", F.lit(version.meta["total"]).cast("long"))
+
+
+@query
+def model_versions(spark, sf_dir):
+    """The settings of ``best_smoothing`` saved in turn, each only if its loss is
+    below all before: the versions, their losses, and which one a load gives."""
+    ws = Workspace.get(spark, sf_dir)
+    m, losses = _held_out_losses(ws)
+    store = ModelStore(spark, f"{ws.folder}/versions-{uuid.uuid4().hex}")
+    rows = []
+    for step, (name, loss) in enumerate(losses.items()):
+        v = store.save_if_better({"ngram": m.long()}, loss, SMOOTHING_GRID[name].__dict__, {"step": step, "total": m.total})
+        rows.append((step, name, loss, v.number if v else None))
+    _, last = store.load()
+    out = spark.createDataFrame(rows, "step int, config string, val_loss double, version int")
+    return out.select("step", "config", r6("val_loss").alias("val_loss"), "version",
+                      (F.col("version").eqNullSafe(F.lit(last.number))).alias("loaded"))
 
 
 @query
@@ -622,6 +748,15 @@ def response_splice(spark, sf_dir):
         "stay_id", F.col("pos").cast("long").alias("pos"), "token", "loss_weight")
 
 
+@query
+def response_kinds(spark, sf_dir):
+    """Test stays with one of several responses spliced in, each ending in the terminal token."""
+    ws = Workspace.get(spark, sf_dir)
+    stays = ws.splits.where("testset").select("stay_id")
+    return augment.splice_responses(ws.test_tokens, stays).select(
+        "stay_id", F.col("pos").cast("long").alias("pos"), "token", "loss_weight", "response")
+
+
 # ---- step 11: external scorer hook, second adapter ------------------------------------
 
 
@@ -629,8 +764,8 @@ def response_splice(spark, sf_dir):
 @query
 def batch_scorer(spark, sf_dir):
     """Score of every test block: the share of its tokens that are the highest
-    magnitude, by built-in array functions (``operators.batch`` is the hook for a
-    model from outside)."""
+    magnitude, by built-in array functions (``block_nll`` scores blocks by the hook
+    for a model from outside)."""
     ws = Workspace.get(spark, sf_dir)
     row = ws.vocab.where(F.col("token") == P.HIGH).select("token_id").first()
     top = row[0] if row else scoring.NONE
@@ -639,6 +774,19 @@ def batch_scorer(spark, sf_dir):
     return tb.select("stay_id", "b", r6(F.when(real > 0, hits / real)).alias("score"))
 
 
+@query
+def block_nll(spark, sf_dir):
+    """Mean negative log-likelihood of every test block under the order-1 chain, by
+    the batch hook (``operators.batch``): blocks go to the scorer in Arrow batches."""
+    ws = Workspace.get(spark, sf_dir)
+    tb = blocks.training_blocks(ws.test_tokens, P.BLOCK)
+    s = batch.batch_score(tb, ["stay_id", "b"], "x", batch.chain_scorer(ws.model, scoring.DEFAULT))
+    return s.select("stay_id", "b", r6("score").alias("nll"))
+
+
+CHECKSUM = 1_000_003  # each term is taken modulo this, so that no long stay's sum overflows
+
+
 @query
 def lineitem_stream_digest(spark, sf_dir):
     """The token stream built from ``orders JOIN lineitem`` (customer = stay,
@@ -647,7 +795,7 @@ def lineitem_stream_digest(spark, sf_dir):
     t = ws.tokens
     return t.groupBy("stay_id").agg(
         F.count("*").alias("n_tokens"),
-        F.sum(F.col("pos") * F.coalesce("token_id", F.lit(0))).alias("checksum"),
+        F.sum(F.pmod(F.col("pos") * F.coalesce("token_id", F.lit(0)), F.lit(CHECKSUM))).alias("checksum"),
         F.count_if(F.col("kind") == 0).alias("n_spine"))
 
 
@@ -657,10 +805,12 @@ def lineitem_stream_digest(spark, sf_dir):
 def evaluation_report(spark, sf_dir):
     """All evaluation panels as one long ``(target, metric, value)`` table
     (the reference prints the same name / value rows at the end of a run)."""
-    from eventide.sources.report import report
+    from eventide.sources.report import report, write_report
     ws = Workspace.get(spark, sf_dir)
     cult = lab_eval.culture_panel(ws).select("target", F.explode(F.array(
         F.struct(F.lit("growth_auroc").alias("metric"), F.col("auroc").alias("value")),
         F.struct(F.lit("growth_ap").alias("metric"), F.col("ap").alias("value")))).alias("m")) \
         .select("target", "m.metric", "m.value")
-    return report(lab_eval.lab_panel(ws), cult, dose_eval.dose_panel(ws), handoff.handoff_panel(ws))
+    path = f"{ws.folder}/report-{uuid.uuid4().hex}"
+    write_report(report(lab_eval.lab_panel(ws), cult, dose_eval.dose_panel(ws), handoff.handoff_panel(ws)), path)
+    return spark.read.parquet(path).orderBy("target", "metric")

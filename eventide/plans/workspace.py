@@ -19,9 +19,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.operators.scan import neighbors
+from eventide.operators.scan import join_stays, neighbors
 from eventide.operators.settled import settled
-from eventide.operators.stream import build_stream, minute_totals, unit_grid
+from eventide.operators.stream import build_stream, second_totals, unit_grid
 from eventide.operators.tokens import Grammar, decile_edges, emit, vocabulary
 from eventide.session import ensure_checkpoint_dir, prepare
 from eventide.sources import tables
@@ -84,8 +84,9 @@ class Workspace:
 
     @cached_property
     def raw(self) -> DataFrame:
-        """Raw events with the stay's test flag (splits joined once)."""
-        return self.raw_only.join(self.splits, "stay_id")
+        """Raw events with the stay's test flag (splits joined once; a hot stay's
+        events are dealt over several keys)."""
+        return join_stays(self.raw_only, self.splits, salt=F.xxhash64("charttime", "row_id", "value"))
 
     @cached_property
     def stay_detail(self) -> DataFrame:
@@ -107,8 +108,9 @@ class Workspace:
         return vocabulary(cand)
 
     @cached_property
-    def _minutes(self) -> DataFrame:
-        return self._save(minute_totals(self.emitted, self.unit, ["testset"], self.tie), "minutes")
+    def seconds(self) -> DataFrame:
+        """Event tokens per stay, second and tie bucket."""
+        return self._save(second_totals(self.emitted, self.unit, ["testset"], self.tie), "seconds")
 
     @cached_property
     def max_stay_len(self) -> int:
@@ -124,7 +126,7 @@ class Workspace:
 
     @cached_property
     def grid(self) -> DataFrame:
-        return self._save(unit_grid(self._minutes), "grid")
+        return self._save(unit_grid(self.seconds), "grid")
 
     @property
     def folder(self) -> str:
@@ -171,10 +173,21 @@ class Workspace:
             cache[key] = settled(hs, "horizon")
         return cache[key]
 
+    def hour_horizon(self, token: str, hours: int) -> DataFrame:
+        """Expected outcome of a rollout of ``hours`` hour tokens by start token,
+        computed once per workspace (see ``operators.horizon``)."""
+        key = (token, hours, "hours")
+        cache = self.__dict__.setdefault("_horizon", {})
+        if key not in cache:
+            from eventide.operators.horizon import hour_horizon
+            row = self.vocab.where(F.col("token") == token).select("token_id").first()
+            cache[key] = settled(hour_horizon(self.model, self.vocab, row[0] if row else 0, hours), "horizon-hours")
+        return cache[key]
+
     @cached_property
     def _stream_saved(self) -> DataFrame:
         """The stream with the next two tokens of each position."""
-        stream = build_stream(self.emitted, self._minutes, self.grid, self.unit, self.order_cols, tie=self.tie)
+        stream = build_stream(self.emitted, self.seconds, self.grid, self.unit, self.order_cols, tie=self.tie)
         return self._save(neighbors(stream, "stay_id", "pos", "token", [1, 2], ["next1", "next2"]), "stream", by="testset")
 
     @cached_property

@@ -73,3 +73,13 @@ def test_buckets_are_balanced_whatever_the_scale(spark):
     assert len(sizes) >= M.BUCKETS - 1 and max(sizes) < 2 * 20_000 / M.BUCKETS
     y = d.withColumn("y", (F.col("s") > 1e6 + 0.5).cast("int"))
     assert M.ranking_metrics(y, ["g"], "s", "y").first().auroc == 1.0
+
+
+def test_large_counts_do_not_overflow(spark, monkeypatch):
+    """3e9 positives and as many negatives: their product is beyond a BIGINT."""
+    from eventide.operators import metrics
+    n = 3_000_000_000
+    rows = spark.createDataFrame([("t", 0.1, 0, n), ("t", 0.2, n, n), ("t", 0.3, n, 2 * n)], "g string, s double, pos long, cnt long")
+    monkeypatch.setattr(metrics, "_collapse", lambda df, *a: df.withColumn("neg", df["cnt"] - df["pos"]))
+    r = metrics.ranking_metrics(rows, ["g"], "s", "y").first()
+    assert r.auroc == pytest.approx(5 / 8)

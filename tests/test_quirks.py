@@ -32,7 +32,7 @@ def test_q5_short_stays_dropped(ws):
 def test_q6_equal_requests_are_all_answered(spark, ws):
     t = ws.tokens.where("kind = 1").select("stay_id", F.col("charttime").alias("t")).limit(3)
     twice = t.unionByName(t)
-    got = cohorts.asof_cut(twice, ws.tokens, ws.grid, "t")
+    got = cohorts.asof_cut(twice, ws.tokens, ws.grid, ws.seconds, "t")
     assert got.count() == 6 and got.distinct().count() <= 3
 
 
