@@ -42,6 +42,9 @@ RADIUS = 2
 SEED = 42
 # Nodes that are compared with each other in one bucket; larger ones are split.
 BUCKET = 4096
+# Share of all rows from which a fingerprint is hot, and the keys that its rows are dealt over.
+HOT = 1024
+SALTS = 64
 # Shingles hashed at a time, rows compared at a time.
 PIECE = 1 << 16
 
@@ -287,13 +290,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     component by its smallest fingerprint, ``component_id`` by the smallest
     id reachable by links of at most ``radius`` differing bits."""
     fps = saved(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    nodes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes, radius, bucket))
+    nodes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+    roots = components(links(nodes.select("fp", "least"), radius, bucket))
     with_root = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = with_root.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
     ids = with_root.join(smallest, with_root["root"] == smallest["r"]).select(F.col("fp").alias("f"), "root", "component_id")
-    return fps.join(ids, fps["fp"] == ids["f"]).select("doc_id", "h", "fp", "root", "component_id")
+
+    # fingerprints with one in HOT of all rows (at most HOT of them) are dealt over SALTS keys
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    hot = [r.fp for r in nodes.where((F.col("n") * HOT >= total) & (F.col("n") > SALTS)).select("fp").collect()]
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    rows = fps.withColumn("salt", F.when(F.col("fp").isin(hot), spread).otherwise(0))
+    every = F.when(F.col("f").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    ids = ids.withColumn("s", F.explode(every))
+    return rows.join(ids, (rows["fp"] == ids["f"]) & (rows["salt"] == ids["s"])).select("doc_id", "h", "fp", "root", "component_id")
 
 
 def report(found: DataFrame) -> DataFrame:

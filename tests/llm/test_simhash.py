@@ -111,3 +111,16 @@ def test_large_group_of_copies(make_docs, text_maker):
 def test_radius_is_checked(spark):
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([(1,)], "fp long"), radius=4)
+
+
+def test_a_hot_fingerprint_is_dealt_over_keys(spark, make_docs, text_maker, monkeypatch):
+    rows = [(i, "one text that most rows share with each other") for i in range(600)] + [(1000 + i, text_maker(i, 20)) for i in range(200)]
+    df = make_docs(rows)
+    monkeypatch.setattr(simhash, "HOT", 2)
+    got = simhash.near_duplicates(df)
+    want = {i: 0 if i < 600 else i for i, _ in rows}
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically_increasing_id" in plan
+    monkeypatch.setattr(simhash, "HOT", 0)  # none is hot
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == want
