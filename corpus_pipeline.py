@@ -10,6 +10,14 @@ one stage only.  All stages but the last return the columns of ``documents``.
 * simhash_dedup: one row of each group of near copies stays;
 * decontaminate: rows with a benchmark window go;
 * mixing: rows get a rate and a number of copies; rows of no copy go.
+
+Defined for every input: a null text is kept null by the stages that keep it (the
+classifier rejects it, as it rejects empty texts); empty tables pass through all stages
+as empty tables; rows that share an id are told apart by their text, and rows that share both
+are one document (one of them stays); ties go to the smallest id, then the
+smallest text hash; long texts are read in pieces; ids may be of any type; further columns
+travel unread, whatever they are called, and ``rate``, ``copies`` and ``residual`` get an
+underscore appended where a column is called so.
 """
 
 from __future__ import annotations
@@ -17,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from eventide.llm import decontaminate, line_dedup, mixing, quality, simhash
-from eventide.llm.common import saved, table
+from eventide.llm.common import dropped, saved, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +64,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        dropped(before)  # a stage's copy goes when the next one is written
     return STAGES[-1][1](spark, docs, sf_dir)
