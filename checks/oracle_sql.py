@@ -192,6 +192,7 @@ FROM stream WHERE testset AND token_id > 0 AND pos % {BLOCK} < 12 GROUP BY stay_
 SELECT stay_id, CAST(pos AS BIGINT) AS pos, charttime, token, token_id, CAST(hour_no AS BIGINT) AS hour_no
 FROM stream""")
 
+    q["streamed_tokens"] = with_base("SELECT stay_id, charttime, row_id, CAST(sub AS INTEGER) AS sub, token FROM evtok")
     q["occurrences_per_stay"] = with_base("""
 SELECT token AS target, stay_id, count(*) AS n FROM stream
 WHERE testset AND token IN ('lab.view', 'lab.click', 'culture.error') GROUP BY token, stay_id""")
@@ -360,36 +361,32 @@ hsc AS (SELECT s.stay_id, s.shift_start, s.y, hs.score FROM scoh s
     return ",".join(parts)
 
 
-HORIZON_STEPS = 80
+HORIZON_STEPS = 150
 
 
 def hour_horizon_ctes(hours: int = HORIZON_HOURS, steps: int = HORIZON_STEPS, l0: float = 0.1, lam: float = 0.9) -> str:
-    """Value iteration over (token, hours left) with dense tables, for a fixed
-    number of steps by which hardly any mass is left."""
-    parts = [f"""
+    """Value iteration over (token, hours left) by a recursive query, for a fixed
+    number of steps by which hardly any mass is left.  ``hd`` is the dense
+    table of P(t | c), also for a start without a token (-1)."""
+    return f"""
 hk AS (SELECT token_id AS t, CAST(token LIKE 'hour.%' AS INTEGER) AS hr, CAST(token = 'med.purchase' AS INTEGER) AS tgt
        FROM vocab WHERE token_id > 0),
-hb AS MATERIALIZED (
-  SELECT i.t AS c, (coalesce(m0.n0, 0) + 1.0) / (kn.N + 1.0 * kn.V) AS p0, coalesce(t1.n1c, 0) AS n1c
-  FROM hk i CROSS JOIN kn LEFT JOIN m0 ON m0.token_id = i.t LEFT JOIN t1 ON t1.c1 = i.t
-  UNION ALL SELECT -1, 0.0, 0),
-v0 AS MATERIALIZED (SELECT c, h, 0.0 AS e, 0.0 AS f, 0.0 AS l FROM hb CROSS JOIN range(0, {hours + 1}) r(h))"""]
-    for k in range(1, steps + 1):
-        parts.append(f"""
-x{k} AS MATERIALIZED (SELECT hk.t, v.h + hk.hr AS h, hk.tgt + v.e AS e, CASE WHEN hk.tgt = 1 THEN 1.0 ELSE v.f END AS f, 1.0 + v.l AS l
-  FROM v{k - 1} v JOIN hk ON hk.t = v.c WHERE v.h + hk.hr BETWEEN 1 AND {hours}),
-g{k} AS (SELECT h, sum(p0 * e) AS e, sum(p0 * f) AS f, sum(p0 * l) AS l FROM x{k} JOIN hb ON hb.c = t GROUP BY h),
-n{k} AS (SELECT m1.c1, x.h, sum(m1.n1 * x.e) AS e, sum(m1.n1 * x.f) AS f, sum(m1.n1 * x.l) AS l
-  FROM m1 JOIN x{k} x ON x.t = m1.token_id GROUP BY m1.c1, x.h),
-v{k} AS MATERIALIZED (
-  SELECT b.c, g.h, {", ".join(f"CASE WHEN b.n1c > 0 THEN {lam} * coalesce(n.{a}, 0) / b.n1c + {l0} * g.{a} ELSE {l0 + lam} * g.{a} END AS {a}" for a in "efl")}
-  FROM hb b CROSS JOIN g{k} g LEFT JOIN n{k} n ON n.c1 = b.c AND n.h = g.h
-  UNION ALL SELECT c, h, 0.0, 0.0, 0.0 FROM v0 WHERE h = 0)""")
-    parts.append(f"""
+hp AS (SELECT hk.*, (coalesce(m0.n0, 0) + 1.0) / (kn.N + 1.0 * kn.V) AS p0 FROM hk CROSS JOIN kn LEFT JOIN m0 ON m0.token_id = hk.t),
+hd AS MATERIALIZED (
+  SELECT b.t AS c, hp.t, hp.hr, hp.tgt,
+         CASE WHEN t1.n1c > 0 THEN {lam} * coalesce(m1.n1, 0) / t1.n1c + {l0} * hp.p0 ELSE hp.p0 * {l0 + lam} END AS p
+  FROM (SELECT t FROM hk UNION ALL SELECT -1) b CROSS JOIN hp LEFT JOIN t1 ON t1.c1 = b.t AND b.t > 0
+  LEFT JOIN m1 ON m1.c1 = b.t AND m1.token_id = hp.t AND b.t > 0),
+hv AS (
+  SELECT 0 AS k, c, CAST(h AS INTEGER) AS h, 0.0::DOUBLE AS e, 0.0::DOUBLE AS f, 0.0::DOUBLE AS l
+  FROM (SELECT DISTINCT c FROM hd) CROSS JOIN range(0, {hours + 1}) r(h)
+  UNION ALL
+  (SELECT v.k + 1, hd.c, v.h + hd.hr, sum(hd.p * (hd.tgt + v.e)), sum(hd.p * CASE WHEN hd.tgt = 1 THEN 1.0 ELSE v.f END), sum(hd.p * (1.0 + v.l))
+   FROM hv v JOIN hd ON hd.t = v.c WHERE v.k < {steps} AND v.h + hd.hr BETWEEN 1 AND {hours} GROUP BY v.k, hd.c, v.h + hd.hr
+   UNION ALL SELECT k + 1, c, 0, 0.0, 0.0, 0.0 FROM hv WHERE h = 0 AND k < {steps})),
 hh AS (SELECT s.stay_id, s.shift_start, s.y, v.e, v.f, v.l FROM scoh s
        LEFT JOIN stream l ON l.stay_id = s.stay_id AND l.pos = s.cut - 1
-       JOIN v{steps} v ON v.c = coalesce(l.token_id, -1) AND v.h = {hours})""")
-    return ",".join(parts)
+       JOIN hv v ON v.c = coalesce(l.token_id, -1) AND v.h = {hours} AND v.k = {steps})"""
 
 
 HALF_LIFE, MEMORY_WEIGHT = 64.0, 0.2
@@ -454,7 +451,7 @@ def more_queries() -> dict[str, str]:
     q: dict[str, str] = {}
     q["horizon_hours"] = with_base("""
 SELECT stay_id, shift_start, round(e, 6) AS expected, round(f, 6) AS first_passage, round(l, 6) AS n_tokens, TRUE AS ended
-FROM hh""", SHIFTS, SHIFT_COHORT, MODEL, hour_horizon_ctes())
+FROM hh""", SHIFTS, SHIFT_COHORT, MODEL, hour_horizon_ctes()).replace("WITH ", "WITH RECURSIVE ", 1)
     tl = targets_cte("tgt", LABS)
     ex = examples_cte("ex", "tgt")
     q["memory_scores"] = with_base("""
@@ -707,7 +704,7 @@ SELECT 'handoff' AS target, 'auroc' AS metric, round(auroc, 6) AS value FROM hme
 UNION ALL SELECT 'handoff', 'ap', round(ap, 6) FROM hmet""", SHIFTS, SHIFT_COHORT, MODEL, hour_horizon_ctes(),
                                   """
 hsel AS (SELECT 'handoff' AS t, e / l AS s, y FROM hh)""",
-                                  metric_ctes("hsel", ["t"], "h"))
+                                  metric_ctes("hsel", ["t"], "h")).replace("WITH ", "WITH RECURSIVE ", 1)
     return q
 
 

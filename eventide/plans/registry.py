@@ -26,6 +26,7 @@ from eventide.plans import dose_eval, handoff, lab_eval, overdose
 from eventide.plans import params as P
 from eventide.plans.workspace import Workspace
 from eventide.sources.model_io import ModelStore
+from eventide.streaming.tokenize import tokens_so_far
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -154,6 +155,14 @@ def token_stream(spark, sf_dir):
                             "token", "token_id", F.col("hour_no").cast("long").alias("hour_no"))
 
 
+@query
+def streamed_tokens(spark, sf_dir):
+    """The event tokens as Structured Streaming emits them from the events folder."""
+    ws = Workspace.get(spark, sf_dir)
+    t = tokens_so_far(spark, sf_dir, ws.edges_long, f"{ws.folder}/streamed-{uuid.uuid4().hex}", ws.grammar)
+    return t.select("stay_id", "charttime", "row_id", "sub", "token")
+
+
 # ---- step 2: cohorts and labels -------------------------------------------------
 
 @query

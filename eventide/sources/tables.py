@@ -34,17 +34,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None) -> Dat
     return df.select(*columns) if columns else df
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, lower: int, upper: int,
-              partition_column: str = "stay_id", num_partitions: int = 64,
-              properties: dict | None = None) -> DataFrame:
-    """The reference reads its tables from a database server; with Spark the same
-    read is a partitioned JDBC scan (one range of ``partition_column`` between the
-    bounds per task).  It needs such a server, so no query uses it here."""
-    return spark.read.jdbc(url, table, column=partition_column, lowerBound=lower,
-                           upperBound=upper, numPartitions=num_partitions,
-                           properties=properties or {})
-
-
 def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as raw clinical events: user = stay, event_type = item."""
     ev = read_table(spark, sf_dir, "events", ["user_id", "ts", "event_id", "event_type",

@@ -58,3 +58,13 @@ def hourly_counts(tokens: DataFrame, watermark: str = "2 hours") -> DataFrame:
     return (t.withWatermark("et", watermark)
             .groupBy(F.window("et", "1 hour").alias("w"), "token")
             .agg(F.count("*").alias("n")))
+
+
+def tokens_so_far(spark: SparkSession, folder: str, edges_long: DataFrame, out: str, grammar: Grammar | None = None) -> DataFrame:
+    """Run the stream over all files there are (``availableNow``, batch by batch) into
+    Parquet under ``out`` and read it back.  Progress is kept beside the data, so
+    the next call takes only new files, and a run that stops goes on where it was."""
+    toks = token_rows(raw_from_events(event_source(spark, folder)), edges_long, grammar)
+    (toks.writeStream.format("parquet").outputMode("append").option("checkpointLocation", os.path.join(out, "_progress"))
+     .trigger(availableNow=True).start(os.path.join(out, "tokens")).awaitTermination())
+    return spark.read.schema(toks.schema).parquet(os.path.join(out, "tokens"))

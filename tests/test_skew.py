@@ -68,7 +68,7 @@ def test_hot_day_of_the_second_adapter(spark):
         .withColumn("charttime", F.when(third, F.lit(day)).otherwise(F.col("charttime")).cast(raw.schema["charttime"].dataType))
     ws = Workspace(spark, "/root/testdata/sf0.001", "lineitem", raw=raw)
     ws.tie = ("l_orderkey", 64)
-    hot = ws._minutes.where("stay_id = 7").agg(F.countDistinct("tb"), F.max("c"), F.sum("c")).first()
+    hot = ws.seconds.where("stay_id = 7").agg(F.countDistinct("tb"), F.max("c"), F.sum("c")).first()
     assert hot[0] > 20 and hot[1] < hot[2] / 10
     order = ["charttime", *LINEITEM_ORDER]
     w = Window.partitionBy("stay_id").orderBy(*order)
@@ -77,3 +77,26 @@ def test_hot_day_of_the_second_adapter(spark):
     got = got.withColumn("k", F.row_number().over(Window.partitionBy("stay_id").orderBy("pos"))).select("k", "row_id")
     assert naive.exceptAll(got).count() == 0 and got.count() == naive.count()
     ws.close()
+
+
+def test_no_key_of_the_hot_stay_holds_many_rows(spark):
+    """Sizes, not values: the rows that meet in one window or under one join key of the
+    stream build, the cuts and the horizon, where one stay has a third of all events."""
+    from eventide.operators.scan import DEFAULT_FANOUT, SALTS
+    from eventide.operators.stream import SUB_US, epoch_us
+    raw = events_raw(spark, "/root/testdata/sf0.01")
+    hot = raw.withColumn("stay_id", F.when(F.pmod("row_id", F.lit(3)) == 0, F.lit(1000)).otherwise(F.col("stay_id")))
+    ws = Workspace(spark, "/root/testdata/sf0.01", raw=hot)
+
+    def largest(df, *keys):
+        return df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+
+    mine = ws.raw_only.where("stay_id = 1000").count()
+    events = ws.raw_only.withColumn("second", F.floor(epoch_us("charttime") / F.lit(SUB_US)))
+    assert largest(events, "stay_id", "second") < 0.01 * mine
+    salt = F.pmod(F.xxhash64("charttime", "row_id", "value"), F.lit(SALTS))
+    assert largest(ws.raw_only.withColumn("salt", salt).where("stay_id = 1000"), "stay_id", "salt") < 3 * mine / SALTS
+    assert largest(ws.seconds, "stay_id", "ah") <= 3600
+    chunk = F.floor(F.col("pos") / DEFAULT_FANOUT)
+    assert largest(ws.tokens.withColumn("chunk", chunk), "stay_id", "chunk") <= DEFAULT_FANOUT
+    ws.close()

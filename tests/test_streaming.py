@@ -29,3 +29,15 @@ def test_hourly_counts_with_watermark(spark, ws):
     q.stop()
     total = spark.table(name).agg(F.sum("n")).first()[0]
     assert total == ws.tokens.where("kind = 1").count()
+
+
+def test_a_second_run_takes_only_new_files(spark, ws, tmp_path):
+    import shutil
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    shutil.copyfile("/root/testdata/sf0.001/events.parquet", src / "events.parquet")
+    one = st.tokens_so_far(spark, str(src), ws.edges_long, out).count()
+    assert one == ws.tokens.where("kind = 1").count()
+    assert st.tokens_so_far(spark, str(src), ws.edges_long, out).count() == one
+    shutil.copyfile("/root/testdata/sf0.001/events.parquet", src / "events2.parquet")
+    assert st.tokens_so_far(spark, str(src), ws.edges_long, out).count() == 2 * one
