@@ -4,15 +4,17 @@ A vocabulary file of the ``tokenizers`` format gives token ids, merge ranks, the
 suffix of a word's last symbol, and the normaliser and splitter (these two
 run in the library, so that Unicode tables agree).  Words are merged here:
 
-* short words (up to ``SHORT`` symbols) hold their part boundaries in one list and
-  the merge rank of every two adjacent parts in another; the smallest
+* short words (up to ``SHORT`` symbols) hold the parts between their boundaries in one
+  array (by token id) and the merge rank of every two adjacent parts in another; the smallest
   rank (leftmost of equals) is found by a scan, the boundary between its parts is
-  deleted, and the ranks of the two neighbours are looked up anew;
+  deleted, and the ranks of the two neighbours are looked up anew.  Words that are
+  new to a group of texts are merged side by side, each in its row of the two arrays;
 * longer ones pop the smallest rank from a heap over linked parts, the
   same order in n log n steps.
 
-Encoding is a map over documents without a shuffle: no text meets another one.
-Whitespace-delimited chunks are kept in a bounded cache (``CACHED``).  A text is read
+Encoding is a map over documents without a shuffle; a task's texts are taken in
+groups of about ``WINDOW`` characters.  Whitespace-delimited chunks and words are kept in
+bounded caches of two generations (``CACHED``).  A text is read
 in windows of ``WINDOW`` characters that end before ASCII white space, where
 neither normalising nor splitting nor merging looks across.
 
@@ -33,23 +35,114 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.llm.common import as_bytes, texts
 
-SHORT = 256
-CACHED = 1 << 17  # chunks, each of at most CHUNK characters
+SHORT = 64
+CACHED = 1 << 17  # entries of a generation of a cache, each of at most CHUNK characters
 CHUNK = 64
 WINDOW = 1 << 20
-OUT_IDS = 1 << 20  # ids in a batch of results, but for one long text
-NEVER = float("inf")
+OUT_CHARS = 1 << 22  # characters of the texts in a batch of results, but for one long text
+OUT_IDS = 1 << 20  # ids in a batch that is decoded
+NEVER = np.iinfo(np.int32).max
+GONE = -1
+ROWS = 1 << 13  # words that are merged side by side
+
+
+# Fixed value: the splitter's pattern for text of lower-case ASCII.
+ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+# The same for Latin letters.  Below LATIN all characters are in composed form, and their
+# classes and lower cases are settled; any other text goes to the library.
+LATIN = "\u0250"
+LATIN_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+PROBE = "don't we'll 12 'tis x's!? a-b ''d \u00e9t\u00e9\u00b2\u00bd\u00ab\u00bb na\u00efve\u0142\u01c5"
+
+
+def byte_letters() -> list[str]:
+    """The byte-level alphabet: printable Latin-1 characters stand for their own
+    bytes, the other bytes follow from U+0100 on."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+# What str.split() takes for white space and the normaliser doesn't.
+SEPARATORS = re.compile(r"[\x1c-\x1f]")
+
+
+class Cache:
+    """A bounded map: the younger generation takes what is used, and when it is
+    full it becomes the older one, whose entries come back when used again."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def found(self, keys: Iterable[str]) -> tuple[dict[str, bytes], list[str]]:
+        """What is known of the keys, and the other ones."""
+        young, old = self.young.get, self.old.get
+        out, back, new = {}, [], []
+        for k in keys:
+            if (v := young(k)) is not None:
+                out[k] = v
+            elif (v := old(k)) is not None:
+                out[k] = v
+                back.append(k)
+            else:
+                new.append(k)
+        self.put((k, out[k]) for k in back)
+        return out, new
+
+    def put(self, items: Iterable[tuple[str, bytes]]) -> None:
+        for key, value in items:
+            if len(key) <= CHUNK:
+                if len(self.young) >= CACHED:
+                    self.young, self.old = {}, self.young
+                self.young[key] = value
+
+
+class Pairs:
+    """Merge ranks by pair of ids, looked up for whole arrays: an open-addressed table."""
+
+    def __init__(self, ranks: dict[int, int]) -> None:
+        self.bits = max(4, (2 * len(ranks)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.ranks = np.full(1 << self.bits, NEVER, np.int32)
+        keys = np.array(list(ranks), np.int64)
+        values = np.array(list(ranks.values()), np.int32)
+        at = self.slot(keys)
+        while len(keys):
+            free = self.keys[at] == -1
+            first = np.zeros(len(keys), bool)
+            first[np.unique(at, return_index=True)[1]] = True  # one key a slot
+            put = free & first
+            self.keys[at[put]], self.ranks[at[put]] = keys[put], values[put]
+            keys, values, at = keys[~put], values[~put], (at[~put] + 1) & ((1 << self.bits) - 1)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Rank of each key; ``NEVER`` for a pair that isn't merged."""
+        at = self.slot(keys)
+        out = self.ranks[at]
+        held = self.keys[at]
+        on = np.flatnonzero((held != keys) & (held != -1))  # another key's slot: look on
+        out[(held != keys) & (held == -1)] = NEVER
+        while len(on):
+            at = (at[on] if len(at) == len(keys) else at) + 1 & ((1 << self.bits) - 1)
+            held = self.keys[at]
+            done = (held == keys[on]) | (held == -1)
+            out[on[done]] = np.where(held[done] == -1, NEVER, self.ranks[at[done]])
+            on, at = on[~done], at[~done]
+        return out
 
 
 class Codec:
@@ -66,94 +159,178 @@ class Codec:
         library = Tokenizer.from_str(raw.decode())
         self.normal = library.normalizer.normalize_str
         self.split = library.pre_tokenizer.pre_tokenize_str
+        self.letters = byte_letters()
+        # the library's normaliser and splitter must agree with the patterns used here
+        ours = [self.spelled(w) for w in LATIN_WORDS.findall(PROBE.lower())]
+        self.latin = [w for w, _ in self.split(self.normal(PROBE))] == ours
         self.suffix = model["end_of_word_suffix"] or ""
         self.ids: dict[str, int] = model["vocab"]
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
+        # by pair of ids: the merge's rank; by rank: the id of what it makes
+        self.bits = max(self.ids.values()).bit_length()
+        self.ranks: dict[int, int] = {}
+        self.made: list[int] = []
+        for i, m in enumerate(model["merges"]):
+            left, right = m if isinstance(m, list) else m.split(" ")
+            self.ranks[self.ids[left] << self.bits | self.ids[right]] = i
+            self.made.append(self.ids[left + right])
         self.special = {a["content"]: a["id"] for a in added}
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def merged(self, word: str) -> list[int]:
-        """Token ids of one word."""
-        n = len(word)
-        word += self.suffix
-        if n > SHORT:
-            return self.merged_long(word, n)
-        get = self.ranks.get
-        bounds = [*range(n), len(word)]
-
-        def rank(i: int) -> float:
-            return get((word[bounds[i]:bounds[i + 1]], word[bounds[i + 1]:bounds[i + 2]]), NEVER)
-
-        ranks = [rank(i) for i in range(n - 1)]
-        while ranks:
-            least = min(ranks)
-            if least == NEVER:
+        self.pairs = Pairs(self.ranks)
+        self.makes = np.array(self.made, np.int32)
+        self.words, self.chunks = Cache(), Cache()
+
+    def spelled(self, word: str) -> str:
+        """A word in the byte-level alphabet."""
+        return word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+
+    def parts(self, word: str) -> list[int]:
+        """Ids of a word's symbols, the last with the suffix; unknown ones are dropped."""
+        get = self.ids.get
+        ids = [*map(get, word[:-1]), get(word[-1] + self.suffix)]
+        return [i for i in ids if i is not None] if None in ids else ids
+
+    def merged(self, words: list[str]) -> list[bytes]:
+        """Token ids (little-endian, four bytes each) of each word, spelled in
+        the byte-level alphabet."""
+        parts = [self.parts(w) for w in words]
+        out = [b""] * len(words)
+        short = []
+        for k, p in enumerate(parts):
+            if len(p) > SHORT:
+                out[k] = np.array(self.merged_long(p), "<i4").tobytes()
+            else:
+                short.append(k)
+        short.sort(key=lambda k: len(parts[k]))  # rows of like length
+        for i in range(0, len(short), ROWS):
+            some = short[i:i + ROWS]
+            for k, ids in zip(some, self.merged_rows([parts[k] for k in some])):
+                out[k] = ids
+        return out
+
+    def merged_rows(self, words: list[list[int]]) -> list[bytes]:
+        """Short words side by side: a row of ``parts`` and of ``ranks`` each."""
+        n, width = len(words), max(map(len, words), default=0)
+        size = np.array([len(w) for w in words])
+        parts = np.full((n, width + 1), GONE, np.int64)
+        parts[np.arange(width + 1) < size[:, None]] = [x for w in words for x in w]
+        rows = np.arange(n)
+
+        def rank(r: np.ndarray, i: np.ndarray) -> np.ndarray:
+            """Ranks of parts i and i + 1 of rows r; NEVER past a row's end."""
+            a, b = parts[r, i], parts[r, i + 1]
+            return np.where((a >= 0) & (b >= 0), self.pairs.find(np.maximum(a, 0) << self.bits | np.maximum(b, 0)), NEVER)
+
+        ranks = np.full((n, width + 1), NEVER, np.int32)
+        where = np.flatnonzero((np.arange(width + 1) < size[:, None] - 1).ravel())
+        ranks.ravel()[where] = rank(where // (width + 1), where % (width + 1))
+        cols = np.arange(width + 1)
+        while len(rows):
+            i = ranks[rows].argmin(axis=1)  # the leftmost of the smallest
+            least = ranks[rows, i]
+            rows, i, least = rows[least < NEVER], i[least < NEVER], least[least < NEVER]
+            if not len(rows):
                 break
-            i = ranks.index(least)
-            del bounds[i + 1], ranks[i]
-            if i < len(ranks):
-                ranks[i] = rank(i)
-            if i:
-                ranks[i - 1] = rank(i - 1)
-        return self.known(word[a:b] for a, b in zip(bounds, bounds[1:]))
-
-    def merged_long(self, word: str, n: int) -> list[int]:
-        ends = [*range(1, n), len(word)]  # end of the part that starts at i
-        before = list(range(-1, n - 1))  # start of the part before it
-        gone = bytearray(n)
+            parts[rows, i] = self.makes[least]
+            # delete boundary i + 1: what stands behind moves up
+            behind = np.minimum(cols + (cols > i[:, None]), width)
+            moved = np.take_along_axis(parts[rows], behind, 1)
+            moved[:, width] = GONE
+            parts[rows] = moved
+            behind = np.minimum(cols + (cols >= i[:, None]), width)
+            moved = np.take_along_axis(ranks[rows], behind, 1)
+            moved[:, width] = NEVER
+            ranks[rows] = moved
+            ranks[rows, i] = rank(rows, np.minimum(i, width - 1))
+            left = i > 0
+            ranks[rows[left], i[left] - 1] = rank(rows[left], i[left] - 1)
+        ids = parts[parts != GONE].astype("<i4").tobytes()
+        ends = (4 * np.cumsum((parts != GONE).sum(axis=1))).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    def merged_long(self, parts: list[int]) -> list[int]:
+        n = len(parts)
+        after = list(range(1, n + 1))  # place of the part after this one
+        before = list(range(-1, n - 1))
         heap: list[tuple[int, int, int, int]] = []
 
         def offer(i: int) -> None:
-            j = ends[i]
-            if j < n and (r := self.ranks.get((word[i:j], word[j:ends[j]]))) is not None:
-                heapq.heappush(heap, (r, i, j, ends[j]))
+            j = after[i]
+            if j < n and (r := self.ranks.get(parts[i] << self.bits | parts[j])) is not None:
+                heapq.heappush(heap, (r, i, parts[i], parts[j]))
 
         for i in range(n - 1):
             offer(i)
         while heap:
-            _, i, j, end = heapq.heappop(heap)
-            if gone[i] or ends[i] != j or gone[j] or ends[j] != end:
+            r, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] != left or j >= n or parts[j] != right:
                 continue  # one of the parts has been merged since
-            gone[j] = 1
-            ends[i] = end
-            if end < n:
-                before[end] = i
+            parts[i], parts[j] = self.made[r], GONE
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
             offer(i)
             if before[i] >= 0:
                 offer(before[i])
-        return self.known(word[i:ends[i]] for i in range(n) if not gone[i])
-
-    def known(self, parts: Iterator[str]) -> list[int]:
-        return [i for p in parts if (i := self.ids.get(p)) is not None]
-
-    def chunk(self, chunk: str) -> tuple[int, ...]:
-        """Ids of normalised text without white space."""
-        found = self.cache.get(chunk)
-        if found is None:
-            found = tuple(i for word, _ in self.split(chunk) for i in self.merged(word))
-            if len(chunk) <= CHUNK:
-                if len(self.cache) >= CACHED:
-                    self.cache.clear()
-                self.cache[chunk] = found
-        return found
-
-    def encode(self, text: str) -> array:
-        out, at = array("i"), 0
+        return [p for p in parts if p != GONE]
+
+    def spelled_words(self, chunk: str) -> list[str]:
+        """The words of a text without white space, in the byte-level alphabet."""
+        if self.latin and chunk.isprintable():
+            if chunk.isascii():
+                return [chunk.lower()] if chunk.isalpha() else ASCII_WORDS.findall(chunk.lower())
+            if max(chunk) < LATIN:
+                return [*map(self.spelled, LATIN_WORDS.findall(chunk.lower()))]
+        return [w for w, _ in self.split(self.normal(chunk))]
+
+    def ids_of(self, chunks: set[str]) -> dict[str, bytes]:
+        """Token ids of each chunk; words that no cache has are merged together."""
+        out, new = self.chunks.found(chunks)
+        split = [*map(self.spelled_words, new)]
+        words, unknown = self.words.found({w for ws in split for w in ws})
+        merged = dict(zip(unknown, self.merged(unknown)))
+        self.words.put(merged.items())
+        words |= merged
+        own = {c: words[ws[0]] if len(ws) == 1 else b"".join(map(words.__getitem__, ws)) for c, ws in zip(new, split)}
+        self.chunks.put(own.items())
+        return out | own
+
+    def segments(self, text: str) -> Iterator[int | list[str]]:
+        """Ids of added tokens, and the chunks of the text between them."""
+        at = 0
         for m in self.specials.finditer(text):
-            self.plain(text[at:m.start()], out)
-            out.append(self.special[m[0]])
+            yield from self.plain(text[at:m.start()])
+            yield self.special[m[0]]
             at = m.end()
-        self.plain(text[at:] if at else text, out)
-        return out
+        yield from self.plain(text[at:] if at else text)
 
-    def plain(self, text: str, out: array) -> None:
+    def plain(self, text: str) -> Iterator[list[str]]:
         for window in windows(text):
-            for chunk in self.normal(window).split(" "):
-                if chunk:
-                    out.extend(self.chunk(chunk))
+            # nothing is normalised, split or merged across white space
+            yield [c for c in self.normal(window).split(" ") if c] if SEPARATORS.search(window) else window.split()
+
+    def encode(self, texts: Iterable[str]) -> list[bytes]:
+        """Token ids of each text, four bytes each."""
+        out: list[list[bytes]] = []
+        held: list[tuple[list[bytes], int | list[str]]] = []
+        size = 0
+
+        def flush() -> None:
+            ids = self.ids_of(set().union(*(part for _, part in held if not isinstance(part, int))))
+            for to, part in held:
+                to.append(part.to_bytes(4, "little") if isinstance(part, int) else b"".join(map(ids.__getitem__, part)))
+
+        for text in texts:
+            out.append(to := [])
+            for part in self.segments(text):
+                held.append((to, part))
+                size += 1 if isinstance(part, int) else 8 * len(part)
+                if size >= WINDOW:
+                    flush()
+                    held, size = [], 0
+        flush()
+        return [b"".join(x) for x in out]
 
     def decode(self, ids) -> str:
         return " ".join(t for i in ids if (t := self.tokens.get(i)) is not None)
@@ -186,10 +363,10 @@ def vocabulary(docs: DataFrame, path: str):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-def id_lists(name: str, keys: list, lists: list[array], kind: pa.DataType) -> pa.RecordBatch:
+def id_lists(name: str, keys: list, lists: list[bytes], kind: pa.DataType) -> pa.RecordBatch:
     offsets = np.zeros(len(lists) + 1, np.int32)
-    np.cumsum([len(x) for x in lists], out=offsets[1:])
-    values = np.concatenate([np.frombuffer(x, np.int32) for x in lists]) if offsets[-1] else np.zeros(0, np.int32)
+    np.cumsum([len(x) // 4 for x in lists], out=offsets[1:])
+    values = np.frombuffer(b"".join(lists), "<i4")
     return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", name])
 
 
@@ -201,16 +378,15 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         c = codec(raw.value)
         for batch in batches:
-            keys, lists, held = [], [], 0
+            kind, texts_, keys, held = batch.schema.field(0).type, [], [], 0
             for key, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = c.encode(x.as_buffer().to_pybytes().decode("utf-8", "replace")) if x.is_valid else array("i")
+                texts_.append(x.as_buffer().to_pybytes().decode("utf-8", "replace") if x.is_valid else "")
                 keys.append(key)
-                lists.append(ids)
-                held += len(ids)
-                if held >= OUT_IDS:
-                    yield id_lists("ids", keys, lists, batch.schema.field(0).type)
-                    keys, lists, held = [], [], 0
-            yield id_lists("ids", keys, lists, batch.schema.field(0).type)
+                held += len(texts_[-1])
+                if held >= OUT_CHARS:
+                    yield id_lists("ids", keys, c.encode(texts_), kind)
+                    texts_, keys, held = [], [], 0
+            yield id_lists("ids", keys, c.encode(texts_), kind)
 
     return body.mapInArrow(run, f"doc_id {dict(body.dtypes)['doc_id']}, ids array<int>")
 
@@ -225,7 +401,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             step = max(1, batch.num_rows // (1 + batch.nbytes // (4 * OUT_IDS)))
             for part in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
-                decoded = pa.array([c.decode(x.values.to_pylist()) if x.is_valid else "" for x in part.column(1)], pa.string())
+                decoded = pa.array([c.decode(x.values.to_numpy().tolist()) if x.is_valid else "" for x in part.column(1)], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), decoded], names=["doc_id", "ids", "decoded"])
 
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>, decoded string")

@@ -22,6 +22,10 @@ def codec():
         return bpe.Codec(f.read())
 
 
+def ids(raw):
+    return [int.from_bytes(raw[i:i + 4], "little") for i in range(0, len(raw), 4)]
+
+
 def expected(library, text):
     ids = library.encode(text or "", add_special_tokens=False).ids
     return ids, library.decode(ids, skip_special_tokens=False)
@@ -57,15 +61,42 @@ def test_random_strings(codec, library):
     letters = ["the", "ing", "a", "b", "e", "n", "é", "ß", "7", "'", "s", "-", "中", " ", "\n", "😀", "̈", "<|endoftext|>"]
     for _ in range(1500):
         text = "".join(rng.choices(letters, k=rng.randint(0, 40)))
-        assert list(codec.encode(text)) == library.encode(text, add_special_tokens=False).ids
+        assert ids(codec.encode([text])[0]) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_every_space_and_separator_splits_as_in_the_library(codec, library):
+    import unicodedata
+    marks = [chr(c) for c in range(0x3100) if chr(c).isspace() or unicodedata.category(chr(c)) in ("Cc", "Cf", "Zs", "Zl", "Zp")]
+    assert len(marks) > 80
+    for m in marks:
+        for text in (f"Été{m}b1", f"a{m}\u0301b {m}", f"{m}x{m}{m}é", f"'s{m}'s"):
+            assert ids(codec.encode([text])[0]) == library.encode(text, add_special_tokens=False).ids, hex(ord(m))
+
+
+def test_every_latin_letter_and_case(codec, library):
+    for c in [*range(0x20, 0x300), 0x370, 0x3A3, 0x1E9E, 0x1F88, 0x212A, 0xFB01]:
+        for text in (f"a{chr(c)}b", f"{chr(c)}", f"X{chr(c)}{chr(c)}1'{chr(c)}S", f"{chr(c)}\u0301z"):
+            assert ids(codec.encode([text])[0]) == library.encode(text, add_special_tokens=False).ids, hex(c)
 
 
 def test_heap_and_rank_array_agree(codec, library, monkeypatch):
     rng = random.Random(5)
-    ws = ["".join(rng.choices("aeinrst", k=rng.randint(1, 200))) for _ in range(300)] + ["a" * 200, "ab" * 100]
-    short = [codec.merged(w) for w in ws]
+    ws = ["".join(rng.choices("aeinrst", k=rng.randint(1, 60))) for _ in range(600)] + ["a" * 64, "ab" * 32, "a", ""][:-1]
+    want = [tuple(library.encode(w, add_special_tokens=False).ids) for w in ws]
+    monkeypatch.setattr(bpe, "ROWS", 50)
+    assert [tuple(ids(x)) for x in codec.merged(ws)] == want
     monkeypatch.setattr(bpe, "SHORT", 0)
-    assert [codec.merged(w) for w in ws] == short
+    assert [tuple(ids(x)) for x in codec.merged(ws)] == want
+
+
+def test_pairs_are_found_and_others_are_not(codec):
+    import numpy as np
+    keys = np.array(list(codec.ranks), np.int64)
+    assert (codec.pairs.find(keys) == np.array(list(codec.ranks.values()))).all()
+    rng = np.random.default_rng(1)
+    some = rng.integers(0, 1 << 32, 200_000)
+    want = np.array([codec.ranks.get(int(k), bpe.NEVER) for k in some])
+    assert (codec.pairs.find(some) == want).all()
 
 
 def test_windows_of_a_long_text(codec, library, monkeypatch):
@@ -74,15 +105,17 @@ def test_windows_of_a_long_text(codec, library, monkeypatch):
     want = library.encode(text, add_special_tokens=False).ids
     for size in (1, 7, 100):
         monkeypatch.setattr(bpe, "WINDOW", size)
-        assert list(codec.encode(text)) == want
+        assert ids(codec.encode([text])[0]) == want
 
 
-def test_cache_stays_bounded_and_right(codec, library, monkeypatch):
+def test_caches_stay_bounded_and_right(library, monkeypatch):
+    with open(PATH, "rb") as f:
+        codec = bpe.Codec(f.read())
     monkeypatch.setattr(bpe, "CACHED", 5)
-    codec.cache.clear()
-    text = " ".join(f"word{i % 17}" for i in range(200))
-    assert list(codec.encode(text)) == library.encode(text, add_special_tokens=False).ids
-    assert len(codec.cache) <= 5
+    monkeypatch.setattr(bpe, "WINDOW", 30)
+    texts = [" ".join(f"word{(i * k) % 17}" for i in range(60)) for k in range(5)]
+    assert [ids(x) for x in codec.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(len(x) for c in (codec.words, codec.chunks) for x in (c.young, c.old)) <= 5
 
 
 def test_empty_table_string_ids_and_unknown_ids(spark, make_docs):
