@@ -20,7 +20,7 @@ no longer falls (no hour token can be reached).  It is reported with the result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from eventide.operators.scoring import DEFAULT, NONE, NgramModel, Smoothing
@@ -70,8 +70,9 @@ def hour_horizon(m: NgramModel, vocab: DataFrame, target_id: int, hours: int, s:
                 F.sum(F.col("q") * (F.col("emits") + F.col("length"))).alias("length"),
                 F.sum(F.col("q") * F.col("alive")).alias("alive"))
             state = step.unionByName(over)
-        state = settled(state, "horizon-state")
-        most, total = state.agg(F.coalesce(F.max("alive"), F.lit(0.0)), F.coalesce(F.sum("alive"), F.lit(0.0))).first()
+        seen = Observation()  # the mass left is observed as the state is written
+        state = settled(state.observe(seen, F.max("alive").alias("most"), F.sum("alive").alias("total")), "horizon-state")
+        most, total = (seen.get[k] or 0.0 for k in ("most", "total"))
         if most <= tolerance or total >= left * (1 - 1e-12):
             break
         left = total
