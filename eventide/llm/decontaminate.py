@@ -177,7 +177,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         parts.append(_hits(body, [(r[0], bytes(r[1] or b"")) for r in block], window, id_type, item_type))
     if blocks == 1:
         return parts[0]
-    hits = [saved(p.where("size(spans) > 0").dropDuplicates(["doc_id", "h"]), f"hits{k}") for k, p in enumerate(parts)]
+    parts[0] = saved(parts[0], "hits0")  # each block scans the documents once
+    hits = [p.where("size(spans) > 0").dropDuplicates(["doc_id", "h"]) for p in parts]
+    hits = [hits[0], *(saved(p, f"hits{k}") for k, p in enumerate(hits[1:], 1))]
     every = hits[0]
     for p in hits[1:]:
         every = every.unionByName(p)

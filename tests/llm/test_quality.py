@@ -81,6 +81,37 @@ def test_pieces_of_a_long_text_say_the_same(monkeypatch):
         assert (w.bucket_counts()[0][0] == want[2][0]).all() and (w.bucket_counts()[0][1] == want[2][1]).all()
 
 
+def test_features_against_brute_force():
+    """Hashes, shapes and buckets of two texts, word by word in Python integers."""
+    ALL, R, GOLD = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+    def brute(body):
+        out, before = {}, None
+        for w in body.split():
+            h = sum((c + 1) * pow(R, i, 1 << 64) for i, c in enumerate(w)) & ALL
+            h ^= h >> 31
+            n = {k: sum(f(c) for c in w) for k, f in {
+                "low": lambda c: 97 <= c < 123, "up": lambda c: 65 <= c < 91, "digit": lambda c: 48 <= c < 58, "high": lambda c: c >= 128,
+                "stop": lambda c: chr(c) in ".,;:?'\"()-", "bang": lambda c: c == 33}.items()}
+            n["odd"] = sum(c >= 33 for c in w) - sum(n.values())
+            letters = n["low"] + n["up"] + n["high"]
+            shape = ((letters == 0) + 2 * (2 * n["up"] > letters) + 4 * (n["odd"] > 0) + 8 * (n["bang"] > 0)
+                     + 16 * (before is not None and before[0] == h) + 32 * (n["stop"] > 0) + 64 * (n["digit"] > 0) + 128 * min(len(w) // 4, 7))
+            joined = (h + before[0] * R) & ALL if before else h
+            both = shape + (before[1] + 1) * 4096 if before else shape
+            for salt, x in enumerate((h, joined, shape, both), 1):
+                x = (x * GOLD + salt * R) & ALL
+                k = (((x ^ (x >> 29)) * GOLD) & ALL) >> 49
+                out[k] = out.get(k, 0) + 1
+            before = (h, shape)
+        return out
+
+    texts = [b"The quick, brown FOX! jumps 12 times 12 times times", b"x", "caf\u00e9 na\u00efve #tag A-B (end).".encode(), b""]
+    (w,) = arrays(*texts)
+    for body, (buckets, n) in zip(texts, w.bucket_counts()):
+        assert dict(zip(buckets.tolist(), n.tolist())) == brute(body)
+
+
 def test_a_row_scores_the_same_whatever_stands_beside_it(make_docs, text_maker):
     scorer = quality.Scorer(np.random.default_rng(1).normal(size=quality.BUCKETS), 0.1)
     texts = [text_maker(i, 30) for i in range(12)]
