@@ -10,17 +10,19 @@
 2. **Rates.**  Document i has tokens t_i, posterior p_i and a rate r_i >= 0, at
    first ``budget``.  Projected gradient minimises the sum over domains of
    (expected tokens - target)^2 / present tokens.  Scaled by 1 / t_i (the natural
-   metric, in which one repeat costs its tokens) a step is::
-
-       r_i <- max(0, r_i - sum_d p_id * move_d)
-
-   where ``move`` is (total - target) / present, with which a step of 1 always
-   goes down, as each row of p sums to 1.  Longer steps, scaled by how the totals
-   answer to the rows that are not at zero, are tried before it and taken if the sum falls.
-   It ends when every total is within ``TOLERANCE`` of its target or at the minimum,
-   and ``residual`` says what is left.
-   A step is one aggregate of the compact table (tokens, posterior): nine numbers
-   reach the driver, whatever the corpus.
+   metric, in which one repeat costs its tokens) a gradient step moves every rate by
+   - p_i . move, with move = (total - target) / present.  The projection is lazy: steps add up
+   in one number a domain, and the rates are the projection of their start minus that sum::
+
+       r_i = max(0, budget - sum_d p_id * moved_d)
+
+   so a rate that was zero comes back when the sum turns, and the fit is the one nearest to
+   the start.  A step of 1 always goes down, as each row of p sums to 1; longer ones,
+   scaled by how the totals answer to the rows that are not at zero, are measured in the
+   same pass, and the best is taken.  A step is one aggregate of the compact table (tokens,
+   posterior): a few dozen numbers reach the driver, whatever the corpus.  It ends when
+   every total is within ``TOLERANCE`` of its target, or at the minimum (a slight pull of
+   ``moved`` to zero, ``PULL``, makes it unique), and ``residual`` says what is left.
 3. **Copies**: the rate rounded to a whole number, up with the probability of its
    fraction, by a hash of the row; expected totals stay as fitted.
 
@@ -48,9 +50,10 @@ LABELLED = 20_000
 BUCKETS = 1 << 14
 SMOOTHING = 0.1
 TOLERANCE = 1e-4
-AT_MINIMUM = 1e-3  # a plain step that lowers the loss by no larger share ends the descent
+PULL = 1e-6
 CALIBRATION = 5  # one labelled id in so many calibrates and does not train
-TEMPERATURES = tuple(2.0 ** (i / 2) for i in range(-10, 17))
+# At most 1: of few labels the held-out loss would rather flatten all memberships, and leave nothing to mix by.
+TEMPERATURES = tuple(2.0 ** (i / 2) for i in range(-12, 1))
 
 
 def labelled(labels: DataFrame, bound: int = LABELLED) -> DataFrame:
@@ -171,63 +174,62 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, budget: f
     ``tolerance`` unless the targets can't be met; then the rates are those of
     the smallest loss."""
     k = range(len(DOMAINS))
-    flat = saved(members.select("doc_id", "h", "n_tokens", *[F.col("p")[i].alias(f"p{i}") for i in k], F.lit(float(budget)).alias("rate")), "members")
+    flat = saved(members.select("doc_id", "h", "n_tokens", *[F.col("p")[i].alias(f"p{i}") for i in k]), "members")
     pairs = [(i, j) for i in k for j in k if i <= j]
 
-    def measured(rows: DataFrame, rate: Column) -> tuple[list[float], list[list[float]]]:
-        """Expected tokens of each domain, and how they answer to a move of
-        the rows that are free (rate above zero): one aggregate, nine numbers."""
-        free = F.when(rate > 0, F.col("n_tokens")).otherwise(0)
-        r = rows.agg(*[F.sum(rate * F.col("n_tokens") * F.col(f"p{i}")) for i in k],
-                     *[F.sum(free * F.col(f"p{i}") * F.col(f"p{j}")) for i, j in pairs]).first()
-        r = [float(x or 0.0) for x in r]
-        of = {p: x for p, x in zip(pairs, r[len(DOMAINS):])}
-        return r[:len(DOMAINS)], [[of[min(i, j), max(i, j)] for j in k] for i in k]
-
-    now, answer = measured(flat, F.col("rate"))
+    def rate_of(moved: list[float]) -> Column:
+        return F.greatest(F.lit(0.0), F.lit(float(budget)) - sum((F.col(f"p{i}") * F.lit(float(moved[i])) for i in k), F.lit(0.0)))
+
+    def measured(tries: list[list[float]]) -> list[tuple[list[float], list[list[float]], float]]:
+        """For each try: expected tokens of each domain, how they answer to a move of
+        the rows that are free (rate above zero), and the tokens' squared rates: one aggregate."""
+        own = flat.select("*", *[rate_of(m).alias(f"rate{n}") for n, m in enumerate(tries)])
+        parts = []
+        for n in range(len(tries)):
+            rate = F.col(f"rate{n}")
+            free = F.when(rate > 0, F.col("n_tokens")).otherwise(0)
+            parts += [*[F.sum(rate * F.col("n_tokens") * F.col(f"p{i}")) for i in k],
+                      *[F.sum(free * F.col(f"p{i}") * F.col(f"p{j}")) for i, j in pairs], F.sum(rate * rate * F.col("n_tokens"))]
+        r = [float(x or 0.0) for x in own.agg(*[x.alias(f"x{n}") for n, x in enumerate(parts)]).first()]
+        size, out = len(k) + len(pairs) + 1, []
+        for n in range(len(tries)):
+            x = r[n * size:(n + 1) * size]
+            of = dict(zip(pairs, x[len(k):]))
+            out.append((x[:len(k)], [[of[min(i, j), max(i, j)] for j in k] for i in k], x[-1]))
+        return out
+
+    moved = [0.0 for _ in k]
+    (now, answer, squares), = measured([moved])
     present = [sum(row) for row in answer] if budget > 0 else [0.0 for _ in k]
     whole = sum(present)
     wanted = [targets.get(d, 0.0) for d in DOMAINS]
     live = [m > 1e-9 * whole for m in present]
     shares = sum(w for w, m in zip(wanted, live) if m)
     if not whole or not shares:
-        return flat.withColumn("residual", F.lit(0.0))
+        return flat.withColumns({"rate": F.lit(float(budget)), "residual": F.lit(0.0)})
     goal = [w / shares * budget * whole if m else 0.0 for w, m in zip(wanted, live)]
 
-    def loss(totals: list[float]) -> float:
-        return sum((a - b) ** 2 / m for a, b, m, x in zip(totals, goal, present, live) if x) / whole
-
-    def moves(step: str) -> list[float]:
-        if step in ("whole", "part"):  # the inverse of the free rows' answer, damped
-            size = 1.0 if step == "whole" else 0.3
-            return [size * x for x in solved([[answer[i][j] + (1e-6 * whole if i == j else 0.0) for j in k] for i in k], gap)]
-        by = [sum(row) for row in answer] if step == "free" else present
-        return [x / m if y and m > 1e-9 * whole else 0.0 for x, m, y in zip(gap, by, live)]
-
     def residual(totals: list[float]) -> float:
         return max(abs(a - b) for a, b, x in zip(totals, goal, live) if x) / sum(goal)
 
-    steps, at, accepted = ("whole", "part", "free", "plain"), 0, 0
-    rate = F.col("rate")
+    def height(moved: list[float], squares: float) -> float:
+        """What the steps lower: its slope in ``moved`` is (goal - totals), and the pull."""
+        return squares / 2 + sum(g * m + PULL / 2 * w * m * m for g, m, w, x in zip(goal, moved, present, live) if x)
+
     while residual(now) > tolerance:
-        gap = [a - b if x else 0.0 for a, b, x in zip(now, goal, live)]
-        move = moves(steps[at])
-        tried = F.greatest(F.lit(0.0), rate - sum((F.col(f"p{i}") * F.lit(move[i]) for i in k), F.lit(0.0)))
-        new, new_answer = measured(flat, tried)
-        gain = 1 - loss(new) / loss(now)
-        if gain <= AT_MINIMUM:
-            if at == len(steps) - 1:  # a plain step goes down but at the minimum
-                break
-            at += 1
-            continue
-        rate, now, answer, accepted = tried, new, new_answer, accepted + 1
-        if accepted % 4 == 0:
-            at = max(0, at - 1)
-        if accepted % 8 == 0:  # keep the expression short
-            old, flat = flat, saved(flat.withColumn("rate", rate), "rates")
-            dropped(old)
-            rate = F.col("rate")
-    return flat.withColumn("rate", rate).withColumn("residual", F.lit(residual(now)))
+        slope = [a - g - PULL * w * m if x else 0.0 for a, g, w, m, x in zip(now, goal, present, moved, live)]
+        if max(map(abs, slope)) <= tolerance / 100 * sum(goal):  # the minimum: the targets can't be met
+            break
+        held = [[answer[i][j] + (PULL * present[i] + 1e-12 * whole if i == j else 0.0) for j in k] for i in k]
+        scaled = solved(held, slope)
+        plain = [x / w if on else 0.0 for x, w, on in zip(slope, present, live)]
+        steps = [[s * x if on else 0.0 for x, on in zip(scaled, live)] for s in (1.0, 0.5, 0.2, 0.05)] + [plain]
+        tries = [[m + d for m, d in zip(moved, step)] for step in steps]
+        best = min(zip(tries, measured(tries)), key=lambda x: height(x[0], x[1][2]))
+        if height(best[0], best[1][2]) >= height(moved, squares):  # no longer falls by rounding
+            break
+        moved, (now, answer, squares) = best
+    return flat.withColumn("rate", rate_of(moved)).withColumn("residual", F.lit(residual(now)))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0, bound: int = LABELLED) -> DataFrame:
