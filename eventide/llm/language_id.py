@@ -41,8 +41,9 @@ FILTERS = 12
 STEPS = 1200
 BATCH = 64
 RATE = 0.02
-# Windows scored at a time.
+# Windows scored, and texts held, at a time.
 WINDOWS = 256
+TEXTS = 512
 
 
 def held_out(doc_id: Column) -> Column:
@@ -216,17 +217,18 @@ def predict(docs: DataFrame, model: bytes | None) -> DataFrame:
 
     def run(batches):
         net = pickle.loads(shared.value).ready() if shared.value else None
-        for batch in batches:
-            bodies = [x.as_py() for x in batch.column(1)]
-            has = [b is not None and any(map(str.isalpha, b.decode("utf-8", "replace"))) for b in bodies]
-            lang, score = ["und"] * len(bodies), [0.0] * len(bodies)
-            at = [i for i, h in enumerate(has) if h] if net else []
-            if at:
-                p = score_texts(net, [bodies[i] for i in at])
-                for i, k, s in zip(at, p.argmax(axis=1), p.max(axis=1)):
-                    lang[i], score[i] = net.langs[k], min(1.0, float(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score, pa.float64())],
-                                             names=["doc_id", "lang_pred", "score"])
+        for whole in batches:
+            for batch in (whole.slice(i, TEXTS) for i in range(0, whole.num_rows, TEXTS)):
+                bodies = [x.as_py() for x in batch.column(1)]
+                has = [b is not None and any(map(str.isalpha, b.decode("utf-8", "replace"))) for b in bodies]
+                lang, score = ["und"] * len(bodies), [0.0] * len(bodies)
+                at = [i for i, h in enumerate(has) if h] if net else []
+                if at:
+                    p = score_texts(net, [bodies[i] for i in at])
+                    for i, k, s in zip(at, p.argmax(axis=1), p.max(axis=1)):
+                        lang[i], score[i] = net.langs[k], min(1.0, float(s))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score, pa.float64())],
+                                                 names=["doc_id", "lang_pred", "score"])
 
     out = body.mapInArrow(run, f"doc_id {dict(body.dtypes)['doc_id']}, lang_pred string, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
