@@ -52,9 +52,10 @@ def chain_scorer(m: NgramModel, s: Smoothing):
     if m.vocab_size > MAX_VOCAB:
         raise ValueError(f"{m.vocab_size} tokens: score with scoring.score, which joins the model")
     top = m.vocab_size + 1
-    p0 = np.full(top, s.alpha / (m.total + s.alpha * m.vocab_size))
+    mass = m.total + s.alpha * m.vocab_size or 1.0  # an empty vocabulary scores nothing
+    p0 = np.full(top, s.alpha / mass)
     for r in m.m0.where(F.col("token_id") > 0).collect():  # at most V rows
-        p0[r.token_id] = (r.n0 + s.alpha) / (m.total + s.alpha * m.vocab_size)
+        p0[r.token_id] = (r.n0 + s.alpha) / mass
     p = np.tile(p0, (top, 1))
     seen = np.zeros((top, top))
     for r in m.m1.where((F.col("c1") > 0) & (F.col("token_id") > 0)).collect():  # at most V squared rows

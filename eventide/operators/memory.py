@@ -69,7 +69,7 @@ def with_memory(requests: DataFrame, bag: DataFrame, m: NgramModel, key: Sequenc
     p0_of = lambda n: (F.coalesce(n, F.lit(0)) + F.lit(s.alpha)) / F.lit(m.total + s.alpha * V)
     # sum over the vocabulary of P0^(1 - w): tokens that were counted, and the others alike
     counted = m.m0.where(F.col("token_id") > 0).agg(F.sum(F.pow(p0_of(F.col("n0")), 1 - w)), F.count("*")).first()
-    rest = (s.alpha / (m.total + s.alpha * V)) ** (1 - w)
+    rest = (s.alpha / (m.total + s.alpha * V)) ** (1 - w) if V else 0.0
     every = float(counted[0] or 0.0) + (V - counted[1]) * rest
 
     r = requests.select(*key, "c2", "c1", "target_id")

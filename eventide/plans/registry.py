@@ -741,12 +741,14 @@ def model_versions(spark, sf_dir):
     store = ModelStore(spark, f"{ws.folder}/versions-{uuid.uuid4().hex}")
     rows = []
     for step, (name, loss) in enumerate(losses.items()):
-        v = store.save_if_better({"ngram": m.long()}, loss, SMOOTHING_GRID[name].__dict__, {"step": step, "total": m.total})
+        # without held-out rows there is no loss to go by
+        v = None if loss is None else store.save_if_better({"ngram": m.long()}, loss, SMOOTHING_GRID[name].__dict__,
+                                                           {"step": step, "total": m.total})
         rows.append((step, name, loss, v.number if v else None))
-    _, last = store.load()
+    last = store.load()[1].number if store.versions() else 0
     out = spark.createDataFrame(rows, "step int, config string, val_loss double, version int")
     return out.select("step", "config", r6("val_loss").alias("val_loss"), "version",
-                      (F.col("version").eqNullSafe(F.lit(last.number))).alias("loaded"))
+                      (F.col("version").eqNullSafe(F.lit(last))).alias("loaded"))
 
 
 @query
