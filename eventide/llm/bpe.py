@@ -1,8 +1,8 @@
 """BPE encoding and decoding with word ends, merges by a contiguous rank array.
 
 A vocabulary file of the ``tokenizers`` format gives token ids, merge ranks, the
-suffix of a word's last symbol, and the normaliser and splitter (these two
-run in the library, so that Unicode tables agree).  Words are merged here:
+suffix of a word's last symbol, and the normaliser and splitter (these two run in the
+library, so that Unicode tables agree, but for ``SETTLED`` characters).  Words are merged here:
 
 * short words (up to ``SHORT`` symbols) hold the parts between their boundaries in one
   array (by token id) and the merge rank of every two adjacent parts in another; the smallest
@@ -13,8 +13,8 @@ run in the library, so that Unicode tables agree).  Words are merged here:
   same order in n log n steps.
 
 Encoding is a map over documents without a shuffle; a task's texts are taken in
-groups of about ``WINDOW`` characters.  Whitespace-delimited chunks and words are kept in
-bounded caches of two generations (``CACHED``).  A text is read
+groups of about ``WINDOW`` characters.  Words (and, of text that goes through the library, whitespace-delimited chunks) are
+kept in bounded caches of two generations (``CACHED``).  A text is read
 in windows of ``WINDOW`` characters that end before ASCII white space, where
 neither normalising nor splitting nor merging looks across.
 
@@ -35,12 +35,12 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,13 +57,21 @@ GONE = -1
 ROWS = 1 << 13  # words that are merged side by side
 
 
-# Fixed value: the splitter's pattern for text of lower-case ASCII.
+# Text of these characters is normalised and split here (Latin letters and general
+# punctuation: all in composed form, their classes and lower cases are settled, no separator that
+# str.lower() or the pattern would treat otherwise); any other text goes to the library.
+LATIN = [chr(c) for c in range(0x180)]
+SETTLED = re.compile("[\x00-\x1b\x20-\u017f\u2010-\u2027\u2030-\u205e]*")
+
+
+def _class(kind: str) -> str:
+    return "".join(re.escape(c) for c in LATIN if unicodedata.category(c).startswith(kind))
+
+
+# Fixed value: the splitter's pattern, with the letters and numbers below U+0180 spelled out.
+WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\\s{_class('L')}{_class('N')}]+")
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-# The same for Latin letters.  Below LATIN all characters are in composed form, and their
-# classes and lower cases are settled; any other text goes to the library.
-LATIN = "\u0250"
-LATIN_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-PROBE = "don't we'll 12 'tis x's!? a-b ''d \u00e9t\u00e9\u00b2\u00bd\u00ab\u00bb na\u00efve\u0142\u01c5"
+PROBE = "don't we'll 12 'tis x's!? a-b ''d \u00e9t\u00e9\u00b2\u00bd\u00ab\u00bb na\u00efve\u0142\u017f"
 
 
 def byte_letters() -> list[str]:
@@ -161,8 +169,8 @@ class Codec:
         self.split = library.pre_tokenizer.pre_tokenize_str
         self.letters = byte_letters()
         # the library's normaliser and splitter must agree with the patterns used here
-        ours = [self.spelled(w) for w in LATIN_WORDS.findall(PROBE.lower())]
-        self.latin = [w for w, _ in self.split(self.normal(PROBE))] == ours
+        ours = [self.spelled(w) for w in WORDS.findall(PROBE.lower())]
+        self.settled = [w for w, _ in self.split(self.normal(PROBE))] == ours
         self.suffix = model["end_of_word_suffix"] or ""
         self.ids: dict[str, int] = model["vocab"]
         # by pair of ids: the merge's rank; by rank: the id of what it makes
@@ -178,11 +186,12 @@ class Codec:
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.pairs = Pairs(self.ranks)
         self.makes = np.array(self.made, np.int32)
-        self.words, self.chunks = Cache(), Cache()
+        # by word, by word in the byte-level alphabet, by chunk without white space
+        self.words, self.spellings, self.chunks = Cache(), Cache(), Cache()
 
     def spelled(self, word: str) -> str:
         """A word in the byte-level alphabet."""
-        return word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        return word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode()))
 
     def parts(self, word: str) -> list[int]:
         """Ids of a word's symbols, the last with the suffix; unknown ones are dropped."""
@@ -275,29 +284,27 @@ class Codec:
                 offer(before[i])
         return [p for p in parts if p != GONE]
 
-    def spelled_words(self, chunk: str) -> list[str]:
-        """The words of a text without white space, in the byte-level alphabet."""
-        if self.latin and chunk.isprintable():
-            if chunk.isascii():
-                return [chunk.lower()] if chunk.isalpha() else ASCII_WORDS.findall(chunk.lower())
-            if max(chunk) < LATIN:
-                return [*map(self.spelled, LATIN_WORDS.findall(chunk.lower()))]
-        return [w for w, _ in self.split(self.normal(chunk))]
-
-    def ids_of(self, chunks: set[str]) -> dict[str, bytes]:
-        """Token ids of each chunk; words that no cache has are merged together."""
+    def ids_of_words(self, words: set[str]) -> dict[str, bytes]:
+        """Token ids of lower-case words; those that the cache lacks are merged together."""
+        out, new = self.words.found(words)
+        merged = dict(zip(new, self.merged([*map(self.spelled, new)])))
+        self.words.put(merged.items())
+        return out | merged
+
+    def ids_of_chunks(self, chunks: set[str]) -> dict[str, bytes]:
+        """Token ids of text without white space, by the library's normaliser and splitter."""
         out, new = self.chunks.found(chunks)
-        split = [*map(self.spelled_words, new)]
-        words, unknown = self.words.found({w for ws in split for w in ws})
+        split = [[w for w, _ in self.split(self.normal(c))] for c in new]
+        words, unknown = self.spellings.found({w for ws in split for w in ws})
         merged = dict(zip(unknown, self.merged(unknown)))
-        self.words.put(merged.items())
+        self.spellings.put(merged.items())
         words |= merged
-        own = {c: words[ws[0]] if len(ws) == 1 else b"".join(map(words.__getitem__, ws)) for c, ws in zip(new, split)}
+        own = {c: b"".join(map(words.__getitem__, ws)) for c, ws in zip(new, split)}
         self.chunks.put(own.items())
         return out | own
 
-    def segments(self, text: str) -> Iterator[int | list[str]]:
-        """Ids of added tokens, and the chunks of the text between them."""
+    def segments(self, text: str) -> Iterator[tuple[str, list[str]] | int]:
+        """Ids of added tokens, and the words or chunks of the text between them."""
         at = 0
         for m in self.specials.finditer(text):
             yield from self.plain(text[at:m.start()])
@@ -305,35 +312,43 @@ class Codec:
             at = m.end()
         yield from self.plain(text[at:] if at else text)
 
-    def plain(self, text: str) -> Iterator[list[str]]:
+    def plain(self, text: str) -> Iterator[tuple[str, list[str]]]:
         for window in windows(text):
-            # nothing is normalised, split or merged across white space
-            yield [c for c in self.normal(window).split(" ") if c] if SEPARATORS.search(window) else window.split()
+            if self.settled and window.isascii() and not SEPARATORS.search(window):
+                yield "words", ASCII_WORDS.findall(window.lower())
+            elif self.settled and SETTLED.fullmatch(window):
+                yield "words", WORDS.findall(window.lower())
+            else:  # nothing is normalised, split or merged across white space
+                yield "chunks", [c for c in self.normal(window).split(" ") if c] if SEPARATORS.search(window) else window.split()
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Token ids of each text, four bytes each."""
         out: list[list[bytes]] = []
-        held: list[tuple[list[bytes], int | list[str]]] = []
+        held: list[tuple[list[bytes], tuple[str, list[str]] | int]] = []
         size = 0
 
         def flush() -> None:
-            ids = self.ids_of(set().union(*(part for _, part in held if not isinstance(part, int))))
+            every = {kind: set().union(*(p[1] for _, p in held if not isinstance(p, int) and p[0] == kind)) for kind in ("words", "chunks")}
+            ids = {"words": self.ids_of_words(every["words"]), "chunks": self.ids_of_chunks(every["chunks"])}
             for to, part in held:
-                to.append(part.to_bytes(4, "little") if isinstance(part, int) else b"".join(map(ids.__getitem__, part)))
+                to.append(part.to_bytes(4, "little") if isinstance(part, int) else b"".join(map(ids[part[0]].__getitem__, part[1])))
 
         for text in texts:
             out.append(to := [])
             for part in self.segments(text):
                 held.append((to, part))
-                size += 1 if isinstance(part, int) else 8 * len(part)
+                size += 1 if isinstance(part, int) else 8 * len(part[1])
                 if size >= WINDOW:
                     flush()
                     held, size = [], 0
         flush()
         return [b"".join(x) for x in out]
 
-    def decode(self, ids) -> str:
-        return " ".join(t for i in ids if (t := self.tokens.get(i)) is not None)
+    def decode(self, ids: list[int]) -> str:
+        try:
+            return " ".join(map(self.tokens.__getitem__, ids))
+        except KeyError:
+            return " ".join(t for i in ids if (t := self.tokens.get(i)) is not None)
 
 
 def windows(text: str) -> Iterator[str]:

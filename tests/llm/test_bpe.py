@@ -74,7 +74,7 @@ def test_every_space_and_separator_splits_as_in_the_library(codec, library):
 
 
 def test_every_latin_letter_and_case(codec, library):
-    for c in [*range(0x20, 0x300), 0x370, 0x3A3, 0x1E9E, 0x1F88, 0x212A, 0xFB01]:
+    for c in [*range(0x20, 0x300), *range(0x2000, 0x2070), 0x20AC, 0x370, 0x3A3, 0x1E9E, 0x1F88, 0x212A, 0xFB01]:
         for text in (f"a{chr(c)}b", f"{chr(c)}", f"X{chr(c)}{chr(c)}1'{chr(c)}S", f"{chr(c)}\u0301z"):
             assert ids(codec.encode([text])[0]) == library.encode(text, add_special_tokens=False).ids, hex(c)
 
@@ -115,7 +115,7 @@ def test_caches_stay_bounded_and_right(library, monkeypatch):
     monkeypatch.setattr(bpe, "WINDOW", 30)
     texts = [" ".join(f"word{(i * k) % 17}" for i in range(60)) for k in range(5)]
     assert [ids(x) for x in codec.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
-    assert max(len(x) for c in (codec.words, codec.chunks) for x in (c.young, c.old)) <= 5
+    assert max(len(x) for c in (codec.words, codec.spellings, codec.chunks) for x in (c.young, c.old)) <= 5
 
 
 def test_empty_table_string_ids_and_unknown_ids(spark, make_docs):
@@ -129,3 +129,9 @@ def test_empty_table_string_ids_and_unknown_ids(spark, make_docs):
 def test_other_vocabularies_are_refused():
     with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f, pytest.raises(ValueError):
         bpe.Codec(f.read())
+
+
+def test_settled_text_is_split_here(codec):
+    assert codec.settled  # else all text would go through the library
+    kinds = [k for k, _ in codec.segments("Été, l’été—“x” 1½")] + [k for k, _ in codec.segments("日本")] + [k for k, _ in codec.segments("a\x1fb")]
+    assert kinds == ["words", "chunks", "chunks"]
