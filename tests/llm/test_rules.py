@@ -77,6 +77,15 @@ def test_odd_rows(spark, make_docs, odd, labels):
     assert rules.trusted_ids(twice).count() == 1
 
 
+def test_every_good_label_counts(spark, make_docs):
+    n = 20_500
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    assert rules.trusted_ids(labels).count() == n
+    # texts of the whole labelled set: target and raw are the same, so no bucket differs
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('w', id) AS text")
+    assert max(map(abs, rules.ratios(docs, labels))) < 1e-12
+
+
 def test_native_plan(spark):
     plan = registry.op9_quality_rules(spark, SF)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
