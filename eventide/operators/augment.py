@@ -8,7 +8,7 @@
 
 Insertions renumber the stream without a stay-wide window: a token moves by
 the number of insertion anchors strictly before it, which is a carried-forward
-anchor count (two-level scan).
+anchor count: a two-level scan over the anchors' chunks, which the stream meets once.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ RULES = (("med.purchase", "lab.view", 8),)
 # fixed values: response sequence spliced after an hour token
 RESPONSE = ("lab.view", "magnitude.0", "lab.click", "magnitude.0")
 JITTER = 0.3
+ANCHOR_CHUNK = 512  # positions of a stay that share one row of anchors
 TERMINAL = "mort"
 # fixed values: further kinds of response; each ends in the terminal token
 RESPONSES = (
@@ -107,13 +108,23 @@ def insert_after(tokens: DataFrame, anchors: DataFrame, insert_token: str = ERRO
         r = replace.select("stay_id", "pos", F.col("token").alias("__new"))
         base = base.join(r, ["stay_id", "pos"], "left") \
             .select("stay_id", "pos", F.coalesce("__new", "token").alias("token"))
-    marked = base.join(a.withColumn("mark", F.lit(1).cast("long")), ["stay_id", "pos"], "left").fillna(0, ["mark"])
-    counted = prefix_sum(marked, "stay_id", "pos", ["mark"], levels=levels)
+    # the stream meets one row a chunk: the chunk's anchors and how many lie before it
+    chunk = F.floor(F.col("pos") / F.lit(ANCHOR_CHUNK)).cast("long")
+    held = a.groupBy(F.col("stay_id").alias("__s"), chunk.alias("__c")).agg(F.collect_list("pos").alias("at"))
+    chunks = tokens.select("stay_id", chunk.alias("chunk")).distinct()
+    chunks = chunks.join(held, (F.col("stay_id") == F.col("__s")) & (F.col("chunk") == F.col("__c")), "left").select(
+        "stay_id", "chunk", "at", F.coalesce(F.array_size("at"), F.lit(0)).cast("long").alias("n"))
+    chunks = prefix_sum(chunks, "stay_id", "chunk", ["n"], levels=levels).where((F.col("n") > 0) | (F.col("n_before") > 0)).select(
+        F.col("stay_id").alias("__s"), F.col("chunk").alias("__c"), "at", "n_before")
+    counted = base.join(chunks, (F.col("stay_id") == F.col("__s")) & (chunk == F.col("__c")), "left")
+    earlier = F.when(F.col("at").isNotNull(), F.size(F.filter("at", lambda x: x < F.col("pos")))).otherwise(F.lit(0))
+    counted = counted.select("stay_id", "pos", "token", F.coalesce(F.array_contains("at", F.col("pos")), F.lit(False)).alias("mark"),
+                             (F.coalesce("n_before", F.lit(0)) + earlier).alias("mark_before"))
     # each row gives itself and, at an anchor, the inserted token behind it
     at = F.col("pos") + F.col("mark_before")
     own = F.struct(at.alias("pos"), F.col("token").alias("token"), F.lit(0).alias("loss_weight"))
     new = F.struct((at + 1).alias("pos"), F.lit(insert_token).alias("token"), F.lit(1).alias("loss_weight"))
-    return counted.select("stay_id", F.explode(F.when(F.col("mark") == 1, F.array(own, new)).otherwise(F.array(own))).alias("r")) \
+    return counted.select("stay_id", F.explode(F.when(F.col("mark"), F.array(own, new)).otherwise(F.array(own))).alias("r")) \
         .select("stay_id", "r.*")
 
 
