@@ -7,9 +7,9 @@ ratio of target to raw over its n-grams, so its length does not matter; it
 is kept if the score is at least ``THRESHOLD`` and no base rule failed.
 
 Counts are partial aggregates over ``BUCKETS`` keys; the table of ratios is a
-constant of bounded size.  No text is shuffled while the trusted ids are small enough to be
-broadcast; beyond that the planner shuffles the join.  Words that lie in repeated 3-word
-windows are found inside a row: window hashes, with the place in the low bits, are
+constant of bounded size.  Texts are shuffled only where a sieve of bounded size lets their id
+through: the trusted ones and, as the ids fill the sieve, a share of the others, which
+the exact join then turns down.  Words that lie in repeated 3-word windows are found inside a row: window hashes, with the place in the low bits, are
 sorted, equal neighbours are confirmed word by word and their places merged.
 
 Edge cases: null and empty texts have no words, score 0, and fail the length rule; texts
@@ -30,6 +30,7 @@ from eventide.operators.settled import settled
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 14
+SIEVE = 1 << 24  # places of the sieve of trusted ids, 64 to a row
 SMOOTHING = 1.0
 THRESHOLD = -0.08
 MIN_WORDS = 50
@@ -57,13 +58,38 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.select(F.col("doc_id").alias("id")).distinct()
 
 
+def place(key: Column) -> Column:
+    """An id's place in the sieve; none if it is null."""
+    return F.when(key.isNotNull(), F.xxhash64(key).bitwiseAND(F.lit(SIEVE - 1)))
+
+
+def sieve(ids: DataFrame) -> DataFrame:
+    """Places of the ids as bits, at most ``SIEVE / 64`` rows however many ids there are."""
+    at = place(F.col("id"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    return ids.select(F.shiftright(at, 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+
+
+def marked(own: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(text, good)`` of each row: whether its id is among the ids, which are distinct.
+
+    Only rows that the sieve lets through are joined.  That join is sorted at any size, as
+    the ids grow with the corpus; so what it shuffles follows the input."""
+    kind = own.select("doc_id").union(ids).schema[0].dataType  # ids of two types must hash alike
+    own, ids = own.select(F.col("doc_id").cast(kind), "text"), ids.select(F.col("id").cast(kind))
+    at = place(F.col("doc_id"))
+    sifted = own.join(F.broadcast(sieve(ids)), F.shiftright(at, 6) == F.col("at"), "left").select(
+        "doc_id", "text", F.coalesce(F.getbit("bits", at.bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False)).alias("maybe"))
+    found = sifted.where("maybe").join(ids.hint("merge"), F.col("doc_id") == F.col("id"), "left")
+    return sifted.where("not maybe").select("text", F.lit(False).alias("good")).union(
+        found.select("text", F.col("id").isNotNull().alias("good")))
+
+
 def ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float] | None:
     """Log-likelihood ratio of target to raw for each bucket."""
     own = texts(docs, id_col, text_col).where("text is not null")
-    ids = settled(trusted_ids(labels), "trusted-ids")  # the planner knows its size
-    marked = own.join(ids, own["doc_id"] == ids["id"], "left").select(
-        words(F.col("text")).alias("ws"), F.col("id").isNotNull().alias("good"))
-    rows = marked.select(F.explode(once(F.col("ws"), lambda ws: grams(ws))).alias("b"), "good").groupBy("b").agg(
+    seen = marked(own, settled(trusted_ids(labels), "trusted-ids")).select(words(F.col("text")).alias("ws"), "good")
+    rows = seen.select(F.explode(once(F.col("ws"), lambda ws: grams(ws))).alias("b"), "good").groupBy("b").agg(
         F.count("*").alias("raw"), F.sum(F.col("good").cast("long")).alias("target")).collect()  # at most BUCKETS rows
     raw, target = [0] * BUCKETS, [0] * BUCKETS
     for r in rows:

@@ -86,6 +86,47 @@ def test_every_good_label_counts(spark, make_docs):
     assert max(map(abs, rules.ratios(docs, labels))) < 1e-12
 
 
+def shuffled(df):
+    """Rows that the exchanges of a collected table have written."""
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name == "ReusedExchangeExec":
+            return 0
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        own = node.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+        return own + sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_texts_without_trust_are_not_shuffled(spark, monkeypatch):
+    """Also where no table is small enough to be broadcast by the planner."""
+    n = 5_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('w', id % 7, ' w', id % 3) AS text").union(
+        spark.sql("SELECT CAST(NULL AS BIGINT), 'w1 w2'"))
+    good = spark.range(0, n, 50).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic").union(spark.sql("SELECT NULL, 1, 0"))
+    seen = []
+    monkeypatch.setattr(rules, "marked", lambda *a, f=rules.marked: seen.append(f(*a)) or seen[-1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = rules.ratios(docs, good)
+        assert shuffled(seen[-1]) < n / 10  # 100 trusted texts, their ids and places
+        assert [r.good for r in seen[-1].collect()].count(True) == 100 and seen[-1].count() == n + 1
+        monkeypatch.setattr(rules, "SIEVE", 64)  # nearly every id goes through: the join decides
+        assert rules.ratios(docs, good) == table
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # ids of another type, ids that repeat, and no trusted ids at all
+    narrow = good.selectExpr("CAST(doc_id AS INT) AS doc_id", "quality", "toxic")
+    assert rules.ratios(docs, narrow.union(narrow)) == table
+    assert rules.ratios(docs, good.limit(0)) is None
+
+
 def test_native_plan(spark):
     plan = registry.op9_quality_rules(spark, SF)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
