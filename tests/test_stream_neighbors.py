@@ -1,6 +1,9 @@
 """Neighbours, spine rows and lookups of the stream that are derived, not shuffled,
 against the naive windows; and insertions against a brute force."""
 
+import pathlib
+import time
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -125,3 +128,68 @@ def test_insertions_against_brute_force(spark, monkeypatch, chunk):
     assert got == want
     plan = augment.insert_after(tokens, anchors)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window") <= 2 * 3
+
+
+def test_events_meet_their_neighbours_across_chunks_and_partitions(spark, odd_ws):
+    """Chunks of a few events, on ranges of a few events: the same tokens as in one chunk,
+    with copies of a row and keys equal but for the last order column."""
+    from eventide.operators.stream import event_tokens, ordered_events
+    cols = ["a", "b"]
+    ev = odd_ws.emitted.select("*", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("n")).selectExpr("* EXCEPT (n)", "1 AS a", "5 - n DIV 2 AS b")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ordered = odd_ws._save(ordered_events(ev, cols), "ordered-test")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert "a" not in ordered.columns and ordered.select(F.shiftright("at", 33)).distinct().count() > 3
+    w = Window.partitionBy("stay_id").orderBy("charttime", *cols)
+    want = ev.where("charttime IS NOT NULL AND size(toks) > 0").select("stay_id", F.row_number().over(w).alias("n"), "charttime", "toks")
+    got = ordered.select("stay_id", F.row_number().over(Window.partitionBy("stay_id").orderBy("at")).alias("n"), "charttime", "toks")
+    assert got.where("stay_id != 10").exceptAll(want).count() == 0 and got.count() == want.count()
+    grid = odd_ws.grid
+    one = event_tokens(ordered, grid)
+    assert one.count() == 4 * odd_ws._event_tokens.count()
+    for fanout in (4, 7):
+        few = event_tokens(ordered, grid, fanout=fanout)
+        assert few.exceptAll(one).count() == 0 and one.exceptAll(few).count() == 0
+    x = one.withColumn("lead", F.lead("token").over(Window.partitionBy("stay_id", "hour_no").orderBy("pos"))) \
+        .withColumn("lag", F.lag("token").over(Window.partitionBy("stay_id", "hour_no").orderBy("pos")))
+    assert x.where("lead IS NOT NULL AND lead != next1 OR lag IS NOT NULL AND lag != prev1").count() == 0
+
+
+def test_no_shuffle_of_a_saved_table_stays_on_disk(spark):
+    """What a table's writing shuffled goes with its writing, and the ordered events with the stream."""
+    def shuffled():
+        it = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        names = set()
+        while it.hasNext():
+            names.add(it.next().getName())
+        return {n for n in names if n.startswith("shuffle_")}
+
+    ws = Workspace(spark, SF, "lineitem")
+    conf = {k: spark.conf.get(k, None) for k in ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.maxConcurrentOutputFileWriters")}
+    ws.raw_only
+    df = ws.raw_only.repartition(3, "stay_id").groupBy("item").agg(F.count("*").alias("n"))
+    before = shuffled()
+    saved = ws._save(df, "counts")
+    for _ in range(100):  # files go soon after
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert conf == {k: spark.conf.get(k, None) for k in conf}
+    assert saved.exceptAll(df).count() == 0 and saved.count() == df.count()
+    assert wrong_of_lineitem(ws.tokens) == 0
+    tables = {p.name for p in pathlib.Path(ws.folder.removeprefix("file:")).iterdir()}
+    assert "stream" in tables and "ordered" not in tables
+    ws.close()
+
+
+def wrong_of_lineitem(t):
+    w = Window.partitionBy("stay_id").orderBy("pos")
+    d = t.select("pos", (F.row_number().over(w) - 1).alias("rn"), *[c for k in (1, 2) for c in (
+        f"next{k}", f"prev{k}", F.lead("token", k).over(w).alias(f"n{k}"), F.lag("token", k).over(w).alias(f"p{k}"))])
+    bad = F.col("pos") != F.col("rn")
+    for k in (1, 2):
+        bad = bad | ~F.col(f"next{k}").eqNullSafe(F.col(f"n{k}")) | ~F.col(f"prev{k}").eqNullSafe(F.col(f"p{k}"))
+    return d.where(bad).count()
